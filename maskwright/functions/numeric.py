@@ -8,11 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PRACTICAL_MARGIN = 1.0
+TIE_NUDGE = 1e-9
 
 
 def r6(value: Column, digits: int = 6) -> Column:
-    """Round for comparison; adding zero turns -0.0 into 0.0."""
-    return F.round(value, digits) + F.lit(0.0)
+    """Round for comparison between engines.
+
+    The small nudge moves exact decimal ties, which engines round differently, off the tie; adding
+    zero turns -0.0 into 0.0.
+    """
+    return F.round(value + F.lit(TIE_NUDGE), digits) + F.lit(0.0)
 
 
 def half_up(value: Column) -> Column:

@@ -335,7 +335,7 @@ def extremes_side_by_side(spark, sf):
 
 
 @query("variation_table", q(f"""
-SELECT configuration, n, mae, rmse, bias, r2, baseline_mae, round(mae_raw - base_raw, 4) + 0.0 AS delta_mae FROM (
+SELECT configuration, n, mae, rmse, bias, r2, baseline_mae, round(mae_raw - base_raw + 1e-9, 4) + 0.0 AS delta_mae FROM (
   SELECT p.*, {sql_r6('b.mae_raw', 'baseline_mae', D)}, b.mae_raw AS base_raw FROM (SELECT configuration, {FULL}, avg(abs({RES})) AS mae_raw FROM c_pred GROUP BY configuration) p,
   (SELECT avg(abs({RES})) AS mae_raw FROM c_pred WHERE configuration = 'group_mean') b WHERE p.configuration <> 'group_mean')"""))
 def variation_table(spark, sf):

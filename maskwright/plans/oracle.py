@@ -72,8 +72,5 @@ UNION ALL SELECT sample_id, grp, resolution, category, fold, target, 'line_words
 UNION ALL SELECT sample_id, grp, resolution, category, fold, target, 'line_lines', 'least_squares', 'candidate', p_lines FROM s_wide
 UNION ALL SELECT sample_id, grp, resolution, category, fold, target, 'line_digits', 'least_squares', 'candidate', p_digits FROM s_wide""")
 
-R = "round({0}, 6) + 0.0"
-
-
 def r6(expr: str, name: str, digits: int = 6) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {name}"
+    return f"round(CAST({expr} AS DOUBLE) + 1e-9, {digits}) + 0.0 AS {name}"
