@@ -14,13 +14,15 @@ def fragment(name: str, sql: str) -> None:
 def q(body: str) -> str:
     """Prefix a statement with the fragments that it names, directly or through others."""
     needed: list[str] = []
+    open_names: set[str] = set()
 
     def visit(text: str) -> None:
         for name in FRAGMENTS:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in needed and name not in open_names and re.search(rf"\b{name}\b", text):
+                open_names.add(name)
                 visit(FRAGMENTS[name])
-                if name not in needed:
-                    needed.append(name)
+                open_names.discard(name)
+                needed.append(name)
 
     visit(body)
     if not needed:
