@@ -1,32 +1,41 @@
-"""Four-neighbour connected components of run tables, by joins only.
+"""Four-neighbour connected components of run tables.
 
-Chains of image rows with a single run are contracted first, inside blocks of rows, which leaves a
-far smaller graph. On that graph, minimum labels spread by hooking and pointer jumping, so the number
-of rounds grows with the logarithm of the longest path. Every round is written to the shared folder.
+Each image is cut into blocks of rows. Inside a block, whose size is bounded by the image width, the
+components are found by a vectorised helper over Arrow batches of many blocks. Only the runs on block
+borders then form a graph between blocks, on which minimum labels spread by hooking and pointer
+jumping in joins: the number of rounds grows with the logarithm of the longest path, and images of
+one block need no round at all. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright.session import materialize
 
 ROW_BLOCK = 256
 
 
-def node_id() -> Column:
+def node_id(y: Column, x0: Column) -> Column:
     """Raster order of a run's first cell; image rows are narrower than 2**21 pixels."""
-    return F.shiftleft(F.col("y").cast("long"), 21) + F.col("x0")
+    return F.shiftleft(y.cast("long"), 21) + x0
 
 
-def minimum_labels(edges: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFrame:
+def minimum_labels(edges: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFrame | None:
     """(keys, node, label): the smallest node reachable from each node that has an edge.
 
+    None when there are no edges.
+
     `edges` holds (keys, u, v) in both directions. Per round a node takes the smallest grandparent
     among its neighbours, hands it to its own parent as well, and skips to its grandparent.
     """
-    edges, _ = materialize(edges.select(*keys, "u", "v"))
+    edges, n_edges = materialize(edges.select(*keys, "u", "v", F.lit(True).alias("_any")), "_any")
+    if n_edges == 0:
+        return None
     labels = edges.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("v")).select(
         *keys, "node", F.least("node", "v").alias("parent")
     )
@@ -53,41 +62,84 @@ def minimum_labels(edges: DataFrame, keys: list[str], max_rounds: int = 64) -> D
     raise RuntimeError(f"labels still changed after {max_rounds} rounds")
 
 
-def _contract(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Add `node` and `root`: the first run of the chain of single-run rows that a run belongs to."""
-    block = [*keys, "_block"]
-    order = Window.partitionBy(*block).orderBy("y", "x0")
-    before = F.lag(F.struct("y", "x0", "x1", "_in_row")).over(order)
-    chained = (
-        (F.col("_in_row") == 1) & (F.col("_before._in_row") == 1) & (F.col("_before.y") == F.col("y") - 1)
-        & (F.col("_before.x0") <= F.col("x1")) & (F.col("x0") <= F.col("_before.x1"))
+def touching_roots(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """Index of the first run of each run's component; runs are sorted by (group, y, x0).
+
+    Touching runs of neighbouring rows are found by binary search on (group, row, x), and the
+    smallest index spreads over the pairs by hooking and pointer jumping.
+    """
+    width = int(x1.max()) + 2
+    row = group.astype(np.int64) * (int(y.max()) + 2) + y
+    starts, ends = row * width + x0, row * width + x1
+    first = np.searchsorted(ends, (row + 1) * width + x0, side="left")
+    stop = np.searchsorted(starts, (row + 1) * width + x1, side="right")
+    count = np.maximum(stop - first, 0)
+    u = np.repeat(np.arange(len(row)), count)
+    v = np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(u))
+    parent = np.arange(len(row))
+    while True:
+        pu, pv = parent[u], parent[v]
+        open_ = pu != pv
+        if not open_.any():
+            return parent
+        u, v, pu, pv = u[open_], v[open_], pu[open_], pv[open_]
+        low = np.minimum(pu, pv)
+        np.minimum.at(parent, pu, low)
+        np.minimum.at(parent, pv, low)
+        while True:
+            jumped = parent[parent]
+            if np.array_equal(jumped, parent):
+                break
+            parent = jumped
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def block_roots(ys: pd.Series, x0s: pd.Series, x1s: pd.Series) -> pd.Series:
+    """Per block, the position of each run's component root inside the block's sorted runs."""
+    sizes = np.array([len(v) for v in ys])
+    begin = np.cumsum(sizes) - sizes
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    roots = touching_roots(group, *(np.concatenate(list(c)).astype(np.int64) for c in (ys, x0s, x1s)))
+    local = (roots - begin[group]).astype(np.int32)
+    return pd.Series(np.split(local, np.cumsum(sizes)[:-1]))
+
+
+def _rooted(runs: DataFrame, keys: list[str], row_block: int) -> DataFrame:
+    """Add `root`: the first run of each run's component inside its block of rows."""
+    blocks = (
+        runs.withColumn("_block", F.expr(f"y div {row_block}"))
+        .groupBy(*keys, "_block")
+        .agg(F.sort_array(F.collect_list(F.struct("y", "x0", "x1"))).alias("r"))
+        .withColumn("root", block_roots(F.col("r.y"), F.col("r.x0"), F.col("r.x1")))
     )
-    numbered = (
-        runs.select(*keys, "y", "x0", "x1")
-        .withColumn("_block", F.expr(f"y div {ROW_BLOCK}"))
-        .withColumn("_in_row", F.count("*").over(Window.partitionBy(*block, "y")))
-        .withColumn("_before", before)
-        .withColumn("_island", F.sum((~F.coalesce(chained, F.lit(False))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("node", node_id())
+    placed = blocks.select(*keys, "r", F.inline(F.arrays_zip(F.col("r").alias("run"), F.col("root").alias("at"))))
+    y, x0 = F.get(F.col("r"), F.col("at"))["y"], F.get(F.col("r"), F.col("at"))["x0"]
+    return placed.select(
+        *keys, F.col("run.y").alias("y"), F.col("run.x0").alias("x0"), F.col("run.x1").alias("x1"), node_id(y, x0).alias("root")
     )
-    return numbered.withColumn("root", F.min("node").over(Window.partitionBy(*block, "_island"))).select(*keys, "y", "x0", "x1", "node", "root")
 
 
-def label_components(runs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def label_components(runs: DataFrame, keys: list[str] | None = None, row_block: int = ROW_BLOCK) -> DataFrame:
     """Runs with `component`, the first run (in raster order) of their four-neighbour component."""
     keys = keys or ["mask_id"]
-    nodes, _ = materialize(_contract(runs, keys))
-    lower = nodes.select(*keys, (F.col("y") - 1).alias("y"), F.col("x0").alias("c"), F.col("x1").alias("e"), F.col("root").alias("_v"))
+    nodes, _ = materialize(_rooted(runs, keys, row_block))
+    # only the last row of a block meets the first row of the next one
+    upper = nodes.where(F.pmod("y", F.lit(row_block)) == row_block - 1)
+    lower = nodes.where(F.pmod("y", F.lit(row_block)) == 0).select(
+        *keys, (F.col("y") - 1).alias("y"), F.col("x0").alias("c"), F.col("x1").alias("e"), F.col("root").alias("_v")
+    )
     touching = (
-        nodes.join(lower, [*keys, "y"])
-        .where((F.col("x0") <= F.col("e")) & (F.col("c") <= F.col("x1")) & (F.col("root") != F.col("_v")))
+        upper.join(lower, [*keys, "y"])
+        .where((F.col("x0") <= F.col("e")) & (F.col("c") <= F.col("x1")))
         .select(*keys, F.inline(F.array(
             F.struct(F.col("root").alias("u"), F.col("_v").alias("v")), F.struct(F.col("_v").alias("u"), F.col("root").alias("v")),
         )))
         .distinct()
     )
-    labels = minimum_labels(touching, keys).withColumnRenamed("node", "root")
-    return nodes.join(labels, [*keys, "root"], "left").select(
+    labels = minimum_labels(touching, keys)
+    if labels is None:
+        return nodes.withColumnRenamed("root", "component")
+    return nodes.join(labels.withColumnRenamed("node", "root"), [*keys, "root"], "left").select(
         *keys, "y", "x0", "x1", F.coalesce("label", "root").alias("component")
     )
 

@@ -47,7 +47,8 @@ component_fragments("gc", "g_runs")
 
 @query("component_labels", q("SELECT mask_id, y, x0, x1, component FROM gc_lab"))
 def component_labels(spark, sf):
-    return long_runs(components.label_components(grid_runs(spark, sf)), "component")
+    # blocks of two rows, so that labels also travel between blocks
+    return long_runs(components.label_components(grid_runs(spark, sf), row_block=2), "component")
 
 
 @query("component_counts", q("SELECT mask_id, count(*) AS components, " + sql_r6("max(size) / sum(size)", "largest_fraction") + " FROM gc_sizes GROUP BY mask_id"))
@@ -119,8 +120,9 @@ fragment("diamond2", "SELECT dy, dx FROM disk2 WHERE abs(dx) + abs(dy) <= 2")
 def morph_fragments(cells: str, disk: str, name: str) -> None:
     """Dilation and erosion cell by cell."""
     fragment(f"{name}_dil", f"SELECT DISTINCT mask_id, side, y + dy AS y, x + dx AS x FROM {cells}, {disk} WHERE y + dy >= 0 AND y + dy < side AND x + dx >= 0 AND x + dx < side")
+    fragment(f"{name}_probe", f"SELECT mask_id, side, y, x, y + dy AS ny, x + dx AS nx FROM {cells}, {disk}")
     fragment(f"{name}_ero", f"""
-SELECT c.mask_id, c.side, c.y, c.x FROM {cells} c, {disk} d JOIN {cells} n ON n.mask_id = c.mask_id AND n.y = c.y + d.dy AND n.x = c.x + d.dx
+SELECT c.mask_id, c.side, c.y, c.x FROM {name}_probe c JOIN {cells} n ON n.mask_id = c.mask_id AND n.y = c.ny AND n.x = c.nx
 GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM {disk})""")
     for kind in ("dil", "ero"):
         fragment(f"{name}_{kind}_runs", f"""
