@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
+from maskwright.session import materialize
 
 
 def canonical_row(df: DataFrame, columns: list[str], decimals: int = 6) -> Column:
@@ -73,15 +74,12 @@ def freshness(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 def descendants(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Transitive closure (ancestor, descendant) of a small edge table, each stage included."""
-    nodes = edges.select(F.explode(F.array("parent", "child")).alias("ancestor")).distinct().withColumn("descendant", F.col("ancestor"))
-    closure = nodes
-    size = closure.count()
+    nodes = edges.select(F.explode(F.array("parent", "child")).alias("ancestor")).distinct()
+    closure, size = materialize(nodes.select("ancestor", F.col("ancestor").alias("descendant"), F.lit(True).alias("_row")), "_row")
     for _ in range(max_rounds):
-        grown = closure.unionByName(
-            closure.join(edges, F.col("descendant") == F.col("parent")).select("ancestor", F.col("child").alias("descendant"))
-        ).distinct()
-        grown_size = grown.count()
+        step = closure.join(edges, F.col("descendant") == F.col("parent")).select("ancestor", F.col("child").alias("descendant"))
+        grown, grown_size = materialize(closure.unionByName(step).distinct().withColumn("_row", F.lit(True)), "_row")
         if grown_size == size:
-            return closure
+            return grown
         closure, size = grown, grown_size
     raise RuntimeError(f"closure still grew after {max_rounds} rounds")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,31 @@ def canonical_pose(runs: DataFrame, side: int, mode: str = "letterbox") -> DataF
     return resize(cells_to_runs(cropped), side, mode)
 
 
+def rotate(runs: DataFrame, degrees: float, keys: list[str] | None = None) -> DataFrame:
+    """Turn every mask about the centre of its frame, frame kept; cells look up their nearest source."""
+    keys = keys or KEYS
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    frame = runs.select(*keys).distinct()
+    cells = frame.select(*keys, F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("v")).select(
+        *keys, "v", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("u")
+    )
+    cy, cx = (F.col("h") - 1) / 2.0, (F.col("w") - 1) / 2.0
+    dv, du = F.col("v") - cy, F.col("u") - cx
+    looked = cells.select(
+        *keys, "u", "v", F.floor(cx + du * c - dv * s + 0.5).cast("int").alias("sx"), F.floor(cy + du * s + dv * c + 0.5).cast("int").alias("y")
+    )
+    hit = looked.join(runs.select(*keys, "y", "x0", "x1"), [*keys, "y"]).where((F.col("sx") >= F.col("x0")) & (F.col("sx") <= F.col("x1")))
+    return cells_to_runs(hit.select(*keys, F.col("v").alias("y"), F.col("u").alias("x")), keys)
+
+
+def pixel_vectors(runs: DataFrame, side: int, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): the side x side raster of each mask as an array of 0.0 and 1.0."""
+    cells = runs.select(*keys, F.explode(F.sequence("x0", "x1")).alias("x"), "y")
+    lit = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct(F.col("y") * side + F.col("x"), F.lit(1.0)))).alias("_m"))
+    positions = F.sequence(F.lit(0), F.lit(side * side - 1))
+    return lit.select(*keys, F.transform(positions, lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias(name))
+
+
 def edge_runs(runs: DataFrame) -> DataFrame:
     """Cells of the mask that a one-step contraction removes."""
     from maskwright.operators.runs import runs_to_cells
