@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskwright.session import work_partitions
+
 # The approved measurements in contract order, and their dimension for scaling.
 FEATURES = (
     "area", "perimeter", "solidity", "circularity", "equivalent_diameter",
@@ -124,7 +126,7 @@ def row_summaries(runs: DataFrame, keys: list[str]) -> DataFrame:
         return m * (m + 1) * (2 * m + 1) / 6
 
     return (
-        runs.repartition(*keys)
+        runs.repartition(work_partitions(runs.sparkSession), *keys)
         .groupBy(*keys, "y")
         .agg(
             F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("segs"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import half_even, half_up
 from maskwright.operators.components import label_components, topology
 from maskwright.operators.runs import KEYS, merge_runs
+from maskwright.session import materialize
 
 LONG_SIDE = 1024
 DISK_RADIUS = 5
@@ -175,7 +176,11 @@ def eligibility(runs: DataFrame, dims: DataFrame, long_side: int = LONG_SIDE) ->
 
     A mask without foreground has no border contact and no components, so it is eligible.
     """
-    variants = morphology_variants(runs, long_side)
+    return eligibility_of(materialize(morphology_variants(runs, long_side))[0], dims)
+
+
+def eligibility_of(variants: DataFrame, dims: DataFrame) -> DataFrame:
+    """Eligibility from already computed morphological variants."""
     reaches = touches_border(variants.where("variant = 'expansion'")).select("mask_id", F.col("touches").alias("at_border"))
     verdict = topology_of(variants)
     joined = dims.select("mask_id").join(reaches, "mask_id", "left").join(verdict, "mask_id", "left")
@@ -188,22 +193,19 @@ def eligibility(runs: DataFrame, dims: DataFrame, long_side: int = LONG_SIDE) ->
     return joined.select("mask_id", F.when(reason == "", "eligible").otherwise("rejected").alias("status"), reason.alias("reason"))
 
 
-def perturbed(runs: DataFrame, long_side: int = LONG_SIDE) -> DataFrame:
+def perturbed(runs: DataFrame, variants: DataFrame) -> DataFrame:
     """All eight perturbations of every mask in one run table, tagged by `perturbation`.
 
     Shifts that would cut foreground are left out; morphological variants are given for all masks.
     """
-    element = disk_rows(disk_radius(DISK_RADIUS, long_side))
     d = shift_distance()
     parts = {
         "scale_shrink": rescale(runs, 0.95), "scale_grow": rescale(runs, 1.05),
         **{name: shift(runs, sy * d, sx * d).where(~F.col("cuts")).drop("cuts") for name, (sy, sx) in SHIFTS.items()},
-        "contraction": contract(runs, element), "expansion": expand(runs, element),
     }
-    out = None
+    out = variants.where("variant != 'original'").select(*KEYS, "y", "x0", "x1", F.col("variant").alias("perturbation"))
     for name, part in parts.items():
-        tagged = part.select(*KEYS, "y", "x0", "x1", F.lit(name).alias("perturbation"))
-        out = tagged if out is None else out.unionByName(tagged)
+        out = out.unionByName(part.select(*KEYS, "y", "x0", "x1", F.lit(name).alias("perturbation")))
     return out
 
 

@@ -57,6 +57,30 @@ def group_means(split: DataFrame, group: str = "grp", target: str = "target") ->
     return trained.select(group, "fold", F.try_divide(F.col("sy"), F.col("n")).alias("group_mean"))
 
 
+def fold_group_models(split: DataFrame, features: list[str], target: str = "target") -> DataFrame:
+    """One row per (fold, group): training mean, group mean and the line of every feature.
+
+    The sums are added up once per (fold, group); windows over that small table turn them into sums
+    over the other folds, for all groups and for the own group.
+    """
+    sums = [c for f in features for c in _sums(f, target)]
+    stats = split.groupBy("fold", "grp").agg(F.count("*").cast("double").alias("n"), F.sum(target).alias("sy"), *sums)
+    names = ["n", "sy", *[f"{p}_{f}" for f in features for p in ("sx", "sxx", "sxy")]]
+    everything, own_fold, own_group = Window.partitionBy(F.lit(0)), Window.partitionBy("fold"), Window.partitionBy("grp")
+    trained = stats.select(
+        "fold", "grp",
+        (F.sum("n").over(own_group) - F.col("n")).alias("_gn"), (F.sum("sy").over(own_group) - F.col("sy")).alias("_gy"),
+        *[(F.sum(c).over(everything) - F.sum(c).over(own_fold)).alias(c) for c in names],
+    )
+    n, sy = F.col("n"), F.col("sy")
+    lines = []
+    for f in features:
+        slope, intercept = line_from_sums(f, n, sy)
+        lines += [slope.alias(f"slope_{f}"), intercept.alias(f"intercept_{f}")]
+    group_mean = F.when(F.col("_gn") > 0, F.col("_gy") / F.col("_gn"))
+    return trained.select("fold", "grp", (sy / n).alias("train_mean"), group_mean.alias("group_mean"), *lines)
+
+
 def training_mean(split: DataFrame, target: str = "target") -> DataFrame:
     """Each sample with the mean target of the other folds as its prediction."""
     means = fold_lines(split, [], target).select("fold", "train_mean")
@@ -68,9 +92,7 @@ def oof_predictions(split: DataFrame, features: list[str], target: str = "target
 
     A group that a training set lacks falls back to the training mean.
     """
-    lines = fold_lines(split, features, target)
-    groups = group_means(split, target=target)
-    wide = split.join(F.broadcast(lines), "fold").join(F.broadcast(groups), ["grp", "fold"], "left")
+    wide = split.join(F.broadcast(fold_group_models(split, features, target)), ["grp", "fold"])
 
     def entry(name: str, approach: str, role: str, value: Column) -> Column:
         return F.struct(

@@ -9,6 +9,7 @@ from maskwright.operators import morphology
 from maskwright.operators.geometry import FEATURES, HULL_FEATURES, measure, scale
 from maskwright.operators.predict import fold_lines
 from maskwright.operators.runs import KEYS
+from maskwright.session import materialize
 
 PERTURBATIONS = ("scale_shrink", "scale_grow", *morphology.SHIFTS, "contraction", "expansion")
 
@@ -29,17 +30,20 @@ def sensitivity(runs: DataFrame, dims: DataFrame, split: DataFrame, features: li
     if unknown:
         raise ValueError(f"features were {unknown!r}; expected names from the measurement contract")
     name = features[0]
+    runs, _ = materialize(runs.select(*KEYS, "y", "x0", "x1"))
+    # the disk variants decide on eligibility and are measured as perturbations too
+    variants, _ = materialize(morphology.morphology_variants(runs, long_side))
     original = scaled_features(runs, KEYS, features, long_side)
     samples = split.join(original, "mask_id")
     lines = fold_lines(samples, [name]).select("fold", F.col(f"slope_{name}").alias("slope"), F.col(f"intercept_{name}").alias("intercept"))
     scored = samples.join(F.broadcast(lines), "fold").select(
         "mask_id", "slope", "intercept", (F.col("slope") * F.col(name) + F.col("intercept")).alias("original")
     )
-    changed = scaled_features(morphology.perturbed(runs, long_side), [*KEYS, "perturbation"], features, long_side).select(
+    changed = scaled_features(morphology.perturbed(runs, variants), [*KEYS, "perturbation"], features, long_side).select(
         "mask_id", "perturbation", F.col(name).alias("value")
     )
     cuts = morphology.shift_cuts(runs).select("mask_id", "perturbation", "cuts")
-    verdict = morphology.eligibility(runs, dims, long_side).select("mask_id", F.col("reason").alias("morphology_reason"))
+    verdict = morphology.eligibility_of(variants, dims).select("mask_id", F.col("reason").alias("morphology_reason"))
     grid = scored.withColumn("perturbation", F.explode(F.array(*[F.lit(p) for p in PERTURBATIONS])))
     reason = (
         F.when(F.coalesce("cuts", F.lit(False)), "shift_cuts_foreground")

@@ -10,18 +10,13 @@ from pyspark.sql import functions as F
 
 from maskwright.operators.runs import intersect_runs
 from maskwright.operators.split import global_position
-from maskwright.session import materialize
+from maskwright.session import materialize, work_partitions
 
 
 GRID = 6
 SALTS = 4
 
 
-def _work_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) * 2
-
-
 def size_class(area: Column, threshold: float) -> Column:
     """Geometric size class: masks at or above the threshold are at most one class apart."""
     return F.floor(F.log(area.cast("double")) / F.lit(math.log(1 / threshold)) + F.lit(1e-9)).cast("int")
@@ -89,7 +84,7 @@ def candidate_pairs(described: DataFrame, threshold: float, extra: Callable[[Col
         F.col(key).alias("b"), F.struct("c", *names).alias("pb"), "tag", "u", "v", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
     )
     # small inputs, large work per row: a fixed number of partitions keeps them from being coalesced
-    parts = _work_partitions(described)
+    parts = work_partitions(described.sparkSession)
     keys = ["tag", "u", "v", "salt"]
     joined = left.repartition(parts, *keys).join(right.repartition(parts, *keys), keys).where((F.col("a") < F.col("b")) & (F.least("pa.c", "pb.c") == F.col("tag")))
     bound = iou_bound(F.col("pa.coarse"), F.col("pb.coarse"), F.col("pa.area"), F.col("pb.area"))
@@ -283,7 +278,7 @@ def nearest_neighbours(vectors: DataFrame, key: str, width_of_vector: int, block
     indexed = indexed.select(
         "other", "u", "level", *[cell(F.col(f"v{i}")).alias(f"c{i}") for i in dims], F.pmod(F.xxhash64("other"), F.lit(salts)).cast("int").alias("salt")
     )
-    parts, keys = _work_partitions(points), ["level", *[f"c{i}" for i in dims], "salt"]
+    parts, keys = work_partitions(points.sparkSession), ["level", *[f"c{i}" for i in dims], "salt"]
     joined = spread.repartition(parts, *keys).join(indexed.repartition(parts, *keys), keys).where(F.col("id") != F.col("other"))
     for i in range(width_of_vector):
         joined = joined.where(F.abs(F.get("v", F.lit(i)) - F.get("u", F.lit(i))) <= F.col("ub"))

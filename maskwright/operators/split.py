@@ -132,14 +132,14 @@ def stratum_size(n: int, k: int) -> list[int]:
 
 def stratified_split(
     df: DataFrame, k: int = 10, folds: int = 5, seed: int = 42, target: str = "target", key: str = "sample_id",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int = ROWS_PER_TASK, n: int | None = None,
 ) -> DataFrame:
     """Add `category` (B1..Bk) and `fold` (1..folds).
 
     Rows are dealt to the folds in turn, in the order (category, hash of seed and key), so every
     fold, and every fold within a category, holds the floor or ceiling of its share.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     with_category = quantile_category(df, k, target, key, n, rows_per_task)
     dealt = deal_folds(with_category, n, k, folds, F.lit(str(seed)), key=key, rows_per_task=rows_per_task)
     return dealt.withColumn("category", F.concat(F.lit("B"), F.col("category_no").cast("string"))).drop("category_no")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import r6
 from maskwright.operators import checks, evidence, geometry, predict, ranks, redundancy
 from maskwright.plans import forms  # noqa: F401  (its SQL fragments are used below)
-from maskwright.plans.common import LINE_FEATURES, masks_split, samples_split
+from maskwright.plans.common import LINE_FEATURES, masks_split, samples_split, text_features
 from maskwright.plans.evaluation import rounded
 from maskwright.plans.oracle import fragment, q, r6 as sql_r6
 from maskwright.plans.registry import query
@@ -75,7 +75,7 @@ FROM t_ranked a JOIN t_ranked b ON a.sample_id = b.sample_id AND a.k < b.k GROUP
 
 
 def text_correlations(spark, sf):
-    rows = redundancy.correlations(tables.samples(spark, sf, tuple(SMALL)), "sample_id", SMALL)
+    rows = redundancy.correlations(text_features(spark, sf, tuple(SMALL)), "sample_id", SMALL)
     return rounded(rows, "pearson", "spearman", digits=5)
 
 

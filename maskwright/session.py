@@ -21,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions for steps whose work per byte is high, so that small inputs are not coalesced."""
+    return 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def materialize(df: DataFrame, changed: str | None = None) -> tuple[DataFrame, int]:
     """Write `df` to the shared folder and read it back, so its lineage is cut.
 
