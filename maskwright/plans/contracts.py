@@ -150,14 +150,24 @@ def pixel_value_check(spark, sf):
     return checks.pixel_values(gray).select("mask_id", F.array_join(F.col("preview").cast("array<string>"), ",").alias("preview"))
 
 
-@query("exact_column_check", None)
+def with_row_count(problems, df):
+    """Schema problems next to the number of rows they concern."""
+    count = df.agg(F.count("*").alias("n_rows")).withColumn("_k", F.lit(0))
+    return problems.withColumn("_k", F.lit(0)).join(F.broadcast(count), "_k").drop("_k")
+
+
+@query("exact_column_check", q("""
+SELECT *, (SELECT count(*) FROM documents) AS n_rows FROM (VALUES (CAST(2 AS BIGINT), 'language', 'lang'), (5, 'license', NULL)) AS t(position, expected, actual)"""))
 def exact_column_check(spark, sf):
-    return checks.exact_columns(tables.table(spark, sf, "documents"), ["doc_id", "text", "language", "source", "n_chars", "license"])
+    docs = tables.table(spark, sf, "documents")
+    found = checks.exact_columns(docs, ["doc_id", "text", "language", "source", "n_chars", "license"])
+    return with_row_count(found.withColumn("position", F.col("position").cast("long")), docs)
 
 
-@query("required_column_check", None)
+@query("required_column_check", q("SELECT 'license' AS missing, count(*) AS n_rows FROM documents"))
 def required_column_check(spark, sf):
-    return checks.required_columns(tables.table(spark, sf, "documents"), ["doc_id", "text", "license"])
+    docs = tables.table(spark, sf, "documents")
+    return with_row_count(checks.required_columns(docs, ["doc_id", "text", "license"]), docs)
 
 
 def faulty_predictions(spark, sf):
