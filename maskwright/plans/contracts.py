@@ -17,7 +17,7 @@ from maskwright.plans.common import candidates, orders_split, predictions, sampl
 from maskwright.plans.evaluation import CANDIDATES, RES
 from maskwright.plans.oracle import fragment, q, r6 as sql_r6
 from maskwright.plans.registry import query
-from maskwright.session import shared_dir
+from maskwright.session import shared_dir, spread
 from maskwright.sources import files, tables
 
 
@@ -308,7 +308,9 @@ def rounding_rules(spark, sf):
 @query("number_text", q("""
 SELECT l_orderkey, l_partkey, printf('%.6f', l_extendedprice) AS fixed6, printf('%.4f', l_discount) AS fixed4, printf('%.12g', l_extendedprice / l_quantity) AS significant12, printf('%.12g', l_discount / 1e6) AS small FROM lineitem"""))
 def number_text(spark, sf):
-    return tables.table(spark, sf, "lineitem").select(
+    # four formatted texts per row: costly enough to spread a scan that comes in few pieces
+    rows = spread(tables.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount", "l_quantity"))
+    return rows.select(
         "l_orderkey", "l_partkey", fn.fixed(F.col("l_extendedprice")).alias("fixed6"), fn.fixed(F.col("l_discount"), 4).alias("fixed4"),
         fn.significant(F.col("l_extendedprice") / F.col("l_quantity")).alias("significant12"), fn.significant(F.col("l_discount") / 1e6).alias("small"),
     )

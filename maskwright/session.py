@@ -26,6 +26,15 @@ def work_partitions(spark: SparkSession) -> int:
     return 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Shuffle a scan that has fewer partitions than cores before costly per-row work.
+
+    Large tables already come in more partitions than there are cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, changed: str | None = None) -> tuple[DataFrame, int]:
     """Write `df` to the shared folder and read it back, so its lineage is cut.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.session import spread
+
 GRID_SIDE = 8
 BLOCK = 4
 FAR_MARGIN = 8
@@ -33,7 +35,11 @@ def samples(spark: SparkSession, sf_dir: str, features: tuple[str, ...] = ()) ->
         "capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
         "distinct_words": F.size(F.array_distinct(F.split(text, " "))).cast("long"),
     }
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents")
+    if features:
+        # whole texts are read, so a scan in few pieces is spread first
+        docs = spread(docs.select("doc_id", "lang", "source", "n_chars", "text"))
+    return docs.select(
         F.col("doc_id").alias("sample_id"),
         F.col("lang").alias("grp"),
         F.col("source").alias("resolution"),
@@ -54,7 +60,7 @@ def samples_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8x8 masks: one row per mask, `bits` in raster order."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
         F.col("vec_id").alias("mask_id"),
         F.lit(GRID_SIDE).alias("h"),
         F.lit(GRID_SIDE).alias("w"),
