@@ -43,6 +43,50 @@ def average_ranks(long: DataFrame, n: int, rows_per_task: int = ROWS_PER_TASK) -
     return long.join(ranked, ["series", "value"])
 
 
+PERCENTILE_ROWS = 5_000_000
+SKETCHED_GROUP = 10_000
+
+
+def group_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], n: int | None = None, small: int = PERCENTILE_ROWS) -> DataFrame:
+    """Exact percentiles (linear interpolation) of `value` per group, one column per share.
+
+    The built-in exact percentile keeps every distinct value of a group in one buffer, so it is used
+    only where at most `small` rows (`n`; unknown counts as large) exist. Otherwise a bounded sketch
+    brackets each wanted rank, one pass counts the rows below the bracket and the distinct values
+    inside it, and the rank is read off the few values in the bracket. Small groups go unbracketed.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    if n is not None and n <= small:
+        return rows.groupBy(*by).agg(*[F.percentile("_v", p).alias(name) for name, p in shares.items()])
+    margin = 0.001
+    wanted = [q for p in shares.values() for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", wanted, 10_000).alias("_q"))
+    big = F.col("_n") >= SKETCHED_GROUP
+    brackets = sketch.select(*by, "_n", F.inline(F.array(*[
+        F.struct(
+            F.lit(name).alias("_name"), F.lit(float(p)).alias("_p"),
+            F.when(big & F.lit(p > margin), F.get("_q", F.lit(2 * k))).otherwise(F.lit(-math.inf)).alias("_lo"),
+            F.when(big & F.lit(p < 1 - margin), F.get("_q", F.lit(2 * k + 1))).otherwise(F.lit(math.inf)).alias("_hi"),
+        )
+        for k, (name, p) in enumerate(shares.items())
+    ])))
+    # one row per group and share; below the bracket only the count matters
+    held = rows.join(F.broadcast(brackets), by) if by else rows.withColumn("_k", F.lit(0)).join(F.broadcast(brackets.withColumn("_k", F.lit(0))), "_k")
+    counted = (
+        held.where("_v <= _hi").withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
+        .groupBy(*by, "_name", "_p", "_n", "_v").agg(F.count("*").alias("_c"))
+    )
+    upto = Window.partitionBy(*by, "_name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.col("_p") * (F.col("_n") - 1)
+    placed = counted.withColumn("_cum", F.sum("_c").over(upto)).where(F.col("_v").isNotNull())
+    read = placed.groupBy(*by, "_name").agg(
+        F.min(F.when(F.col("_cum") > F.floor(rank), F.col("_v"))).alias("_a"), F.min(F.when(F.col("_cum") > F.ceil(rank), F.col("_v"))).alias("_b"),
+        F.max(rank - F.floor(rank)).alias("_f"),
+    )
+    found = read.withColumn("_x", F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a")))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in shares])
+
+
 def melt(df: DataFrame, key: str, names: list[str]) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in names])
     return df.select(F.col(key).alias("id"), F.inline(entries))

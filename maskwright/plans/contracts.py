@@ -377,20 +377,18 @@ def prohibited_terms(spark, sf):
     return rows.where(F.size("found") > 0).select("doc_id", F.array_join("found", ",").alias("found"))
 
 
-fragment("ep_values", "SELECT c_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_totalprice / 1000 AS v FROM orders JOIN customer ON c_custkey = o_custkey")
+fragment("ep_values", "SELECT vec_id AS k, i, CAST(embedding[i] AS DOUBLE) * 10 AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 fragment("ep_walk", """/*RECURSIVE*/
 SELECT k, CAST(0 AS BIGINT) AS i, CAST('inf' AS DOUBLE) AS best, CAST(1 AS BIGINT) AS epoch, CAST(0 AS BIGINT) AS stale FROM (SELECT DISTINCT k FROM ep_values)
 UNION ALL SELECT w.k, v.i, CASE WHEN best - v.v > 0.1 THEN v.v ELSE best END, CASE WHEN best - v.v > 0.1 THEN v.i ELSE epoch END, CASE WHEN best - v.v > 0.1 THEN 0 ELSE stale + 1 END
 FROM ep_walk w JOIN ep_values v ON v.k = w.k AND v.i = w.i + 1 WHERE stale < 3""")
 
 
-@query("best_epochs", q("SELECT k AS o_custkey, arg_max(epoch, i) AS epoch FROM ep_walk GROUP BY k"))
+@query("best_epochs", q("SELECT k AS vec_id, arg_max(epoch, i) AS epoch FROM ep_walk GROUP BY k"))
 def best_epochs(spark, sf):
-    # one validation curve per customer: a bounded sequence, ordered by key
-    curves = tables.table(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda s: s["o_totalprice"] / 1000).alias("curve")
-    )
-    return curves.select("o_custkey", fn.best_epoch(F.col("curve"), 0.1, 3).cast("long").alias("epoch"))
+    # the vector of each row stands for its validation curve: a sequence bounded by construction
+    curve = F.transform("embedding", lambda v: v.cast("double") * 10)
+    return tables.table(spark, sf, "embeddings").select("vec_id", fn.best_epoch(curve, 0.1, 3).cast("long").alias("epoch"))
 
 
 # --- fingerprints ---------------------------------------------------------------------------

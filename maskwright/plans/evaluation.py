@@ -23,6 +23,11 @@ def longs(df, *names):
     return df.select(*[F.col(c).cast("long").alias(c) if c in names else F.col(c) for c in df.columns])
 
 
+def prediction_rows(spark, sf):
+    """Rows of the prediction table, from the row count in the file footers."""
+    return (len(CANDIDATES) + 1) * tables.table(spark, sf, "documents").count()
+
+
 RES = "(predicted - observed)"
 FULL = ", ".join([
     "count(*) AS n", sql_r6(f"avg(abs({RES}))", "mae", D), sql_r6(f"sqrt(avg({RES} * {RES}))", "rmse", D), sql_r6(f"avg({RES})", "bias", D),
@@ -163,7 +168,7 @@ GROUPED = ", ".join(["count(*) AS sample_count", sql_r6(f"avg(abs({RES}))", "mae
 SELECT configuration, role, sample_scope, grp, {GROUPED} FROM (
   SELECT *, 'full_sample' AS sample_scope FROM c_pred UNION ALL SELECT *, 'shared_range' FROM c_pred WHERE observed BETWEEN 92 AND 2650) GROUP BY ALL"""))
 def group_comparison(spark, sf):
-    rows = diagnostics.group_comparison(candidates(spark, sf), 92.0, 2650.0)
+    rows = diagnostics.group_comparison(candidates(spark, sf), 92.0, 2650.0, n=prediction_rows(spark, sf))
     return rounded(rows, "mae", "median_ae", "bias")
 
 
@@ -200,7 +205,7 @@ GROUP BY configuration, role, stratum_type, stratum_value""")
 
 @query("stratified_metrics", q("SELECT * FROM c_strata WHERE stratum_type <> 'resolution' OR sample_count >= 10"))
 def stratified_metrics(spark, sf):
-    return rounded(diagnostics.stratified(candidates(spark, sf)), "mae", "median_ae", "bias")
+    return rounded(diagnostics.stratified(candidates(spark, sf), n=3 * prediction_rows(spark, sf)), "mae", "median_ae", "bias")
 
 
 fragment("c_cases", """
@@ -221,19 +226,19 @@ CASE_COLS = "observed, category, grp, resolution, " + ", ".join(sql_r6(c, c, D)
 SELECT sample_id, 'shared_hard_case' AS case_type, {sql_r6('hits', 'metric_value', D)}, {CASE_COLS} FROM c_hits WHERE hits >= 3
 UNION ALL SELECT sample_id, 'divergent_case', {sql_r6('spread', 'metric_value', D)}, {CASE_COLS} FROM c_hits WHERE spread >= q5"""))
 def notable_cases(spark, sf):
-    rows = diagnostics.notable_cases(candidates(spark, sf), CANDIDATES)
+    rows = diagnostics.notable_cases(candidates(spark, sf), CANDIDATES, n=prediction_rows(spark, sf))
     return rounded(rows, "metric_value", *CANDIDATES)
 
 
 @query("shared_hard_cases", q("SELECT sample_id, CAST(hits AS BIGINT) AS hits FROM c_hits WHERE hits >= 3"))
 def shared_hard_cases(spark, sf):
-    rows = diagnostics.notable_cases(candidates(spark, sf), CANDIDATES)
+    rows = diagnostics.notable_cases(candidates(spark, sf), CANDIDATES, n=prediction_rows(spark, sf))
     return rows.where("case_type = 'shared_hard_case'").select("sample_id", F.col("metric_value").cast("long").alias("hits"))
 
 
 @query("divergent_cases", q("SELECT sample_id, " + sql_r6("spread", "spread", D) + " FROM c_hits WHERE spread >= q5"))
 def divergent_cases(spark, sf):
-    rows = diagnostics.notable_cases(candidates(spark, sf), CANDIDATES)
+    rows = diagnostics.notable_cases(candidates(spark, sf), CANDIDATES, n=prediction_rows(spark, sf))
     return rows.where("case_type = 'divergent_case'").select("sample_id", r6(F.col("metric_value"), D).alias("spread"))
 
 

@@ -168,3 +168,18 @@ def test_bootstrap_of_a_clear_winner(spark):
     df = spark.createDataFrame([(i, -10.0) for i in range(20)], "sample_id int, d double")
     got = metrics.bootstrap_interval(df, "d", 50).first()
     assert (got["point"], got["ci_low"], got["ci_high"], got["probability_below_zero"]) == (-10, -10, -10, 1)
+
+
+@pytest.mark.parametrize("sketched", [10, 10_000])
+def test_scalable_percentiles_are_exact(spark, monkeypatch, sketched):
+    import numpy as np
+
+    monkeypatch.setattr(ranks, "SKETCHED_GROUP", sketched)
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(0, 5, 12_001), "b": np.where(rng.random(30_000) < 0.4, 7.0, rng.random(30_000) * 20), "c": rng.random(12)}
+    if sketched == 10:
+        values["c"] = rng.random(5_000)
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g string, v double")
+    got = {r["g"]: r for r in ranks.group_percentiles(df, ["g"], "v", {"p50": 0.5, "p90": 0.9, "top": 1.0}).collect()}
+    for g, vs in values.items():
+        assert [got[g][k] for k in ("p50", "p90", "top")] == pytest.approx(np.quantile(vs, [0.5, 0.9, 1.0]), rel=1e-12)
