@@ -174,12 +174,12 @@ def curve_grid(summary: DataFrame, fractions: list[float]) -> DataFrame:
     return wanted.join(summary.select("configuration", "fraction", "mean_mae"), ["configuration", "fraction"], "left")
 
 
-def learning_rows(subsets: DataFrame, split: DataFrame, feature: str, heavy_quantile: float = 0.8, target: str = "target") -> DataFrame:
+def learning_rows(subsets: DataFrame, split: DataFrame, feature: str, heavy_quantile: float = 0.8, target: str = "target", n: int | None = None) -> DataFrame:
     """Train, validation and heavy-tail validation mae per (fold, fraction)."""
     fits = subsets.groupBy("outer_fold", "fraction").agg(
         F.count("*").alias("n_train"), F.regr_slope(target, feature).alias("slope"), F.regr_intercept(target, feature).alias("intercept")
     )
-    limit = split.agg(F.percentile(target, heavy_quantile).alias("heavy")).withColumn("_k", F.lit(0))
+    limit = group_percentiles(split, [], target, {"heavy": heavy_quantile}, n).withColumn("_k", F.lit(0))
     error = F.abs(F.col("slope") * F.col(feature) + F.col("intercept") - F.col(target))
     train = subsets.join(F.broadcast(fits), ["outer_fold", "fraction"]).groupBy("outer_fold", "fraction").agg(F.avg(error).alias("train_mae"))
     held = (

@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.operators.ranks import PERCENTILE_ROWS, group_percentiles
+
 OBSERVED, PREDICTED = "observed", "predicted"
 
 
@@ -29,22 +31,25 @@ def metric_columns(detailed: Column | None = None) -> list[Column]:
     ]
 
 
-def extended_columns() -> list[Column]:
-    """The metrics plus exact median and 90th percentile of the absolute error."""
-    e = F.abs(_residual())
-    return [
-        *metric_columns(),
-        F.percentile(e, 0.5).alias("median_ae"),
-        F.percentile(e, 0.9).alias("p90_ae"),
-    ]
-
-
 def summarize(predictions: DataFrame, *by: str) -> DataFrame:
     return predictions.groupBy(*by).agg(*metric_columns())
 
 
-def summarize_extended(predictions: DataFrame, *by: str) -> DataFrame:
-    return predictions.groupBy(*by).agg(*extended_columns())
+def attach_percentiles(sums: DataFrame, rows: DataFrame, by: list[str], value: str, shares: dict[str, float], n: int | None) -> DataFrame:
+    """Add exact percentiles of `value` to a table of group sums (one row per group)."""
+    found = group_percentiles(rows, by, value, shares, n)
+    if by:
+        return sums.join(F.broadcast(found), by)
+    return sums.withColumn("_k", F.lit(0)).join(F.broadcast(found.withColumn("_k", F.lit(0))), "_k").drop("_k")
+
+
+def summarize_extended(predictions: DataFrame, *by: str, n: int | None = None) -> DataFrame:
+    """The metrics plus exact median and 90th percentile of the absolute error."""
+    rows = predictions.withColumn("_e", F.abs(_residual()))
+    shares = {"median_ae": 0.5, "p90_ae": 0.9}
+    if n is not None and n <= PERCENTILE_ROWS:
+        return rows.groupBy(*by).agg(*metric_columns(), *[F.percentile("_e", p).alias(name) for name, p in shares.items()])
+    return attach_percentiles(summarize(predictions, *by), rows, list(by), "_e", shares, n)
 
 
 def fold_and_pooled(predictions: DataFrame, last_category: str = "B10") -> DataFrame:
@@ -83,14 +88,11 @@ def population_metrics(predictions: DataFrame, last_category: str = "B10") -> Da
     return expanded.groupBy("configuration", "fold", "population").agg(*metric_columns())
 
 
-def best_of_models(predictions: DataFrame) -> DataFrame:
+def best_of_models(predictions: DataFrame, n: int | None = None) -> DataFrame:
     """Mean, median and p90 of the smallest absolute error that any candidate reaches per sample."""
     least = predictions.groupBy("sample_id").agg(F.min(F.abs(_residual())).alias("e"))
-    return least.agg(
-        F.avg("e").alias("oracle_mae"),
-        F.percentile("e", 0.5).alias("oracle_median_ae"),
-        F.percentile("e", 0.9).alias("oracle_p90_ae"),
-    )
+    mean = least.agg(F.avg("e").alias("oracle_mae"))
+    return attach_percentiles(mean, least, [], "e", {"oracle_median_ae": 0.5, "oracle_p90_ae": 0.9}, n)
 
 
 def pooled_mae(predictions: DataFrame) -> DataFrame:
@@ -129,17 +131,17 @@ def extremes_side_by_side(predictions: DataFrame, last_category: str = "B10") ->
     )
 
 
-def category_profile(split: DataFrame, by: str = "category", target: str = "target") -> DataFrame:
+def category_profile(split: DataFrame, by: str = "category", target: str = "target", n: int | None = None) -> DataFrame:
     """Size, range, mean, median and sample deviation of the target, with the number of groups."""
-    return split.groupBy(by).agg(
+    sums = split.groupBy(by).agg(
         F.count("*").alias("n"),
         F.min(target).alias("low"),
         F.max(target).alias("high"),
         F.avg(target).alias("mean"),
-        F.percentile(target, 0.5).alias("median"),
         F.stddev_samp(target).alias("sd"),
         F.count_distinct("grp").alias("n_groups"),
     )
+    return attach_percentiles(sums, split, [by], target, {"median": 0.5}, n)
 
 
 def poisson_cdf(top: int = 9) -> list[float]:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.operators.metrics import attach_percentiles
 from maskwright.operators.runs import intersect_runs
 from maskwright.operators.split import global_position
 from maskwright.session import materialize, work_partitions
@@ -299,11 +300,9 @@ def neighbour_pairs(neighbours: DataFrame, targets: DataFrame, key: str) -> Data
     return pairs.join(a, "id_a").join(b, "id_b").withColumn("target_difference", F.abs(F.col("target_a") - F.col("target_b")))
 
 
-def neighbour_summary(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(
-        F.count("*").alias("n"), F.avg("target_difference").alias("mean_difference"),
-        F.percentile("target_difference", 0.5).alias("median_difference"), F.percentile("target_difference", 0.9).alias("p90_difference"),
-    )
+def neighbour_summary(pairs: DataFrame, n: int | None = None) -> DataFrame:
+    sums = pairs.agg(F.count("*").alias("n"), F.avg("target_difference").alias("mean_difference"))
+    return attach_percentiles(sums, pairs, [], "target_difference", {"median_difference": 0.5, "p90_difference": 0.9}, n)
 
 
 def ranked_contradictions(pairs: DataFrame, top: int = 20) -> DataFrame:

@@ -107,13 +107,13 @@ EXT = FULL + ", " + sql_r6(f"quantile_cont(abs({RES}), 0.5)", "median_ae", D) +
 
 @query("extended_summary", q(f"SELECT configuration, {EXT} FROM c_pred GROUP BY configuration"))
 def extended_summary(spark, sf):
-    rows = metrics.summarize_extended(candidates(spark, sf), "configuration")
+    rows = metrics.summarize_extended(candidates(spark, sf), "configuration", n=prediction_rows(spark, sf))
     return rounded(rows, "mae", "rmse", "bias", "r2", "median_ae", "p90_ae")
 
 
 @query("grouped_summary", q(f"SELECT configuration, grp, {EXT} FROM c_pred GROUP BY configuration, grp"))
 def grouped_summary(spark, sf):
-    rows = metrics.summarize_extended(candidates(spark, sf), "configuration", "grp")
+    rows = metrics.summarize_extended(candidates(spark, sf), "configuration", "grp", n=prediction_rows(spark, sf))
     return rounded(rows, "mae", "rmse", "bias", "r2", "median_ae", "p90_ae")
 
 
@@ -121,7 +121,7 @@ def grouped_summary(spark, sf):
 SELECT {sql_r6('avg(e)', 'oracle_mae', D)}, {sql_r6('quantile_cont(e, 0.5)', 'oracle_median_ae', D)}, {sql_r6('quantile_cont(e, 0.9)', 'oracle_p90_ae', D)}
 FROM (SELECT sample_id, min(abs({RES})) AS e FROM c_pred GROUP BY sample_id)"""))
 def best_of_models(spark, sf):
-    return rounded(metrics.best_of_models(candidates(spark, sf)), "oracle_mae", "oracle_median_ae", "oracle_p90_ae")
+    return rounded(metrics.best_of_models(candidates(spark, sf), prediction_rows(spark, sf)), "oracle_mae", "oracle_median_ae", "oracle_p90_ae")
 
 
 REPEATS = 100
@@ -317,13 +317,13 @@ LROW = ["train_mae", "validation_mae", "heavy_mae"]
 
 @query("learning_rows", q("SELECT CAST(outer_fold AS BIGINT) AS outer_fold, fraction, n_train, " + ", ".join(sql_r6(c, c, D) for c in LROW) + " FROM s_lrows"))
 def learning_rows(spark, sf):
-    rows = diagnostics.learning_rows(*_subsets(spark, sf), "words")
+    rows = diagnostics.learning_rows(*_subsets(spark, sf), "words", n=prediction_rows(spark, sf))
     return rounded(longs(rows, "outer_fold"), *LROW)
 
 
 @query("repeated_curve", q("SELECT fraction, " + ", ".join(sql_r6(f"avg({c})", f"mean_{c}", D) + ", " + sql_r6(f"stddev_pop({c})", f"sd_{c}", D) for c in ["n_train", *LROW]) + " FROM s_lrows GROUP BY fraction"))
 def repeated_curve(spark, sf):
-    rows = diagnostics.repeated_curve(diagnostics.learning_rows(*_subsets(spark, sf), "words"))
+    rows = diagnostics.repeated_curve(diagnostics.learning_rows(*_subsets(spark, sf), "words", n=prediction_rows(spark, sf)))
     return rounded(rows, *[c for c in rows.columns if c != "fraction"])
 
 

@@ -108,7 +108,7 @@ def mask_robustness(spark, sf):
     measured = geometry.measure(every, keys, with_hull=False).select("mask_id", "scenario", *SHAPE, *SIZE).fillna(0.0)
     rows, _ = materialize(measured.join(masks_split(spark, sf), "mask_id"))
     ready = models.assemble(rows, [*SHAPE, *SIZE]).withColumn("log_target", F.log("target"))
-    out = models.robustness(ready, models.forest({"numTrees": 5, "maxDepth": 5}, "log_target"), restore=F.exp)
+    out = models.robustness(ready, models.forest({"numTrees": 5, "maxDepth": 5}, "log_target"), restore=F.exp, n=rows.count())
     return rounded(out, "mae", "rmse", "bias", "r2", "mean_prediction_change", "p90_prediction_change")
 
 
@@ -130,4 +130,4 @@ def scenario_change(spark, sf):
     scored = rows.join(F.broadcast(lines), "fold").select(
         "mask_id", "scenario", F.col("target").alias("observed"), (F.col("slope_area") * F.col("area") + F.col("intercept_area")).alias("predicted")
     )
-    return rounded(models.robustness_summary(scored), "mae", "rmse", "bias", "r2", "mean_prediction_change", "p90_prediction_change")
+    return rounded(models.robustness_summary(scored, n=10 * tables.table(spark, sf, "embeddings").count()), "mae", "rmse", "bias", "r2", "mean_prediction_change", "p90_prediction_change")

@@ -102,7 +102,7 @@ def neighbour_pairs(spark, sf):
 @query("neighbour_summary", q("SELECT count(*) AS n, " + ", ".join([sql_r6("avg(target_difference)", "mean_difference", 4), sql_r6("quantile_cont(target_difference, 0.5)", "median_difference", 4), sql_r6("quantile_cont(target_difference, 0.9)", "p90_difference", 4)]) + " FROM n_diff"))
 def neighbour_summary(spark, sf):
     found, stored = neighbours(spark, sf)
-    out = similarity.neighbour_summary(similarity.neighbour_pairs(found, stored, "sample_id"))
+    out = similarity.neighbour_summary(similarity.neighbour_pairs(found, stored, "sample_id"), stored.count())
     return out.select("n", *[r6(F.col(c), 4).alias(c) for c in ("mean_difference", "median_difference", "p90_difference")])
 
 

@@ -175,7 +175,7 @@ SELECT category, count(*) AS n, min(target) AS low, max(target) AS high, """ + s
 def category_profile(spark, sf):
     from maskwright.operators.metrics import category_profile as profile
 
-    rows = profile(samples_split(spark, sf))
+    rows = profile(samples_split(spark, sf), n=tables.samples(spark, sf).count())
     return rows.select("category", "n", "low", "high", *[r6(F.col(c), 4).alias(c) for c in ("mean", "median", "sd")], "n_groups")
 
 
@@ -184,5 +184,5 @@ SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n, min(target) AS low, max(targ
 def fold_profile(spark, sf):
     from maskwright.operators.metrics import category_profile as profile
 
-    rows = profile(samples_split(spark, sf).withColumn("fold", F.col("fold").cast("long")), "fold")
+    rows = profile(samples_split(spark, sf).withColumn("fold", F.col("fold").cast("long")), "fold", n=tables.samples(spark, sf).count())
     return rows.select("fold", "n", "low", "high", *[r6(F.col(c), 4).alias(c) for c in ("mean", "median", "sd")], "n_groups")
