@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import minhash
+from maskwright.llm import minhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,9 @@ FROM n JOIN (SELECT d, min(x) AS c FROM r GROUP BY d) m ON n.doc_id = m.d""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long repeats cut out of all documents."""
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"))
