@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import minhash, suffix
+from maskwright.llm import chat, decontaminate, minhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,51 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query("op2_chat_formatting", """
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS place
+  FROM conversations),
+p AS (
+  SELECT conv_id, place, count(*) OVER (PARTITION BY conv_id) AS n,
+    string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY place) AS r
+  FROM t),
+e AS (SELECT r, n, min(conv_id) AS conv_id FROM p WHERE place = n GROUP BY r, n)
+SELECT conv_id, n AS n_turns, length(r)::BIGINT AS n_chars, r AS rendered FROM e
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place < p.n AND p.r = e.r AND p.place = e.n)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal logged conversations, rendered."""
+    return chat.maximal_conversations(read(spark, sf_dir, "conversations"))
+
+
+MASK_ROWS = ", ".join(f"({n}, {len(m)}, {[k for k, bit in enumerate(m) if bit == '1']})" for n, m in enumerate(decontaminate.MASKS))
+SEED_SQL = """
+SELECT {id}, ws, p, m || ':' || array_to_string(list_transform(offs, lambda o: ws[p + o]), ' ') AS key
+FROM (SELECT {id}, ws, m, span, offs, unnest(range(1, len(ws) - span + 2)) AS p FROM {table}, masks)"""
+
+
+@query("op4_benchmark_decontamination", f"""
+WITH masks(m, span, offs) AS (VALUES {MASK_ROWS}),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+bk AS ({SEED_SQL.format(id="item_id", table="b")}),
+dk AS (SELECT * FROM ({SEED_SQL.format(id="doc_id", table="d")}) WHERE key IN (SELECT key FROM bk)),
+h AS (
+  SELECT DISTINCT doc_id, item_id, dk.p AS q, dk.p - bk.p AS shift, dk.ws AS dw, bk.ws AS bw, least({decontaminate.WINDOW}, len(bk.ws)) AS wide
+  FROM dk JOIN bk USING (key)),
+f AS (
+  SELECT DISTINCT doc_id, item_id FROM h
+  WHERE len(list_filter(
+    range(greatest(q - wide + 1, shift + 1, 1), least(q, shift + len(bw) - wide + 1, len(dw) - wide + 1) + 1),
+    lambda j: len(list_filter(range(j, j + wide), lambda p: dw[p] = bw[p - shift])) * 100 >= wide * {decontaminate.PERCENT})) > 0),
+g AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM f GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_items, coalesce(ids, '') AS item_ids, n IS NOT NULL AS contaminated
+FROM d LEFT JOIN g USING (doc_id)""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op5_suffix_array_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long repeats cut out of all documents."""
