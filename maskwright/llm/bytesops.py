@@ -102,28 +102,35 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return span_hash(prefix_hash(low), starts, ends), first
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of every document, and their offsets.
+def shingle_hashes(hashed: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of `size` words of every document, in order, and their offsets.
 
-    A document with fewer than `size` words has one shingle, the whole sequence; without words it has none.
+    A document with fewer words has one run, the whole sequence; without words it has none.
     """
-    hashed, first = word_hashes(raw, offsets)
     count = np.diff(first)
     made = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     ends = np.concatenate([[0], np.cumsum(made)])
-    out = np.zeros(ends[-1], np.uint64)
     full = np.zeros(max(0, len(hashed) - size + 1), np.uint64)
     for k in range(size):
         full += hashed[k : k + len(full)] * PLACE[k]
-    mix_full = mix(full)
+    full = mix(full)
     doc = np.repeat(np.arange(len(made)), made)
-    place = np.arange(ends[-1]) - ends[doc]
-    at = first[doc] + place
+    out = np.zeros(ends[-1], np.uint64)
     long_enough = count[doc] >= size
-    out[long_enough] = mix_full[at[long_enough]]
-    for d in np.flatnonzero((count > 0) & (count < size)):
-        own = hashed[first[d] : first[d + 1]]
-        out[ends[d]] = mix((own * PLACE[: len(own)]).sum(dtype=np.uint64, keepdims=True) + _U(int(count[d])))[0]
+    out[long_enough] = full[(first[doc] + np.arange(ends[-1]) - ends[doc])[long_enough]]
+    short = np.flatnonzero((count > 0) & (count < size))
+    total = count[short].astype(np.uint64)
+    for k in range(size - 1):
+        own = np.minimum(first[short] + k, max(len(hashed) - 1, 0))
+        total += np.where(count[short] > k, hashed[own] * PLACE[k], _U(0)) if len(short) else _U(0)
+    out[ends[short]] = mix(total)
+    return out, ends
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of every document, and their offsets."""
+    out, ends = shingle_hashes(*word_hashes(raw, offsets), size)
+    made = np.diff(ends)
     for d in np.flatnonzero(made > 1):
         out[ends[d] : ends[d + 1]].sort()
     keep = np.ones(len(out), bool)

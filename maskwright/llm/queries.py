@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import chat, decontaminate, minhash, suffix, warc
+from maskwright.llm import chat, decontaminate, minhash, multiset, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,9 @@ SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN n >=
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_document_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return multiset.fingerprints(read(spark, sf_dir, "documents"))
