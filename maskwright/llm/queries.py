@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import chat, decontaminate, language, minhash, multiset, pii, suffix, warc
+from maskwright.llm import chat, decontaminate, language, minhash, mixing, multiset, pii, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.find(read(spark, sf_dir, "documents")).drop("text_id")
+
+
+@query("op9_mixing_sources")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all documents takes."""
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
