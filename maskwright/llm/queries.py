@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import chat, decontaminate, language, minhash, mixing, multiset, pii, suffix, warc
+from maskwright.llm import chat, decontaminate, html, language, minhash, mixing, multiset, pii, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of all documents takes."""
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
+
+
+@query("op3_html_extraction", """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+a AS (SELECT page_id, url, regexp_extract(h, '<article>(.*?)(</article>|$)', 1, 's') AS h FROM p),
+b AS (SELECT page_id, url, regexp_split_to_array(h, '</?(h1|p)>') AS parts FROM a),
+t AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(x, '</?(b|br)>', ' ', 'g'), '[\\s\\x{00A0}]+', ' ', 'g'))), lambda x: x != '') AS ls
+  FROM b)
+SELECT page_id, url, regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS text,
+  length(regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'))::BIGINT AS n_chars FROM t""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(read(spark, sf_dir, "pages"))
