@@ -1,22 +1,59 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: five stages over documents, each written and read again before the next.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
+Rows with a null id cannot be named by a decision on ids: they pass near dedup and decontamination as they are.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from maskwright.llm.decontaminate import contaminated
+from maskwright.llm.language import without_unknown
 from maskwright.llm.minhash import near_duplicates
-from maskwright.session import shared_dir
+from maskwright.llm.mixing import mixed_documents
+from maskwright.llm.pii import sanitise
+from maskwright.session import materialize, shared_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language (null texts, texts without letters) go. Ambiguous ones stay."""
+    return without_unknown(docs.select(*COLUMNS))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates stays: the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    """One document of every group of near duplicates stays: the one with the smallest id. Of rows that repeat its id, one stays."""
+    docs = docs.select(*COLUMNS)
+    kept, _ = materialize(near_duplicates(docs, percent=80).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
+    repeated = docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    docs = docs.select(*COLUMNS)
+    held, _ = materialize(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct())
+    return docs.join(held, "doc_id", "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the words that give it away are replaced by what they are; n_chars follows the text."""
+    return sanitise(docs.select(*COLUMNS)).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix of sources takes, and how often (`repeats`)."""
+    return mixed_documents(docs.select(*COLUMNS))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", personal_data), ("mix", mix)]
+#: Trained classifiers, digests and seeded choices are beyond SQL; tests/llm/test_pipeline.py checks every stage by brute force.
 ORACLE_SQL = None
 
 

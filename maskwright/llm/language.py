@@ -141,6 +141,17 @@ def fit(labelled: DataFrame) -> LanguageModel:
     return LanguageModel(languages, counts)
 
 
+def _judged(model: LanguageModel, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `LanguageModel.predict`, and -1 for texts whose bytes beyond ASCII are no letters either."""
+    best, score, ambiguous = model.predict(raw, offsets)
+    letters = np.append(0, np.cumsum((raw | 32) - 97 < 26))
+    plain = letters[offsets[1:]] - letters[offsets[:-1]]
+    for k in np.flatnonzero((best >= 0) & (plain == 0)):
+        if not any(c.isalpha() for c in raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")):
+            best[k] = -1
+    return best, score, ambiguous
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of every row. See `identify` for the handling of odd rows."""
 
@@ -148,12 +159,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in batches:
             for i, j, raw, offsets in text_chunks(batch.column(1)):
-                best, score, ambiguous = model.predict(raw, offsets)
-                ascii_letter = (raw | 32) - 97 < 26
-                plain = np.add.reduceat(np.append(ascii_letter, False), np.minimum(offsets[:-1], len(raw))) if len(raw) else np.zeros(j - i)
-                for k in np.flatnonzero((best >= 0) & (plain == 0)):  # letters of other scripts, or none
-                    if not any(c.isalpha() for c in raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")):
-                        best[k] = -1
+                best, score, ambiguous = _judged(model, raw, offsets)
                 known = best >= 0
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(names[best], pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(known & ambiguous)],
@@ -164,6 +170,23 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def without_unknown(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """`docs` without the rows in no language (null texts and texts without letters); languages are learned from all labelled rows.
+
+    Rows are judged where they are, so texts are not shuffled.
+    """
+    model = fit(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
+    schema = docs.schema
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = np.concatenate([np.zeros(0, bool), *[_judged(model, raw, offsets)[0] >= 0 for _, _, raw, offsets in text_chunks(batch.column(at))]])
+            yield batch.filter(pa.array(known))
+
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether an id belongs to the fold that nothing is learned from; null ids do not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
