@@ -27,7 +27,7 @@ SCALE = 20.0
 TOP = 65_535
 #: A pair is given up when its best likelihood at the threshold is below the best of all by this (five standard deviations).
 LIKELIHOOD_DROP = 12.5
-BLOCK = 1024
+BLOCK = 256
 BROADCAST_IDS = 1_000_000
 
 _seeded = np.random.default_rng(77)
@@ -140,16 +140,6 @@ def shingle_blobs(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
     return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, members binary")
 
 
-def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.zeros(len(a), np.int64)
-    for k, (x, y) in enumerate(zip(a, b)):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        out[k] = int((y[at] == x).sum()) if len(y) else 0
-    return pd.Series(out)
-
-
 def confirm(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on whole sets."""
     one = sketched.select("doc_id", "n_shingles", "registers")
@@ -172,7 +162,11 @@ def confirm(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, percent: int
     ids = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     ids, n_ids = materialize(ids.withColumn("one", F.lit(True)), "one")
     sets, _ = materialize(shingle_blobs(docs, ids, n_ids))
-    common = F.pandas_udf(_common, "long")
+
+    @F.pandas_udf("long")
+    def common(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_shared(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y)], dtype="int64")
+
     both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     shared = common("set_a", "set_b")
     return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), shared.alias("both")).where(
@@ -180,33 +174,47 @@ def confirm(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, percent: int
     ).select("a", "b")
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if not len(x) or not len(y):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
 def _across(active: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of different components that share a band, each found in its first common band only.
+    """Confirmed links (a, b) between different components that share a band.
 
-    `active`: key, doc_id, component_id, n_shingles, registers, block pair (i, j), side. A key's members are
-    compared in pairs of blocks of bounded size, so a crowded key is spread over tasks.
+    `active`: key, doc_id, component_id, n_shingles, registers, members, block, block pair (i, j). A key's
+    documents are compared in pairs of blocks of bounded size, so a crowded key is spread over tasks. A pair is
+    tried in its first common band only, and not once a link has joined its components; links alone come out.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp = table["doc_id"].to_numpy(), table["component_id"].to_numpy()
+        ids, comp = table["doc_id"].to_numpy(), table["component_id"].to_numpy().copy()
         size, block = table["n_shingles"].to_numpy().astype(float), table["block"].to_numpy()
         i, j, key = table["i"][0].as_py(), table["j"][0].as_py(), table["key"][0].as_py()
         rows = _rows(table["registers"].to_pylist())
+        members = [np.frombuffer(m, np.uint64) for m in table["members"].to_pylist()]
         keys = band_keys(rows).view(np.int64)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found_a, found_b = [], []
+        links = []
         for x in left:
             y = right[(comp[right] != comp[x]) & ((i != j) | (ids[right] > ids[x]))]
             y = y[np.minimum(size[y], size[x]) * 100 >= np.maximum(size[y], size[x]) * percent]
             if len(y):
-                equal = keys[y] == keys[x]
-                y = y[keys[x][equal.argmax(1)] == key]
+                y = y[keys[x][(keys[y] == keys[x]).argmax(1)] == key]
             if len(y):
                 y = y[joint_likely(np.broadcast_to(rows[x], (len(y), REGISTERS)), rows[y], np.full(len(y), size[x]), size[y], percent / 100)]
-            found_a += [np.minimum(ids[x], ids[y])]
-            found_b += [np.maximum(ids[x], ids[y])]
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(join(found_a), pa.int64()), "b": pa.array(join(found_b), pa.int64())})
+            for k in y:
+                if comp[k] == comp[x]:
+                    continue
+                both = _shared(members[x], members[k])
+                if 100 * both >= percent * (len(members[x]) + len(members[k]) - both):
+                    comp[comp == comp[k]] = comp[x]
+                    links.append((int(ids[x]), int(ids[k])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return active.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -219,10 +227,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     percent * union. `component_id` is the smallest id that links reach, `kept` says that it is the own one.
 
     Null and empty texts and texts without words: zero shingles, no link, kept. Repeated rows (same id):
-    each gives a row. Null ids: a row with null component, not kept. Extra columns are ignored; an empty table gives no rows.
+    each gives a row. Null ids: the component of equal documents with an id (else null), not kept. Extra columns are ignored; an empty table gives no rows.
 
-    Equal sets collapse first. In every band all members are tried against the smallest id; members still in
-    other components are then compared in blocks. No group's pairs are written out.
+    Equal sets collapse first. In every band all members are tried against the smallest id; documents of a
+    band that are still in different components are then compared in blocks. Only links are written out.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched, _ = materialize(sketches(texts))
@@ -242,16 +250,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     labelled = active.join(reached, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     mixed = labelled.groupBy("key").agg(F.min("component_id").alias("x"), F.max("component_id").alias("y")).where("x != y").select("key")
+    ids, n_ids = materialize(labelled.join(mixed, "key", "left_semi").groupBy("doc_id").agg(F.lit(True).alias("one")), "one")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     open_rows = (
         labelled.join(mixed, "key", "left_semi")
-        .join(firsts.select("doc_id", "n_shingles", "registers"), "doc_id")
         .withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+        .join(firsts.select("doc_id", "n_shingles", "registers"), "doc_id").join(shingle_blobs(texts, ids, n_ids), "doc_id")
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("key", "doc_id", "component_id", "n_shingles", "registers", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .select(
+            "key", "doc_id", "component_id", "n_shingles", "registers", "members", "block",
+            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        )
     )
-    more = confirm(_across(open_rows, percent), firsts, texts, percent)
-    final = connected_components(links.unionByName(more))
+    final = connected_components(links.unionByName(_across(open_rows, percent)))
 
     by_class = classes.join(final.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select(
         "same_a", "same_b", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id")
