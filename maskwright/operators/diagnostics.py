@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import pearson
-from maskwright.operators.ranks import PERCENTILE_ROWS, group_percentiles
+from maskwright.operators.metrics import attach_percentiles
+from maskwright.operators.ranks import group_percentiles
 
 DIMENSIONS = ("category", "grp", "resolution")
 
@@ -27,36 +28,31 @@ def cross_tabs(split: DataFrame) -> DataFrame:
     return split.select(F.inline(entries)).groupBy("dim_a", "dim_b", "value_a", "value_b").agg(F.count("*").alias("n"))
 
 
-def _errors_by(rows: DataFrame, by: list[str], n: int | None) -> DataFrame:
+def _errors_by(rows: DataFrame, by: list[str]) -> DataFrame:
     """Count, mae, median absolute error and bias of residuals `r` per group."""
     sums = rows.groupBy(*by).agg(F.count("*").alias("sample_count"), F.avg(F.abs("r")).alias("mae"), F.avg("r").alias("bias"))
-    if n is not None and n <= PERCENTILE_ROWS:
-        sums = rows.groupBy(*by).agg(
-            F.count("*").alias("sample_count"), F.avg(F.abs("r")).alias("mae"), F.percentile(F.abs("r"), 0.5).alias("median_ae"), F.avg("r").alias("bias")
-        )
-        return sums
-    middle = group_percentiles(rows.withColumn("e", F.abs("r")), by, "e", {"median_ae": 0.5}, n)
-    return sums.join(F.broadcast(middle), by).select(*by, "sample_count", "mae", "median_ae", "bias")
+    found = attach_percentiles(sums, rows.withColumn("e", F.abs("r")), by, "e", {"median_ae": 0.5})
+    return found.select(*by, "sample_count", "mae", "median_ae", "bias")
 
 
-def stratified(predictions: DataFrame, minimum_resolution: int = 10, n: int | None = None) -> DataFrame:
+def stratified(predictions: DataFrame, minimum_resolution: int = 10) -> DataFrame:
     """n, mae, median error and bias per configuration and stratum; thin resolutions are left out."""
     strata = F.array(*[F.struct(F.lit(d).alias("stratum_type"), F.col(d).cast("string").alias("stratum_value")) for d in DIMENSIONS])
     r = F.col("predicted") - F.col("observed")
     rows = predictions.select("configuration", "role", r.alias("r"), F.inline(strata))
-    return _errors_by(rows, ["configuration", "role", "stratum_type", "stratum_value"], n).where(
+    return _errors_by(rows, ["configuration", "role", "stratum_type", "stratum_value"]).where(
         (F.col("stratum_type") != "resolution") | (F.col("sample_count") >= minimum_resolution)
     )
 
 
-def group_comparison(predictions: DataFrame, low: float, high: float, n: int | None = None) -> DataFrame:
+def group_comparison(predictions: DataFrame, low: float, high: float) -> DataFrame:
     """The groups side by side on the full sample and inside a shared target range."""
     scopes = F.filter(
         F.array(F.lit("full_sample"), F.when(F.col("observed").between(low, high), F.lit("shared_range"))), lambda s: s.isNotNull()
     )
     r = F.col("predicted") - F.col("observed")
     rows = predictions.select("configuration", "role", "grp", r.alias("r"), F.explode(scopes).alias("sample_scope"))
-    return _errors_by(rows, ["configuration", "role", "sample_scope", "grp"], n)
+    return _errors_by(rows, ["configuration", "role", "sample_scope", "grp"])
 
 
 def residual_table(predictions: DataFrame, configurations: list[str]) -> DataFrame:
@@ -106,7 +102,7 @@ def _cases(predictions: DataFrame, configurations: list[str]) -> DataFrame:
     )
 
 
-def notable_cases(predictions: DataFrame, configurations: list[str], percentile: float = 0.9, minimum: int = 3, n: int | None = None) -> DataFrame:
+def notable_cases(predictions: DataFrame, configurations: list[str], percentile: float = 0.9, minimum: int = 3) -> DataFrame:
     """Samples hard for several models at once, and samples on which the models disagree most.
 
     Hard: absolute error at or above that configuration's percentile in at least `minimum`
@@ -116,15 +112,9 @@ def notable_cases(predictions: DataFrame, configurations: list[str], percentile:
     errors = {c: F.abs(F.col(c) - F.col("observed")) for c in configurations}
     present = [F.col(c) for c in configurations]
     spread = F.greatest(*present) - F.least(*present)
-    if n is not None and n <= PERCENTILE_ROWS:
-        limits = wide.agg(
-            *[F.percentile(errors[c], percentile).alias(f"_q_{c}") for c in configurations],
-            F.percentile(spread, percentile).alias("_q_spread"),
-        )
-    else:
-        series = F.array(*[F.struct(F.lit(f"_q_{c}").alias("series"), errors[c].alias("value")) for c in configurations], F.struct(F.lit("_q_spread").alias("series"), spread.alias("value")))
-        found = group_percentiles(wide.select(F.inline(series)), ["series"], "value", {"q": percentile}, n)
-        limits = found.agg(*[F.max(F.when(F.col("series") == s, F.col("q"))).alias(s) for s in [*[f"_q_{c}" for c in configurations], "_q_spread"]])
+    series = F.array(*[F.struct(F.lit(f"_q_{c}").alias("series"), errors[c].alias("value")) for c in configurations], F.struct(F.lit("_q_spread").alias("series"), spread.alias("value")))
+    found = group_percentiles(wide.select(F.inline(series)), ["series"], "value", {"q": percentile})
+    limits = found.agg(*[F.max(F.when(F.col("series") == s, F.col("q"))).alias(s) for s in [*[f"_q_{c}" for c in configurations], "_q_spread"]])
     # thresholds are a single row of len(configurations) + 1 numbers
     joined = wide.withColumn("_k", F.lit(0)).join(F.broadcast(limits.withColumn("_k", F.lit(0))), "_k")
     hits = sum((F.when(errors[c] >= F.col(f"_q_{c}"), 1).otherwise(0) for c in configurations), F.lit(0))
@@ -174,12 +164,12 @@ def curve_grid(summary: DataFrame, fractions: list[float]) -> DataFrame:
     return wanted.join(summary.select("configuration", "fraction", "mean_mae"), ["configuration", "fraction"], "left")
 
 
-def learning_rows(subsets: DataFrame, split: DataFrame, feature: str, heavy_quantile: float = 0.8, target: str = "target", n: int | None = None) -> DataFrame:
+def learning_rows(subsets: DataFrame, split: DataFrame, feature: str, heavy_quantile: float = 0.8, target: str = "target") -> DataFrame:
     """Train, validation and heavy-tail validation mae per (fold, fraction)."""
     fits = subsets.groupBy("outer_fold", "fraction").agg(
         F.count("*").alias("n_train"), F.regr_slope(target, feature).alias("slope"), F.regr_intercept(target, feature).alias("intercept")
     )
-    limit = group_percentiles(split, [], target, {"heavy": heavy_quantile}, n).withColumn("_k", F.lit(0))
+    limit = group_percentiles(split, [], target, {"heavy": heavy_quantile}).withColumn("_k", F.lit(0))
     error = F.abs(F.col("slope") * F.col(feature) + F.col("intercept") - F.col(target))
     train = subsets.join(F.broadcast(fits), ["outer_fold", "fraction"]).groupBy("outer_fold", "fraction").agg(F.avg(error).alias("train_mae"))
     held = (

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.operators.ranks import PERCENTILE_ROWS, group_percentiles
+from maskwright.operators.ranks import group_percentiles
 
 OBSERVED, PREDICTED = "observed", "predicted"
 
@@ -35,21 +35,17 @@ def summarize(predictions: DataFrame, *by: str) -> DataFrame:
     return predictions.groupBy(*by).agg(*metric_columns())
 
 
-def attach_percentiles(sums: DataFrame, rows: DataFrame, by: list[str], value: str, shares: dict[str, float], n: int | None) -> DataFrame:
-    """Add exact percentiles of `value` to a table of group sums (one row per group)."""
-    found = group_percentiles(rows, by, value, shares, n)
-    if by:
-        return sums.join(F.broadcast(found), by)
-    return sums.withColumn("_k", F.lit(0)).join(F.broadcast(found.withColumn("_k", F.lit(0))), "_k").drop("_k")
+def attach_percentiles(sums: DataFrame, rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Add exact percentiles of `value` to a table of group sums (one row per group, NULL groups included)."""
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    found = group_percentiles(rows, by, value, shares).select(group.alias("_g"), *shares)
+    return sums.withColumn("_g", group).join(found, "_g", "left").drop("_g")
 
 
-def summarize_extended(predictions: DataFrame, *by: str, n: int | None = None) -> DataFrame:
+def summarize_extended(predictions: DataFrame, *by: str) -> DataFrame:
     """The metrics plus exact median and 90th percentile of the absolute error."""
     rows = predictions.withColumn("_e", F.abs(_residual()))
-    shares = {"median_ae": 0.5, "p90_ae": 0.9}
-    if n is not None and n <= PERCENTILE_ROWS:
-        return rows.groupBy(*by).agg(*metric_columns(), *[F.percentile("_e", p).alias(name) for name, p in shares.items()])
-    return attach_percentiles(summarize(predictions, *by), rows, list(by), "_e", shares, n)
+    return attach_percentiles(summarize(predictions, *by), rows, list(by), "_e", {"median_ae": 0.5, "p90_ae": 0.9})
 
 
 def fold_and_pooled(predictions: DataFrame, last_category: str = "B10") -> DataFrame:
@@ -88,11 +84,11 @@ def population_metrics(predictions: DataFrame, last_category: str = "B10") -> Da
     return expanded.groupBy("configuration", "fold", "population").agg(*metric_columns())
 
 
-def best_of_models(predictions: DataFrame, n: int | None = None) -> DataFrame:
+def best_of_models(predictions: DataFrame) -> DataFrame:
     """Mean, median and p90 of the smallest absolute error that any candidate reaches per sample."""
     least = predictions.groupBy("sample_id").agg(F.min(F.abs(_residual())).alias("e"))
     mean = least.agg(F.avg("e").alias("oracle_mae"))
-    return attach_percentiles(mean, least, [], "e", {"oracle_median_ae": 0.5, "oracle_p90_ae": 0.9}, n)
+    return attach_percentiles(mean, least, [], "e", {"oracle_median_ae": 0.5, "oracle_p90_ae": 0.9})
 
 
 def pooled_mae(predictions: DataFrame) -> DataFrame:
@@ -131,7 +127,7 @@ def extremes_side_by_side(predictions: DataFrame, last_category: str = "B10") ->
     )
 
 
-def category_profile(split: DataFrame, by: str = "category", target: str = "target", n: int | None = None) -> DataFrame:
+def category_profile(split: DataFrame, by: str = "category", target: str = "target") -> DataFrame:
     """Size, range, mean, median and sample deviation of the target, with the number of groups."""
     sums = split.groupBy(by).agg(
         F.count("*").alias("n"),
@@ -141,11 +137,11 @@ def category_profile(split: DataFrame, by: str = "category", target: str = "targ
         F.stddev_samp(target).alias("sd"),
         F.count_distinct("grp").alias("n_groups"),
     )
-    return attach_percentiles(sums, split, [by], target, {"median": 0.5}, n)
+    return attach_percentiles(sums, split, [by], target, {"median": 0.5})
 
 
-def poisson_cdf(top: int = 9) -> list[float]:
-    """P(X <= k) of Poisson(1) for k = 0..top."""
+def poisson_cdf(top: int = 17) -> list[float]:
+    """P(X <= k) of Poisson(1) for k = 0..top; above 17 the rest is below 2^-48, the step of the draws."""
     return list(itertools.accumulate(math.exp(-1.0) / math.factorial(k) for k in range(top + 1)))
 
 
@@ -154,7 +150,7 @@ def bootstrap_draws(errors: DataFrame, value: str, repeats: int, seed: int, key:
 
     Each row gets its own number of copies per resample from a hash of (seed, repeat, key), so a
     resample needs no draw by position, no sort and no second copy of the table: one map-side
-    aggregation to `repeats` rows. The weights are exact Poisson(1) up to nine copies.
+    aggregation to `repeats` rows. The weights are Poisson(1) to the resolution of the draw.
     """
     fanned = errors.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     identity = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(key).cast("string"))

@@ -152,7 +152,7 @@ def classification_test(rows: DataFrame, features: list[str], label: str, trees:
     )
 
 
-def robustness(rows: DataFrame, estimator: Estimator, key: str = "mask_id", restore: Callable[[Column], Column] | None = None, n: int | None = None) -> DataFrame:
+def robustness(rows: DataFrame, estimator: Estimator, key: str = "mask_id", restore: Callable[[Column], Column] | None = None) -> DataFrame:
     """Metrics per scenario of models fitted on original masks, with the change of the prediction.
 
     `rows` has one row per mask and `scenario`; only `original` rows train.
@@ -164,12 +164,12 @@ def robustness(rows: DataFrame, estimator: Estimator, key: str = "mask_id", rest
         scored = scored.withColumn("predicted", restore(F.col("predicted"))) if restore else scored
         scored = scored.select(key, "scenario", F.col("target").alias("observed"), "predicted")
         out = scored if out is None else out.unionByName(scored)
-    return robustness_summary(out, key, n)
+    return robustness_summary(out, key)
 
 
-def robustness_summary(predictions: DataFrame, key: str = "mask_id", n: int | None = None) -> DataFrame:
+def robustness_summary(predictions: DataFrame, key: str = "mask_id") -> DataFrame:
     """Metrics per scenario with mean and p90 of the change against the original mask."""
     base = predictions.where("scenario = 'original'").select(key, F.col("predicted").alias("original"))
     changed = predictions.join(base, key).withColumn("change", F.abs(F.col("predicted") - F.col("original")))
     sums = changed.groupBy("scenario").agg(*metric_columns(), F.avg("change").alias("mean_prediction_change"))
-    return attach_percentiles(sums, changed, ["scenario"], "change", {"p90_prediction_change": 0.9}, n)
+    return attach_percentiles(sums, changed, ["scenario"], "change", {"p90_prediction_change": 0.9})

@@ -12,13 +12,30 @@ from pyspark.sql import functions as F
 REFERENCE = "mean_reference"
 
 
-def _sums(x: str, y: str) -> list[Column]:
-    cx, cy = F.col(x), F.col(y)
-    return [
-        F.sum(cx).alias(f"sx_{x}"),
-        F.sum(cx * cx).alias(f"sxx_{x}"),
-        F.sum(cx * cy).alias(f"sxy_{x}"),
-    ]
+def _moments(features: list[str], target: str) -> list[Column]:
+    """Count, means, variances and covariances with the target, which Spark adds up around running means."""
+    out = [F.count("*").cast("double").alias("n"), F.avg(target).alias("_my")]
+    for f in features:
+        out += [F.avg(f).alias(f"_m_{f}"), F.var_pop(f).alias(f"_v_{f}"), F.covar_pop(f, target).alias(f"_c_{f}")]
+    return out
+
+
+def _centred_sums(stats: DataFrame, features: list[str]) -> DataFrame:
+    """Sums around the overall means (`cy`, `cx_*`) from the moments of each row's part of the samples.
+
+    Sums around a common centre can be added and subtracted like plain ones, without losing the digits that a
+    large offset takes from them.
+    """
+    # one row per fold (and group)
+    everything, n = Window.partitionBy(F.lit(0)), F.col("n")
+    centre = lambda c: F.sum(n * F.col(c)).over(everything) / F.sum(n).over(everything)
+    stats = stats.withColumns({"cy": centre("_my"), **{f"cx_{f}": centre(f"_m_{f}") for f in features}})
+    dy = F.col("_my") - F.col("cy")
+    out = {"sy": n * dy}
+    for f in features:
+        dx = F.col(f"_m_{f}") - F.col(f"cx_{f}")
+        out |= {f"sx_{f}": n * dx, f"sxx_{f}": n * (F.col(f"_v_{f}") + dx * dx), f"sxy_{f}": n * (F.col(f"_c_{f}") + dx * dy)}
+    return stats.withColumns(out).drop("_my", *[f"{p}_{f}" for f in features for p in ("_m", "_v", "_c")])
 
 
 def leave_out(stats: DataFrame, names: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -30,24 +47,25 @@ def leave_out(stats: DataFrame, names: list[str], keys: tuple[str, ...] = ()) ->
 
 
 def line_from_sums(x: str, n: Column, sy: Column) -> tuple[Column, Column]:
-    """Slope and intercept of the least-squares line; NULL when x has no variance."""
+    """Slope and intercept of the least-squares line from centred sums; NULL when x has no variance."""
     sx, sxx, sxy = F.col(f"sx_{x}"), F.col(f"sxx_{x}"), F.col(f"sxy_{x}")
     slope = F.try_divide(sxy - sx * sy / n, sxx - sx * sx / n)
-    return slope, sy / n - slope * sx / n
+    return slope, F.col("cy") + sy / n - slope * (F.col(f"cx_{x}") + sx / n)
 
 
 def fold_lines(split: DataFrame, features: list[str], target: str = "target") -> DataFrame:
     """One row per fold: training mean plus slope and intercept of every single-feature line."""
-    sums = [c for f in features for c in _sums(f, target)]
-    stats = split.groupBy("fold").agg(F.count("*").cast("double").alias("n"), F.sum(target).alias("sy"), *sums)
+    stats = _centred_sums(split.groupBy("fold").agg(*_moments(features, target)), features)
     names = ["n", "sy", *[f"{p}_{f}" for f in features for p in ("sx", "sxx", "sxy")]]
-    trained = leave_out(stats, names)
+    centres = ["cy", *[f"cx_{f}" for f in features]]
+    everything = Window.partitionBy(F.lit(0))
+    trained = stats.select("fold", *centres, *[(F.sum(c).over(everything) - F.col(c)).alias(c) for c in names])
     n, sy = F.col("n"), F.col("sy")
     lines = []
     for f in features:
         slope, intercept = line_from_sums(f, n, sy)
         lines += [slope.alias(f"slope_{f}"), intercept.alias(f"intercept_{f}")]
-    return trained.select("fold", F.col("n").alias("n_train"), (sy / n).alias("train_mean"), *lines)
+    return trained.select("fold", F.col("n").alias("n_train"), (F.col("cy") + sy / n).alias("train_mean"), *lines)
 
 
 def group_means(split: DataFrame, group: str = "grp", target: str = "target") -> DataFrame:
@@ -63,12 +81,11 @@ def fold_group_models(split: DataFrame, features: list[str], target: str = "targ
     The sums are added up once per (fold, group); windows over that small table turn them into sums
     over the other folds, for all groups and for the own group.
     """
-    sums = [c for f in features for c in _sums(f, target)]
-    stats = split.groupBy("fold", "grp").agg(F.count("*").cast("double").alias("n"), F.sum(target).alias("sy"), *sums)
+    stats = _centred_sums(split.groupBy("fold", "grp").agg(*_moments(features, target)), features)
     names = ["n", "sy", *[f"{p}_{f}" for f in features for p in ("sx", "sxx", "sxy")]]
     everything, own_fold, own_group = Window.partitionBy(F.lit(0)), Window.partitionBy("fold"), Window.partitionBy("grp")
     trained = stats.select(
-        "fold", "grp",
+        "fold", "grp", "cy", *[f"cx_{f}" for f in features],
         (F.sum("n").over(own_group) - F.col("n")).alias("_gn"), (F.sum("sy").over(own_group) - F.col("sy")).alias("_gy"),
         *[(F.sum(c).over(everything) - F.sum(c).over(own_fold)).alias(c) for c in names],
     )
@@ -77,8 +94,8 @@ def fold_group_models(split: DataFrame, features: list[str], target: str = "targ
     for f in features:
         slope, intercept = line_from_sums(f, n, sy)
         lines += [slope.alias(f"slope_{f}"), intercept.alias(f"intercept_{f}")]
-    group_mean = F.when(F.col("_gn") > 0, F.col("_gy") / F.col("_gn"))
-    return trained.select("fold", "grp", (sy / n).alias("train_mean"), group_mean.alias("group_mean"), *lines)
+    group_mean = F.when(F.col("_gn") > 0, F.col("cy") + F.col("_gy") / F.col("_gn"))
+    return trained.select("fold", "grp", (F.col("cy") + sy / n).alias("train_mean"), group_mean.alias("group_mean"), *lines)
 
 
 def training_mean(split: DataFrame, target: str = "target") -> DataFrame:
@@ -92,7 +109,9 @@ def oof_predictions(split: DataFrame, features: list[str], target: str = "target
 
     A group that a training set lacks falls back to the training mean.
     """
-    wide = split.join(F.broadcast(fold_group_models(split, features, target)), ["grp", "fold"])
+    models = fold_group_models(split, features, target).withColumn("_g", F.struct("grp")).drop("grp")
+    # a struct is equal to another when both hold NULL; the planner sizes the table of groups
+    wide = split.withColumn("_g", F.struct("grp")).join(models, ["_g", "fold"])
 
     def entry(name: str, approach: str, role: str, value: Column) -> Column:
         return F.struct(
@@ -134,17 +153,15 @@ def isolated_predictions(split: DataFrame, features: list[str], target: str = "t
 def fold_scales(split: DataFrame, columns: list[str]) -> DataFrame:
     """Training mean and population deviation of each column per fold; zero deviation becomes 1."""
     n = F.col("n")
-    stats = split.groupBy("fold").agg(
-        F.count("*").cast("double").alias("n"),
-        *[F.sum(c).alias(f"s_{c}") for c in columns],
-        *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in columns],
-    )
-    trained = leave_out(stats, ["n", *[f"{p}_{c}" for c in columns for p in ("s", "q")]])
+    stats = _centred_sums(split.groupBy("fold").agg(*_moments(columns, columns[0])), columns)
+    everything = Window.partitionBy(F.lit(0))
+    names = ["n", *[f"{p}_{c}" for c in columns for p in ("sx", "sxx")]]
+    trained = stats.select("fold", *[f"cx_{c}" for c in columns], *[(F.sum(c).over(everything) - F.col(c)).alias(c) for c in names])
     out = []
     for c in columns:
-        mean = F.col(f"s_{c}") / n
-        deviation = F.sqrt(F.greatest(F.col(f"q_{c}") / n - mean * mean, F.lit(0.0)))
-        out += [mean.alias(f"mean_{c}"), F.when(deviation == 0, 1.0).otherwise(deviation).alias(f"sd_{c}")]
+        shift = F.col(f"sx_{c}") / n
+        deviation = F.sqrt(F.greatest(F.col(f"sxx_{c}") / n - shift * shift, F.lit(0.0)))
+        out += [(F.col(f"cx_{c}") + shift).alias(f"mean_{c}"), F.when(deviation == 0, 1.0).otherwise(deviation).alias(f"sd_{c}")]
     return trained.select("fold", *out)
 
 
@@ -162,13 +179,10 @@ def standardize(split: DataFrame, columns: list[str]) -> DataFrame:
 def transfer_predictions(samples: DataFrame, feature: str, low: float, high: float, target: str = "target") -> DataFrame:
     """Train a line inside one group, test it on every other group, within [low, high] of the target."""
     common = samples.where(F.col(target).between(low, high))
-    stats = common.groupBy("grp").agg(
-        F.count("*").cast("double").alias("n"), F.sum(target).alias("sy"), *_sums(feature, target)
-    )
-    slope, intercept = line_from_sums(feature, F.col("n"), F.col("sy"))
-    lines = stats.select(F.col("grp").alias("train_grp"), slope.alias("slope"), intercept.alias("intercept"))
+    slope = F.try_divide(F.covar_pop(feature, target), F.var_pop(feature))
+    lines = common.groupBy("grp").agg(slope.alias("slope"), (F.avg(target) - slope * F.avg(feature)).alias("intercept")).withColumnRenamed("grp", "train_grp")
     return (
-        common.join(F.broadcast(lines), F.col("grp") != F.col("train_grp"))
+        common.join(lines, F.col("grp") != F.col("train_grp"))
         .withColumn("predicted", F.col("slope") * F.col(feature) + F.col("intercept"))
         .select("train_grp", F.col("grp").alias("test_grp"), F.col(target).alias("observed"), "predicted")
     )

@@ -11,80 +11,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.operators.split import ROWS_PER_TASK
+from maskwright.session import materialize, work_partitions
 
 
-def average_ranks(long: DataFrame, n: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+#: A value held by more than this share of a series' rows is matched by broadcast: at most 1/share values per series.
+HEAVY_SHARE = 0.001
+
+
+def ranged_counts(rows: DataFrame, series: str, value: str) -> DataFrame:
+    """(series, value, `_c`, `_before`): how often each value occurs and how many rows of its series are smaller.
+
+    Equal values are counted first, so a value that a third of all rows share is one row by the time anything
+    is sorted. Distinct values are sorted in ranges of (series, value) and shifted by the sizes of the series'
+    earlier ranges. The ranged table is written once, because a range shuffle samples its bounds.
+    """
+    counts = rows.groupBy(series, value).agg(F.count("*").alias("_c"))
+    parts = work_partitions(rows.sparkSession)
+    stored, _ = materialize(counts.repartitionByRange(parts, series, value).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(series).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = stored.groupBy(series, "_part").agg(F.sum("_c").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(series, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = stored.withColumn("_p", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    return placed.join(shift, [series, "_part"]).select(series, value, "_c", (F.col("_o") + F.col("_p")).alias("_before"))
+
+
+def average_ranks(long: DataFrame, n: int) -> DataFrame:
     """(series, id, value) with `rank`: the mean 1-based rank of equal values inside each series.
 
-    Equal values are counted first, so a value that a third of all rows share is one row by the
-    time anything is sorted. Distinct values are ordered inside value ranges and shifted by the
-    sizes of the ranges before them; the range bounds are a few numbers per series.
+    `n` is the number of rows per series. NULL values have no rank and are left out. The few values that many
+    rows share are matched by broadcast, the others by their key, so no key of the join is hot.
     """
-    counts = long.groupBy("series", "value").agg(F.count("*").alias("_c"))
-    parts = max(1, math.ceil(n / rows_per_task))
-    if parts == 1:
-        counts = counts.withColumn("_b", F.lit(0))
-        shift: DataFrame | None = None
-    else:
-        shares = [i / parts for i in range(1, parts)]
-        bounds = {r["series"]: r["q"] for r in long.groupBy("series").agg(F.percentile_approx("value", shares).alias("q")).collect()}
-        table = F.create_map(*[x for s, q in bounds.items() for x in (F.lit(s), F.array(*[F.lit(float(v)) for v in sorted(set(q))]))])
-        counts = counts.withColumn("_b", F.size(F.filter(F.element_at(table, F.col("series")), lambda v: v <= F.col("value"))))
-        before = Window.partitionBy("series").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        shift = (
-            counts.groupBy("series", "_b").agg(F.sum("_c").alias("_n"))
-            .select("series", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-        )
-    inside = Window.partitionBy("series", "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_p", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-    ranked = ranked.withColumn("_o", F.lit(0)) if shift is None else ranked.join(F.broadcast(shift), ["series", "_b"])
-    ranked = ranked.select("series", "value", (F.col("_o") + F.col("_p") + (F.col("_c") + 1) / 2.0).alias("rank"))
-    return long.join(ranked, ["series", "value"])
-
-
-PERCENTILE_ROWS = 5_000_000
-SKETCHED_GROUP = 10_000
-
-
-def group_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], n: int | None = None, small: int = PERCENTILE_ROWS) -> DataFrame:
+    ranked = ranged_counts(long.where("value IS NOT NULL"), "series", "value").select(
+        "series", "value", "_c", (F.col("_before") + (F.col("_c") + 1) / 2.0).alias("rank")
+    )
+    ranked, _ = materialize(ranked)
+    heavy = F.col("_c") > n * HEAVY_SHARE
+    first = long.join(F.broadcast(ranked.where(heavy).drop("_c")), ["series", "value"], "left")
+    rest = first.where("rank IS NULL").drop("rank").join(ranked.where(~heavy).drop("_c"), ["series", "value"])
+    return first.where("rank IS NOT NULL").unionByName(rest)
+
+
+def group_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact percentiles (linear interpolation) of `value` per group, one column per share.
 
-    The built-in exact percentile keeps every distinct value of a group in one buffer, so it is used
-    only where at most `small` rows (`n`; unknown counts as large) exist. Otherwise a bounded sketch
-    brackets each wanted rank, one pass counts the rows below the bracket and the distinct values
-    inside it, and the rank is read off the few values in the bracket. Small groups go unbracketed.
+    Every value's rank is known from `ranged_counts`, so the two values around a wanted rank are two conditional
+    maxima: no group is gathered, whatever its size. NULL is a group like any other; a group without a value is
+    not in the result (`attach_percentiles` gives it NULL).
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    if n is not None and n <= small:
-        return rows.groupBy(*by).agg(*[F.percentile("_v", p).alias(name) for name, p in shares.items()])
-    margin = 0.001
-    wanted = [q for p in shares.values() for q in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    sketch = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", wanted, 10_000).alias("_q"))
-    big = F.col("_n") >= SKETCHED_GROUP
-    brackets = sketch.select(*by, "_n", F.inline(F.array(*[
-        F.struct(
-            F.lit(name).alias("_name"), F.lit(float(p)).alias("_p"),
-            F.when(big & F.lit(p > margin), F.get("_q", F.lit(2 * k))).otherwise(F.lit(-math.inf)).alias("_lo"),
-            F.when(big & F.lit(p < 1 - margin), F.get("_q", F.lit(2 * k + 1))).otherwise(F.lit(math.inf)).alias("_hi"),
-        )
-        for k, (name, p) in enumerate(shares.items())
-    ])))
-    # one row per group and share; below the bracket only the count matters
-    held = rows.join(F.broadcast(brackets), by) if by else rows.withColumn("_k", F.lit(0)).join(F.broadcast(brackets.withColumn("_k", F.lit(0))), "_k")
-    counted = (
-        held.where("_v <= _hi").withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-        .groupBy(*by, "_name", "_p", "_n", "_v").agg(F.count("*").alias("_c"))
-    )
-    upto = Window.partitionBy(*by, "_name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    rank = F.col("_p") * (F.col("_n") - 1)
-    placed = counted.withColumn("_cum", F.sum("_c").over(upto)).where(F.col("_v").isNotNull())
-    read = placed.groupBy(*by, "_name").agg(
-        F.min(F.when(F.col("_cum") > F.floor(rank), F.col("_v"))).alias("_a"), F.min(F.when(F.col("_cum") > F.ceil(rank), F.col("_v"))).alias("_b"),
-        F.max(rank - F.floor(rank)).alias("_f"),
-    )
-    found = read.withColumn("_x", F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a")))
-    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in shares])
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    rows = df.where(F.col(value).isNotNull()).select(group.alias("_g"), F.col(value).cast("double").alias("_v"))
+    ranked = ranged_counts(rows, "_g", "_v")
+    after = F.col("_before") + F.col("_c")
+    sizes = ranked.groupBy("_g").agg(F.max(after).alias("_n"))
+    at = lambda rank: F.max(F.when((F.col("_before") <= rank) & (rank < after), F.col("_v")))
+    aggregates = []
+    for name, share in shares.items():
+        rank = F.lit(float(share)) * (F.col("_n") - 1)
+        low, high = at(F.floor(rank)), at(F.ceil(rank))
+        aggregates.append((low + F.max(rank - F.floor(rank)) * (high - low)).alias(name))
+    found = ranked.join(sizes, "_g").groupBy("_g").agg(*aggregates)
+    return found.select(*[F.col("_g")[c].alias(c) for c in by], *shares)
 
 
 def melt(df: DataFrame, key: str, names: list[str]) -> DataFrame:
@@ -92,10 +78,10 @@ def melt(df: DataFrame, key: str, names: list[str]) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.inline(entries))
 
 
-def rank_columns(df: DataFrame, key: str, names: list[str], n: int | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def rank_columns(df: DataFrame, key: str, names: list[str], n: int | None = None) -> DataFrame:
     """One row per key with the average rank of each column."""
     n = df.count() if n is None else n
-    ranked = average_ranks(melt(df, key, names), n, rows_per_task)
+    ranked = average_ranks(melt(df, key, names), n)
     return ranked.groupBy(F.col("id").alias(key)).agg(*[F.max(F.when(F.col("series") == c, F.col("rank"))).alias(c) for c in names])
 
 

@@ -300,9 +300,9 @@ def neighbour_pairs(neighbours: DataFrame, targets: DataFrame, key: str) -> Data
     return pairs.join(a, "id_a").join(b, "id_b").withColumn("target_difference", F.abs(F.col("target_a") - F.col("target_b")))
 
 
-def neighbour_summary(pairs: DataFrame, n: int | None = None) -> DataFrame:
+def neighbour_summary(pairs: DataFrame) -> DataFrame:
     sums = pairs.agg(F.count("*").alias("n"), F.avg("target_difference").alias("mean_difference"))
-    return attach_percentiles(sums, pairs, [], "target_difference", {"median_difference": 0.5, "p90_difference": 0.9}, n)
+    return attach_percentiles(sums, pairs, [], "target_difference", {"median_difference": 0.5, "p90_difference": 0.9})
 
 
 def ranked_contradictions(pairs: DataFrame, top: int = 20) -> DataFrame:

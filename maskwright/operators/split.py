@@ -25,16 +25,13 @@ def global_position(df: DataFrame, order: list[str], n: int | None = None, rows_
     """
     n = df.count() if n is None else n
     parts = max(1, math.ceil(n / rows_per_task))
-    if parts == 1:
-        w = Window.partitionBy(F.lit(0)).orderBy(*order)
-        return df.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
     ranged = (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    stored, _ = materialize(ranged)
+    stored = ranged if parts == 1 else materialize(ranged)[0]
     # one row per range: a window over at most `parts` rows
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -92,7 +89,7 @@ def hash_order(seed: Column | int, key: str = "sample_id") -> Column:
 def prefix_digits(rows_per_group: float, rows_per_task: int = ROWS_PER_TASK) -> int:
     """Hex digits of the hash that split a group of this size into task-sized buckets."""
     digits = 0
-    while rows_per_group / 16**digits > rows_per_task and digits < 4:
+    while rows_per_group / 16**digits > rows_per_task and digits < 64:
         digits += 1
     return digits
 
@@ -209,7 +206,7 @@ def _training_counts(split: DataFrame, folds: int) -> DataFrame:
 
 
 def inner_holdout(
-    split: DataFrame, fraction: float = 0.2, seed: int = 43, folds: int = 5, key: str = "sample_id", n: int = 0, k: int = 10
+    split: DataFrame, n: int, fraction: float = 0.2, seed: int = 43, folds: int = 5, key: str = "sample_id", k: int = 10
 ) -> DataFrame:
     """Mark a stratified share of each outer training set as `stopping`, the rest as `selection`."""
     whole = Window.partitionBy("outer_fold")
@@ -226,7 +223,7 @@ def inner_holdout(
 
 
 def nested_subsets(
-    split: DataFrame, seed: int = 45, folds: int = 5, key: str = "sample_id", n: int = 0, k: int = 10
+    split: DataFrame, n: int, seed: int = 45, folds: int = 5, key: str = "sample_id", k: int = 10
 ) -> DataFrame:
     """Training rows of each outer fold repeated for every fraction 0.5, 0.75, 1.0 that holds them.
 
@@ -258,8 +255,8 @@ def nested_subsets(
 
 
 def fraction_subsets(
-    split: DataFrame, fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0), seed: int = 42, folds: int = 5,
-    key: str = "sample_id", n: int = 0, k: int = 10,
+    split: DataFrame, n: int, fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0), seed: int = 42, folds: int = 5,
+    key: str = "sample_id", k: int = 10,
 ) -> DataFrame:
     """Independent stratified fractions of each outer training set, sizes floor(n * fraction)."""
     table = F.array(*[F.lit(f) for f in fractions])

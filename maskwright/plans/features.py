@@ -101,8 +101,7 @@ def correlation_matrix(spark, sf):
 def average_ranks(spark, sf):
     rows = tables.samples(spark, sf, ("lines", "digits"))
     n = rows.count()
-    # several value ranges even on the small tables
-    return ranks.average_ranks(ranks.melt(rows, "sample_id", ["lines", "digits"]), n, max(1, n // 4)).select("id", "series", "value", "rank")
+    return ranks.average_ranks(ranks.melt(rows, "sample_id", ["lines", "digits"]), n).select("id", "series", "value", "rank")
 
 
 @query("removal_groups", q(members_sql(redundancy.REMOVAL_GROUPS).replace("SELECT *", "SELECT name, CAST(ordinal AS BIGINT) AS ordinal, feature, (SELECT count(*) FROM embeddings) AS n_masks")))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import best_epoch, effect_class, half_even, half_up, permutation_seed, significant
-from maskwright.operators import checks, diagnostics, evidence, fingerprint, metrics, ranks, redundancy, split
+from maskwright.operators import checks, diagnostics, evidence, fingerprint, metrics, predict, ranks, redundancy, split
 from maskwright.sources import files
 
 
@@ -126,11 +126,12 @@ def test_redundancy_of_bijections(spark):
     assert got["area", "extent"]["pearson"] is None
 
 
-@pytest.mark.parametrize("rows_per_task", [1000, 9])
-def test_average_ranks_with_ties(spark, rows_per_task):
+@pytest.mark.parametrize("heavy", [0.001, 0.2, 1.0])
+def test_average_ranks_with_ties(spark, monkeypatch, heavy):
+    monkeypatch.setattr(ranks, "HEAVY_SHARE", heavy)
     values = [3, 1, 3, 2, 3, 9, 2, 7, 3, 3, 3, 8, 3, 3] * 3
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id int, v double")
-    got = {r["id"]: r["rank"] for r in ranks.average_ranks(ranks.melt(df, "id", ["v"]), len(values), rows_per_task).collect()}
+    got = {r["id"]: r["rank"] for r in ranks.average_ranks(ranks.melt(df, "id", ["v"]), len(values)).collect()}
     for i, v in enumerate(values):
         assert got[i] == sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2
 
@@ -170,16 +171,29 @@ def test_bootstrap_of_a_clear_winner(spark):
     assert (got["point"], got["ci_low"], got["ci_high"], got["probability_below_zero"]) == (-10, -10, -10, 1)
 
 
-@pytest.mark.parametrize("sketched", [10, 10_000])
-def test_scalable_percentiles_are_exact(spark, monkeypatch, sketched):
+def test_percentiles_are_exact(spark):
     import numpy as np
 
-    monkeypatch.setattr(ranks, "SKETCHED_GROUP", sketched)
     rng = np.random.default_rng(3)
-    values = {"a": rng.normal(0, 5, 12_001), "b": np.where(rng.random(30_000) < 0.4, 7.0, rng.random(30_000) * 20), "c": rng.random(12)}
-    if sketched == 10:
-        values["c"] = rng.random(5_000)
+    values = {"a": rng.normal(0, 5, 12_001), "b": np.where(rng.random(30_000) < 0.4, 7.0, rng.random(30_000) * 20), "c": rng.random(12), None: rng.random(501), "one": [4.0]}
     df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g string, v double")
     got = {r["g"]: r for r in ranks.group_percentiles(df, ["g"], "v", {"p50": 0.5, "p90": 0.9, "top": 1.0}).collect()}
     for g, vs in values.items():
         assert [got[g][k] for k in ("p50", "p90", "top")] == pytest.approx(np.quantile(vs, [0.5, 0.9, 1.0]), rel=1e-12)
+
+
+def test_null_groups_keep_their_percentiles(spark):
+    rows = [("c", None, 1.0, 2.0), ("c", None, 1.0, 5.0), ("c", "x", 1.0, 1.5), ("c", "empty", None, 1.0)]
+    df = spark.createDataFrame(rows, "configuration string, grp string, observed double, predicted double")
+    got = {r["grp"]: (r["n"], r["median_ae"]) for r in metrics.summarize_extended(df, "configuration", "grp").collect()}
+    assert got == {None: (2, 2.5), "x": (1, 0.5), "empty": (1, None)}
+
+
+def test_lines_far_from_zero(spark):
+    rows = [(i, i % 5 + 1, None if i % 3 == 0 else "g", 1e9 + i, 3 * (1e9 + i) - 7) for i in range(200)]
+    df = spark.createDataFrame(rows, "sample_id int, fold int, grp string, x double, target double").withColumns({"resolution": F.lit("r"), "category": F.lit("B1")})
+    assert all(r["slope_x"] == pytest.approx(3.0, abs=1e-9) for r in predict.fold_lines(df, ["x"]).collect())
+    got = predict.oof_predictions(df, ["x"]).where("configuration = 'line_x'").collect()
+    assert len(got) == 200 and all(r["predicted"] == pytest.approx(r["observed"], abs=1e-3) for r in got)
+    scaled = predict.standardize(df, ["x"]).collect()
+    assert {round(r["sd_x"], 6) for r in scaled} and all(abs(r["sd_x"] - 57.73) < 1.5 for r in scaled)
