@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions import best_epoch
 from maskwright.operators.metrics import attach_percentiles, metric_columns
 
 # The forest recipe and its registered variations (Spark's names for the settings).
@@ -73,21 +74,26 @@ def tuned(split: DataFrame, features: list[str], variations: dict[str, dict], bu
     return out
 
 
-def boosted_with_selected_length(inner: DataFrame, split: DataFrame, features: list[str], max_iter: int = 20, tolerance: float = 0.1, seed: int = 44) -> DataFrame:
+def boosted_with_selected_length(
+    inner: DataFrame, split: DataFrame, features: list[str], max_iter: int = 20, least_gain: float = 0.1, patience: int = 20, seed: int = 44
+) -> DataFrame:
     """Boosted trees whose number of rounds is chosen on an inner holdout, then refitted in full.
 
-    `inner` holds the outer training rows with `outer_fold` and `inner_role`. The outer fold never
-    takes part in the choice.
+    `inner` holds the outer training rows with `outer_fold` and `inner_role`. The error of every length on the
+    stopping rows is walked with an absolute least gain and patience (`best_epoch`). The outer fold never takes
+    part in the choice.
     """
     out = None
-    training = assemble(inner, features).withColumn("stopping", F.col("inner_role") == "stopping")
-    held = assemble(split, features)
+    training, held = assemble(inner, features), assemble(split, features)
     for fold in fold_list(split):
         train = training.where(F.col("outer_fold") == fold)
         settings = {"featuresCol": "features", "labelCol": "target", "predictionCol": "predicted", "seed": seed, "maxDepth": 3}
-        chosen = GBTRegressor(maxIter=max_iter, validationIndicatorCol="stopping", validationTol=tolerance, **settings).fit(train).getNumTrees
-        model = GBTRegressor(maxIter=max(chosen, 1), **settings).fit(train)
-        scored = model.transform(held.where(F.col("fold") == fold)).select("sample_id", "fold", "category", F.col("target").alias("observed"), "predicted", F.lit(int(chosen)).alias("rounds"))
+        grown = GBTRegressor(maxIter=max_iter, **settings).fit(train.where("inner_role = 'selection'"))
+        errors = grown.evaluateEachIteration(train.where("inner_role = 'stopping'"), "absolute")
+        walked = best_epoch(F.array(*[F.lit(float(e)) for e in errors]), least_gain, patience)
+        chosen = int(split.sparkSession.range(1).select(walked.alias("n")).first()["n"])
+        model = GBTRegressor(maxIter=chosen, **settings).fit(train)
+        scored = model.transform(held.where(F.col("fold") == fold)).select("sample_id", "fold", "category", F.col("target").alias("observed"), "predicted", F.lit(chosen).alias("rounds"))
         out = scored if out is None else out.unionByName(scored)
     return out
 

@@ -68,7 +68,8 @@ def rescale(runs: DataFrame, factor: float, keys: list[str] | None = None) -> Da
     """Grow or shrink about the centre of mass by inverse nearest mapping, ties to even.
 
     The mapping is separable and monotone, so a source run maps to one destination run in each
-    destination row that looks up its row; the few candidates at either end are tested exactly.
+    destination row that looks up its row. Closed bounds of the inverse mapping, for any factor, hold the
+    candidates, which are tested exactly.
     """
     keys = keys or KEYS
     whole = Window.partitionBy(*keys)
@@ -82,14 +83,15 @@ def rescale(runs: DataFrame, factor: float, keys: list[str] | None = None) -> Da
     def source(at: Column, centre: Column) -> Column:
         return half_even(centre + (at.cast("double") - centre) / s)
 
-    def near(value: Column, centre: Column) -> Column:
-        guess = F.round(centre + (value - centre) * s).cast("int")
-        return F.sequence(guess - 3, guess + 3)
+    def between(low: Column, high: Column, centre: Column) -> Column:
+        """Destinations whose source may lie in [low, high], one more at either end."""
+        start = F.floor(centre + (low - centre) * s).cast("int") - 1
+        return F.sequence(start, F.greatest(start, F.ceil(centre + (high - centre) * s).cast("int") + 1))
 
     cx, cy = F.col("_cx"), F.col("_cy")
-    rows = F.filter(near(F.col("y"), cy), lambda d: (source(d, cy) == F.col("y")) & (d >= 0) & (d < F.col("h")))
-    first = F.array_min(F.filter(near(F.col("x0"), cx), lambda d: source(d, cx) >= F.col("x0")))
-    last = F.array_max(F.filter(near(F.col("x1"), cx), lambda d: source(d, cx) <= F.col("x1")))
+    rows = F.filter(between(F.col("y") - 0.5, F.col("y") + 0.5, cy), lambda d: (source(d, cy) == F.col("y")) & (d >= 0) & (d < F.col("h")))
+    first = F.array_min(F.filter(between(F.col("x0") - 0.5, F.col("x0") - 0.5, cx), lambda d: source(d, cx) >= F.col("x0")))
+    last = F.array_max(F.filter(between(F.col("x1") + 0.5, F.col("x1") + 0.5, cx), lambda d: source(d, cx) <= F.col("x1")))
     moved = placed.select(
         *keys, F.explode(rows).alias("y"), F.greatest(first, F.lit(0)).alias("x0"), F.least(last, F.col("w") - 1).alias("x1")
     ).where("x0 <= x1")

@@ -146,9 +146,11 @@ def integrity(digests: DataFrame, runs: DataFrame, features: DataFrame, key: str
         F.coalesce(F.sum(F.col("ka") * F.col("kb")), F.lit(0)).alias("p"), F.max("iou").alias("m")
     ).first()
     largest = 1.0 if copied else near["m"]
+    # two masks that share a cell have at least this IoU, so below it the largest is 0
+    least = 1.0 / (2.0 * (described.agg(F.max("area").alias("a")).first()["a"] or 1))
     level = threshold
-    while largest is None and level > 0.05 and counts["contents"] > 1:
-        level *= 0.75
+    while largest is None and level > least and counts["contents"] > 1:
+        level = max(level * (0.75 if level > 0.4 else 0.4), least)
         largest = similar_contents(distinct_runs, level, described, key=key).agg(F.max("iou").alias("m")).first()["m"]
     rows = [
         ("duplicate_names", float(counts["n"] - counts["names"])), ("duplicate_masks", float(counts["names"] - counts["contents"])),
@@ -159,12 +161,13 @@ def integrity(digests: DataFrame, runs: DataFrame, features: DataFrame, key: str
 
 
 def contradictions(runs: DataFrame, digests: DataFrame, targets: DataFrame, top: int = 20, key: str = "mask_id", probe: int = 64) -> DataFrame:
-    """The `top` pairs by IoU times target difference; ties give the later keys first.
+    """The `top` pairs by IoU times target difference, pairs without overlap included; ties give the later keys first.
 
     The best pairs among the `probe` highest and lowest targets give a score that any result must
     reach. From it follow the smallest target difference and the smallest IoU a result can have, so
     only masks with a far enough partner enter the similarity join. Of the copies of one raster only
-    those with the `top` highest and lowest targets can matter.
+    those with the `top` highest and lowest targets can matter. Where the probe proves nothing, every pair that
+    shares a cell is measured, and pairs of the latest keys stand for those that score 0.
     """
     members = collapse(digests, key).join(targets.select(key, "target"), key)
     per = Window.partitionBy("content")
@@ -176,12 +179,20 @@ def contradictions(runs: DataFrame, digests: DataFrame, targets: DataFrame, top:
         .unionByName(members.withColumn("_r", low).where(F.col("_r") <= top).drop("_r")).distinct()
     )
     kept, _ = materialize(kept)
-    described, _ = materialize(profiles(runs.join(kept.select(F.col("content").alias(key)).distinct(), key, "left_semi"), key))
+    # the pairs of these few rows are the last 2 * top of all pairs by key
+    latest = members.orderBy(F.desc(key)).limit(2 + math.isqrt(4 * top + 4))
+    needed = kept.select(F.col("content").alias(key)).union(latest.select("content")).distinct()
+    described, _ = materialize(profiles(runs.join(needed, key, "left_semi"), key))
     extremes = kept.orderBy(F.desc("target"), key).limit(probe).unionByName(kept.orderBy(F.asc("target"), key).limit(probe)).distinct()
     ends = extremes.agg(F.min("target").alias("low"), F.max("target").alias("high")).first()
-    floor = _probe_score(extremes, runs, described.select(key, "area"), top, key)
-    span = (ends["high"] or 0.0) - (ends["low"] or 0.0)
-    least_iou = min(max(floor / span, 0.02), 0.999) if span > 0 else 0.02
+    areas = described.select(key, "area")
+    best = _scored(extremes, runs, areas, key).orderBy(F.desc("score")).limit(top).collect()
+    floor = best[-1]["score"] if len(best) == top else 0.0
+    if ends["high"] is None:
+        return _scored(latest, runs, areas, key).limit(0)
+    span = ends["high"] - ends["low"]
+    any_overlap = 1.0 / (2.0 * (described.agg(F.max("area").alias("a")).first()["a"] or 1))
+    least_iou = min(max(floor / span, any_overlap), 0.999) if span > 0 else 0.999
     reach = kept.where((F.col("target") >= ends["low"] + floor) | (F.col("target") <= ends["high"] - floor))
     ranges = reach.groupBy(F.col("content").alias(key)).agg(F.min("target").alias("t_low"), F.max("target").alias("t_high"))
 
@@ -203,20 +214,22 @@ def contradictions(runs: DataFrame, digests: DataFrame, targets: DataFrame, top:
         )
         .where(F.col("score") >= floor * (1 - 1e-12))
     )
+    if floor == 0.0:
+        pairs = pairs.where("score > 0").unionByName(_scored(latest, runs, areas, key).where("score = 0"))
     return pairs.orderBy(F.desc("score"), F.desc("id_a"), F.desc("id_b")).limit(top)
 
 
-def _probe_score(extremes: DataFrame, runs: DataFrame, areas: DataFrame, top: int, key: str) -> float:
-    """The `top`-th best score inside the probe rows (at most 2 * probe of them)."""
-    left = extremes.select(F.col("content").alias("a"), F.col(key).alias("ida"), F.col("target").alias("ta"), F.lit(0).alias("_k"))
-    right = extremes.select(F.col("content").alias("b"), F.col(key).alias("idb"), F.col("target").alias("tb"), F.lit(0).alias("_k"))
-    pairs = left.join(F.broadcast(right), "_k").where("ida < idb")
+def _scored(rows: DataFrame, runs: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+    """All pairs of a bounded number of rows (content, key, target), with IoU and score."""
+    left = rows.select(F.col("content").alias("a"), F.col(key).alias("ida"), F.col("target").alias("ta"), F.lit(0).alias("_k"))
+    right = rows.select(F.col("content").alias("b"), F.col(key).alias("idb"), F.col("target").alias("tb"), F.lit(0).alias("_k"))
+    pairs = left.join(F.broadcast(right), "_k").where("ida < idb").drop("_k")
     iou = measured_pairs(pairs.where("a != b").select("a", "b").distinct(), runs, areas, key)
-    scored = pairs.join(iou, ["a", "b"], "left").select(
-        (F.abs(F.col("ta") - F.col("tb")) * F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("iou", F.lit(0.0)))).alias("s")
+    value = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("iou", F.lit(0.0)))
+    difference = F.abs(F.col("ta") - F.col("tb"))
+    return pairs.join(iou, ["a", "b"], "left").select(
+        F.col("ida").alias("id_a"), F.col("idb").alias("id_b"), difference.alias("target_difference"), value.alias("iou"), (difference * value).alias("score")
     )
-    best = scored.orderBy(F.desc("s")).limit(top).collect()
-    return best[-1]["s"] if len(best) == top else 0.0
 
 
 def standardized_vectors(df: DataFrame, columns: list[str], key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from maskwright.operators import diagnostics, metrics, predict, split
 from maskwright.plans.common import LINE_FEATURES, candidates, orders_split, predictions, samples_split
 from maskwright.plans.oracle import fragment, q, r6 as sql_r6
 from maskwright.plans.registry import query
+from maskwright.session import materialize
 from maskwright.sources import tables
 
 CANDIDATES = ["group_mean", "line_words", "line_lines", "line_digits"]
@@ -268,9 +269,16 @@ def _subsets(spark, sf):
 
 
 def _points(spark, sf):
+    """Points below the full size are fitted; the full-size ones come from a stored prediction table."""
     subsets, rows = _subsets(spark, sf)
-    fitted = diagnostics.learning_points(subsets, rows, "words").withColumn("configuration", F.lit("line_words"))
-    return fitted.withColumn("action", F.when(F.col("fraction") == 1.0, "reused").otherwise("trained"))
+    fitted = diagnostics.learning_points(subsets.where("fraction < 1.0"), rows, "words").withColumn("action", F.lit("trained"))
+    return fitted.unionByName(_reused(rows)).withColumn("configuration", F.lit("line_words"))
+
+
+def _reused(rows):
+    stored, _ = materialize(predict.oof_predictions(rows, ["words"]))
+    sizes = predict.fold_lines(rows, []).select("fold", F.col("n_train").cast("long").alias("n_train"))
+    return diagnostics.reused_points(stored, "line_words", sizes)
 
 
 @query("learning_points", q("SELECT CAST(fold AS BIGINT) AS fold, fraction, n_train, n_eval, " + sql_r6("mae", "mae", D) + ", " + sql_r6("bias", "bias", D) + " FROM s_points"))
@@ -281,10 +289,7 @@ def learning_points(spark, sf):
 
 @query("reused_points", q("SELECT CAST(fold AS BIGINT) AS fold, n_eval, n_train, " + sql_r6("mae", "mae", D) + ", " + sql_r6("bias", "bias", D) + ", CAST(1.0 AS DOUBLE) AS fraction, 'reused' AS action FROM s_points WHERE fraction = 1.0"))
 def reused_points(spark, sf):
-    rows = samples_split(spark, sf, ("words",))
-    sizes = predict.fold_lines(rows, []).select("fold", F.col("n_train").cast("long").alias("n_train"))
-    stored = predict.oof_predictions(rows, ["words"])
-    points = diagnostics.reused_points(stored, "line_words", sizes)
+    points = _reused(samples_split(spark, sf, ("words",)))
     return rounded(longs(points, "fold"), "mae", "bias").select("fold", "n_eval", "n_train", "mae", "bias", "fraction", "action")
 
 

@@ -93,12 +93,11 @@ def mask_digests(spark, sf):
 
 @query("duplicate_masks", q("""
 SELECT digest, count(*) AS n, min(mask_id) AS first_id FROM (
-  SELECT mask_id, sha256('1x8x' || string_agg(line, ';' ORDER BY y)) AS digest FROM (
-    SELECT mask_id, y, y || ':' || string_agg(x0 || '-' || x1, ',' ORDER BY x0) AS line FROM g_runs WHERE y < 1 GROUP BY mask_id, y) GROUP BY mask_id)
+  SELECT mask_id, sha256('8x8x' || string_agg(line, ';' ORDER BY y)) AS digest FROM (
+    SELECT mask_id, y, y || ':' || string_agg(x0 || '-' || x1, ',' ORDER BY x0) AS line FROM g_runs GROUP BY mask_id, y) GROUP BY mask_id)
 GROUP BY digest HAVING count(*) > 1"""))
 def duplicate_masks(spark, sf):
-    strips = grid_runs(spark, sf).where("y < 1").withColumn("h", F.lit(1))
-    return checks.duplicate_content(runs.digests(strips))
+    return checks.duplicate_content(runs.digests(grid_runs(spark, sf)))
 
 
 @query("disk_elements", q("""
@@ -249,7 +248,7 @@ def mask_augmentation(spark, sf):
 
 
 # --- sensitivity of a line on the scaled area -------------------------------------------------
-fragment("m_base", "SELECT s.sample_id AS mask_id, s.grp, s.target FROM s_base s JOIN embeddings e ON e.vec_id = s.sample_id")
+fragment("m_base", "SELECT e.vec_id AS mask_id, s.grp, s.target FROM embeddings e JOIN s_base s ON s.sample_id = e.vec_id % (SELECT count(*) FROM documents)")
 fragment("m_split", """
 SELECT *, 'B' || cno AS category, (row_number() OVER (ORDER BY cno, sha256('42:' || mask_id), mask_id) - 1) % 5 + 1 AS fold
 FROM (SELECT *, LEAST((row_number() OVER (ORDER BY target, mask_id) - 1) * 10 // count(*) OVER () + 1, 10) AS cno FROM m_base)""")

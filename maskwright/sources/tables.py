@@ -110,7 +110,13 @@ def silhouette_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and group of each mask: the document with the same id."""
+    """Target and group of every mask: those of the document whose id is the mask's, counted round.
+
+    A mask without such a document is an error, not a row less.
+    """
     docs = samples(spark, sf_dir)
-    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"))
-    return docs.join(ids, "sample_id")
+    n = max(docs.count(), 1)
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("mask_id"), F.pmod(F.col("vec_id"), F.lit(n)).alias("sample_id"))
+    bound = ids.join(docs, "sample_id", "left").drop("sample_id").withColumnRenamed("mask_id", "sample_id")
+    missing = F.raise_error(F.concat(F.lit("mask without a target: "), F.col("sample_id").cast("string"))).cast("double")
+    return bound.withColumn("target", F.coalesce("target", missing)).select("sample_id", *[c for c in docs.columns if c != "sample_id"])

@@ -230,3 +230,33 @@ def test_image_scan_gives_runs(spark, tmp_path):
     assert sorted((r["y"], r["x0"], r["x1"]) for r in got if r["mask_id"] == "a.png") == [(1, 2, 4), (3, 0, 0), (3, 4, 6)]
     assert {tuple(r["other_values"]) for r in got if r["mask_id"] == "b.png"} == {(128,)}
     assert [(r["h"], r["w"], r["y"]) for r in got if r["mask_id"] == "c.png"] == [(3, 3, None)]
+
+
+def test_contradictions_of_small_and_no_overlap(spark, masks):
+    wide = lambda at: ["." * at + "#" * 50 + "." * (100 - at)]
+    rasters = {"a": wide(0), "b": wide(49), "c": wide(100)}
+    _, r = masks(rasters)
+    t = spark.createDataFrame([("a", 0.0), ("b", 100.0), ("c", 300.0)], "mask_id string, target double")
+    got = [(x["id_a"], x["id_b"], round(x["score"], 9)) for x in similarity.contradictions(r, runs.digests(r), t, 10).collect()]
+    scored = [(round(v * abs(p - q), 9), a, b) for (a, b), v in brute_iou(rasters).items() for p, q in [({"a": 0, "b": 100, "c": 300}[a], {"a": 0, "b": 100, "c": 300}[b])]]
+    assert got == [(a, b, s) for s, a, b in sorted(scored, reverse=True)] and len(got) == 3
+    features = spark.createDataFrame([(n, float(i)) for i, n in enumerate(rasters)], "mask_id string, f double")
+    two = r.where("mask_id in ('a', 'b')")
+    found = {x["test"]: x["value"] for x in similarity.integrity(runs.digests(two), two, features).collect()}
+    assert found["maximum_iou"] == pytest.approx(brute_iou(rasters)["a", "b"]) and found["maximum_iou"] < 0.02
+    apart = r.where("mask_id in ('a', 'c')")
+    assert {x["test"]: x["value"] for x in similarity.integrity(runs.digests(apart), apart, features).collect()}["maximum_iou"] == 0
+
+
+@pytest.mark.parametrize("factor", [20.0, 3.0, 0.5, 0.11, 1.05])
+def test_rescale_by_any_factor(masks, factor):
+    rows = ["." * 60 for _ in range(60)]
+    for y, a, b in [(28, 20, 33), (29, 22, 24), (29, 27, 31), (30, 28, 28)]:
+        rows[y] = rows[y][:a] + "#" * (b - a + 1) + rows[y][b + 1 :]
+    cells = {(y, x) for y, line in enumerate(rows) for x, c in enumerate(line) if c == "#"}
+    cy, cx = sum(y for y, _ in cells) / len(cells), sum(x for _, x in cells) / len(cells)
+    want = {(y, x) for y in range(60) for x in range(60) if (round(cy + (y - cy) / factor), round(cx + (x - cx) / factor)) in cells}
+    dims, r = masks({"m": rows})
+    out = morphology.rescale(r, factor)
+    got = {(x["y"], c) for x in out.collect() for c in range(x["x0"], x["x1"] + 1)}
+    assert got == want
