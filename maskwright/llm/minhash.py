@@ -7,6 +7,8 @@ registers of a union are the maxima of registers. Sets that resemble each other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,9 @@ from maskwright.llm.graph import connected_components
 from maskwright.session import materialize
 
 REGISTERS = 96
-BANDS = 48
-BAND_ROWS = 8
+MOST_BANDS = 64
+#: Bands are chosen so that a pair right at the threshold shares none of them with at most this chance.
+MISSED = 5e-6
 #: Registers step by this factor, scaled so that 16 bits hold sets of any size.
 STEP = 1.001
 SCALE = 20.0
@@ -33,9 +36,27 @@ BROADCAST_IDS = 1_000_000
 _seeded = np.random.default_rng(77)
 XOR = _seeded.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 TIMES = _seeded.integers(0, 1 << 62, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bands are seeded subsets of the registers, every register in equally many.
-CHOSEN = np.concatenate([_seeded.permutation(REGISTERS) for _ in range(BANDS * BAND_ROWS // REGISTERS)]).reshape(BANDS, BAND_ROWS)
-BAND_SALT = _seeded.integers(1, 1 << 62, BANDS, dtype=np.uint64)
+BAND_SALT = _seeded.integers(1, 1 << 62, MOST_BANDS, dtype=np.uint64)
+
+
+@cache
+def band_plan(percent: int) -> np.ndarray:
+    """The registers of every band: seeded subsets, every register in equally many bands.
+
+    The longest bands are taken with which a pair at the threshold is missed rarely enough; the chance is that of
+    all numbers of equal registers, because bands share registers.
+    """
+    share = percent / 100
+    for rows in (8, 6, 4, 3, 2, 1):
+        for bands in range(REGISTERS // rows, MOST_BANDS + 1, REGISTERS // rows):
+            missed = sum(
+                comb(REGISTERS, k) * share**k * (1 - share) ** (REGISTERS - k) * (1 - comb(k, rows) / comb(REGISTERS, rows)) ** bands
+                for k in range(REGISTERS + 1)
+            )
+            if missed <= MISSED or rows == 1:
+                order = np.random.default_rng(78)
+                return np.concatenate([order.permutation(REGISTERS) for _ in range(bands * rows // REGISTERS)]).reshape(bands, rows)
+    return np.arange(MOST_BANDS)[:, None]
 
 
 def registers(members: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -77,12 +98,13 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return chosen.mapInArrow(run, "doc_id long, n_shingles long, same_a long, same_b long, registers binary")
 
 
-def band_keys(rows: np.ndarray) -> np.ndarray:
+def band_keys(rows: np.ndarray, percent: int) -> np.ndarray:
     """One key for every band of every row of registers."""
-    out = np.empty((len(rows), BANDS), np.uint64)
-    wide = rows.astype(np.uint64)
-    for b in range(BANDS):
-        out[:, b] = mix((mix(wide[:, CHOSEN[b]] + np.uint64(1)) * PLACE[:BAND_ROWS]).sum(1, dtype=np.uint64) + BAND_SALT[b])
+    plan = band_plan(percent)
+    out = np.empty((len(rows), len(plan)), np.uint64)
+    wide = mix(rows.astype(np.uint64) + np.uint64(1))
+    for b, chosen in enumerate(plan):
+        out[:, b] = mix((wide[:, chosen] * PLACE[: len(chosen)]).sum(1, dtype=np.uint64) + BAND_SALT[b])
     return out
 
 
@@ -90,15 +112,15 @@ def _rows(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u2").reshape(-1, REGISTERS)
 
 
-def _bands(sketched: DataFrame) -> DataFrame:
+def _bands(sketched: DataFrame, percent: int) -> DataFrame:
     """(key, doc_id) for every band of every sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(_rows(batch.column(1).to_pylist()))
+                keys = band_keys(_rows(batch.column(1).to_pylist()), percent)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "doc_id"]
+                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["key", "doc_id"]
                 )
 
     return sketched.select("doc_id", "registers").mapInArrow(run, "key long, doc_id long")
@@ -197,7 +219,7 @@ def _across(active: DataFrame, percent: int) -> DataFrame:
         i, j, key = table["i"][0].as_py(), table["j"][0].as_py(), table["key"][0].as_py()
         rows = _rows(table["registers"].to_pylist())
         members = [np.frombuffer(m, np.uint64) for m in table["members"].to_pylist()]
-        keys = band_keys(rows).view(np.int64)
+        keys = band_keys(rows, percent).view(np.int64)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         links = []
         for x in left:
@@ -241,7 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     firsts = usable.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     firsts, _ = materialize(firsts)
 
-    bands = _bands(firsts)
+    bands = _bands(firsts, percent)
     crowded = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     active, _ = materialize(bands.join(crowded, "key"))
     stars = active.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
