@@ -169,7 +169,10 @@ def disclosing_words(texts: DataFrame, scanned: DataFrame, least_share: float =
     around = scanned.where(F.size("around") > 0).select("text_id", "around").dropDuplicates(["text_id"])
     near, _ = materialize(around.select("text_id", F.inline("around")))
     support = near.groupBy("value", "term").agg(F.countDistinct("surroundings").alias("places"), F.countDistinct("text_id").alias("together"))
-    weighed, n_pairs = materialize(support.where(F.col("places") >= LEAST_SURROUNDINGS).withColumn("one", F.lit(True)), "one")
+    # a word stands in at least the texts in which it is near some value, so most words are ruled out before any count
+    beside = near.groupBy("term").agg(F.countDistinct("text_id").alias("beside"))
+    hopeful = support.where(F.col("places") >= LEAST_SURROUNDINGS).join(beside, "term").where(F.col("together") >= least_share * F.col("beside"))
+    weighed, n_pairs = materialize(hopeful.drop("beside").withColumn("one", F.lit(True)), "one")
     empty = near.select("text_id", F.lit("").alias("terms")).where("false")
     if n_pairs == 0:
         return empty
