@@ -23,14 +23,16 @@ from maskwright.session import materialize
 REGISTERS = 96
 MOST_BANDS = 64
 #: Bands are chosen so that a pair right at the threshold shares none of them with at most this chance.
-MISSED = 5e-6
+MISSED = 5e-5
 #: Registers step by this factor, scaled so that 16 bits hold sets of any size.
 STEP = 1.001
 SCALE = 20.0
 TOP = 65_535
 #: A pair is given up when its best likelihood at the threshold is below the best of all by this (five standard deviations).
 LIKELIHOOD_DROP = 12.5
-BLOCK = 256
+BLOCK = 512
+#: Elements (and one more per so many) by which 32-bit hashes may misjudge an intersection; in doubt the whole sets decide.
+SLACK, SLACK_PER = 2, 4000
 BROADCAST_IDS = 1_000_000
 
 _seeded = np.random.default_rng(77)
@@ -148,14 +150,16 @@ def joint_likely(rows_a: np.ndarray, rows_b: np.ndarray, n_a: np.ndarray, n_b: n
     return at_least.max(1) >= score.max(1) - LIKELIHOOD_DROP
 
 
-def shingle_blobs(docs: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
-    """(doc_id, members): the whole shingle set of every document named in `ids`, from its text."""
+def shingle_blobs(docs: DataFrame, ids: DataFrame, n_ids: int, short: bool = False) -> DataFrame:
+    """(doc_id, members): the whole shingle set of every document named in `ids`, from its text; 32-bit hashes if `short`."""
     wanted = F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, offsets in text_chunks(batch.column(1)):
                 members, ends = shingle_sets(raw, offsets)
+                if short:  # the upper halves of sorted hashes are sorted
+                    members = (members >> np.uint64(32)).astype(np.uint32)
                 blobs = [members[ends[k] : ends[k + 1]].tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(blobs, pa.binary())], names=["doc_id", "members"])
 
@@ -206,11 +210,12 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _across(active: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between different components that share a band.
+    """Pairs (a, b) of different components that share a band and are links but for a few hash collisions.
 
     `active`: key, doc_id, component_id, n_shingles, registers, members, block, block pair (i, j). A key's
     documents are compared in pairs of blocks of bounded size, so a crowded key is spread over tasks. A pair is
-    tried in its first common band only, and not once a link has joined its components; links alone come out.
+    tried in its first common band only, by sets of 32-bit hashes. Once a pair that no collision could undo has
+    joined its components, their other pairs are passed over; doubtful pairs join nothing, but come out too.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -218,7 +223,7 @@ def _across(active: DataFrame, percent: int) -> DataFrame:
         size, block = table["n_shingles"].to_numpy().astype(float), table["block"].to_numpy()
         i, j, key = table["i"][0].as_py(), table["j"][0].as_py(), table["key"][0].as_py()
         rows = _rows(table["registers"].to_pylist())
-        members = [np.frombuffer(m, np.uint64) for m in table["members"].to_pylist()]
+        members = [np.frombuffer(m, np.uint32) for m in table["members"].to_pylist()]
         keys = band_keys(rows, percent).view(np.int64)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         links = []
@@ -232,10 +237,12 @@ def _across(active: DataFrame, percent: int) -> DataFrame:
             for k in y:
                 if comp[k] == comp[x]:
                     continue
-                both = _shared(members[x], members[k])
-                if 100 * both >= percent * (len(members[x]) + len(members[k]) - both):
-                    comp[comp == comp[k]] = comp[x]
-                    links.append((int(ids[x]), int(ids[k])))
+                both, total = _shared(members[x], members[k]), len(members[x]) + len(members[k])
+                slack = SLACK + total // SLACK_PER
+                if 100 * (both + slack) >= percent * (total - both - slack):
+                    links.append((int(min(ids[x], ids[k])), int(max(ids[x], ids[k]))))
+                    if 100 * (both - slack) >= percent * (total - both + slack):
+                        comp[comp == comp[k]] = comp[x]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return active.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
@@ -277,14 +284,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     open_rows = (
         labelled.join(mixed, "key", "left_semi")
         .withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
-        .join(firsts.select("doc_id", "n_shingles", "registers"), "doc_id").join(shingle_blobs(texts, ids, n_ids), "doc_id")
+        .join(firsts.select("doc_id", "n_shingles", "registers"), "doc_id").join(shingle_blobs(texts, ids, n_ids, short=True), "doc_id")
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select(
             "key", "doc_id", "component_id", "n_shingles", "registers", "members", "block",
             F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         )
     )
-    final = connected_components(links.unionByName(_across(open_rows, percent)))
+    doubtful, _ = materialize(_across(open_rows, percent).distinct())
+    final = connected_components(links.unionByName(confirm(doubtful, firsts, texts, percent)))
 
     by_class = classes.join(final.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select(
         "same_a", "same_b", "n_shingles", F.coalesce("component_id", "class_id").alias("component_id")
