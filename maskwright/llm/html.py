@@ -1,8 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 The text blocks of a page are summed by their tag path: characters, characters in links, punctuation, blocks. A
-container's ratio is smoothed with those of the containers around it, and paths above a share of the best keep
-their blocks. Parts that are by their tag, role or class no article (menus, notices, forms ...) do not take part.
+container's ratio is smoothed with those of the containers around and inside it, and blocks above a share of the
+best are kept, with the rest of their article, the headings before them and the text between them. Parts that are by their tag, role or class no article (menus, notices, forms ...) do not take part.
 """
 
 from __future__ import annotations
@@ -53,9 +53,14 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.S)
 WORD = re.compile("[a-z0-9]+")
-#: Share of the best smoothed ratio that a path needs, and what a container takes from the one around it.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Containers that hold the whole page: what lies in them says nothing of their own text.
+PAGE = frozenset("html body".split())
+#: Share of the best smoothed ratio that a path needs, and what a container takes from the one around or inside it.
 LEAST_SHARE = 0.1
 FROM_AROUND = 0.5
+#: Blocks before the article among which its title is looked for.
+HEADING_REACH = 3
 
 
 class Block:
@@ -89,10 +94,11 @@ def _dropped(tag: str, attr: str, inside_article: bool) -> bool:
     return False
 
 
-def blocks_of(page: str) -> tuple[list[Block], list[int]]:
-    """Text blocks of a page in order, and for every container the one around it (-1 for none)."""
+def blocks_of(page: str) -> tuple[list[Block], list[int], list[str]]:
+    """Text blocks of a page in order, and for every container the one around it (-1 for none) and its tag."""
     stack: list[tuple[str, bool, int, bool]] = []  # tag, dropped, container, inside an article
     around: list[int] = []
+    tags: list[str] = []
     blocks: list[Block] = []
     pieces: list[str] = []
     linked = 0
@@ -157,38 +163,80 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             continue
         if tag in CONTAINERS and not dropped:
             around.append(container)
+            tags.append(tag)
             container = len(around) - 1
         stack.append((tag, dropped, container, inside or tag in ("article", "main")))
     pop_to(0)
     flush()
-    return blocks, around
+    return blocks, around, tags
+
+
+def _ratio(chars: float, linked: float, marks: float, count: float) -> float:
+    """Text to path ratio fused with punctuation; text in links speaks against a path."""
+    free = (chars - linked) / chars
+    return chars * free * free * (1 + math.log1p(marks / count)) * (1 + math.log1p(chars / count) / 8)
+
+
+def _nearest(around: list[int], tags: list[str], tag: str) -> list[int]:
+    """For every container the innermost one of that tag that is or holds it, or -1; the last entry is for blocks outside any."""
+    out = [-1] * (len(around) + 1)
+    for c, o in enumerate(around):
+        out[c] = c if tags[c] == tag else out[o]
+    return out
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the paths that hold the article, in page order, one to a line."""
-    blocks, around = blocks_of(page or "")
+    """Blocks of the paths that hold the article, and what lies among them, in page order, one to a line."""
+    blocks, around, tags = blocks_of(page or "")
     if not blocks:
         return ""
     sums: dict[tuple, list[float]] = {}
     for b in blocks:
-        s = sums.setdefault((b.container, b.path), [0, 0, 0, 0])
+        s = sums.setdefault(b.path, [0, 0, 0, 0])
         s[0] += b.chars
         s[1] += b.linked
         s[2] += len(PUNCTUATION.findall(b.text))
         s[3] += 1
+    ratio = {path: _ratio(*s) for path, s in sums.items()}
+    # a container has the ratios of the paths of its own blocks, and a share of those around it and inside it
     own: dict[int, float] = {}
-    for (container, _), (chars, linked, marks, count) in sums.items():
-        # text to path ratio fused with punctuation; text in links speaks against a path
-        free = (chars - linked) / chars
-        ratio = chars * free * free * (1 + math.log1p(marks / count)) * (1 + math.log1p(chars / count) / 8)
-        own[container] = own.get(container, 0.0) + ratio
-    smooth = [0.0] * (len(around) + 1)  # the last is that of blocks outside any container
-    smooth[-1] = own.get(-1, 0.0)
-    for c, outer in enumerate(around):  # containers come after those around them
-        smooth[c] = own.get(c, 0.0) + FROM_AROUND * smooth[outer]
-    best = max(smooth[b.container] for b in blocks)
+    for container, path in dict.fromkeys((b.container, b.path) for b in blocks):
+        own[container] = own.get(container, 0.0) + ratio[path]
+    outer, inner = [0.0] * (len(around) + 1), [0.0] * (len(around) + 1)  # the last is that of blocks outside any container
+    for c, o in enumerate(around):  # containers come after those around them
+        outer[c] = FROM_AROUND * (own.get(o, 0.0) + outer[o])
+    for c in range(len(around) - 1, -1, -1):
+        if around[c] >= 0 and tags[around[c]] not in PAGE:
+            inner[around[c]] = max(inner[around[c]], FROM_AROUND * max(own.get(c, 0.0), inner[c]))
+    from_text = [own.get(b.container, 0.0) + outer[b.container] for b in blocks]
+    best = max(from_text)
+    if best <= 0:
+        return ""
     least = LEAST_SHARE * best
-    return "\n".join(b.text for b in blocks if smooth[b.container] >= least and best > 0)
+    plain = [2 * b.linked <= b.chars for b in blocks]
+    kept = [score >= least or plain[k] and inner[blocks[k].container] >= least for k, score in enumerate(from_text)]
+
+    # all of the articles in which kept blocks lie, or else of the main part
+    article, main = _nearest(around, tags, "article"), _nearest(around, tags, "main")
+    articles = {article[b.container] for b, k in zip(blocks, kept) if k} - {-1}
+    mains = set() if articles else {main[b.container] for b, k in zip(blocks, kept) if k} - {-1}
+    kept = [k or article[b.container] in articles or plain[n] and main[b.container] in mains for n, (b, k) in enumerate(zip(blocks, kept))]
+
+    # sentences right beside kept blocks in a container of the same parent, below the page itself
+    parent = [around[b.container] if b.container >= 0 else -1 for b in blocks]
+    for steps in (range(1, len(blocks)), range(len(blocks) - 2, -1, -1)):
+        for k in steps:
+            beside = k - 1 if steps.step > 0 else k + 1
+            if kept[beside] and not kept[k] and plain[k] and parent[k] == parent[beside] >= 0 and tags[parent[k]] not in PAGE and PUNCTUATION.search(blocks[k].text):
+                kept[k] = True
+
+    # the headings before the first kept block, and text between kept ones
+    first = kept.index(True)
+    for k in range(first - 1, max(-1, first - 1 - HEADING_REACH), -1):
+        if blocks[k].path and blocks[k].path[-1] in HEADINGS and plain[k]:
+            kept[k], first = True, k
+    last = len(kept) - 1 - kept[::-1].index(True)
+    return "\n".join(b.text for k, b in enumerate(blocks) if kept[k] or first < k < last and plain[k])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -45,6 +45,29 @@ def test_noise_inside_an_article_goes():
     assert html.main_text(page) == "Title\nOne, two.\nThree four ©"
 
 
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class=wrap>{}</div>", "<main>{}</main>", "{}"])
+@pytest.mark.parametrize("chars", [300, 3000, 60_000])
+def test_title_beside_a_body_container_stays(around, chars):
+    body = ("Some words, and more. " * chars)[:chars].strip()
+    page = f"<html><body><nav>Home</nav>{around.format(f'<h1>Title</h1><div class=body><p>{body}</p></div>')}<ul><li><a href=x>Elsewhere</a></ul></body></html>"
+    assert html.main_text(page) == f"Title\n{body}"
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div>{}</div>", "{}"])
+@pytest.mark.parametrize("part", ["section", "div"])
+@pytest.mark.parametrize("chars", [60, 300])
+def test_short_parts_beside_a_long_one_stay(around, part, chars):
+    texts = [("Short words, few. " * 20)[:chars].strip(), ("Long words, many. " * 400)[:5000].strip(), ("Last words, few. " * 20)[:chars].strip()]
+    page = f"<html><body>{around.format(''.join(f'<{part}>{t}</{part}>' for t in texts))}<footer>no</footer></body></html>"
+    assert html.main_text(page) == "\n".join(texts)
+
+
+def test_text_between_and_beside_kept_blocks_stays_and_links_go():
+    long = ("Long words, many. " * 200).strip()
+    page = f"<body><div><div><ul><li><a href=x>All news</a></ul></div><div><h2>Head</h2></div><div>Lead, short.</div><div><p>{long}</p></div><div><pre>x = 1</pre></div><div><p>{long}</p></div></div><div>Loose</div></body>"
+    assert html.main_text(page) == f"Head\nLead, short.\n{long}\nx = 1\n{long}"
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "<p>a<b", "</p></div>x", "<script>", "<!--", "<a href='x>y", "<" * 5000, "<p>" * 3000 + "deep", "&am", "a" * 100_000])
 def test_broken_markup_does_not_fail(page):
     assert isinstance(html.main_text(page), str)
