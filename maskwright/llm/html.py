@@ -2,7 +2,8 @@
 
 The text blocks of a page are summed by their tag path: characters, characters in links, punctuation, blocks. A
 container's ratio is smoothed with those of the containers around and inside it, and blocks above a share of the
-best are kept, with the rest of their article, the headings before them and the text between them. Parts that are by their tag, role or class no article (menus, notices, forms ...) do not take part.
+best are kept, with the rest of their article, the headings before them and the text between them. Parts that are by their tag or role no article (menus, notices, forms ...) do not take part. Class and id do so outside
+an article; inside, they lessen the ratio of containers only.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ BLOCKS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 CONTAINERS = frozenset("html body main article section div td th blockquote center details figure dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset(
     "head script style noscript template nav footer aside form button select option optgroup textarea input label iframe object embed svg "
     "canvas audio video dialog menu noembed noframes title xmp".split()
@@ -35,6 +37,11 @@ DROPPED_WORDS = frozenset(
     "sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer footers masthead "
     "comment comments commentlist disqus reply replies respond share sharing social related recommended toolbar login search skip copyright".split()
 )
+#: Words that say nothing of what an element holds: a name of dropped words and these alone is sure.
+FRAME_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons col container content entry form header icon icons inline inner item items "
+    "left link links list main meta news outer page panel post posts right row section site slot stories text title tools top topics unit wrap wrapper".split()
+)
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NEGATIONS = frozenset("no not has with without".split())
 #: A start tag of the key ends open elements of the value, up to the nearest element in the second value.
@@ -53,50 +60,74 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.S)
 WORD = re.compile("[a-z0-9]+")
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+OWN_TITLE = re.compile(r"\s*(?:<(?:header|hgroup|div)\b[^>]*>\s*)?<h([1-6])\b[^>]*>(.*?)</h\1\b", re.I | re.S)
+MARKUP = re.compile("<[^>]*>")
+TITLE_REACH = 1000
 #: Containers that hold the whole page: what lies in them says nothing of their own text.
 PAGE = frozenset("html body".split())
 #: Share of the best smoothed ratio that a path needs, and what a container takes from the one around or inside it.
 LEAST_SHARE = 0.1
 FROM_AROUND = 0.5
+#: What is left of the ratio of a container whose name speaks against it: all of the name, or a word of it.
+SURE_PENALTY = 0.05
+PENALTY = 0.5
 #: Blocks before the article among which its title is looked for.
 HEADING_REACH = 3
 
 
 class Block:
-    """A run of text between block elements: its path, its container and its characters."""
+    """A run of text between block elements: its path, its container, its penalised element and its characters."""
 
-    __slots__ = ("chars", "container", "linked", "path", "text")
+    __slots__ = ("chars", "container", "inside", "linked", "path", "penalised", "text")
 
-    def __init__(self, path: tuple, container: int, text: str, linked: int):
+    def __init__(self, path: tuple, container: int, text: str, linked: int, penalised: int, inside: bool):
         self.path, self.container, self.text, self.chars, self.linked = path, container, text, len(text), linked
+        self.penalised, self.inside = penalised, inside
 
 
-def _dropped(tag: str, attr: str, inside_article: bool) -> bool:
-    """Whether an element is by its tag, role or class no part of an article."""
+def _weight(tag: str, attr: str, inside_article: bool, after: str) -> float:
+    """What is left of an element's ratio by its tag, role and class: 0 for one that is no part of an article.
+
+    Names only speak against containers inside an article; outside, those of dropped words alone drop any element
+    but headings. The id of a section that repeats its title (looked up in `after`) says nothing.
+    """
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
+        return 0.0
     if not attr or "=" not in attr and "hidden" not in attr:
-        return False
+        return 1.0
     found = {k.lower(): html.unescape(v.strip("\"'")).lower() for k, v in ATTRIBUTE.findall(attr)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-        return True
+        return 0.0
     if found.get("role") in DROPPED_ROLES:
-        return True
-    if tag in ("html", "body", "main", "article"):
-        return False
+        return 0.0
+    textual = tag in HEADINGS or tag == "p" or tag not in BLOCKS
+    if tag in ("html", "body", "main", "article") or tag in HEADINGS or textual and inside_article:
+        return 1.0
+    weight = 1.0
     for name in [*found.get("class", "").split(), found.get("id", "")]:
         words = WORD.findall(name)
         if not NEGATIONS.isdisjoint(words):
             continue
-        if not DROPPED_WORDS.isdisjoint(words) or "header" in words and not inside_article:
-            return True
-    return False
+        if "header" in words and not inside_article:
+            return 0.0
+        if DROPPED_WORDS.isdisjoint(words):
+            continue
+        if tag == "section" and inside_article and name == found.get("id"):
+            title = OWN_TITLE.match(after)
+            if title and set(words) <= set(WORD.findall(html.unescape(MARKUP.sub("", title[2])).lower())):
+                continue
+        sure = all(w in DROPPED_WORDS or w in FRAME_WORDS or w.isdigit() for w in words)
+        if sure and not inside_article:
+            return 0.0
+        if not textual:
+            weight = min(weight, SURE_PENALTY if sure else PENALTY)
+    return weight
 
 
-def blocks_of(page: str) -> tuple[list[Block], list[int], list[str]]:
-    """Text blocks of a page in order, and for every container the one around it (-1 for none) and its tag."""
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, dropped, container, inside an article
+def blocks_of(page: str) -> tuple[list[Block], list[int], list[str], list[float]]:
+    """Text blocks of a page in order, for every container the one around it (-1 for none) and its tag, and the penalties of penalised elements."""
+    stack: list[tuple[str, bool, int, bool, int]] = []  # tag, dropped, container, inside an article, penalised element
+    penalties: list[float] = []
     around: list[int] = []
     tags: list[str] = []
     blocks: list[Block] = []
@@ -108,7 +139,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[str]]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                blocks.append(Block(tuple(s[0] for s in stack if s[0] in BLOCKS), stack[-1][2] if stack else -1, text, min(linked, len(text))))
+                _, _, container, inside, penalised = stack[-1] if stack else ("", False, -1, False, -1)
+                blocks.append(Block(tuple(s[0] for s in stack if s[0] in BLOCKS), container, text, min(linked, len(text)), penalised, inside))
             pieces.clear()
         linked = 0
 
@@ -155,8 +187,12 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[str]]:
             flush()
         if tag in VOID:
             continue
-        _, dropped, container, inside = stack[-1] if stack else ("", False, -1, False)
-        dropped = dropped or _dropped(tag, found["attr"], inside)
+        _, dropped, container, inside, penalised = stack[-1] if stack else ("", False, -1, False, -1)
+        weight = 0.0 if dropped else _weight(tag, found["attr"], inside, page[at : at + TITLE_REACH] if tag == "section" else "")
+        dropped = weight == 0
+        if 0 < weight < (penalties[penalised] if penalised >= 0 else 1):
+            penalties.append(weight)
+            penalised = len(penalties) - 1
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else len(page)
@@ -165,10 +201,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[str]]:
             around.append(container)
             tags.append(tag)
             container = len(around) - 1
-        stack.append((tag, dropped, container, inside or tag in ("article", "main")))
+        stack.append((tag, dropped, container, inside or tag in ("article", "main"), penalised))
     pop_to(0)
     flush()
-    return blocks, around, tags
+    return blocks, around, tags, penalties
 
 
 def _ratio(chars: float, linked: float, marks: float, count: float) -> float:
@@ -177,6 +213,25 @@ def _ratio(chars: float, linked: float, marks: float, count: float) -> float:
     return chars * free * free * (1 + math.log1p(marks / count)) * (1 + math.log1p(chars / count) / 8)
 
 
+def _unpenalised(blocks: list[Block], penalties: list[float]) -> list[Block]:
+    """Without the penalised elements whose ratio per block, so lessened, is below a share of that of the other text.
+
+    Where there is an article, names like theirs outside of it drop them.
+    """
+    def per_block(part: list[Block]) -> float:
+        part = [b for b in part if not b.path or b.path[-1] not in HEADINGS] or part
+        return _ratio(*(sum(x) for x in zip(*((b.chars, b.linked, len(PUNCTUATION.findall(b.text)), 1) for b in part)))) / len(part) if part else 0.0
+
+    free = [b for b in blocks if b.penalised < 0]
+    article = [b for b in free if b.inside]
+    usual = per_block(article or free)
+    of: dict[int, list[Block]] = {}
+    for b in blocks:
+        of.setdefault(b.penalised, []).append(b)
+    out = {e for e, part in of.items() if e >= 0 and (article and not part[0].inside or penalties[e] * per_block(part) < LEAST_SHARE * usual)}
+    return [b for b in blocks if b.penalised not in out]
+
+
 def _nearest(around: list[int], tags: list[str], tag: str) -> list[int]:
     """For every container the innermost one of that tag that is or holds it, or -1; the last entry is for blocks outside any."""
     out = [-1] * (len(around) + 1)
@@ -187,7 +242,9 @@ def _nearest(around: list[int], tags: list[str], tag: str) -> list[int]:
 
 def main_text(page: str | None) -> str:
     """Blocks of the paths that hold the article, and what lies among them, in page order, one to a line."""
-    blocks, around, tags = blocks_of(page or "")
+    blocks, around, tags, penalties = blocks_of(page or "")
+    if penalties:
+        blocks = _unpenalised(blocks, penalties)
     if not blocks:
         return ""
     sums: dict[tuple, list[float]] = {}

@@ -68,6 +68,24 @@ def test_text_between_and_beside_kept_blocks_stays_and_links_go():
     assert html.main_text(page) == f"Head\nLead, short.\n{long}\nx = 1\n{long}"
 
 
+TEXT = "Some sentence of the article, of usual length and with marks. "
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>"])
+@pytest.mark.parametrize("part", [
+    "<h2 id=search-algorithms>{}</h2>", "<section id=related-work>{}</section>", "<p class=share-price>{}</p>",
+    "<section id=copyright-law><p>{}</p></section>", "<div id=login-flow>{}</div>", "<p>a <span class=ad-rate>{}</span> b</p>",
+])
+def test_names_that_sound_like_noise_lose_no_text(around, part):
+    own = TEXT.strip()
+    assert own in html.main_text(f"<body>{around.format(f'<h1>T</h1><p>{TEXT * 5}</p>{part.format(own)}<p>{TEXT * 5}</p>')}</body>")
+
+
+def test_ids_that_repeat_the_title_and_sure_names_inside_an_article():
+    page = f"<article><p>{TEXT * 9}</p><section id=search><h2>Search</h2><p>{TEXT}</p></section><h2 id=search>Search again</h2><div class='share-buttons'>Share this, now.</div><ul class='related-posts'><li>{TEXT}</ul><div class=comments><p>{TEXT}</p></div></article>"
+    assert html.main_text(page) == "\n".join([(TEXT * 9).strip(), "Search", TEXT.strip(), "Search again"])
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "<p>a<b", "</p></div>x", "<script>", "<!--", "<a href='x>y", "<" * 5000, "<p>" * 3000 + "deep", "&am", "a" * 100_000])
 def test_broken_markup_does_not_fail(page):
     assert isinstance(html.main_text(page), str)
