@@ -193,7 +193,7 @@ def blocks(texts: DataFrame) -> DataFrame:
 
 def _sides(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(core, whole, n, ext, left, right): the bytes beside the core of each block in `wanted`, from whole texts."""
-    places = wanted.groupBy("text_key", "doc_id").agg(F.collect_list(F.struct("at", "core", "whole", "n", "ext")).alias("places"))
+    places = wanted.groupBy("text_key", "unnamed", "carrier").agg(F.collect_list(F.struct("at", "core", "whole", "n", "ext")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +215,7 @@ def _sides(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     )
 
     return (
-        texts.join(places, ["text_key", "doc_id"]).select(F.encode("text", "UTF-8").alias("raw"), "places")
+        texts.join(places, ["text_key", "unnamed", "carrier"]).select(F.encode("text", "UTF-8").alias("raw"), "places")
         .mapInArrow(run, "core long, whole long, n long, ext int, left binary, right binary")
     )
 
@@ -368,12 +368,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_core = contexts.groupBy("core").agg(F.count("*").alias("contexts"), F.sum("n").alias("total")).where("total > 1")
     open_blocks, _ = materialize(contexts.join(per_core, "core").select("core", "whole", "n", "ext", "place.text_key", "place.at", "contexts"))
 
-    carriers = long_texts.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
+    # the row that gives a text's bytes: that of its smallest id, or one for all rows without an id
+    unnamed = long_texts.where("doc_id IS NULL").groupBy("text_key").agg(F.first("text").alias("text"), F.lit(True).alias("unnamed"), F.lit(0).cast("long").alias("carrier"))
+    carrying = long_texts.where("doc_id IS NOT NULL").select("text_key", "text", F.lit(False).alias("unnamed"), F.col("doc_id").alias("carrier")).unionByName(unnamed)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("carrier")))
+    carriers = long_texts.groupBy("text_key").agg(best.alias("best")).select("text_key", "best.*")
     mixed = open_blocks.where("contexts > 1").join(carriers, "text_key")
-    decided = _resolve(_sides(long_texts, mixed.where(F.col("contexts") <= GROUP_LIMIT)), work_partitions(spark))
+    decided = _resolve(_sides(carrying, mixed.where(F.col("contexts") <= GROUP_LIMIT)), work_partitions(spark))
     crowded = mixed.where(F.col("contexts") > GROUP_LIMIT)
     if not open_blocks.where(F.col("contexts") > GROUP_LIMIT).isEmpty():
-        decided = decided.unionByName(_count_strings(_sides(long_texts, crowded)))
+        decided = decided.unionByName(_count_strings(_sides(carrying, crowded)))
     decided = decided.unionByName(open_blocks.where("contexts = 1").select("core", "whole", F.lit(None).cast("binary").alias("mask")))
 
     marks = (

@@ -62,6 +62,16 @@ def test_empty_table_repeated_rows_and_null_ids(spark):
     assert suffix.remove_repeats(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [suffix.GROUP_LIMIT, 3])
+def test_partly_shared_passages_of_rows_without_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix, "GROUP_LIMIT", limit)
+    texts = hard_texts()
+    ids = [None if k % 3 else k for k in range(len(texts))]
+    docs = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)], "doc_id long, text string").repartition(5)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(docs).collect())
+    assert got == sorted((str(i), *b) for i, b in zip(ids, brute(texts)))
+
+
 def test_order_is_that_of_sorted_rows():
     rng = np.random.default_rng(3)
     group = np.sort(rng.integers(0, 20, 3000))
