@@ -1,8 +1,8 @@
 """Personal data: patterns find protected values, corpus co-occurrence finds words that give them away.
 
 A word discloses a value when knowing the word makes the value near certain: of all documents with the word a
-large part hold the value, measured as information gained over the value's own frequency. Such words beside the
-value are marked as well, and spans are replaced by what kind of thing they are.
+large part hold the value, measured as information gained over the value's own frequency. Such words are marked
+as well, in all texts, and spans are replaced by what kind of thing they are.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +31,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?\"'()[]{}<>|*&%$#"
-#: Words looked at on either side of a value, distinct surroundings a pair needs, least share of the word's
-#: documents that hold the value, and least information gained (bits).
-NEAR_WORDS = 5
-LEAST_SURROUNDINGS = 3
+#: Different texts a pair needs, and how many by the mean number of different least hashes (of SKETCHES); least
+#: share of the word's texts that hold the value, and least information gained (bits).
+LEAST_TEXTS = 3
+LEAST_DIFFERENT = 2.5
+SKETCHES = 4
 LEAST_SHARE = 0.5
 LEAST_BITS = 6.0
 BROADCAST_TERMS = 1_000_000
@@ -85,48 +87,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _neighbours(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-    """(word, start, end) of up to NEAR_WORDS words on either side of a span, without surrounding punctuation."""
-    left_from = start
-    for _ in range(NEAR_WORDS):  # step over words and the white space before them
-        while left_from > 0 and text[left_from - 1] in " \t\n\x0b\x0c\r":
-            left_from -= 1
-        while left_from > 0 and text[left_from - 1] not in " \t\n\x0b\x0c\r":
-            left_from -= 1
-    found = list(WORD.finditer(text, left_from, start))[-NEAR_WORDS:]
-    after = WORD.finditer(text, end)
-    found += [m for m, _ in zip(after, range(NEAR_WORDS))]
-    out = []
-    for m in found:
+def _words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of the words of a text that touch none of its spans, without surrounding punctuation."""
+    k, reach = 0, 0  # furthest end of the spans that start before the word's end
+    for m in WORD.finditer(text):
         word = m.group()
         kept = word.strip(EDGE)
         if kept and any(c.isalpha() for c in kept):
             at = m.start() + word.index(kept)
-            out.append((kept.lower(), at, at + len(kept)))
-    return out
+            while k < len(spans) and spans[k][0] < at + len(kept):
+                reach = max(reach, spans[k][2])
+                k += 1
+            if reach <= at:
+                yield kept.lower(), at, at + len(kept)
 
 
 def _shown(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, kind, e in spans)
 
 
+def _sketch(words: list[str]) -> list[int]:
+    """Least hashes of the word triples of a text."""
+    triples = {" ".join(words[k : k + 3]).encode() for k in range(max(1, len(words) - 2))}
+    return np.array([np.frombuffer(hashlib.blake2b(t, digest_size=8 * SKETCHES).digest(), "<i8") for t in triples]).min(0).tolist()
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans of every row of `docs` (doc_id, text_id, text), and the words around each, with a hash of the surroundings.
+    """Base spans of every row of `docs` (doc_id, text_id, text) and its different values.
 
-    Columns: doc_id, text_id, n_email, n_ip, n_card, n_phone, base_sha256, base (joined spans), around: list of
-    (value, surroundings, term, start, end).
+    Columns: doc_id, text_id, n_email, n_ip, n_card, n_phone, base_sha256, base (joined spans), held (values), and for
+    texts that hold any: words (different ones), sketch (least hashes of word triples).
     """
-    schema = (
-        "doc_id long, text_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-        "around array<struct<value:string,surroundings:long,term:string,start:int,stop:int>>"
-    )
-    around = pa.list_(pa.struct([("value", pa.string()), ("surroundings", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+    schema = "doc_id long, text_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, held array<string>, words array<string>, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in range(0, batch.num_rows, 1024):
                 part = batch.slice(p, 1024)
-                counts, shas, bases, words = ([], [], [], []), [], [], []
+                counts, shas, bases, held, terms, least = ([], [], [], []), [], [], [], [], []
                 for text in part.column(2):
                     text = text.as_py() or ""
                     spans = base_spans(text)
@@ -134,60 +132,99 @@ def scan(docs: DataFrame) -> DataFrame:
                         counts[k].append(sum(s[1] == k for s in spans))
                     bases.append(_shown([(s, KINDS[k], e) for s, k, e in spans]))
                     shas.append(hashlib.sha256(bases[-1].encode()).hexdigest())
-                    near = []
-                    for s, k, e in spans:
-                        own = [n for n in _neighbours(text, s, e) if not any(n[1] < x[2] and x[0] < n[2] for x in spans)]
-                        place = int.from_bytes(hashlib.blake2b(" ".join(n[0] for n in own).encode(), digest_size=8).digest(), "little", signed=True)
-                        value = KINDS[k] + ":" + text[s:e].lower()
-                        near += [{"value": value, "surroundings": place, "term": t, "start": a, "stop": b} for t, a, b in own]
-                    words.append(near)
+                    held.append(sorted({KINDS[k] + ":" + text[s:e].lower() for s, k, e in spans}))
+                    own = [w for w, _, _ in _words(text, spans)] if spans else []
+                    terms.append(sorted(set(own)))
+                    least.append(_sketch(own) if spans else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(bases, pa.string()), pa.array(words, around)],
-                    names=["doc_id", "text_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "around"],
+                    [part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(bases, pa.string()), *[pa.array(x, pa.list_(pa.string())) for x in (held, terms)], pa.array(least, pa.list_(pa.int64()))],
+                    names=["doc_id", "text_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "held", "words", "sketch"],
                 )
 
     return docs.select("doc_id", "text_id", "text").mapInArrow(run, schema)
 
 
-def _word_counts(texts: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(term, texts_with): in how many different texts each of `terms` stands, over all texts."""
+def _exploded(texts: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """(text_id, term): every row of `texts` (text_id, text) once for each of `terms` in it."""
     terms = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
     words = F.transform(F.split(F.lower("text"), "[ \\t-\\r]+"), lambda w: F.trim(w, F.lit(EDGE)))
-    return (
-        texts.select("text_id", F.explode(F.array_distinct(words)).alias("term")).join(terms, "term", "left_semi")
-        .groupBy("term", "text_id").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count(F.lit(1)).alias("texts_with"))
-    )
+    return texts.select("text_id", F.explode(F.array_distinct(words)).alias("term")).join(terms, "term", "left_semi")
+
+
+def _marked(texts: DataFrame) -> DataFrame:
+    """(text_id, terms): the spans of every occurrence of the words `found` in `texts` (text_id, text, found)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, found in zip(batch.column(1), batch.column(2)):
+                text, found = text.as_py(), set(found.as_py())
+                out.append(_shown([(s, TERM, e) for w, s, e in _words(text, base_spans(text)) if w in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["text_id", "terms"])
+
+    return texts.select("text_id", "text", "found").mapInArrow(run, "text_id string, terms string")
 
 
 def disclosing_words(texts: DataFrame, scanned: DataFrame, least_share: float = LEAST_SHARE, least_bits: float = LEAST_BITS) -> DataFrame:
-    """(text_id, term spans): words beside a value that give it away, by co-occurrence over the whole corpus.
+    """(text_id, term spans): words that give a value away, by co-occurrence in whole texts over the whole corpus, wherever they stand.
 
-    Equal texts count once. A pair of word and value is weighed when it stands in at least three different
-    surroundings; it discloses when at least `least_share` of the texts with the word hold the value and the word
-    tells `least_bits` bits about it: log2(P(value | word) / P(value)).
+    Equal texts count once (each row of m equal ones as 1/m). A pair of word and value is weighed when it stands
+    together in `LEAST_TEXTS` texts that also differ as wholes (near copies of one text have mostly the same least
+    hashes and count as little more than one); it discloses when at least `least_share` of the texts with the word
+    hold the value and the word tells `least_bits` bits about it: log2(P(value | word) / P(value)). Every
+    occurrence of such a word is marked.
     """
-    around = scanned.where(F.size("around") > 0).select("text_id", "around").dropDuplicates(["text_id"])
-    near, _ = materialize(around.select("text_id", F.inline("around")))
-    support = near.groupBy("value", "term").agg(F.countDistinct("surroundings").alias("places"), F.countDistinct("text_id").alias("together"))
-    # a word stands in at least the texts in which it is near some value, so most words are ruled out before any count
-    beside = near.groupBy("term").agg(F.countDistinct("text_id").alias("beside"))
-    hopeful = support.where(F.col("places") >= LEAST_SURROUNDINGS).join(beside, "term").where(F.col("together") >= least_share * F.col("beside"))
-    weighed, n_pairs = materialize(hopeful.drop("beside").withColumn("one", F.lit(True)), "one")
-    empty = near.select("text_id", F.lit("").alias("terms")).where("false")
-    if n_pairs == 0:
+    copies, n_texts = materialize(scanned.groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"), F.first("held").alias("held")).withColumn("one", F.lit(1)), "one")
+    held = copies.where(F.size("held") > 0).select("text_id", F.explode("held").alias("value"))
+    # no word can tell enough bits about a value in more texts than this
+    values = held.groupBy("value").agg(F.count(F.lit(1)).alias("holding")).where((F.col("holding") >= LEAST_TEXTS) & (F.col("holding") <= n_texts / 2**least_bits))
+    values = values.withColumn("value_key", F.xxhash64("value"))
+    holders = held.join(values, "value").groupBy("text_id").agg(F.collect_list(F.struct("value_key", "holding")).alias("values"), F.max("holding").alias("widest"))
+    worded, n_held = materialize(
+        scanned.where(F.size("held") > 0).select("text_id", "words", "sketch").join(holders, "text_id").dropDuplicates(["text_id"]).drop("text_id").withColumn("one", F.lit(True)), "one"
+    )
+    empty = scanned.select("text_id", F.lit("").alias("terms")).where("false")
+    if n_held == 0:
         return empty
-    counts = _word_counts(texts, weighed.select("term").distinct(), n_pairs)
-    values = near.groupBy("value").agg(F.countDistinct("text_id").alias("holding"))
-    n_texts = texts.select("text_id").distinct().count()
-    share = F.col("together") / F.col("texts_with")
-    telling = (
-        weighed.join(counts, "term").join(values, "value").where((share >= least_share) & (F.log2(share * n_texts / F.col("holding")) >= least_bits))
-        .select("value", "term")
+    # a word stands in at least the texts that hold some value, so most words are ruled out before any pair or count
+    beside = (
+        worded.select(F.explode("words").alias("term"), "widest").groupBy("term").agg(F.count(F.lit(1)).alias("beside"), F.max("widest").alias("widest"))
+        .where((F.col("beside") >= LEAST_TEXTS) & (least_share * F.col("beside") <= F.col("widest"))).drop("widest")
     )
-    spans = near.join(telling, ["value", "term"]).groupBy("text_id", "start", "stop").agg(F.lit(TERM).alias("kind"))
-    return spans.groupBy("text_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "stop"))), lambda s: F.concat(F.lit(TERM + ":"), s["start"], F.lit(":"), s["stop"])), ",").alias("terms")
+    beside, n_beside = materialize(beside.withColumn("one", F.lit(True)), "one")
+    beside = F.broadcast(beside) if n_beside <= BROADCAST_TERMS else beside
+    pairs = (
+        worded.select(F.explode("words").alias("term"), "values", "sketch").join(beside, "term")
+        .select("term", "sketch", "beside", F.explode(F.filter("values", lambda v: v["holding"] >= least_share * F.col("beside"))).alias("v"))
+        .select("term", "sketch", "beside", "v.value_key", "v.holding")
     )
+    support = (
+        pairs.groupBy("value_key", "term", "holding", "beside").agg(F.count(F.lit(1)).alias("together"))
+        .where((F.col("together") >= LEAST_TEXTS) & (F.col("together") >= least_share * F.col("beside")))
+    )
+    support, n_pairs = materialize(support.drop("beside").withColumn("one", F.lit(True)), "one")
+    if n_pairs == 0:
+        return empty
+    wanted = support.select("value_key", "term")
+    apart = (
+        pairs.join(F.broadcast(wanted) if n_pairs <= BROADCAST_TERMS else wanted, ["value_key", "term"], "left_semi")
+        .select("value_key", "term", F.posexplode("sketch").alias("k", "least")).groupBy("value_key", "term", "k", "least").agg(F.lit(1).alias("one"))
+        .groupBy("value_key", "term").agg((F.count(F.lit(1)) / SKETCHES).alias("different"))
+    )
+    weighed, n_pairs = materialize(support.join(apart.where(F.col("different") >= LEAST_DIFFERENT), ["value_key", "term"]).withColumn("one", F.lit(True)), "one")
+    if n_pairs == 0:
+        return empty
+    again, n_again = materialize(copies.where("copies > 1").select("text_id", "copies").withColumn("one", F.lit(True)), "one")
+    standing = _exploded(texts, weighed.select("term").distinct(), n_pairs).join(F.broadcast(again) if n_again <= BROADCAST_TERMS else again, "text_id", "left")
+    counts = standing.groupBy("term").agg(F.round(F.sum(1 / F.coalesce("copies", F.lit(1)))).alias("texts_with"))
+    share = F.col("together") / F.col("texts_with")
+    telling = weighed.join(counts, "term").where((share >= least_share) & (F.log2(share * n_texts / F.col("holding")) >= least_bits)).select("term").distinct()
+    telling, n_telling = materialize(telling.withColumn("one", F.lit(True)), "one")
+    if n_telling == 0:
+        return empty
+    found, n_found = materialize(_exploded(texts, telling, n_telling).groupBy("text_id").agg(F.collect_set("term").alias("found")).withColumn("one", F.lit(True)), "one")
+    found = F.broadcast(found) if n_found <= BROADCAST_TERMS else found
+    return _marked(texts.join(found, "text_id")).where("terms != ''").groupBy("text_id").agg(F.min("terms").alias("terms"))
 
 
 @F.pandas_udf(T.StringType())

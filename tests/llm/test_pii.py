@@ -70,6 +70,20 @@ def test_words_that_disclose(spark):
     assert clean[len(rows) - 1].text == "and of the"
 
 
+def test_telling_words_far_from_the_value_and_without_it(spark):
+    mail, signature = "zed@corp.example.com", "kind regards to you all from"
+    far = [f"a{k} Quibblethorpe b{k} c{k} d{k} e{k} f{k} g{k} h{k}. {signature} {mail} with best wishes for the week. Quibblethorpe! i{k}" for k in range(20)]
+    alone = "met quibblethorpe, on the way"
+    copies = [f"Vexley {' '.join(f'u{k}' for k in range(60))} n{i} vex@copy.example.com" for i in range(3)]
+    other = [f"{signature} m{k}@mail.example.com with best wishes for the week" for k in range(3000)]
+    rows = list(enumerate([*far, alone, *copies, *other]))
+    got = {r.doc_id: r.spans.split(",") for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for i, t in rows[:20]:
+        assert [x for x in got[i] if "term" in x] == [f"term:{m.start()}:{m.end()}" for m in re.finditer("Quibblethorpe", t)]
+    assert got[20] == ["term:4:17"]
+    assert not any("term" in x for i in range(21, len(rows)) for x in got[i])  # near copies of one text tell nothing
+
+
 def test_empty_table_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "call +1 (456) 555-2186"), (1, "a@b.co"), (1, "a@b.co")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.spans) for r in pii.find(docs).collect()) == [("1", "email:0:6"), ("1", "email:0:6"), ("None", "phone:5:22")]
