@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written and read again before the next.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of documents.
-Rows with a null id cannot be named by a decision on ids: they pass near dedup and decontamination as they are.
+Decisions are made by a row key that every row has: its id, or for rows without one a hash of source and text.
 """
 
 from __future__ import annotations
@@ -26,20 +26,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_unknown(docs.select(*COLUMNS))
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """`docs` with `key`: the id, or for rows without one a hash above all usual ids, so that rows with ids go first."""
+    made = F.shiftrightunsigned(F.xxhash64("source", F.col("source").isNull(), "text", F.col("text").isNull()), 2).bitwiseOR(F.lit(1 << 62))
+    return docs.select(*COLUMNS).withColumn("key", F.when(F.col("doc_id").isNull(), made).otherwise(F.col("doc_id")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates stays: the one with the smallest id. Of rows that repeat its id, one stays."""
-    docs = docs.select(*COLUMNS)
-    kept, _ = materialize(near_duplicates(docs, percent=80).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    """One document of every group of near duplicates stays: the one with the smallest key. Of rows that repeat its key, one stays."""
+    docs = with_key(docs)
+    kept, _ = materialize(near_duplicates(docs, percent=80, id_col="key").where("kept").groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("n")))
+    once = docs.join(kept.where("n = 1"), "key", "left_semi")
+    repeated = docs.join(kept.where("n > 1"), "key", "left_semi").dropDuplicates(["key"])
+    return once.unionByName(repeated).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    docs = docs.select(*COLUMNS)
-    held, _ = materialize(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(held, "doc_id", "left_anti")
+    docs = with_key(docs)
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    held, _ = materialize(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct())
+    return docs.join(held, "key", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,6 +153,18 @@ def mix_documents(
     )
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """`docs` with a `row_key`: of id and source, or for rows without an id of source, text and a number among equal rows."""
+    named = F.xxhash64(F.col(id_col).cast("long"), F.col(source_col), F.col(source_col).isNull())
+    own = F.xxhash64(F.col(source_col), F.col(source_col).isNull(), F.col(text_col), F.col(text_col).isNull())
+    number = F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1)))
+    without = docs.where(F.col(id_col).isNull()).withColumn("row_key", own).withColumn("row_number", number)
+    return (
+        docs.where(F.col(id_col).isNotNull()).withColumn("row_key", named)
+        .unionByName(without.withColumn("row_key", F.xxhash64("row_key", "row_number")).drop("row_number"))
+    )
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken, repeats, row_key) of every document, each in its one source.
 
@@ -160,11 +172,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     they are due all words, none more than three times its own. `taken` is size times `repeats`.
 
     Null and blank texts have size 0 and take nothing. Null sources are a source of their own. Rows with the same
-    id and source are decided alike, and each counts; null ids too. Extra columns are ignored; an empty table gives no rows.
+    id and source are decided alike, and each counts; rows without an id are decided one by one. Extra columns are ignored; an empty table gives no rows.
     """
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(source_col), F.col(source_col).isNull())
-    sized, _ = materialize(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("row_key")
+    sized, _ = materialize(_keyed(docs.select(id_col, source_col, text_col), id_col, text_col, source_col).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), "row_key"
     ))
     totals = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     order = sorted((r["source"] for r in totals), key=lambda s: (s is None, s or ""))
@@ -180,5 +191,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The rows of `docs` that the mix of their sources takes, with how often (`repeats`)."""
     taken = mix_sources(docs, id_col, text_col, source_col, seed).where("repeats > 0 AND size > 0").groupBy("row_key").agg(F.min("repeats").alias("repeats"))
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(source_col), F.col(source_col).isNull())
-    return docs.withColumn("row_key", key).join(taken, "row_key").select(*docs.columns, "repeats")
+    return _keyed(docs, id_col, text_col, source_col).join(taken, "row_key").select(*docs.columns, "repeats")

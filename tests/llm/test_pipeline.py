@@ -86,3 +86,20 @@ def test_odd_rows_pass(spark):
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
         empty = spark.createDataFrame([], empty.schema)
+
+
+def test_rows_without_ids_are_decided_like_others(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, long, "en", "s", 1), (None, long, "en", "s", 1), (None, long + " more", "en", "t", 1), (7, long + " x", "en", "s", 1), (None, f"a b {item} c", "en", "s", 1), (None, "quite other", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.near_dedup(spark, docs, SF)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("7", long + " x"), ("None", f"a b {item} c"), ("None", "quite other")])
+    clean = cp.decontaminate(spark, docs, SF)
+    assert sorted(r.text for r in clean.collect()) == sorted(r[1] for r in rows if item not in r[1])
+    many = spark.createDataFrame([(i if i % 3 else None, f"word {i % 50}", "en", "ab"[i % 2], 8) for i in range(600)], docs.schema)
+    sums = {}
+    for r in mixing.mix_sources(many).collect():
+        sums.setdefault((r.source, r.target), []).append(r.taken)
+    assert all(abs(sum(v) - target) <= 2 for (_, target), v in sums.items())
+    assert cp.mix(spark, many, SF).agg({"repeats": "sum"}).first()[0] * 2 == sum(map(sum, sums.values()))
