@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import chat, decontaminate, html, language, minhash, mixing, multiset, pii, suffix, warc
+from maskwright.llm import chat, decontaminate, html, language, minhash, mixing, multiset, pii, spelling, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,37 @@ SELECT page_id, url, regexp_replace(regexp_replace(array_to_string(ls, chr(10)),
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html.extract(read(spark, sf_dir, "pages"))
+
+
+def crc32_sql(codes: str) -> str:
+    """CRC-32 (reflected, as zlib's) of the text with these code points, all at most U+00FF, in UTF-8, bit by bit."""
+    bytes_ = f"flatten(list_transform({codes}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + c // 64, 128 + c % 64] END))"
+    bits = f"flatten(list_transform({bytes_}, lambda v: list_transform(range(0, 8), lambda k: (v::BIGINT >> k::INT) & 1)))"
+    step = "lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}), 4294967295::BIGINT)"
+
+
+CODES_SQL = "list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+
+
+@query("op13_spelling_variants", f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, translate(run, '{UPPER}', '{LOWER}') AS run, count(*) AS n FROM t GROUP BY 1, 2),
+h AS (SELECT run, n, {crc32_sql(CODES_SQL.format(text="coalesce(doc_id::VARCHAR, '') || ':' || run"))} AS h FROM r),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+x AS (SELECT word, n, k, substr(word, 1, k::INT - 1) || substr(word, k::INT + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM w)),
+p AS (
+  SELECT DISTINCT a.word AS a, b.word AS b FROM x a JOIN x b ON a.rest = b.rest AND a.k = b.k AND a.word != b.word
+  UNION SELECT a.word, b.word FROM x a JOIN w b ON a.rest = b.word UNION SELECT b.word, a.word FROM x a JOIN w b ON a.rest = b.word),
+f AS (
+  SELECT a AS word, count(*) AS n_near, min(row(-w.n, encode(b), b)) AS best FROM p JOIN w ON w.word = p.b GROUP BY a),
+g AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * w.n THEN best[3] END AS form, CASE WHEN -best[1] >= 2 * w.n THEN -best[1] END AS form_n
+  FROM w LEFT JOIN f USING (word)),
+c(word, reached, onward) AS (SELECT word, word, form FROM g UNION ALL SELECT c.word, g.word, g.form FROM c JOIN g ON g.word = c.onward)
+SELECT g.word, g.form, c.reached AS root, g.n, g.n_near::BIGINT AS n_near, g.form_n::BIGINT AS form_n FROM g JOIN c ON c.word = g.word AND c.onward IS NULL""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of all words."""
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
