@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import chat, decontaminate, html, language, minhash, mixing, multiset, pii, spelling, suffix, warc
+from maskwright.llm import chat, decontaminate, html, language, minhash, mixing, multiset, pii, simhash, spelling, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +180,9 @@ SELECT g.word, g.form, c.reached AS root, g.n, g.n_near::BIGINT AS n_near, g.for
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants of all words."""
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+@query("op12_simhash_near_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash classes of all documents."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
