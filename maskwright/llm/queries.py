@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import chat, decontaminate, html, language, minhash, mixing, multiset, pii, simhash, spelling, suffix, warc
+from maskwright.llm import chat, decontaminate, html, language, minhash, mixing, multiset, pii, repair, simhash, spelling, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -186,3 +186,57 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def _edit_sql(paid: str, letter: str, line: str, state: str) -> str:
+    return f"{{'c': {paid} + {state}.c, 'a': '{letter}' || {state}.a, 't': {line}{state}.t}}"
+
+
+def _state_sql(q: int, kept: dict[str, int]) -> str:
+    """Cheapest way on from a row in state `q`: delete it, or keep or rerole it where that may be."""
+    made = 3 if q == 2 else 2
+    ways = [f"[{_edit_sql('3', 'D', '', f'r.s{q}')}]", f"CASE WHEN forced THEN [] ELSE [{_edit_sql('2 + cut', 'R', f"""['{'assistant' if made == 3 else 'user'}:' || text] || """, f'r.s{made}')}] END"]
+    ways += [f"CASE WHEN forced OR initial != '{c}' THEN [] ELSE [{_edit_sql('cut', 'K', "[role || ':' || text] || ", f'r.s{to}')}] END" for c, to in kept.items()]
+    return f"list_min({' || '.join(ways)})"
+
+
+@query("op11_conversation_repair", f"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql(CODES_SQL.format(text="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"))} % 20 AS k
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM o WHERE k != 0),
+p AS (
+  SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS empty,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place
+  FROM d),
+f AS (
+  SELECT *, empty OR seen AS forced, NOT empty AND seen AS again,
+    (NOT empty AND NOT seen AND regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?'))::BIGINT AS cut,
+    place > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial NOT IN ('su', 'ua', 'au') AS odd
+  FROM p),
+s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, sum(empty::INT)::BIGINT AS blank, sum(again::INT)::BIGINT AS duplicate,
+    sum(cut)::BIGINT AS truncated, sum(odd::INT)::BIGINT AS illegal, max(place) AS n
+  FROM f GROUP BY conv_id),
+r(conv_id, place, s0, s1, s2, s3) AS (
+  SELECT conv_id, n, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}}, {{'c': 4::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']}},
+    {{'c': 2::BIGINT, 'a': 'I', 't': ['assistant:']}}, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} FROM s
+  UNION ALL
+  SELECT conv_id, place, list_min([b0, {_edit_sql('2', 'I', "['user:'] || ", 'm2')}]), list_min([b1, {_edit_sql('2', 'I', "['user:'] || ", 'm2')}]), m2,
+    list_min([b3, {_edit_sql('2', 'I', "['user:'] || ", 'b2')}])
+  FROM (
+    SELECT *, list_min([b2, {_edit_sql('2', 'I', "['assistant:'] || ", 'b3')}]) AS m2 FROM (
+      SELECT r.conv_id, r.place - 1 AS place, {_state_sql(0, {'s': 1, 'u': 2})} AS b0, {_state_sql(1, {'u': 2})} AS b1, {_state_sql(2, {'a': 3})} AS b2, {_state_sql(3, {'u': 2})} AS b3
+      FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.place = r.place) AS x) AS y)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(r.s0.c, 0) AS cost, coalesce(r.s0.a, '') AS audit, sha256(coalesce(array_to_string(r.s0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN r ON r.place = 0 AND r.conv_id IS NOT DISTINCT FROM i.conv_id""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair."""
+    return repair.repair(repair.damaged(read(spark, sf_dir, "conversations")))
