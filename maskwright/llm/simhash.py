@@ -1,7 +1,7 @@
 """SimHash near duplicates: deletion-variant signatures of fewer segments than differing bits.
 
 With at most four differing bits and three segments, some segment differs in one bit at most. Every segment is
-indexed as a whole and once for every bit with that bit left out; equal entries are joined and verified.
+indexed as a whole and once for every bit with that bit left out; equal entries are brought together and verified.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ SHINGLE, SEED, BITS = 4, 42, 64
 #: Differing bits of a link; first bits of the segments, and the end.
 DISTANCE = 4
 CUTS = (0, 21, 42, 64)
-#: Shingles counted at once; fingerprints of an entry above which pairs are compared in blocks of tasks.
-PIECE, BLOCK = 1 << 15, 1024
+#: Shingles counted at once; fingerprints of an entry above which pairs are compared in blocks of tasks, and up to
+#: which all of them are compared at once; rows compared together; largest list of crowded entries that is broadcast.
+PIECE, BLOCK, FEW, GATHERED, BROADCAST_BYTES = 1 << 15, 1024, 8, 1 << 16, 8 << 20
 
 
 def _fingerprint(text: str | None) -> int:
@@ -69,85 +70,115 @@ def entries() -> list[tuple[int, int]]:
     return out
 
 
-def _index(distinct: DataFrame) -> DataFrame:
-    """(entry, rest, side, bits): `rest` is what the entry keeps, `side` the value of the bit that it leaves out.
-
-    Entries that leave a bit out bring together only fingerprints that differ there, so a pair whose segments
-    agree stands in the whole segment's entry alone.
-    """
-    made = [
-        F.struct(F.lit(k).cast("short").alias("entry"), F.col("bits").bitwiseAND(F.lit(mask)).alias("rest"), (F.col("bits").bitwiseAND(F.lit(bit)) != 0).alias("side"))
-        for k, (mask, bit) in enumerate(entries())
-    ]
-    return distinct.select("bits", F.explode(F.array(*made)).alias("e")).select("e.entry", "e.rest", "e.side", "bits")
-
-
-def _near(a: Column | str, b: Column | str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
+WHOLE = [k for k, (_, bit) in enumerate(entries()) if bit == 0]
 
 
-WHOLE = [k for k, (_, bit) in enumerate(entries()) if bit == 0]
+def _entries_of(bits: Column, numbers: list[int]) -> Column:
+    """(entry, rest) of a fingerprint for the index entries `numbers`; `rest` is what the entry keeps."""
+    masks = [entries()[k][0] for k in numbers]
+    return F.array(*[F.struct(F.lit(k).cast("short").alias("entry"), bits.bitwiseAND(F.lit(m)).alias("rest")) for k, m in zip(numbers, masks)])
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between components, one for each pair of components and tile at most.
+def _crowded(distinct: DataFrame) -> tuple[DataFrame, int]:
+    """(entry, rest, blocks) of index entries that may hold more than `BLOCK` fingerprints, and how many they are.
 
-    `rows`: entry, rest, side, bits, component, block and block pair (i, j): a tile holds two blocks of an entry.
+    An entry without a bit holds two whole segments, so its size follows from theirs.
     """
-    counts = np.array([bin(k).count("1") for k in range(1 << 16)], np.uint8)
-
-    def run(table: pa.Table) -> pa.Table:
-        bits, comp = table["bits"].to_numpy().view(np.uint64), table["component"].to_numpy()
-        side, block = np.asarray(table["side"].to_pylist(), bool), table["block"].to_numpy()
-        i, j, whole = table["i"][0].as_py(), table["j"][0].as_py(), table["entry"][0].as_py() in WHOLE
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for x in left:
-            y = right[comp[right] != comp[x]]
-            if not whole:
-                y = y[side[y] != side[x]]
-            apart = (bits[y] ^ bits[x])[:, None].view(np.uint16)
-            for k in y[counts[apart].sum(1) <= DISTANCE]:
-                best.setdefault((min(comp[x], comp[k]), max(comp[x], comp[k])), (int(bits[x : x + 1].view(np.int64)[0]), int(bits[k : k + 1].view(np.int64)[0])))
-        return pa.table({"a": pa.array([a for a, _ in best.values()], pa.int64()), "b": pa.array([b for _, b in best.values()], pa.int64())})
-
-    return rows.groupBy("entry", "rest", "i", "j").applyInArrow(run, "a long, b long")
+    whole = distinct.select(F.inline(_entries_of(F.col("bits"), WHOLE))).groupBy("entry", "rest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK // 2)
+    made = None
+    for number, upto in zip(WHOLE, [*WHOLE[1:], len(entries())]):
+        part = whole.where(F.col("entry") == number).select("n", F.inline(_entries_of(F.col("rest"), [*range(number, upto)])))
+        made = part if made is None else made.unionByName(part)
+    sized = made.groupBy("entry", "rest").agg(F.sum("n").alias("n")).select("entry", "rest", F.ceil((F.col("n") + BLOCK // 2) / BLOCK).cast("int").alias("blocks"))
+    return materialize(sized.withColumn("one", F.lit(True)), "one")
+
+
+_ONES = np.array([bin(k).count("1") for k in range(1 << 16)], np.uint8)
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which fingerprints (uint64) differ in `DISTANCE` bits at most."""
+    return _ONES[np.ascontiguousarray(x ^ y)[:, None].view(np.uint16)].sum(1) <= DISTANCE
+
+
+def _tile(bits: np.ndarray, other: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that hold the tile's fingerprints together, fewer than there are; `other` [i, j] rows are a pair to try when they differ in it."""
+    part = np.arange(len(bits))
+    for x in range(len(bits)):
+        y = np.flatnonzero(part[x + 1 :] != part[x]) + x + 1
+        y = y[(other[y] != other[x]).all(1)]
+        for k in y[_near(bits[y], bits[x])]:
+            if part[k] != part[x]:
+                part[part == part[k]] = part[x]
+                yield x, k
+
+
+def _compare(rows: pa.Table) -> pa.RecordBatch:
+    """Links inside whole index entries: all near pairs of small ones, a spanning forest of larger ones."""
+    entry, bits = rows["entry"].to_numpy(), rows["bits"].to_numpy().view(np.uint64)
+    key = np.stack([entry.astype(np.int64), *[rows[c].to_numpy() for c in ("rest", "i", "j")]], 1)
+    edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+    size = np.diff(np.append(edge, len(key)))
+    left_out = np.array([bit for _, bit in entries()], np.int64).view(np.uint64)[entry]
+    side = (bits & left_out) != 0
+    first, second = [], []
+    for gap in range(1, FEW):  # pairs of rows that stand so far apart in an entry of few
+        at = np.concatenate([edge[size == n][:, None] + np.arange(n - gap) for n in range(gap + 1, FEW + 1)] or [edge[:0]], axis=None)
+        block = rows["block"].to_numpy()
+        tried = ((left_out[at] == 0) | (side[at] != side[at + gap])) & ((key[at, 2] == key[at, 3]) | (block[at] != block[at + gap]))
+        at = at[tried]
+        at = at[_near(bits[at], bits[at + gap])]
+        first.append(at)
+        second.append(at + gap)
+    for at, n in zip(edge[size > FEW].tolist(), size[size > FEW].tolist()):
+        span = slice(at, at + n)
+        apart = np.arange(n) if left_out[at] == 0 else side[span].astype(int)
+        blocks = np.arange(n) if key[at, 2] == key[at, 3] else rows["block"].slice(at, n).to_numpy()
+        found = np.array([*_tile(bits[span], np.stack([apart, blocks], 1))], np.int64).reshape(-1, 2) + at
+        first.append(found[:, 0])
+        second.append(found[:, 1])
+    a, b = (bits[np.concatenate(x).astype(np.int64)].view(np.int64) for x in (first, second))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares rows that come in order of their entries; an entry (or its pair of blocks) is never cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < GATHERED:
+            continue
+        rows = pa.Table.from_batches(held)
+        key = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("entry", "rest", "i", "j")], 1)
+        edge = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        if len(edge):
+            yield _compare(rows.slice(0, int(edge[-1])))
+            held = rows.slice(int(edge[-1])).to_batches()
+    if held:
+        yield _compare(pa.Table.from_batches(held))
 
 
 def components_of(distinct: DataFrame) -> DataFrame:
-    """(bits, component) of all different fingerprints: the smallest number that links of `DISTANCE` bits reach.
+    """(bits, component) of all different fingerprints (`bits`): the smallest number that links of `DISTANCE` bits reach.
 
-    First every fingerprint of an entry is tried against the entry's smallest one, which joins what is crowded.
-    Only entries whose fingerprints still lie in several components are compared pair by pair, and there only pairs
-    of different components: in the join itself where an entry is small, in tiles of two blocks where it is large.
+    Equal index entries meet by one shuffle. A pair whose segments agree is tried in the whole segment's entry; an entry
+    without a bit brings together only fingerprints that differ there. Entries that may be large are dealt out as pairs
+    of blocks, and every tile gives fewer links than it has fingerprints.
     """
-    spark = distinct.sparkSession
-    index = _index(distinct)
-    stats = index.groupBy("entry", "rest").agg(F.min("bits").alias("hub"), F.count(F.lit(1)).alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
-    # entries that leave a bit out matter only when both values of it occur
-    stats = stats.where((F.col("n") > 1) & (F.col("entry").isin(WHOLE) | (F.col("low") != F.col("high")))).drop("low", "high")
-    active, _ = materialize(index.join(stats, ["entry", "rest"]))
-    stars = active.where((F.col("bits") != F.col("hub")) & _near("bits", "hub")).select(F.col("hub").alias("a"), F.col("bits").alias("b")).distinct()
-    stars, _ = materialize(stars)
-    reached, _ = materialize(connected_components(stars))
-    labelled = active.join(reached.select(F.col("doc_id").alias("bits"), F.col("component_id").alias("component")), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
-    labelled, _ = materialize(labelled.drop("hub"))
-    mixed = labelled.groupBy("entry", "rest").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("entry", "rest")
-    open_rows, _ = materialize(labelled.join(mixed, ["entry", "rest"]))
-    small, large = open_rows.where(F.col("n") <= BLOCK), open_rows.where(F.col("n") > BLOCK)
-    one, other = small.alias("one"), small.alias("other")
-    pairs = one.join(other, ["entry", "rest"]).where(
-        (F.col("one.component") < F.col("other.component")) & (F.col("entry").isin(WHOLE) | (F.col("one.side") != F.col("other.side"))) & _near("one.bits", "other.bits")
-    ).groupBy(F.col("one.component").alias("x"), F.col("other.component").alias("y")).agg(F.min(F.struct(F.col("one.bits").alias("a"), F.col("other.bits").alias("b"))).alias("p")).select("p.a", "p.b")
-    tiles = (
-        large.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(bits), blocks) as int)"))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("entry", "rest", "side", "bits", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .repartition(work_partitions(spark), "entry", "rest", "i", "j")
-    )
-    crossing, n_crossing = materialize(pairs.unionByName(_across(tiles)).withColumn("one", F.lit(True)), "one")
-    final = connected_components(stars.unionByName(crossing)) if n_crossing else reached
-    return distinct.join(final.select(F.col("doc_id").alias("bits"), F.col("component_id").alias("component")), "bits", "left").select("bits", F.coalesce("component", "bits").alias("component"))
+    index = distinct.select("bits", F.inline(_entries_of(F.col("bits"), [*range(len(entries()))])))
+    crowded, n_crowded = _crowded(distinct)
+    if n_crowded == 0:
+        dealt = index.select("*", *[F.lit(0).alias(c) for c in ("block", "i", "j")])
+    else:
+        sized = index.join(F.broadcast(crowded) if n_crowded * 16 <= BROADCAST_BYTES else crowded, ["entry", "rest"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = (
+            sized.withColumn("block", F.expr("cast(pmod(xxhash64(bits), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            .select("bits", "entry", "rest", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        )
+    placed = dealt.repartition(work_partitions(distinct.sparkSession), "entry", "rest", "i", "j").sortWithinPartitions("entry", "rest", "i", "j")
+    links, _ = materialize(placed.mapInArrow(_links, "a long, b long").distinct())
+    reached = connected_components(links).select(F.col("doc_id").alias("bits"), F.col("component_id").alias("component"))
+    return distinct.join(reached, "bits", "left").select("bits", F.coalesce("component", "bits").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

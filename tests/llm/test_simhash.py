@@ -36,7 +36,7 @@ def classes(ids, prints):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 3])
+@pytest.mark.parametrize("block", [simhash.BLOCK, 4])
 def test_matches_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)
     texts = drifting_copies() + ["x " * 9000, "A\x0bB c d", "1 2 3"]
