@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from maskwright.session import materialize
 
@@ -39,6 +39,8 @@ SKETCHES = 4
 LEAST_SHARE = 0.5
 LEAST_BITS = 6.0
 BROADCAST_TERMS = 1_000_000
+#: Bytes of telling words up to which every task has all of them; characters of texts that are handled at once.
+BROADCAST_BYTES, PIECE_CHARS = 16 << 20, 1 << 20
 REPLACEMENT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", TERM: "[REDACTED]"}
 
 
@@ -112,6 +114,19 @@ def _sketch(words: list[str]) -> list[int]:
     return np.array([np.frombuffer(hashlib.blake2b(t, digest_size=8 * SKETCHES).digest(), "<i8") for t in triples]).min(0).tolist()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose texts (column `at`) have about `PIECE_CHARS` bytes together, or one longer text."""
+    for batch in batches:
+        size = batch.column(at).cast(pa.large_string())
+        ends = np.cumsum(np.array(pa.compute.binary_length(size).fill_null(0), dtype=np.int64))
+        first = 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            end = max(first + 1, int(np.searchsorted(ends, before + PIECE_CHARS, side="right")))
+            yield batch.slice(first, end - first)
+            first = end
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans of every row of `docs` (doc_id, text_id, text) and its different values.
 
@@ -121,25 +136,23 @@ def scan(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, text_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, held array<string>, words array<string>, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in range(0, batch.num_rows, 1024):
-                part = batch.slice(p, 1024)
-                counts, shas, bases, held, terms, least = ([], [], [], []), [], [], [], [], []
-                for text in part.column(2):
-                    text = text.as_py() or ""
-                    spans = base_spans(text)
-                    for k in range(4):
-                        counts[k].append(sum(s[1] == k for s in spans))
-                    bases.append(_shown([(s, KINDS[k], e) for s, k, e in spans]))
-                    shas.append(hashlib.sha256(bases[-1].encode()).hexdigest())
-                    held.append(sorted({KINDS[k] + ":" + text[s:e].lower() for s, k, e in spans}))
-                    own = [w for w, _, _ in _words(text, spans)] if spans else []
-                    terms.append(sorted(set(own)))
-                    least.append(_sketch(own) if spans else [])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(bases, pa.string()), *[pa.array(x, pa.list_(pa.string())) for x in (held, terms)], pa.array(least, pa.list_(pa.int64()))],
-                    names=["doc_id", "text_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "held", "words", "sketch"],
-                )
+        for part in _pieces(batches, 2):
+            counts, shas, bases, held, terms, least = ([], [], [], []), [], [], [], [], []
+            for text in part.column(2):
+                text = text.as_py() or ""
+                spans = base_spans(text)
+                for k in range(4):
+                    counts[k].append(sum(s[1] == k for s in spans))
+                bases.append(_shown([(s, KINDS[k], e) for s, k, e in spans]))
+                shas.append(hashlib.sha256(bases[-1].encode()).hexdigest())
+                held.append(sorted({KINDS[k] + ":" + text[s:e].lower() for s, k, e in spans}))
+                own = [w for w, _, _ in _words(text, spans)] if spans else []
+                terms.append(sorted(set(own)))
+                least.append(_sketch(own) if spans else [])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(bases, pa.string()), *[pa.array(x, pa.list_(pa.string())) for x in (held, terms)], pa.array(least, pa.list_(pa.int64()))],
+                names=["doc_id", "text_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "held", "words", "sketch"],
+            )
 
     return docs.select("doc_id", "text_id", "text").mapInArrow(run, schema)
 
@@ -151,28 +164,13 @@ def _exploded(texts: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     return texts.select("text_id", F.explode(F.array_distinct(words)).alias("term")).join(terms, "term", "left_semi")
 
 
-def _marked(texts: DataFrame) -> DataFrame:
-    """(text_id, terms): the spans of every occurrence of the words `found` in `texts` (text_id, text, found)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, found in zip(batch.column(1), batch.column(2)):
-                text, found = text.as_py(), set(found.as_py())
-                out.append(_shown([(s, TERM, e) for w, s, e in _words(text, base_spans(text)) if w in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["text_id", "terms"])
-
-    return texts.select("text_id", "text", "found").mapInArrow(run, "text_id string, terms string")
-
-
-def disclosing_words(texts: DataFrame, scanned: DataFrame, least_share: float = LEAST_SHARE, least_bits: float = LEAST_BITS) -> DataFrame:
-    """(text_id, term spans): words that give a value away, by co-occurrence in whole texts over the whole corpus, wherever they stand.
+def telling_words(texts: DataFrame, scanned: DataFrame, least_share: float = LEAST_SHARE, least_bits: float = LEAST_BITS) -> tuple[DataFrame, int]:
+    """(term) and how many: words that give a value away, by co-occurrence in whole texts over the whole corpus.
 
     Equal texts count once (each row of m equal ones as 1/m). A pair of word and value is weighed when it stands
     together in `LEAST_TEXTS` texts that also differ as wholes (near copies of one text have mostly the same least
     hashes and count as little more than one); it discloses when at least `least_share` of the texts with the word
-    hold the value and the word tells `least_bits` bits about it: log2(P(value | word) / P(value)). Every
-    occurrence of such a word is marked.
+    hold the value and the word tells `least_bits` bits about it: log2(P(value | word) / P(value)).
     """
     copies, n_texts = materialize(scanned.groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"), F.first("held").alias("held")).withColumn("one", F.lit(1)), "one")
     held = copies.where(F.size("held") > 0).select("text_id", F.explode("held").alias("value"))
@@ -183,9 +181,9 @@ def disclosing_words(texts: DataFrame, scanned: DataFrame, least_share: float =
     worded, n_held = materialize(
         scanned.where(F.size("held") > 0).select("text_id", "words", "sketch").join(holders, "text_id").dropDuplicates(["text_id"]).drop("text_id").withColumn("one", F.lit(True)), "one"
     )
-    empty = scanned.select("text_id", F.lit("").alias("terms")).where("false")
+    nothing = scanned.select(F.col("text_id").alias("term")).where("false"), 0
     if n_held == 0:
-        return empty
+        return nothing
     # a word stands in at least the texts that hold some value, so most words are ruled out before any pair or count
     beside = (
         worded.select(F.explode("words").alias("term"), "widest").groupBy("term").agg(F.count(F.lit(1)).alias("beside"), F.max("widest").alias("widest"))
@@ -204,7 +202,7 @@ def disclosing_words(texts: DataFrame, scanned: DataFrame, least_share: float =
     )
     support, n_pairs = materialize(support.drop("beside").withColumn("one", F.lit(True)), "one")
     if n_pairs == 0:
-        return empty
+        return nothing
     wanted = support.select("value_key", "term")
     apart = (
         pairs.join(F.broadcast(wanted) if n_pairs <= BROADCAST_TERMS else wanted, ["value_key", "term"], "left_semi")
@@ -213,32 +211,49 @@ def disclosing_words(texts: DataFrame, scanned: DataFrame, least_share: float =
     )
     weighed, n_pairs = materialize(support.join(apart.where(F.col("different") >= LEAST_DIFFERENT), ["value_key", "term"]).withColumn("one", F.lit(True)), "one")
     if n_pairs == 0:
-        return empty
+        return nothing
     again, n_again = materialize(copies.where("copies > 1").select("text_id", "copies").withColumn("one", F.lit(True)), "one")
     standing = _exploded(texts, weighed.select("term").distinct(), n_pairs).join(F.broadcast(again) if n_again <= BROADCAST_TERMS else again, "text_id", "left")
     counts = standing.groupBy("term").agg(F.round(F.sum(1 / F.coalesce("copies", F.lit(1)))).alias("texts_with"))
     share = F.col("together") / F.col("texts_with")
     telling = weighed.join(counts, "term").where((share >= least_share) & (F.log2(share * n_texts / F.col("holding")) >= least_bits)).select("term").distinct()
-    telling, n_telling = materialize(telling.withColumn("one", F.lit(True)), "one")
-    if n_telling == 0:
-        return empty
-    found, n_found = materialize(_exploded(texts, telling, n_telling).groupBy("text_id").agg(F.collect_set("term").alias("found")).withColumn("one", F.lit(True)), "one")
-    found = F.broadcast(found) if n_found <= BROADCAST_TERMS else found
-    return _marked(texts.join(found, "text_id")).where("terms != ''").groupBy("text_id").agg(F.min("terms").alias("terms"))
+    return materialize(telling.withColumn("one", F.lit(True)), "one")
 
 
-@F.pandas_udf(T.StringType())
-def _merged(base: pd.Series, terms: pd.Series) -> pd.Series:
-    """Both lists of spans as one, by start and then kind."""
-    rank = {k: i for i, k in enumerate([*KINDS, TERM])}
+def _with_words(texts: DataFrame, text_col: str, telling: DataFrame, n_telling: int) -> tuple[DataFrame, frozenset[str]]:
+    """`texts` and the telling words that every task gets; where these are too many, each row has its own in a last column instead."""
+    if n_telling == 0:
+        return texts, frozenset()
+    size = telling.agg(F.sum(F.octet_length("term") + 64)).first()[0]
+    if size <= BROADCAST_BYTES:
+        return texts, frozenset(r["term"] for r in telling.collect())
+    named = texts.toDF(*[f"c{k}" for k in range(len(texts.columns))])
+    text = F.coalesce(F.col(f"c{texts.columns.index(text_col)}"), F.lit(""))
+    keyed = named.withColumn("text_id", F.sha2(F.encode(text, "UTF-8"), 256))
+    own = _exploded(keyed.select("text_id", text.alias("text")), telling, n_telling).groupBy("text_id").agg(F.collect_set("term").alias("found"))
+    return keyed.join(own, "text_id", "left").select(*named.columns, "found"), frozenset()
+
+
+def finder(words: frozenset[str]) -> Callable[[str, list[str] | None], list[tuple[int, int, int]]]:
+    """Gives (start, number of the kind, end) of the values of a text and of the telling words in it, which touch no value.
+
+    The words are `words`, or those that come with the text. Texts in which none of them occurs even as a part are
+    told by one automaton.
+    """
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, True)
+    automaton.make_automaton()
 
-    def one(a: str, b: str | None) -> str:
-        if not b:
-            return a
-        parts = [x.split(":") for x in [*(a.split(",") if a else []), *b.split(",")]]
-        return ",".join(":".join(x) for x in sorted(parts, key=lambda x: (int(x[1]), rank[x[0]])))
+    def spans_of(text: str, own: list[str] | None = None) -> list[tuple[int, int, int]]:
+        spans, wanted = base_spans(text), words
+        if own:
+            wanted = frozenset(own)
+        elif not words or ("\u03a3" not in text and next(automaton.iter(text.lower()), None) is None):
+            return spans  # the small form of a capital sigma depends on its neighbours, so such texts are walked
+        return sorted([*spans, *((s, len(KINDS), e) for w, s, e in _words(text, spans) if w in wanted)])
 
-    return pd.Series([one(a, b) for a, b in zip(base, terms)], dtype=object)
+    return spans_of
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -258,31 +273,63 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     texts = _named(docs, id_col, text_col)
     scanned, _ = materialize(scan(texts))
-    terms = disclosing_words(texts, scanned)
-    return scanned.join(terms, "text_id", "left").select(
-        "doc_id", "text_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _merged("base", "terms").alias("spans")
-    )
+    telling, n_telling = telling_words(texts, scanned)
+    counted = ["n_email", "n_ip", "n_card", "n_phone"]
+    if n_telling == 0:
+        return scanned.select("doc_id", "text_id", *counted, "base_sha256", F.col("base").alias("spans"))
+    rows, words = _with_words(texts, "text", telling, n_telling)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans_of = finder(words)
+        for part in _pieces(batches, 2):
+            counts, shas, shown = ([], [], [], []), [], []
+            own = part.column(3).to_pylist() if part.num_columns > 3 else [None] * part.num_rows
+            for text, found in zip(part.column(2), own):
+                spans = spans_of(text.as_py(), found)
+                for k in range(4):
+                    counts[k].append(sum(s[1] == k for s in spans))
+                named = [(s, (*KINDS, TERM)[k], e) for s, k, e in spans]
+                shas.append(hashlib.sha256(_shown([x for x in named if x[1] != TERM]).encode()).hexdigest())
+                shown.append(_shown(named))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(shas, pa.string()), pa.array(shown, pa.string())],
+                names=["doc_id", "text_id", *counted, "base_sha256", "spans"],
+            )
+
+    return rows.mapInArrow(run, "doc_id long, text_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
+
+def generalised(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with every span replaced by what it is; where spans overlap, the first one names the whole."""
+    out, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], REPLACEMENT[(*KINDS, TERM)[kind]]]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
-@F.pandas_udf(T.StringType())
-def _generalised(text: pd.Series, spans: pd.Series) -> pd.Series:
-    def one(t: str, shown: str | None) -> str:
-        if t is None or not shown:
-            return t
-        out, at = [], 0
-        for kind, start, end in (x.split(":") for x in shown.split(",")):
-            start, end = int(start), int(end)
-            if start >= at:
-                out += [t[at:start], REPLACEMENT[kind]]
-            at = max(at, end)
-        return "".join([*out, t[at:]])
 
-    return pd.Series([one(t, s) for t, s in zip(text, spans)], dtype=object)
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with every span of `find` replaced by what it is; where spans overlap, the first one names the whole.
 
+    Texts are replaced where their rows lie: only the telling words come in. Null texts stay null, all other columns as they are.
+    """
+    texts = _named(docs, id_col, text_col)
+    scanned, _ = materialize(scan(texts).select("text_id", "held", "words", "sketch"))
+    telling, n_telling = telling_words(texts, scanned)
+    rows, words = _with_words(docs, text_col, telling, n_telling)
+    at, names = docs.columns.index(text_col), docs.columns
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with every span replaced by what it is; where spans overlap, the first one names the whole. Null texts stay null."""
-    found = find(docs, id_col, text_col).where("spans != ''").groupBy("text_id").agg(F.min("spans").alias("found_spans"))
-    keyed = docs.withColumn("found_key", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
-    joined = keyed.join(found.withColumnRenamed("text_id", "found_key"), "found_key", "left")
-    return joined.withColumn(text_col, F.when(F.col("found_spans").isNull(), F.col(text_col)).otherwise(_generalised(text_col, "found_spans"))).select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans_of = finder(words)
+        for part in _pieces(batches, at):
+            own = part.column(len(names)).to_pylist() if part.num_columns > len(names) else [None] * part.num_rows
+            made = []
+            for text, found in zip(part.column(at), own):
+                text = text.as_py()
+                made.append(None if text is None else generalised(text, spans_of(text, found)))
+            columns = [part.column(k) for k in range(len(names))]
+            columns[at] = pa.array(made, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, docs.schema)

@@ -88,3 +88,56 @@ def test_empty_table_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "call +1 (456) 555-2186"), (1, "a@b.co"), (1, "a@b.co")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.spans) for r in pii.find(docs).collect()) == [("1", "email:0:6"), ("1", "email:0:6"), ("None", "phone:5:22")]
     assert pii.find(docs.where("false")).count() == 0
+
+
+def plain_terms(texts):
+    """Telling words of the whole corpus, pair by pair, from the rule alone."""
+    texts = sorted({t or "" for t in texts})
+    words, values, least = {}, {}, {}
+    for t in texts:
+        spans = plain(t)
+        free = [(m.group().strip(pii.EDGE), m.start() + len(m.group()) - len(m.group().lstrip(pii.EDGE))) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)]
+        own = [w.lower() for w, at in free if any(c.isalpha() for c in w) and all(e <= at or s >= at + len(w) for s, _, e in spans)]
+        words[t], values[t] = set(own), {(k, t[s:e].lower()) for s, k, e in spans}
+        triples = {" ".join(own[k : k + 3]) for k in range(max(1, len(own) - 2))}
+        digests = [hashlib.blake2b(x.encode(), digest_size=32).digest() for x in triples]
+        least[t] = [min(int.from_bytes(d[8 * k : 8 * k + 8], "little", signed=True) for d in digests) for k in range(4)]
+    out = set()
+    for v in {v for s in values.values() for v in s}:
+        holding = [t for t in texts if v in values[t]]
+        for w in {w for t in holding for w in words[t]}:
+            both, having = [t for t in holding if w in words[t]], sum(w in words[t] for t in texts)
+            different = sum(len({least[t][k] for t in both}) for k in range(4)) / 4
+            share = len(both) / having
+            if len(both) >= 3 and different >= 2.5 and share >= 0.5 and share * len(texts) / len(holding) >= 2**6 and len(holding) <= len(texts) / 2**6:
+                out.add(w)
+    return out
+
+
+@pytest.mark.parametrize("sent", [pii.BROADCAST_BYTES, 0])
+def test_disclosure_by_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", sent)
+    rng = random.Random(8)
+    names = [f"Name{chr(97 + k)}" for k in range(12)]
+    filler = [f"f{k}" for k in range(300)]
+    texts = []
+    for k in range(1500):
+        body = [rng.choice(filler) for _ in range(rng.randint(4, 12))]
+        if k < 60:  # a name mostly goes with its own address, now and then with another
+            who = rng.randrange(12)
+            body.insert(rng.randrange(len(body)), names[who] + rng.choice(["", ",", "!"]))
+            if rng.random() < 0.8:
+                body.insert(rng.randrange(len(body)), f"box{who if rng.random() < 0.9 else 0}@corp.example.com")
+        texts.append(" ".join(body))
+    texts += texts[:40] + [None, ""]
+    want = plain_terms(texts)
+    assert len(want) > 3
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, found_spans string, found int").repartition(4)
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    for k, t in enumerate(texts):
+        t = t or ""
+        marked = [t[int(s) : int(e)].lower() for kind, s, e in (x.split(":") for x in got[k].split(",") if x) if kind == "term"]
+        assert marked == [w.lower() for w in (x.strip(pii.EDGE) for x in t.split()) if w.lower() in want]
+    clean = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    assert all(clean[k].found_spans == "x" and clean[k].found == 1 for k in clean)
+    assert all((clean[k].text is None) == (t is None) and not any(w in (clean[k].text or "").lower().split() for w in want) for k, t in enumerate(texts))
