@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,33 +144,68 @@ def category_profile(split: DataFrame, by: str = "category", target: str = "targ
     return attach_percentiles(sums, split, [by], target, {"median": 0.5})
 
 
-def poisson_cdf(top: int = 17) -> list[float]:
-    """P(X <= k) of Poisson(1) for k = 0..top; above 17 the rest is below 2^-48, the step of the draws."""
-    return list(itertools.accumulate(math.exp(-1.0) / math.factorial(k) for k in range(top + 1)))
+def poisson_bounds() -> list[int]:
+    """Draws of 32 bits from which on a Poisson(1) weight is at least 1, 2, ...; the last is the largest that 32 bits reach."""
+    sums = itertools.accumulate(math.exp(-1.0) / math.factorial(k) for k in range(20))
+    return [b for b in (math.ceil(s * 2**32) for s in sums) if b < 2**32]
 
 
-def bootstrap_draws(errors: DataFrame, value: str, repeats: int, seed: int, key: str = "sample_id") -> DataFrame:
-    """Mean of `value` in each of `repeats` Poisson(1) resamples of the rows.
+#: Rows whose weights for all resamples are drawn at once, as a share of so many cells.
+DRAWN_CELLS = 1 << 20
+
+
+def _scrambled(t: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 32-bit numbers, with products of less than 60 bits so that SQL can follow it."""
+    for _ in range(2):
+        t = (t ^ (t >> np.uint32(16))) * np.uint32(0x45D9F3B)
+    return t ^ (t >> np.uint32(16))
 
-    Each row gets its own number of copies per resample from a hash of (seed, repeat, key), so a
-    resample needs no draw by position, no sort and no second copy of the table: one map-side
-    aggregation to `repeats` rows. The weights are Poisson(1) to the resolution of the draw.
-    """
-    fanned = errors.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    identity = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(key).cast("string"))
-    u = F.conv(F.substring(F.sha2(identity, 256), 1, 12), 16, 10).cast("double") / float(2**48)
-    copies = F.lit(0)
-    for bound in poisson_cdf():
-        copies = copies + (F.col("_u") >= bound).cast("int")
-    weighted = fanned.withColumn("_u", u).withColumn("_w", copies)
-    return weighted.groupBy("rep").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("draw"))
 
+def _seed_halves(text: str) -> tuple[int, int]:
+    digest = hashlib.sha256(text.encode()).digest()
+    return int.from_bytes(digest[:4], "big"), int.from_bytes(digest[4:8], "big")
 
-def bootstrap_interval(errors: DataFrame, value: str, repeats: int = 1000, seed: int = 42) -> DataFrame:
+
+def bootstrap_draws(errors: DataFrame, values: list[str], repeats: int, seed: int, key: str = "sample_id") -> DataFrame:
+    """(rep, one mean for each of `values`) in each of `repeats` Poisson(1) resamples of the rows.
+
+    A row's weights in all resamples come from 64 bits of its key's hash and 64 bits of each resample's, as a matrix for
+    each piece of an Arrow batch; two products add it up, and a task hands on `repeats` rows of sums. No row is copied
+    and none is placed, so the same rows give the same draws however they are dealt. A NULL value makes
+    its means NaN.
+    """
+    bounds = np.array(poisson_bounds(), np.uint64).astype(np.uint32)
+    halves = np.array([_seed_halves(f"{seed}:{r}:draw") for r in range(repeats)], np.uint32)
+    schema = "rep int, weight double, " + ", ".join(f"v{k} double" for k in range(len(values)))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((repeats, 1 + len(values)))
+        step = max(1, DRAWN_CELLS // max(1, repeats))
+        for batch in batches:
+            high, low = (batch.column(k).to_numpy().astype(np.uint32) for k in range(2))
+            own = np.stack([np.ones(batch.num_rows), *[batch.column(2 + k).to_numpy(zero_copy_only=False).astype(float) for k in range(len(values))]], 1)
+            for at in range(0, batch.num_rows, step):
+                rows = slice(at, at + step)
+                t = _scrambled(low[None, rows] ^ halves[:, 1:])
+                t = _scrambled(t ^ high[None, rows] ^ halves[:, :1])
+                weight = np.zeros(t.shape, np.float32)
+                for bound in bounds:
+                    weight += t >= bound
+                sums += weight.astype(np.float64) @ own[rows]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(repeats), pa.int32()), *[pa.array(sums[:, k]) for k in range(sums.shape[1])]], names=[f.split()[0] for f in schema.split(", ")])
+
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    tagged = errors.select(half(1).alias("high"), half(9).alias("low"), *[F.col(v).cast("double").alias(v) for v in values])
+    sums = tagged.mapInArrow(partial, schema).groupBy("rep").agg(F.sum("weight").alias("weight"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(len(values))])
+    return sums.select("rep", *[F.try_divide(F.col(f"v{k}"), F.col("weight")).alias(v) for k, v in enumerate(values)])
+
+
+def bootstrap_interval(errors: DataFrame, value: str, repeats: int = 10_000, seed: int = 42) -> DataFrame:
     """Point mean with the 2.5 and 97.5 percentiles of its bootstrap distribution."""
-    draws = bootstrap_draws(errors, value, repeats, seed).agg(
-        F.percentile("draw", 0.025).alias("ci_low"), F.percentile("draw", 0.975).alias("ci_high"),
-        F.avg((F.col("draw") < 0).cast("double")).alias("probability_below_zero"),
+    draws = bootstrap_draws(errors, [value], repeats, seed).agg(
+        F.percentile(value, 0.025).alias("ci_low"), F.percentile(value, 0.975).alias("ci_high"),
+        F.avg((F.col(value) < 0).cast("double")).alias("probability_below_zero"),
     )
     point = errors.agg(F.avg(value).alias("point"), F.avg((F.col(value) < 0).cast("double")).alias("fraction_below_zero"))
     return point.withColumn("_k", F.lit(0)).join(F.broadcast(draws.withColumn("_k", F.lit(0))), "_k").drop("_k")

@@ -125,14 +125,26 @@ def best_of_models(spark, sf):
     return rounded(metrics.best_of_models(candidates(spark, sf)), "oracle_mae", "oracle_median_ae", "oracle_p90_ae")
 
 
-REPEATS = 100
-CDF = repr(metrics.poisson_cdf())
-fragment("s_errors", "SELECT sample_id, abs(p_words - target) - abs(p_lines - target) AS d, abs(p_words - target) AS e FROM s_wide")
+REPEATS = 10_000
+_HALF = "CAST('0x' || substr(sha256({text}), {at}, 8) AS BIGINT)"
+
+
+def _scrambled_sql(t: str) -> str:
+    """The integer scrambling of `metrics._scrambled`; products stay below 2^63."""
+    once = lambda x: f"((xor({x}, {x} >> 16) * 73244475) & 4294967295)"
+    return once(t)
+
+
+fragment("s_errors", f"""
+SELECT sample_id, abs(p_words - target) - abs(p_lines - target) AS d, abs(p_words - target) AS e, {_HALF.format(text="'42:' || sample_id", at=1)} AS high, {_HALF.format(text="'42:' || sample_id", at=9)} AS low FROM s_wide""")
+fragment("s_reps", f"SELECT rep, {_HALF.format(text=chr(39) + '42:' + chr(39) + ' || rep || ' + chr(39) + ':draw' + chr(39), at=1)} AS rhigh, {_HALF.format(text=chr(39) + '42:' + chr(39) + ' || rep || ' + chr(39) + ':draw' + chr(39), at=9)} AS rlow FROM (SELECT unnest(range(0, {REPEATS})) AS rep)")
+fragment("s_drawn", f"""
+SELECT rep, e, d, xor(t, t >> 16) AS t FROM (SELECT rep, e, d, {_scrambled_sql('t')} AS t FROM (SELECT rep, e, d, {_scrambled_sql('t')} AS t FROM (
+  SELECT rep, e, d, xor(xor(xor(t, t >> 16), high), rhigh) AS t FROM (SELECT *, {_scrambled_sql('t')} AS t FROM (SELECT * EXCLUDE (t), {_scrambled_sql('t')} AS t FROM (
+    SELECT rep, e, d, high, rhigh, xor(low, rlow) AS t FROM s_errors, s_reps)))))) AS x""".replace("SELECT *, ", "SELECT * EXCLUDE (t), "))
 fragment("s_draws", f"""
 SELECT rep, sum(w * e) / sum(w) AS e_draw, sum(w * d) / sum(w) AS d_draw FROM (
-  SELECT e, d, rep, len(list_filter({CDF}, lambda b: u >= b)) AS w FROM (
-    SELECT e, d, rep, CAST(('0x' || substr(sha256('42:' || rep || ':' || sample_id), 1, 12)) AS BIGINT) / CAST(281474976710656 AS DOUBLE) AS u
-    FROM s_errors, (SELECT unnest(range(0, {REPEATS})) AS rep))) GROUP BY rep""")
+  SELECT rep, e, d, {' + '.join(f'CAST(t >= {b} AS INT)' for b in metrics.poisson_bounds())} AS w FROM s_drawn) GROUP BY rep""")
 
 
 def _paired(spark, sf):

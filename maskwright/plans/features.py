@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.functions import r6
-from maskwright.operators import checks, evidence, geometry, predict, ranks, redundancy
+from maskwright.operators import checks, estimators, evidence, geometry, models, predict, ranks, redundancy
 from maskwright.plans import forms  # noqa: F401  (its SQL fragments are used below)
 from maskwright.plans.common import LINE_FEATURES, masks_split, samples_split, text_features
 from maskwright.plans.evaluation import rounded
@@ -18,7 +18,7 @@ from maskwright.sources import tables
 FEATURES = list(geometry.FEATURES)
 GROUPS = {"length_pair": ("words", "lines")}
 BASES = list(evidence.BASELINES)
-REPETITIONS = 3
+REPETITIONS = 10
 
 
 def mask_feature_table(spark, sf):
@@ -172,6 +172,37 @@ def feature_evidence(spark, sf):
     return as_text(rounded(evidence.canonical_order(evidence_table(spark, sf)), "reference", "result", "delta"))
 
 
+@query("estimator_evidence", q(f"SELECT {EV} FROM e_rows WHERE baseline = 'ordinary'"))
+def estimator_evidence(spark, sf):
+    """The same table through a plugged-in Spark ML estimator, whose fitted models must give the closed form's numbers."""
+    rows, n = materialize(samples_split(spark, sf, tuple(LINE_FEATURES)).withColumn("_row", F.lit(True)), "_row")
+    out = estimators.estimator_evidence(rows, LINE_FEATURES, GROUPS, {"ordinary": estimators.linear_runner()}, REPETITIONS, n=n)
+    return as_text(rounded(evidence.canonical_order(out), "reference", "result", "delta"))
+
+
+@query("forest_evidence", q("""
+SELECT experiment, target, scope, CAST(fold AS VARCHAR) AS fold, CAST(repetition AS VARCHAR) AS repetition, CAST(seed AS VARCHAR) AS seed, n, TRUE AS own_reference, TRUE AS sound,
+  CASE WHEN experiment = 'isolated' THEN 'alone' WHEN target = 'words' AND experiment = 'permutation' THEN 'harm' ELSE 'any' END AS effect
+FROM e_rows WHERE baseline = 'ordinary'"""))
+def forest_evidence(spark, sf):
+    """Evidence through the forest of the registered recipe: 10 permutations for each feature, no refit.
+
+    `own_reference`: a fold's reference is the error of the separate out-of-fold forest; `sound`: the difference is that of result
+    and reference. Shuffling the strongest feature must harm.
+    """
+    rows, n = materialize(samples_split(spark, sf, tuple(LINE_FEATURES)).withColumn("_row", F.lit(True)), "_row")
+    out, _ = materialize(estimators.estimator_evidence(rows, LINE_FEATURES, GROUPS, {"forest": estimators.forest_runner()}, REPETITIONS, n=n))
+    alone = models.oof_forest(rows, LINE_FEATURES).withColumn("e", F.abs(F.col("predicted") - F.col("observed")))
+    errors = alone.groupBy("fold").agg(F.avg("e").alias("own")).unionByName(alone.agg(F.avg("e").alias("own")).withColumn("fold", F.lit(None).cast("int"))).withColumnRenamed("fold", "f")
+    joined = out.join(F.broadcast(errors), F.col("fold").eqNullSafe(F.col("f")))
+    effect = F.when(F.col("experiment") == "isolated", "alone").when((F.col("experiment") == "permutation") & (F.col("target") == "words"), F.col("effect")).otherwise("any")
+    return as_text(joined.select(
+        "experiment", "target", "scope", "fold", "repetition", "seed", "n",
+        ((F.col("experiment") == "isolated") | (F.abs(F.col("reference") - F.col("own")) <= 1e-6 * F.col("own"))).alias("own_reference"),
+        ((F.col("experiment") == "isolated") | (F.abs(F.col("result") - F.col("reference") - F.col("delta")) <= 1e-9)).alias("sound"), effect.alias("effect"),
+    ))
+
+
 @query("removal_evidence", q(f"SELECT {EV} FROM e_rows WHERE experiment = 'removal'"))
 def removal_evidence(spark, sf):
     rows = evidence_table(spark, sf, False).where("experiment = 'removal'")
