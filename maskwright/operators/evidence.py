@@ -49,8 +49,8 @@ def variants(features: list[str], groups: dict[str, tuple[str, ...]]) -> list[tu
     return out
 
 
-def fit_models(split: DataFrame, features: list[str], groups: dict[str, tuple[str, ...]], baselines: dict[str, float], target: str = "target") -> list[LinearModel]:
-    """All linear models of all training folds from one Gram pass."""
+def fold_systems(split: DataFrame, features: list[str], target: str = "target") -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(fold, covariances, means) of features and target over the rows outside each fold, from one Gram pass."""
     columns = [*features, target]
     centre = column_means(split, columns)
     rows = gram(split.withColumn("_one", F.lit(1.0)), [*columns, "_one"], [*centre, 0.0], "fold").collect()
@@ -60,20 +60,38 @@ def fit_models(split: DataFrame, features: list[str], groups: dict[str, tuple[st
         g = by_fold.setdefault(r["part"], np.zeros((size, size)))
         g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["g"]
     total = sum(by_fold.values())
-    models = []
+    out = []
     for fold, own in sorted(by_fold.items()):
         g = total - own
         n, sums = g[-1, -1], g[-1, :-1]
-        cov = g[:-1, :-1] - np.outer(sums, sums) / n
-        mean = sums / n + np.array(centre)
+        out.append((fold, g[:-1, :-1] - np.outer(sums, sums) / n, sums / n + np.array(centre)))
+    return out
+
+
+def _solved(cov: np.ndarray, mean: np.ndarray, at: list[int], shrink: float) -> tuple[np.ndarray, float]:
+    """Weights over all features (zero outside `at`) and intercept; the diagonal grows by `shrink`."""
+    weights = np.zeros(len(mean) - 1)
+    a = cov[np.ix_(at, at)] * (1 + shrink * np.eye(len(at)))
+    # features of very different size are solved for in units of their deviations
+    unit = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    weights[at] = np.linalg.lstsq(a / np.outer(unit, unit), cov[at, -1] / unit, rcond=None)[0] / unit
+    return weights, float(mean[-1] - weights @ mean[:-1])
+
+
+def fold_models(split: DataFrame, features: list[str], shrink: float = 0.0, target: str = "target") -> DataFrame:
+    """(fold, weights, intercept): the linear model on all features of each training fold, a table of one row per fold."""
+    rows = [(fold, *_solved(cov, mean, list(range(len(features))), shrink)) for fold, cov, mean in fold_systems(split, features, target)]
+    return split.sparkSession.createDataFrame([(f, w.tolist(), b) for f, w, b in rows], "fold int, weights array<double>, intercept double")
+
+
+def fit_models(split: DataFrame, features: list[str], groups: dict[str, tuple[str, ...]], baselines: dict[str, float], target: str = "target") -> list[LinearModel]:
+    """All linear models of all training folds from one Gram pass."""
+    models = []
+    for fold, cov, mean in fold_systems(split, features, target):
         for name, shrink in baselines.items():
             for experiment, label, kept in variants(features, groups):
-                at = [features.index(f) for f in kept]
-                a = cov[np.ix_(at, at)] * (1 + shrink * np.eye(len(at)))
-                solved = np.linalg.lstsq(a, cov[at, -1], rcond=None)[0]
-                weights = np.zeros(len(features))
-                weights[at] = solved
-                models.append(LinearModel(experiment, name, label, fold, tuple(float(v) for v in weights), float(mean[-1] - weights @ mean[:-1])))
+                weights, intercept = _solved(cov, mean, [features.index(f) for f in kept], shrink)
+                models.append(LinearModel(experiment, name, label, fold, tuple(float(v) for v in weights), intercept))
     return models
 
 

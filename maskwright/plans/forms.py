@@ -9,7 +9,7 @@ from maskwright.operators import checks, components, diagnostics, geometry, morp
 from maskwright.plans.common import masks_split
 from maskwright.plans.oracle import fragment, q, r6 as sql_r6
 from maskwright.plans.registry import query
-from maskwright.plans.shapes import grid_runs
+from maskwright.plans.shapes import FEATURE_SQL, cell_measures, grid_runs
 from maskwright.sources import tables
 
 
@@ -247,39 +247,77 @@ def mask_augmentation(spark, sf):
     )
 
 
-# --- sensitivity of a line on the scaled area -------------------------------------------------
+# --- sensitivity of a linear model on all measurements ----------------------------------------
 fragment("m_base", "SELECT e.vec_id AS mask_id, s.grp, s.target FROM embeddings e JOIN s_base s ON s.sample_id = e.vec_id % (SELECT count(*) FROM documents)")
 fragment("m_split", """
 SELECT *, 'B' || cno AS category, (row_number() OVER (ORDER BY cno, sha256('42:' || mask_id), mask_id) - 1) % 5 + 1 AS fold
 FROM (SELECT *, LEAST((row_number() OVER (ORDER BY target, mask_id) - 1) * 10 // count(*) OVER () + 1, 10) AS cno FROM m_base)""")
 fragment("m_area", "SELECT s.*, a * pow(1024.0 / (41 + s.mask_id % 4), 2) AS area FROM m_split s JOIN v_box USING (mask_id)")
 fragment("m_lines", "SELECT f.outer_fold AS fold, regr_slope(target, area) AS slope, regr_intercept(target, area) AS icpt FROM m_area m JOIN folds5 f ON m.fold <> f.outer_fold GROUP BY f.outer_fold")
-fragment("p_areas", """
-SELECT mask_id, 'scale_shrink' AS perturbation, count(*) AS a FROM v_shrink GROUP BY 1 UNION ALL SELECT mask_id, 'scale_grow', count(*) FROM v_grow GROUP BY 1
-UNION ALL SELECT mask_id, 'expansion', count(*) FROM v1_dil GROUP BY 1 UNION ALL SELECT mask_id, 'contraction', count(*) FROM v1_ero GROUP BY 1
-UNION ALL SELECT c.mask_id, perturbation, a FROM v_cuts c JOIN v_box USING (mask_id) WHERE NOT cuts""")
-fragment("m_kinds", "SELECT unnest(['scale_shrink', 'scale_grow', 'shift_up', 'shift_down', 'shift_left', 'shift_right', 'contraction', 'expansion']) AS perturbation")
+SHRINK = 0.1
+NAMES = list(geometry.FEATURES)
+fragment("m_kinds", "SELECT unnest(['scale_shrink', 'scale_grow', 'shift_up', 'shift_down', 'shift_left', 'shift_right', 'contraction', 'expansion']) AS perturbation, unnest(range(0, 8)) AS k")
+fragment("p_cells", """
+SELECT k * 1000000000 + mask_id AS mask_id, y, x FROM m_kinds JOIN (
+  SELECT mask_id, 'scale_shrink' AS perturbation, y, x FROM v_shrink UNION ALL SELECT mask_id, 'scale_grow', y, x FROM v_grow
+  UNION ALL SELECT mask_id, 'expansion', y, x FROM v1_dil UNION ALL SELECT mask_id, 'contraction', y, x FROM v1_ero
+  UNION ALL SELECT c.mask_id, perturbation, y, x FROM v_cuts c JOIN v_cells USING (mask_id) WHERE NOT cuts) USING (perturbation)""")
+cell_measures("p_cells", "p")
+
+
+def _long_features(name: str, source: str) -> None:
+    """(mask_id, i, v): the scaled measurements of a table of measured masks, one row each."""
+    safe = {**FEATURE_SQL, "roundness": "4 * area / nullif(pi() * major * major, 0)"}
+    rows = ", ".join(f"{{'i': {i}, 'v': CAST(({safe[f]}) * pow(1024.0 / (41 + mask_id % 1000000000 % 4), {geometry.DIMENSION.get(f, 0)}) AS DOUBLE)}}" for i, f in enumerate(NAMES, 1))
+    fragment(name, f"SELECT mask_id, u.i, u.v FROM (SELECT mask_id, unnest([{rows}]) AS u FROM {source})")
+
+
+_long_features("mf_long", "v_all")
+_long_features("pf_long", "p_all")
+P = len(NAMES)
+fragment("mf_train", "SELECT f.outer_fold AS fold, l.mask_id, l.i, l.v, m.target FROM mf_long l JOIN m_split m USING (mask_id) JOIN folds5 f ON m.fold <> f.outer_fold")
+fragment("mf_mean", "SELECT fold, i, avg(v) AS mv, avg(target) AS mt, covar_pop(v, target) AS cy FROM mf_train GROUP BY fold, i")
+fragment("mf_cov", f"""
+SELECT a.fold, a.i, b.i AS j, covar_pop(a.v, b.v) * CASE WHEN a.i = b.i THEN {1 + SHRINK} ELSE 1 END AS c FROM mf_train a JOIN mf_train b ON a.fold = b.fold AND a.mask_id = b.mask_id GROUP BY a.fold, a.i, b.i""")
+# rows of the system in units of the deviations, with the right side as the last entry; then Gauss and Jordan
+fragment("mf_unit", "SELECT fold, i, sqrt(c) AS s FROM mf_cov WHERE i = j")
+fragment("mf_system", """
+SELECT fold, list(r ORDER BY i) AS m FROM (
+  SELECT c.fold, c.i, list_append(list(c.c / (si.s * sj.s) ORDER BY c.j), any_value(y.cy / si.s)) AS r
+  FROM mf_cov c JOIN mf_unit si ON si.fold = c.fold AND si.i = c.i JOIN mf_unit sj ON sj.fold = c.fold AND sj.i = c.j JOIN mf_mean y ON y.fold = c.fold AND y.i = c.i GROUP BY c.fold, c.i)
+GROUP BY fold""")
+fragment("mf_solving", f"""/*RECURSIVE*/
+SELECT fold, 1 AS k, m FROM mf_system UNION ALL
+SELECT fold, k + 1, list_transform(range(1, {P + 1}), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda v: v / m[k][k])
+  ELSE list_transform(range(1, {P + 2}), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]) END) FROM mf_solving WHERE k <= {P}""")
+fragment("mf_weights", f"SELECT w.fold, u.i, w.m[u.i][{P + 1}] / u.s AS b FROM mf_solving w JOIN mf_unit u ON u.fold = w.fold WHERE w.k = {P + 1}")
+fragment("mf_icpt", "SELECT w.fold, any_value(mt) - sum(b * mv) AS b0 FROM mf_weights w JOIN mf_mean m ON m.fold = w.fold AND m.i = w.i GROUP BY w.fold")
+fragment("mf_original", "SELECT l.mask_id, m.fold, any_value(b0) + sum(b * v) AS original FROM mf_long l JOIN m_split m USING (mask_id) JOIN mf_weights w ON w.fold = m.fold AND w.i = l.i JOIN mf_icpt c ON c.fold = m.fold GROUP BY l.mask_id, m.fold")
+fragment("pf_after", """
+SELECT l.mask_id, CASE WHEN count(v) = count(*) THEN any_value(b0) + sum(b * v) END AS perturbed
+FROM pf_long l JOIN m_split m ON m.mask_id = l.mask_id % 1000000000 JOIN mf_weights w ON w.fold = m.fold AND w.i = l.i JOIN mf_icpt c ON c.fold = m.fold GROUP BY l.mask_id""")
 fragment("m_records", """
-SELECT m.mask_id, k.perturbation, CASE WHEN reason <> '' THEN 'rejected' ELSE 'eligible' END AS status, reason, slope * area + icpt AS original,
-  CASE WHEN reason = '' THEN slope * (coalesce(a, 0) * pow(1024.0 / (41 + m.mask_id % 4), 2)) + icpt END AS perturbed
-FROM (SELECT m.*, k.perturbation, CASE WHEN k.perturbation LIKE 'shift%' AND c.cuts THEN 'shift_cuts_foreground' WHEN k.perturbation IN ('contraction', 'expansion') THEN e.reason ELSE '' END AS reason
-  FROM m_area m CROSS JOIN m_kinds k JOIN v_elig e USING (mask_id) LEFT JOIN v_cuts c ON c.mask_id = m.mask_id AND c.perturbation = k.perturbation) m
-JOIN m_kinds k USING (perturbation) JOIN m_lines l ON l.fold = m.fold LEFT JOIN p_areas p ON p.mask_id = m.mask_id AND p.perturbation = k.perturbation""")
+SELECT m.mask_id, m.perturbation, CASE WHEN reason <> '' THEN 'rejected' ELSE 'eligible' END AS status, reason, original,
+  CASE WHEN reason = '' THEN CASE WHEN p.mask_id IS NULL THEN b0 ELSE p.perturbed END END AS perturbed
+FROM (SELECT o.*, k.perturbation, k.k, CASE WHEN k.perturbation LIKE 'shift%' AND c.cuts THEN 'shift_cuts_foreground' WHEN k.perturbation IN ('contraction', 'expansion') THEN e.reason ELSE '' END AS reason
+  FROM mf_original o CROSS JOIN m_kinds k JOIN v_elig e USING (mask_id) LEFT JOIN v_cuts c ON c.mask_id = o.mask_id AND c.perturbation = k.perturbation) m
+JOIN mf_icpt i ON i.fold = m.fold LEFT JOIN pf_after p ON p.mask_id = m.k * 1000000000 + m.mask_id""")
 
 
 def sensitivity_records(spark, sf):
+    """Every mask and perturbation, re-measured in all 26 features and scored by the linear model on them."""
     from maskwright.operators.sensitivity import sensitivity
 
-    return sensitivity(shapes(spark, sf), shape_dims(spark, sf), masks_split(spark, sf), ["area"], 1024)
+    return sensitivity(shapes(spark, sf), shape_dims(spark, sf), masks_split(spark, sf), NAMES, 1024, SHRINK)
 
 
-@query("sensitivity_records", q("SELECT mask_id, perturbation, status, reason, " + ", ".join([sql_r6("original", "original", 4), sql_r6("perturbed", "perturbed", 4), sql_r6("perturbed - original", "delta", 4)]) + " FROM m_records"))
+@query("sensitivity_records", q("SELECT mask_id, perturbation, status, reason, " + ", ".join([sql_r6("original", "original", 2), sql_r6("perturbed", "perturbed", 2), sql_r6("perturbed - original", "delta", 2)]) + " FROM m_records"))
 def sensitivity_records_query(spark, sf):
     rows = sensitivity_records(spark, sf)
-    return rows.select("mask_id", "perturbation", "status", "reason", *[r6(F.col(c), 4).alias(c) for c in ("original", "perturbed", "delta")])
+    return rows.select("mask_id", "perturbation", "status", "reason", *[r6(F.col(c), 2).alias(c) for c in ("original", "perturbed", "delta")])
 
 
-@query("sensitivity_summary", q("SELECT perturbation, status, count(*) AS n, " + sql_r6("avg(abs(perturbed - original))", "mean_abs_delta", 4) + ", " + sql_r6("avg(perturbed - original)", "mean_delta", 4) + " FROM m_records GROUP BY ALL"))
+@query("sensitivity_summary", q("SELECT perturbation, status, count(*) AS n, " + sql_r6("avg(abs(perturbed - original))", "mean_abs_delta", 3) + ", " + sql_r6("avg(perturbed - original)", "mean_delta", 3) + " FROM m_records GROUP BY ALL"))
 def sensitivity_summary(spark, sf):
     rows = diagnostics.sensitivity_summary(sensitivity_records(spark, sf))
-    return rows.select("perturbation", "status", "n", *[r6(F.col(c), 4).alias(c) for c in ("mean_abs_delta", "mean_delta")])
+    return rows.select("perturbation", "status", "n", *[r6(F.col(c), 3).alias(c) for c in ("mean_abs_delta", "mean_delta")])

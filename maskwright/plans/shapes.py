@@ -20,7 +20,7 @@ SELECT mask_id, 40 + m AS side, m + 4 * r + k AS y, m + 4 * lo AS x0, m + 4 * hi
 fragment("v_cells", "SELECT mask_id, side, y, unnest(range(x0, x1 + 1)) AS x FROM v_runs")
 
 
-def _cell_measures(cells: str, name: str) -> None:
+def cell_measures(cells: str, name: str) -> None:
     """SQL definitions of the measurements straight from cells, not from runs."""
     fragment(f"{name}_box", f"SELECT mask_id, min(x) AS l, max(x) AS rr, min(y) AS t, max(y) AS b, count(*) AS a FROM {cells} GROUP BY mask_id")
     fragment(f"{name}_pairs", f"""
@@ -61,8 +61,8 @@ SELECT x.mask_id, CAST(a AS DOUBLE) AS area, pi() / 8 * (2 * runs + 2 * a - 2 *
 FROM {name}_box x JOIN {name}_pairs USING (mask_id) JOIN {name}_mom USING (mask_id) JOIN {name}_thirds USING (mask_id) JOIN {name}_feret USING (mask_id) LEFT JOIN {name}_hull USING (mask_id)""")
 
 
-_cell_measures("g_cells", "g")
-_cell_measures("v_cells", "v")
+cell_measures("g_cells", "g")
+cell_measures("v_cells", "v")
 FEATURE_SQL = {
     "area": "area", "perimeter": "perimeter", "solidity": "area / ha", "circularity": "4 * pi() * area / (perimeter * perimeter)",
     "equivalent_diameter": "sqrt(4 * area / pi())", "bbox_width": "bw", "bbox_height": "bh", "bbox_area": "bw * bh",
