@@ -5,70 +5,61 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.functions import r6
-from maskwright.operators import runs, similarity
-from maskwright.plans import forms  # noqa: F401  (its SQL fragments are used below)
+from maskwright.operators import aligned, runs, similarity
+from maskwright.plans import forms, poses  # noqa: F401  (their SQL fragments are used below)
 from maskwright.plans.features import SMALL, mask_feature_table
 from maskwright.plans.oracle import fragment, q, r6 as sql_r6
 from maskwright.plans.registry import query
-from maskwright.plans.shapes import grid_runs
 from maskwright.session import materialize
 from maskwright.sources import tables
 
-FRAME = tables.GRID_SIDE * tables.BLOCK + tables.FAR_MARGIN + 4
-
-
-def framed(spark, sf):
-    """Silhouettes on one common frame, stored once because the joins read them several times."""
-    rows = tables.silhouette_runs(spark, sf).withColumn("h", F.lit(FRAME)).withColumn("w", F.lit(FRAME))
-    stored, _ = materialize(rows)
-    return stored
-
-
+fragment("d_box", "SELECT mask_id, sum(x1 - x0 + 1) AS a FROM c64_runs GROUP BY mask_id")
 fragment("d_inter", """
-SELECT a.mask_id AS a, b.mask_id AS b, sum(least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1) AS inter FROM v_runs a JOIN v_runs b ON a.y = b.y AND a.mask_id < b.mask_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 GROUP BY ALL""")
-fragment("d_iou", "SELECT i.a, i.b, CAST(inter AS DOUBLE) / (x.a + y.a - inter) AS iou FROM d_inter i JOIN v_box x ON x.mask_id = i.a JOIN v_box y ON y.mask_id = i.b")
+SELECT a.mask_id AS a, b.mask_id AS b, sum(least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1) AS inter FROM c64_runs a JOIN c64_runs b ON a.y = b.y AND a.mask_id < b.mask_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 GROUP BY ALL""")
+fragment("d_iou", "SELECT i.a, i.b, CAST(inter AS DOUBLE) / (x.a + y.a - inter) AS iou FROM d_inter i JOIN d_box x ON x.mask_id = i.a JOIN d_box y ON y.mask_id = i.b")
 
 
-def distinct_contents(spark, sf):
-    masks = framed(spark, sf)
-    members = similarity.collapse(runs.digests(masks))
-    kept = members.where("mask_id = content")
-    return masks.join(kept.select("mask_id"), "mask_id", "left_semi"), members
+def aligned_masks(spark, sf):
+    """The silhouettes turned upright on 64 x 64 rasters, stored once."""
+    return materialize(aligned.canonical_bits(forms.shapes(spark, sf)))[0]
 
 
 fragment("g_vec", "SELECT mask_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY k) AS vec FROM f_long GROUP BY mask_id")
-fragment("v_digest", "SELECT mask_id, string_agg(y || ':' || x0 || '-' || x1, ';' ORDER BY y, x0) AS digest FROM v_runs GROUP BY mask_id")
-fragment("v_content", "SELECT mask_id, min(mask_id) OVER (PARTITION BY digest) AS content, count(*) OVER (PARTITION BY digest) AS copies FROM v_digest")
+fragment("v_digest", "SELECT mask_id, string_agg(side || '|' || y || ':' || x0 || '-' || x1, ';' ORDER BY y, x0) AS digest FROM v_runs GROUP BY mask_id")
+fragment("d_digest", "SELECT mask_id, string_agg(y || ':' || x0 || '-' || x1, ';' ORDER BY y, x0) AS digest FROM c64_runs GROUP BY mask_id")
+fragment("d_content", "SELECT mask_id, min(mask_id) OVER (PARTITION BY digest) AS content FROM d_digest")
 
 
-@query("similar_masks", q("SELECT a, b, " + sql_r6("iou", "iou") + " FROM d_iou JOIN v_content ca ON ca.mask_id = a AND ca.content = a JOIN v_content cb ON cb.mask_id = b AND cb.content = b WHERE iou >= 0.85"))
+@query("similar_masks", q("SELECT a, b, " + sql_r6("iou", "iou") + " FROM d_iou JOIN d_content ca ON ca.mask_id = a AND ca.content = a JOIN d_content cb ON cb.mask_id = b AND cb.content = b WHERE iou >= 0.85"))
 def similar_masks(spark, sf):
-    masks, _ = distinct_contents(spark, sf)
-    return similarity.similar_contents(masks, 0.85).select("a", "b", r6(F.col("iou")).alias("iou"))
+    """Pairs of different aligned rasters, each by its smallest mask, with IoU of at least 0.85."""
+    masks = aligned_masks(spark, sf)
+    first = masks.groupBy("bits").agg(F.min("mask_id").alias("mask_id")).select("mask_id")
+    pairs, _ = aligned.similar(masks.join(first, "mask_id", "left_semi"), 0.85)
+    return pairs.select("a", "b", r6(F.col("iou")).alias("iou"))
 
 
 @query("mask_integrity", q(f"""
 SELECT 'duplicate_names' AS test, CAST(0 AS DOUBLE) AS value FROM (SELECT 1)
-UNION ALL SELECT 'duplicate_masks', count(*) - count(DISTINCT content) FROM v_content
+UNION ALL SELECT 'duplicate_masks', count(*) - count(DISTINCT digest) FROM v_digest
 UNION ALL SELECT 'duplicate_feature_vectors', (SELECT count(*) FROM g_vec) - (SELECT count(*) FROM (SELECT DISTINCT vec FROM g_vec))
 UNION ALL SELECT 'near_duplicate_pairs', count(*) FILTER (iou >= 0.95) FROM d_iou
-UNION ALL SELECT 'maximum_iou', round(max(iou), 9) FROM d_iou"""))
+UNION ALL SELECT 'maximum_iou', round(max(iou), 6) FROM d_iou"""))
 def mask_integrity(spark, sf):
-    masks = framed(spark, sf)
-    out = similarity.integrity(runs.digests(masks), masks, mask_feature_table(spark, sf))
-    return out.select("test", F.round("value", 9).alias("value"))
+    masks = aligned_masks(spark, sf)
+    out = aligned.integrity(runs.digests(forms.shapes(spark, sf)), masks, mask_feature_table(spark, sf))
+    return out.select("test", F.round("value", 6).alias("value"))
 
 
 fragment("d_scored", """
 SELECT i.a AS id_a, i.b AS id_b, abs(x.target - y.target) AS target_difference, iou, abs(x.target - y.target) * iou AS score FROM d_iou i JOIN m_base x ON x.mask_id = i.a JOIN m_base y ON y.mask_id = i.b""")
 
 
-@query("contradicting_masks", q("SELECT id_a, id_b, target_difference, " + sql_r6("iou", "iou") + ", " + sql_r6("score", "score", 4) + " FROM d_scored ORDER BY d_scored.score DESC, id_a DESC, id_b DESC LIMIT 20"))
+@query("contradicting_masks", q("SELECT id_a, id_b, target_difference, " + sql_r6("iou", "iou") + ", " + sql_r6("score", "score", 2) + " FROM d_scored ORDER BY d_scored.score DESC, id_a DESC, id_b DESC LIMIT 20"))
 def contradicting_masks(spark, sf):
-    masks = framed(spark, sf)
     targets = tables.mask_targets(spark, sf).select(F.col("sample_id").alias("mask_id"), "target")
-    rows = similarity.contradictions(masks, runs.digests(masks), targets, 20)
-    return rows.select("id_a", "id_b", "target_difference", r6(F.col("iou")).alias("iou"), r6(F.col("score"), 4).alias("score"))
+    rows = aligned.contradictions(aligned_masks(spark, sf), targets, 20)
+    return rows.select("id_a", "id_b", "target_difference", r6(F.col("iou")).alias("iou"), r6(F.col("score"), 2).alias("score"))
 
 
 fragment("n_stats", "SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in SMALL) + " FROM s_base")
