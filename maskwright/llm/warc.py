@@ -27,6 +27,8 @@ LEAST_REVISIT_BYTES = 100
 ARCHIVE_BYTES = 32 << 20
 #: Ranges closer than GAP are read as one, up to READ_BYTES (or one record, where that is larger).
 GAP, READ_BYTES = 64 << 10, 4 << 20
+#: Bytes of records that a reading task is meant for.
+TASK_BYTES = 32 << 20
 
 
 RECORD_SCHEMA = (
@@ -100,9 +102,11 @@ def write_archives(
     index, _ = materialize(
         _placed(described, firsts, archives).drop("html", "header").withColumn("offset", _offset())
     )
+    # a revisit has no body, so its html ends here, before any shuffle
+    record = F.concat("header", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(""))
     (
-        _placed(described, firsts, archives)
-        .select("archive", _offset().alias("offset"), F.concat("header", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise("")).alias("record"))
+        _placed(described, firsts, archives).select("archive", "page_id", "url", "payload_digest", "length", record.alias("record"))
+        .select("archive", _offset().alias("offset"), "record")
         .sortWithinPartitions("archive", "offset").select("archive", "record")
         .write.partitionBy("archive").option("lineSep", SEPARATOR).text(directory)
     )
@@ -165,12 +169,15 @@ def read_records(chosen: DataFrame, directory: str) -> DataFrame:
     stretches of their archives, so a large archive is read by many tasks.
     """
     spark = chosen.sparkSession
-    if chosen.isEmpty():
+    size = chosen.agg(F.sum("length")).first()[0]
+    if size is None:
         return spark.createDataFrame([], RECORD_SCHEMA)
+    # the entries are few bytes, what they point at is not: the number of tasks follows the latter
+    tasks = max(spark.sparkContext.defaultParallelism, int(size // TASK_BYTES) + 1)
     files = spark.read.format("binaryFile").load(directory).select("path", F.col("archive").cast("int").alias("archive"))
     places = (
         chosen.join(files, "archive").select("path", "offset", F.col("length").cast("long").alias("length"))
-        .repartition("path", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("path", "offset")
+        .repartition(tasks, "path", F.expr(f"offset div {READ_BYTES}")).sortWithinPartitions("path", "offset")
     )
     return places.mapInArrow(_read, RECORD_SCHEMA)
 
