@@ -22,6 +22,8 @@ SEED = 17
 #: Seeded documents are placed in this many narrow ranges of a hash, and again inside the range that is cut.
 RANGES = 4096
 MOST_PATTERNS = 100_000
+#: Keys of repeated rows (8 bytes each) up to which they are broadcast.
+BROADCAST_KEYS = 500_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> list[float]:
@@ -106,63 +108,107 @@ def mix_documents(
     """Adds `repeats` (times a document is taken, 0 to `most_repeats`) to `docs` (row_key, an array of sources, a size).
 
     `order` names the sources in the order of their weights. Every pattern gives what the flow asks: its documents
-    whole as often as all of them fit, and once more for the first ones in a seeded order, up to the document
-    that comes nearest. The same rows give the same mix. Patterns are summed before they reach the driver.
+    whole as often as all of them fit, and once more for the first ones in a seeded order, then for smaller ones
+    behind the first that does not fit, until none fits any more; at last the smallest one left, where that comes nearer.
+    The same rows give the same mix. Patterns are summed before they reach the driver.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("pattern", F.array_sort(F.array_distinct(F.transform(members_col, lambda s: F.coalesce(s, F.lit("\0"))))))
+    # a source without a name is none of those with one, whatever their names
+    source = lambda s: F.struct(s.isNull().alias("none"), F.coalesce(s, F.lit("")).alias("name"))
+    rows = docs.withColumn("pattern", F.array_sort(F.array_distinct(F.transform(F.coalesce(members_col, F.array().cast("array<string>")), source))))
     sums = rows.groupBy("pattern").agg(F.sum(size_col).alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} patterns of sources")
-    sums = sorted(sums, key=lambda r: list(r["pattern"]))
-    place = {("\0" if s is None else s): k for k, s in enumerate(order)}
-    members = [[place[s] for s in r["pattern"]] for r in sums]
+    sums = sorted(sums, key=lambda r: [tuple(x) for x in r["pattern"]])
+    place = {(s is None, s or ""): k for k, s in enumerate(order)}
+    members = [[place[tuple(x)] for x in r["pattern"]] for r in sums]
     words = [int(r["words"]) for r in sums]
     of_source = [sum(w for w, m in zip(words, members) if k in m) for k in range(len(order))]
     flow = min_cost_flow([float(w) for w in words], members, targets(of_source, weights, most_repeats), most_repeats)
-    plan = [
-        (list(r["pattern"]), min(most_repeats, int(given // w)) if w else 0, float(given - w * min(most_repeats, int(given // w))) if w else 0.0)
-        for r, w, given in zip(sums, words, flow.sum(1).tolist())
-    ]
-    plan = spark.createDataFrame(plan, "pattern array<string>, whole int, rest double")
-
-    # the seeded order is that of a hash; narrow ranges of it are summed first, and only the range in which the
-    # rest of a pattern runs out is put in order
+    given = flow.sum(1).tolist()
+    whole = [min(most_repeats, int(g // w)) if w else 0 for w, g in zip(words, given)]
+    plan = spark.createDataFrame([(r["pattern"], k, n) for k, (r, n) in enumerate(zip(sums, whole))], "pattern array<struct<none:boolean,name:string>>, pid int, whole int")
+    room = {k: g - w * n for k, (w, g, n) in enumerate(zip(words, given, whole)) if n < most_repeats}
+
+    # the seeded order is that of a hash
     spot = F.xxhash64(F.lit(seed), F.col("row_key"))
-    placed = rows.withColumn("spot", spot).withColumn("part", F.shiftrightunsigned("spot", 64 - int(np.log2(RANGES))).cast("int"))
-    ranges = placed.groupBy("pattern", "part").agg(F.sum(size_col).alias("words"))
-    before = Window.partitionBy("pattern").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
-        ranges.withColumn("ahead", F.coalesce(F.sum("words").over(before), F.lit(0))).join(F.broadcast(plan), "pattern")
-        .select("pattern", "part", "whole", "rest", "ahead", (F.col("ahead") + F.col("words") <= F.col("rest")).alias("inside"), (F.col("ahead") >= F.col("rest")).alias("outside"))
-    )
-    ranges, _ = materialize(ranges)
-    cut = ranges.where("NOT inside AND NOT outside")
-    inner = Window.partitionBy("pattern", "part").orderBy("spot", "row_key")
-    in_cut = placed.select("row_key", "pattern", "part", "spot", F.col(size_col).alias("words")).join(F.broadcast(cut), ["pattern", "part"])
-    taken = (
-        in_cut.withColumn("upto", F.col("ahead") + F.sum("words").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        # a document is in when the sum ends nearer to the rest with it than without
-        .where(F.col("upto") - F.col("words") / 2 <= F.col("rest")).select("row_key").distinct().withColumn("taken_once", F.lit(True))
-    )
-    plain = ranges.select("pattern", "part", "whole", "inside")
-    return (
-        placed.join(plain, ["pattern", "part"], "left").join(taken, "row_key", "left")
-        .withColumn("repeats", F.col("whole") + F.when(F.col("inside") | F.coalesce("taken_once", F.lit(False)), 1).otherwise(0))
-        .drop("pattern", "spot", "part", "whole", "inside", "taken_once")
-    )
+    part = F.shiftrightunsigned(spot, 64 - int(np.log2(RANGES))).cast("int")
+    numbered = rows.join(F.broadcast(plan), "pattern").drop("pattern")
+    waiting, _ = materialize(numbered.where(F.col(size_col) > 0).select("row_key", "pid", spot.alias("spot"), part.alias("part"), F.col(size_col).cast("long").alias("words")))
+    picked, every = None, waiting
+    while True:
+        taken, n_taken = materialize(_first_that_fit(waiting, room).withColumn("one", F.lit(True)), "one")
+        if n_taken == 0:
+            break
+        picked = taken if picked is None else picked.unionByName(taken)
+        for r in taken.groupBy("pid").agg(F.sum("words").alias("n")).collect():
+            room[r["pid"]] -= r["n"]
+        # what is left is less than the document that did not fit; smaller ones behind it go on
+        waiting, _ = materialize(_fitting(waiting, room).join(taken.select("row_key"), "row_key", "left_anti"))
+    # one document more, the smallest that is left, where the sum is nearer with it than without
+    left = spark.createDataFrame([(k, float(v)) for k, v in room.items() if v > 0], "pid int, rest double")
+    unpicked = every if picked is None else every.join(picked.select("row_key"), "row_key", "left_anti")
+    smallest = unpicked.groupBy("pid").agg(F.min(F.struct("words", "part", "spot", "row_key")).alias("d")).select("pid", "d.row_key", "d.words")
+    nearer = smallest.join(F.broadcast(left), "pid").where(F.col("words") < 2 * F.col("rest")).select("row_key", "pid", "words")
+    picked = nearer if picked is None else picked.unionByName(nearer)
+    once = picked.select("row_key", F.lit(1).alias("once"))
+    return numbered.join(once, "row_key", "left").withColumn("repeats", F.col("whole") + F.coalesce("once", F.lit(0))).drop("pid", "whole", "once")
+
+
+def _fitting(rows: DataFrame, room: dict[int, float]) -> DataFrame:
+    """The rows whose words fit what is left for their pattern."""
+    left = rows.sparkSession.createDataFrame([(k, float(v)) for k, v in room.items() if v >= 1], "pid int, rest double")
+    return rows.join(F.broadcast(left), "pid").where(F.col("words") <= F.col("rest")).drop("rest")
+
+
+def _first_that_fit(waiting: DataFrame, room: dict[int, float]) -> DataFrame:
+    """(row_key, pid, words): the rows of every pattern from the first one in the seeded order on, as far as all fit.
+
+    Narrow ranges of the order are summed first; only the range in which the room runs out is put in order.
+    """
+    left = waiting.sparkSession.createDataFrame([(k, float(v)) for k, v in room.items() if v >= 1], "pid int, rest double")
+    fitting = _fitting(waiting, room)
+    before = Window.partitionBy("pid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = fitting.groupBy("pid", "part").agg(F.sum("words").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(left), "pid")
+    ranges, _ = materialize(ranges.where("ahead < rest"))
+    placed = fitting.join(F.broadcast(ranges), ["pid", "part"])
+    upto = F.col("ahead") + F.sum("words").over(Window.partitionBy("pid", "part").orderBy("spot", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = placed.where("ahead + n <= rest").select("row_key", "pid", "words")
+    return inside.unionByName(placed.where("ahead + n > rest").withColumn("upto", upto).where("upto <= rest").select("row_key", "pid", "words"))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """`docs` with a `row_key`: of id and source, or for rows without an id of source, text and a number among equal rows."""
-    named = F.xxhash64(F.col(id_col).cast("long"), F.col(source_col), F.col(source_col).isNull())
-    own = F.xxhash64(F.col(source_col), F.col(source_col).isNull(), F.col(text_col), F.col(text_col).isNull())
-    number = F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1)))
-    without = docs.where(F.col(id_col).isNull()).withColumn("row_key", own).withColumn("row_number", number)
-    return (
-        docs.where(F.col(id_col).isNotNull()).withColumn("row_key", named)
-        .unionByName(without.withColumn("row_key", F.xxhash64("row_key", "row_number")).drop("row_number"))
-    )
+def _free(name: str, taken: list[str]) -> str:
+    """`name`, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def _content(id_col: str, text_col: str, source_col: str) -> Column:
+    """Hash of id, source and text, nulls apart from everything else."""
+    columns = [F.col(c) for c in (id_col, source_col, text_col)]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
+def _told_apart(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` whose `key` becomes another one for every further row that has it.
+
+    Equal keys are numbered inside pieces of the table, which are shifted by each other's counts, so that no key is
+    gathered. Which of the rows gets which number makes no difference to those who made the key.
+    """
+    piece, n, number = (_free(c, rows.columns) for c in ("piece", "rows", "number"))
+    again, n_again = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(key).withColumn("one", F.lit(True)), "one")
+    if n_again == 0:
+        return rows
+    again = F.broadcast(again) if n_again <= BROADCAST_KEYS else again
+    # stored, as the pieces must be the same for the counts and for the numbers
+    repeated, _ = materialize(rows.join(again, key, "left_semi").withColumn(piece, F.spark_partition_id()))
+    earlier = Window.partitionBy(key).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    shift = repeated.groupBy(key, piece).agg(F.count(F.lit(1)).alias(n)).withColumn(n, F.coalesce(F.sum(n).over(earlier), F.lit(0)))
+    placed = repeated.withColumn(number, F.row_number().over(Window.partitionBy(key, piece).orderBy(F.lit(1)))).join(shift, [key, piece])
+    told = F.col(n) + F.col(number)
+    own = placed.withColumn(key, F.when(told == 1, F.col(key)).otherwise(F.xxhash64(key, told))).select(*rows.columns)
+    return rows.join(again, key, "left_anti").select(*rows.columns).unionByName(own)
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
@@ -171,12 +217,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Size is the number of words. Sources by code point, null last, have the weights 5, 2, 1, repeating; together
     they are due all words, none more than three times its own. `taken` is size times `repeats`.
 
-    Null and blank texts have size 0 and take nothing. Null sources are a source of their own. Rows with the same
-    id and source are decided alike, and each counts; rows without an id are decided one by one. Extra columns are ignored; an empty table gives no rows.
+    Null and blank texts have size 0 and take nothing. Null sources are a source of their own. Every row is decided by
+    itself, rows that repeat an id too. Extra columns are ignored; an empty table gives no rows.
     """
-    sized, _ = materialize(_keyed(docs.select(id_col, source_col, text_col), id_col, text_col, source_col).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), "row_key"
-    ))
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    sized, _ = materialize(chosen.select("doc_id", "source", word_count(F.col("text")).alias("size"), _content("doc_id", "text", "source").alias("row_key")))
+    sized = _told_apart(sized, "row_key")
     totals = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     order = sorted((r["source"] for r in totals), key=lambda s: (s is None, s or ""))
     by_source = {r["source"]: int(r["n"]) for r in totals}
@@ -189,6 +235,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """The rows of `docs` that the mix of their sources takes, with how often (`repeats`)."""
-    taken = mix_sources(docs, id_col, text_col, source_col, seed).where("repeats > 0 AND size > 0").groupBy("row_key").agg(F.min("repeats").alias("repeats"))
-    return _keyed(docs, id_col, text_col, source_col).join(taken, "row_key").select(*docs.columns, "repeats")
+    """The rows of `docs` that the mix of their sources takes, with how often (`repeats`, or `repeats_` where `docs` has such a column)."""
+    key, repeats = _free("row_key", docs.columns), "repeats"
+    mixed = mix_sources(docs, id_col, text_col, source_col, seed).where("repeats > 0 AND size > 0").select(F.col("row_key").alias(key), F.col("repeats").alias(_free(repeats, docs.columns)))
+    rows = docs.withColumn(id_col, F.col(id_col).cast("long"))
+    return _told_apart(rows.withColumn(key, _content(id_col, text_col, source_col)), key).join(mixed, key).drop(key)
