@@ -365,7 +365,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found, _ = materialize(blocks(long_texts.select("text_key", "text")))
 
     contexts = found.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min("ext").alias("ext"), F.min(F.struct("text_key", "at")).alias("place"))
-    per_core = contexts.groupBy("core").agg(F.count("*").alias("contexts"), F.sum("n").alias("total")).where("total > 1")
+    # stored, so that both sides of the join are plain shuffles and Spark can split a core that very many contexts share
+    per_core, _ = materialize(contexts.groupBy("core").agg(F.count("*").alias("contexts"), F.sum("n").alias("total")).where("total > 1").drop("total"))
     open_blocks, _ = materialize(contexts.join(per_core, "core").select("core", "whole", "n", "ext", "place.text_key", "place.at", "contexts"))
 
     # the row that gives a text's bytes: that of its smallest id, or one for all rows without an id
