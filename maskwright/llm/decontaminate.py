@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from maskwright.session import materialize
 
-#: Fixed masks: a word under 1 is read, one under 0 may differ.
+#: Fixed masks: a word under 1 is read, one under 0 may differ. The first four leave a seed in every window of 16 words of
+#: which three differ, and in all shorter items but those of 5, 6 and 10 words; for these, and for items of fewer
+#: than five words, which must agree in all of them, there are more.
 MASKS = ("11111", "1101011", "111011101", "1010111")
+SHORT_MASKS = {"1": (1,), "11": (2,), "111": (3,), "1111": (4, 5, 6, 10), "11011": (5, 6, 10), "11101": (5, 6, 10), "10111": (5, 6, 10)}
 WINDOW = 16
 PERCENT = 80
 BROADCAST_ROWS = 1_000_000
@@ -25,14 +28,21 @@ def word_list(text: Column) -> Column:
     return F.split(F.trim(F.lower(F.coalesce(text, F.lit(""))), F.lit(BLANKS)), "[ \\t-\\r]+")
 
 
-def seeds(words: DataFrame) -> DataFrame:
-    """Every position of `words` with every mask that fits there: adds `at`, `seed`."""
+def masks_for(lengths: set[int]) -> list[str]:
+    """The masks that items of these lengths need."""
+    return [*MASKS, *(m for m, own in SHORT_MASKS.items() if lengths & {*own})]
+
+
+def seeds(words: DataFrame, masks: list[str], of_items: bool = False) -> DataFrame:
+    """Every position of `words` with every mask that fits there: adds `at`, `seed`. An item has no masks made for other lengths."""
     size = F.size("words")
-    hashes = [
-        F.when(F.col("at") + len(mask) <= size, F.xxhash64(F.lit(number), *[F.get("words", F.col("at") + k) for k, bit in enumerate(mask) if bit == "1"]))
-        for number, mask in enumerate(MASKS)
-    ]
-    shortest = min(len(mask) for mask in MASKS)
+
+    def fits(mask: str) -> Column:
+        inside = F.col("at") + len(mask) <= size
+        return inside & size.isin(*SHORT_MASKS[mask]) if of_items and mask in SHORT_MASKS else inside
+
+    hashes = [F.when(fits(m), F.xxhash64(F.lit(m), *[F.get("words", F.col("at") + k) for k, bit in enumerate(m) if bit == "1"])) for m in masks]
+    shortest = min(len(mask) for mask in masks)
     places = words.where(size >= shortest).withColumn("at", F.explode(F.sequence(F.lit(0), size - shortest)))
     return places.withColumn("seed", F.explode(F.array(*hashes))).where("seed IS NOT NULL")
 
@@ -59,7 +69,7 @@ def contaminated(
     item when it is shorter) agrees in at least 80 % of its words, place by place. `item_ids` lists the items in
     order, joined with commas. Words are runs of anything but white space, lower-cased.
 
-    Null and blank texts have no words and hold nothing; items of fewer than five words are not searched.
+    Null and blank texts have no words and hold nothing. Items of fewer than five words must stand there whole.
     Repeated documents each give a row, counted together by id; repeated items with one id count once. Null ids are kept
     (null item ids are left out). Extra columns are ignored; an empty table of documents gives no rows.
 
@@ -67,8 +77,12 @@ def contaminated(
     sent to every task (counted first); otherwise the planner joins them by their hash.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), word_list(F.col(item_text_col)).alias("words"))
+    items = items.where(F.element_at("words", 1) != "")
+    # at most fifteen lengths say which masks for short items the documents need
+    lengths = {r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") < WINDOW).distinct().collect()}
+    masks = masks_for(lengths)
     wanted, n_seeds = materialize(
-        seeds(items).select("seed", "item_id", F.col("at").alias("offset"), F.col("words").alias("item_words"), F.lit(True).alias("one")), "one"
+        seeds(items, masks, True).select("seed", "item_id", F.col("at").alias("offset"), F.col("words").alias("item_words"), F.lit(True).alias("one")), "one"
     )
     known = wanted.select("seed").distinct()
     known = F.broadcast(known) if n_seeds <= BROADCAST_ROWS else known
@@ -76,7 +90,7 @@ def contaminated(
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), word_list(F.col(text_col)).alias("words"))
     n_words = F.when(F.element_at("words", 1) == "", 0).otherwise(F.size("words")).cast("long")
     first = F.greatest(F.col("at") - WINDOW, F.lit(0))
-    hits = seeds(words).join(known, "seed", "left_semi").select(
+    hits = seeds(words, masks).join(known, "seed", "left_semi").select(
         "doc_id", "seed", "at", F.size("words").alias("n_doc"), first.alias("first"), F.slice("words", first + 1, 2 * WINDOW + 1).alias("near")
     )
     matched = (

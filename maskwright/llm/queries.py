@@ -67,26 +67,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.maximal_conversations(read(spark, sf_dir, "conversations"))
 
 
-MASK_ROWS = ", ".join(f"({n}, {len(m)}, {[k for k, bit in enumerate(m) if bit == '1']})" for n, m in enumerate(decontaminate.MASKS))
-SEED_SQL = """
-SELECT {id}, ws, p, m || ':' || array_to_string(list_transform(offs, lambda o: ws[p + o]), ' ') AS key
-FROM (SELECT {id}, ws, m, span, offs, unnest(range(1, len(ws) - span + 2)) AS p FROM {table}, masks)"""
-
-
 @query("op4_benchmark_decontamination", f"""
-WITH masks(m, span, offs) AS (VALUES {MASK_ROWS}),
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
-bk AS ({SEED_SQL.format(id="item_id", table="b")}),
-dk AS (SELECT * FROM ({SEED_SQL.format(id="doc_id", table="d")}) WHERE key IN (SELECT key FROM bk)),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT item_id, ws, least({decontaminate.WINDOW}, len(ws)) AS wide FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+dw AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+bw AS (SELECT item_id, wide, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM b),
 h AS (
-  SELECT DISTINCT doc_id, item_id, dk.p AS q, dk.p - bk.p AS shift, dk.ws AS dw, bk.ws AS bw, least({decontaminate.WINDOW}, len(bk.ws)) AS wide
-  FROM dk JOIN bk USING (key)),
+  SELECT doc_id, item_id, dw.p - bw.p AS shift FROM dw JOIN bw USING (w)
+  GROUP BY doc_id, item_id, dw.p - bw.p, wide HAVING count(*) * 100 >= wide * {decontaminate.PERCENT}),
 f AS (
-  SELECT DISTINCT doc_id, item_id FROM h
+  SELECT DISTINCT doc_id, item_id FROM h JOIN b USING (item_id) JOIN d USING (doc_id)
   WHERE len(list_filter(
-    range(greatest(q - wide + 1, shift + 1, 1), least(q, shift + len(bw) - wide + 1, len(dw) - wide + 1) + 1),
-    lambda j: len(list_filter(range(j, j + wide), lambda p: dw[p] = bw[p - shift])) * 100 >= wide * {decontaminate.PERCENT})) > 0),
+    range(greatest(shift + 1, 1), least(shift + len(b.ws), len(d.ws)) - wide + 2),
+    lambda j: len(list_filter(range(j, j + wide), lambda p: d.ws[p] = b.ws[p - shift])) * 100 >= wide * {decontaminate.PERCENT})) > 0),
 g AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM f GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, n::BIGINT AS n_items, ids AS item_ids, TRUE AS contaminated FROM d JOIN g USING (doc_id)""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
