@@ -7,7 +7,7 @@ Bounds from the blocks' areas and targets say which tiles can matter, so no pair
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +76,12 @@ def canonical_bits(runs: DataFrame, side: int = SIDE, working: int = WORKING) ->
     """
     large = F.greatest("h", "w") > working
     sized = runs.where(~large).select(*KEYS, "y", "x0", "x1").unionByName(resize(runs.where(large), working).select(*KEYS, "y", "x0", "x1"))
-    whole = sized.groupBy(*KEYS).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs"))
+    return packed(sized, side, lambda raster: letterboxed(upright(raster), side))
+
+
+def packed(runs: DataFrame, side: int, made: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(mask_id, bits, area): side x side rasters packed row by row, of the masks themselves or of what `made` makes of them."""
+    whole = runs.groupBy(*KEYS).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,9 +91,10 @@ def canonical_bits(runs: DataFrame, side: int = SIDE, working: int = WORKING) ->
                 y, x0, x1 = (own.values.field(k).to_numpy() for k in range(3))
                 np.add.at(edge, (y, x0), 1)
                 np.add.at(edge, (y, x1 + 1), -1)
-                made = letterboxed(upright(np.cumsum(edge, axis=1)[:, :w] > 0), side)
-                bits.append(np.packbits(made).tobytes())
-                area.append(int(made.sum()))
+                raster = np.cumsum(edge, axis=1)[:, :w] > 0
+                raster = made(raster) if made else raster
+                bits.append(np.packbits(raster).tobytes())
+                area.append(int(raster.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), pa.array(area, pa.int64())], names=["mask_id", "bits", "area"])
 
     return whole.mapInArrow(run, "mask_id long, bits binary, area long")

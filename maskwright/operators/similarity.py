@@ -1,16 +1,15 @@
-"""Similar masks, contradicting pairs and nearest neighbours: exact, without all-pairs products."""
+"""Similar masks on their own frames, and what neighbours say about targets. Aligned masks: aligned.py; the search for neighbours: neighbours.py."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.operators.metrics import attach_percentiles
 from maskwright.operators.runs import intersect_runs
-from maskwright.operators.split import global_position
 from maskwright.session import materialize, work_partitions
 
 
@@ -127,111 +126,6 @@ def collapse(digests: DataFrame, key: str = "mask_id") -> DataFrame:
     return digests.join(groups, "digest").select(key, "content", "copies")
 
 
-def integrity(digests: DataFrame, runs: DataFrame, features: DataFrame, key: str = "mask_id", threshold: float = 0.95) -> DataFrame:
-    """Duplicate names, rasters and feature vectors, near-duplicate pairs and the largest IoU.
-
-    Copies of one raster are counted as n*(n-1)/2 pairs with IoU 1 and never paired as rows. The
-    largest IoU is looked for at falling thresholds until some pair exists.
-    """
-    spark = digests.sparkSession
-    members = collapse(digests, key)
-    contents = members.where(F.col(key) == F.col("content")).select("content", "copies")
-    distinct_runs = runs.join(contents.select(F.col("content").alias(key)), key, "left_semi")
-    counts = members.agg(F.count("*").alias("n"), F.count_distinct(key).alias("names"), F.count_distinct("content").alias("contents")).first()
-    copied = contents.agg(F.coalesce(F.sum(F.expr("copies * (copies - 1) div 2")), F.lit(0)).alias("p")).first()["p"]
-    vectors = features.drop(key).distinct().count()
-    weights = contents.select(F.col("content").alias("a"), F.col("copies").alias("ka")), contents.select(F.col("content").alias("b"), F.col("copies").alias("kb"))
-    described, _ = materialize(profiles(distinct_runs, key))
-    near = similar_contents(distinct_runs, threshold, described, key=key).join(weights[0], "a").join(weights[1], "b").agg(
-        F.coalesce(F.sum(F.col("ka") * F.col("kb")), F.lit(0)).alias("p"), F.max("iou").alias("m")
-    ).first()
-    largest = 1.0 if copied else near["m"]
-    # two masks that share a cell have at least this IoU, so below it the largest is 0
-    least = 1.0 / (2.0 * (described.agg(F.max("area").alias("a")).first()["a"] or 1))
-    level = threshold
-    while largest is None and level > least and counts["contents"] > 1:
-        level = max(level * (0.75 if level > 0.4 else 0.4), least)
-        largest = similar_contents(distinct_runs, level, described, key=key).agg(F.max("iou").alias("m")).first()["m"]
-    rows = [
-        ("duplicate_names", float(counts["n"] - counts["names"])), ("duplicate_masks", float(counts["names"] - counts["contents"])),
-        ("duplicate_feature_vectors", float(features.count() - vectors)), ("near_duplicate_pairs", float(copied + near["p"])),
-        ("maximum_iou", float(largest or 0.0)),
-    ]
-    return spark.createDataFrame(rows, "test string, value double")
-
-
-def contradictions(runs: DataFrame, digests: DataFrame, targets: DataFrame, top: int = 20, key: str = "mask_id", probe: int = 64) -> DataFrame:
-    """The `top` pairs by IoU times target difference, pairs without overlap included; ties give the later keys first.
-
-    The best pairs among the `probe` highest and lowest targets give a score that any result must
-    reach. From it follow the smallest target difference and the smallest IoU a result can have, so
-    only masks with a far enough partner enter the similarity join. Of the copies of one raster only
-    those with the `top` highest and lowest targets can matter. Where the probe proves nothing, every pair that
-    shares a cell is measured, and pairs of the latest keys stand for those that score 0.
-    """
-    members = collapse(digests, key).join(targets.select(key, "target"), key)
-    per = Window.partitionBy("content")
-    high = F.row_number().over(per.orderBy(F.desc("target"), F.desc(key)))
-    low = F.row_number().over(per.orderBy(F.asc("target"), F.desc(key)))
-    # two filters on a rank, each cut down on the map side before the shuffle
-    kept = (
-        members.withColumn("_r", high).where(F.col("_r") <= top).drop("_r")
-        .unionByName(members.withColumn("_r", low).where(F.col("_r") <= top).drop("_r")).distinct()
-    )
-    kept, _ = materialize(kept)
-    # the pairs of these few rows are the last 2 * top of all pairs by key
-    latest = members.orderBy(F.desc(key)).limit(2 + math.isqrt(4 * top + 4))
-    needed = kept.select(F.col("content").alias(key)).union(latest.select("content")).distinct()
-    described, _ = materialize(profiles(runs.join(needed, key, "left_semi"), key))
-    extremes = kept.orderBy(F.desc("target"), key).limit(probe).unionByName(kept.orderBy(F.asc("target"), key).limit(probe)).distinct()
-    ends = extremes.agg(F.min("target").alias("low"), F.max("target").alias("high")).first()
-    areas = described.select(key, "area")
-    best = _scored(extremes, runs, areas, key).orderBy(F.desc("score")).limit(top).collect()
-    floor = best[-1]["score"] if len(best) == top else 0.0
-    if ends["high"] is None:
-        return _scored(latest, runs, areas, key).limit(0)
-    span = ends["high"] - ends["low"]
-    any_overlap = 1.0 / (2.0 * (described.agg(F.max("area").alias("a")).first()["a"] or 1))
-    least_iou = min(max(floor / span, any_overlap), 0.999) if span > 0 else 0.999
-    reach = kept.where((F.col("target") >= ends["low"] + floor) | (F.col("target") <= ends["high"] - floor))
-    ranges = reach.groupBy(F.col("content").alias(key)).agg(F.min("target").alias("t_low"), F.max("target").alias("t_high"))
-
-    def can_reach(bound: Column) -> Column:
-        gap = F.greatest(F.col("pa.t_high") - F.col("pb.t_low"), F.col("pb.t_high") - F.col("pa.t_low"))
-        return gap * bound >= floor * (1 - 1e-12)
-
-    across = similar_contents(runs, least_iou, described.join(ranges, key), can_reach, key)
-    same = reach.select(F.col("content").alias("a"), F.col("content").alias("b"), F.lit(1.0).alias("iou")).distinct()
-    rows_a = reach.select(F.col("content").alias("a"), F.col(key).alias("ida"), F.col("target").alias("ta"))
-    rows_b = reach.select(F.col("content").alias("b"), F.col(key).alias("idb"), F.col("target").alias("tb"))
-    difference = F.abs(F.col("ta") - F.col("tb"))
-    pairs = (
-        across.unionByName(same).join(rows_a, "a").join(rows_b, "b")
-        .where((F.col("a") != F.col("b")) | (F.col("ida") < F.col("idb")))
-        .select(
-            F.least("ida", "idb").alias("id_a"), F.greatest("ida", "idb").alias("id_b"), difference.alias("target_difference"), "iou",
-            (difference * F.col("iou")).alias("score"),
-        )
-        .where(F.col("score") >= floor * (1 - 1e-12))
-    )
-    if floor == 0.0:
-        pairs = pairs.where("score > 0").unionByName(_scored(latest, runs, areas, key).where("score = 0"))
-    return pairs.orderBy(F.desc("score"), F.desc("id_a"), F.desc("id_b")).limit(top)
-
-
-def _scored(rows: DataFrame, runs: DataFrame, areas: DataFrame, key: str) -> DataFrame:
-    """All pairs of a bounded number of rows (content, key, target), with IoU and score."""
-    left = rows.select(F.col("content").alias("a"), F.col(key).alias("ida"), F.col("target").alias("ta"), F.lit(0).alias("_k"))
-    right = rows.select(F.col("content").alias("b"), F.col(key).alias("idb"), F.col("target").alias("tb"), F.lit(0).alias("_k"))
-    pairs = left.join(F.broadcast(right), "_k").where("ida < idb").drop("_k")
-    iou = measured_pairs(pairs.where("a != b").select("a", "b").distinct(), runs, areas, key)
-    value = F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("iou", F.lit(0.0)))
-    difference = F.abs(F.col("ta") - F.col("tb"))
-    return pairs.join(iou, ["a", "b"], "left").select(
-        F.col("ida").alias("id_a"), F.col("idb").alias("id_b"), difference.alias("target_difference"), value.alias("iou"), (difference * value).alias("score")
-    )
-
-
 def standardized_vectors(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """(key, v): columns scaled to zero mean and unit population deviation (0 becomes 1)."""
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
@@ -242,67 +136,6 @@ def standardized_vectors(df: DataFrame, columns: list[str], key: str) -> DataFra
     return df.select(key, F.array(*[scaled(c) for c in columns]).alias("v"))
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, d: acc + d))
-
-
-def nearest_neighbours(vectors: DataFrame, key: str, width_of_vector: int, block: int = 1000, width: float = 0.5, salts: int = 8, grid_dims: int = 3) -> DataFrame:
-    """(key, neighbour, distance): the exact nearest other row, ties to the smallest key.
-
-    Equal vectors are collapsed first. The rest get an upper bound from their neighbours along the
-    first coordinate and inside a fine cell, and then look only into the grid cells (first
-    coordinates) that a ball of that radius meets, on the grid level whose cells are as wide as the
-    radius. The indexed side is salted, so that a crowded cell is spread over tasks.
-    """
-    groups = vectors.groupBy("v").agg(F.min(key).alias("m1"), F.count("*").alias("_n"))
-    keyed = vectors.join(groups, "v")
-    copies = keyed.where("_n > 1")
-    second = copies.where(F.col(key) != F.col("m1")).groupBy("m1").agg(F.min(key).alias("m2"))
-    repeated = copies.join(second, "m1").select(
-        key, F.when(F.col(key) == F.col("m1"), F.col("m2")).otherwise(F.col("m1")).alias("neighbour"), F.lit(0.0).alias("distance")
-    )
-    dims = range(grid_dims)
-    axes = [f"v{i}" for i in dims]
-    points, n = materialize(groups.select(
-        F.col("m1").alias("id"), "v", "_n", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in dims], F.lit(True).alias("_row")
-    ), "_row")
-    if n < 2:
-        return repeated
-    placed = global_position(points, ["v0", "id"], n).withColumn("_block", F.least(F.expr(f"position div {block}"), F.lit(max(n // block - 1, 0))))
-    along = Window.partitionBy("_block").orderBy("position")
-    # close points tend to share a fine cell over all coordinates; a salt bounds a crowded one
-    fine = placed.withColumn("_cell", F.transform("v", lambda x: F.floor(x / width))).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    within = Window.partitionBy("_cell", "_salt").orderBy(F.aggregate("v", F.lit(0.0), lambda t, x: t + x), "id")
-    near = [f("v", k).over(w) for w in (along, within) for f in (F.lag, F.lead) for k in (1, 2, 3)]
-    bounded = fine.select("*", *[o.alias(f"_o{i}") for i, o in enumerate(near)]).withColumn(
-        "ub", F.least(*[_distance(F.col("v"), F.col(f"_o{i}")) for i in range(len(near))])
-    ).where("_n = 1")
-    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("ub"), F.lit(1e-12)) / F.lit(width))), F.lit(-6)).cast("int")
-    probes, _ = materialize(bounded.select("id", "v", *axes, (F.col("ub") * (1 + 1e-9) + 1e-12).alias("ub"), level.alias("level")))
-    levels = [r["level"] for r in probes.select("level").distinct().collect()]
-    size = F.lit(width) * F.pow(F.lit(2.0), F.col("level"))
-
-    def cell(value: Column) -> Column:
-        return F.floor(value / size).cast("long")
-
-    spread, indexed = probes, points.select(F.col("id").alias("other"), F.col("v").alias("u"), *axes).withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
-    for i in dims:
-        spread = spread.withColumn(f"c{i}", F.explode(F.sequence(cell(F.col(f"v{i}") - F.col("ub")), cell(F.col(f"v{i}") + F.col("ub")))))
-    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop(*axes)
-    indexed = indexed.select(
-        "other", "u", "level", *[cell(F.col(f"v{i}")).alias(f"c{i}") for i in dims], F.pmod(F.xxhash64("other"), F.lit(salts)).cast("int").alias("salt")
-    )
-    parts, keys = work_partitions(points.sparkSession), ["level", *[f"c{i}" for i in dims], "salt"]
-    joined = spread.repartition(parts, *keys).join(indexed.repartition(parts, *keys), keys).where(F.col("id") != F.col("other"))
-    for i in range(width_of_vector):
-        joined = joined.where(F.abs(F.get("v", F.lit(i)) - F.get("u", F.lit(i))) <= F.col("ub"))
-    found = joined.select("id", "other", _distance(F.col("v"), F.col("u")).alias("d"), "ub").where("d <= ub").groupBy("id").agg(
-        F.min(F.struct(F.round("d", 9).alias("r"), F.col("other"), F.col("d"))).alias("best")
-    )
-    single = found.select(F.col("id").alias(key), F.col("best.other").alias("neighbour"), F.col("best.d").alias("distance"))
-    return repeated.unionByName(single)
-
-
 def neighbour_pairs(neighbours: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """Unordered neighbour pairs, once each, with their target difference."""
     pairs = neighbours.select(

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.functions import r6
-from maskwright.operators import aligned, runs, similarity
+from maskwright.operators import aligned, pose, runs, similarity
+from maskwright.operators import neighbours as search
 from maskwright.plans import forms, poses  # noqa: F401  (their SQL fragments are used below)
-from maskwright.plans.features import SMALL, mask_feature_table
+from maskwright.plans.features import FEATURES, SMALL, mask_feature_table
+from maskwright.plans.poses import canonical_fragments, resize_fragment
 from maskwright.plans.oracle import fragment, q, r6 as sql_r6
 from maskwright.plans.registry import query
+from maskwright.plans.shapes import grid_runs
 from maskwright.session import materialize
 from maskwright.sources import tables
 
@@ -74,7 +77,7 @@ def neighbours(spark, sf):
     rows = tables.samples(spark, sf, tuple(SMALL))
     # the feature table is read by the statistics, the copies and the search
     stored, _ = materialize(rows.select("sample_id", "target", *SMALL))
-    return similarity.nearest_neighbours(similarity.standardized_vectors(stored, SMALL, "sample_id"), "sample_id", len(SMALL)), stored
+    return search.nearest_neighbours(similarity.standardized_vectors(stored, SMALL, "sample_id"), "sample_id"), stored
 
 
 @query("nearest_neighbours", q("SELECT sample_id, best.o AS neighbour, round(best.r + 1e-9, 5) + 0.0 AS distance FROM n_best"))
@@ -102,3 +105,65 @@ def neighbour_contradictions(spark, sf):
     found, stored = neighbours(spark, sf)
     pairs = similarity.neighbour_pairs(found, stored, "sample_id").withColumn("distance", F.round("distance", 7))
     return similarity.ranked_contradictions(pairs, 20).select("id_a", "id_b", "target_difference")
+
+
+# --- neighbours among masks: the 26 measurements, and these with the components of two rasters -----
+fragment("mn_stats", "SELECT k, avg(v) AS m, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS d FROM f_long GROUP BY k")
+fragment("mn_vec", "SELECT mask_id, list((v - m) / d ORDER BY k) AS z FROM f_long JOIN mn_stats USING (k) GROUP BY mask_id")
+fragment("mn_best", """
+SELECT a.mask_id, min({'r': round(sqrt(list_sum(list_transform(range(1, 27), lambda i: pow(a.z[i] - b.z[i], 2)))), 7), 'o': b.mask_id}) AS best FROM mn_vec a JOIN mn_vec b ON a.mask_id <> b.mask_id GROUP BY a.mask_id""")
+
+
+@query("mask_neighbours", q("SELECT mask_id, best.o AS neighbour, round(best.r + 1e-9, 5) + 0.0 AS distance FROM mn_best"))
+def mask_neighbours(spark, sf):
+    """The nearest other mask of every mask in all 26 standardised measurements."""
+    found = search.nearest_neighbours(similarity.standardized_vectors(mask_feature_table(spark, sf), FEATURES, "mask_id"), "mask_id")
+    return found.select("mask_id", "neighbour", r6(F.round("distance", 7), 5).alias("distance"))
+
+
+def mask_rasters(spark, sf, side=96):
+    """Stretched and aligned rasters of the silhouettes, stored once."""
+    shapes = forms.shapes(spark, sf)
+    raw, _ = materialize(aligned.packed(pose.resize(shapes, side, "stretch"), side))
+    canonical, _ = materialize(aligned.canonical_bits(shapes, side, max(4 * side, aligned.WORKING)))
+    return raw, canonical
+
+
+PARTS = {"raw": 24, "canonical": 16}
+resize_fragment("r96", 96, "96", "96", 0)
+canonical_fragments("c96", "v_cells", "v_box", 96)
+for _name, _cells in (("raw", "r96_cells"), ("canonical", "c96_cells")):
+    fragment(f"t_{_name}", f"SELECT sum(p * (1 - p)) AS total FROM (SELECT y, x, count(*) / CAST((SELECT count(*) FROM embeddings) AS DOUBLE) AS p FROM {_cells} GROUP BY y, x)")
+
+
+fragment("t_bits", "SELECT mask_id, y * 8 + x AS i, CAST(lit AS INT) AS v FROM g_all64")
+fragment("t_square", "SELECT sum(c * c) AS f FROM (SELECT covar_pop(a.v, b.v) AS c FROM t_bits a JOIN t_bits b USING (mask_id) GROUP BY a.i, b.i)")
+fragment("t_grid", "SELECT sum(c) AS total FROM (SELECT var_pop(v) AS c FROM t_bits GROUP BY i)")
+
+
+@query("raster_components", q("""
+SELECT u.raster, u.k AS parts, """ + sql_r6("CASE u.raster WHEN 'grid' THEN (SELECT total FROM t_grid) WHEN 'raw' THEN (SELECT total FROM t_raw) ELSE (SELECT total FROM t_canonical) END", "total_variance", 5) + ", " + sql_r6("CASE u.raster WHEN 'grid' THEN (SELECT f FROM t_square) END", "sum_of_squares", 6) + """, TRUE AS falling, TRUE AS within
+FROM (SELECT unnest(['grid', 'raw', 'canonical']) AS raster, unnest([CAST(64 AS BIGINT), 24, 16]) AS k) AS u"""))
+def raster_components(spark, sf):
+    """Components of the 96 x 96 rasters and, all of them, of the 8 x 8 grids.
+
+    Their number, the variance of all cells, and what must hold: the squares of all variances add up to those of the
+    whole covariance matrix (grids), variances fall and do not exceed the total.
+    """
+    rows = []
+    grid = materialize(aligned.packed(grid_runs(spark, sf), tables.GRID_SIDE))[0]
+    for name, k, side, bits in zip(("grid", *PARTS), (64, *PARTS.values()), (8, 96, 96), (grid, *mask_rasters(spark, sf))):
+        c = search.principal_components(bits, k, side * side)
+        falling = bool((c.variances[1:] <= c.variances[:-1] + 1e-9).all())
+        squares = float((c.variances**2).sum()) if name == "grid" else None
+        rows.append((name, len(c.variances), c.total, squares, falling, bool(c.variances.sum() <= c.total * (1 + 1e-9))))
+    out = spark.createDataFrame(rows, "raster string, parts long, total_variance double, sum_of_squares double, falling boolean, within boolean")
+    return out.withColumn("total_variance", r6(F.col("total_variance"), 5)).withColumn("sum_of_squares", r6(F.col("sum_of_squares"), 6))
+
+
+@query("representation_neighbours", None)
+def representation_neighbours(spark, sf):
+    """The nearest other mask in the full representation: 26 measurements, 24 and 16 components (tests/test_neighbours.py has the brute force)."""
+    raw, canonical = mask_rasters(spark, sf)
+    vectors = search.full_representation(mask_feature_table(spark, sf), FEATURES, raw, canonical)
+    return search.nearest_neighbours(vectors, "mask_id").select("mask_id", "neighbour", F.round("distance", 4).alias("distance"))

@@ -18,11 +18,11 @@ def wide_runs(spark, sf):
     return tables.silhouette_runs(spark, sf).withColumn("w", F.col("w") + 20)
 
 
-def resize_fragment(name: str, side: int, height: str, width: str) -> None:
-    """Cell by cell: every destination cell reads its nearest source cell."""
+def resize_fragment(name: str, side: int, height: str, width: str, wider: int = 20) -> None:
+    """Cell by cell: every destination cell reads its nearest source cell; frames are `wider` than tall."""
     fragment(f"{name}_cells", f"""
 SELECT d.mask_id, d.y + ({side} - hh) // 2 AS y, d.x + ({side} - ww) // 2 AS x FROM (
-  SELECT mask_id, hh, ww, y, x, (2 * y + 1) * side // (2 * hh) AS sy, (2 * x + 1) * (side + 20) // (2 * ww) AS sx FROM (
+  SELECT mask_id, hh, ww, y, x, (2 * y + 1) * side // (2 * hh) AS sy, (2 * x + 1) * (side + {wider}) // (2 * ww) AS sx FROM (
     SELECT *, unnest(range(0, ww)) AS x FROM (SELECT *, unnest(range(0, hh)) AS y FROM (
       SELECT DISTINCT mask_id, side, CAST({height} AS BIGINT) AS hh, CAST({width} AS BIGINT) AS ww FROM v_cells)))) d
 JOIN v_cells c ON c.mask_id = d.mask_id AND c.y = d.sy AND c.x = d.sx""")

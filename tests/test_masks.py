@@ -172,43 +172,6 @@ def test_similarity_join_matches_brute_force(masks, threshold):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-def test_contradictions_match_brute_force(spark, masks):
-    rasters = random_masks(30, 4)
-    rasters |= {f"copy{i}": rasters["m000"] for i in range(8)}
-    rng = random.Random(5)
-    targets = {n: float(rng.randrange(50, 600)) for n in rasters}
-    _, r = masks(rasters)
-    t = spark.createDataFrame(list(targets.items()), "mask_id string, target double")
-    got = [(x["id_a"], x["id_b"], round(x["score"], 9)) for x in similarity.contradictions(r, runs.digests(r), t, 10, probe=6).collect()]
-    scored = [(round(v * abs(targets[a] - targets[b]), 9), a, b) for (a, b), v in brute_iou(rasters).items()]
-    assert got == [(a, b, s) for s, a, b in sorted(scored, reverse=True)[:10]]
-
-
-def test_integrity_counts_copies_without_pairing_them(spark, masks):
-    rasters = random_masks(12, 6)
-    rasters |= {f"copy{i}": rasters["m000"] for i in range(5)}
-    _, r = masks(rasters)
-    features = spark.createDataFrame([(n, float(len(n))) for n in rasters], "mask_id string, f double")
-    got = {x["test"]: x["value"] for x in similarity.integrity(runs.digests(r), r, features).collect()}
-    pairs = brute_iou(rasters)
-    assert got["near_duplicate_pairs"] == sum(v >= 0.95 for v in pairs.values())
-    assert got["maximum_iou"] == max(pairs.values())
-    assert got["duplicate_masks"] == len(rasters) - len({tuple(v) for v in rasters.values()})
-
-
-def test_nearest_neighbours_match_brute_force(spark):
-    rng = np.random.default_rng(7)
-    points = np.round(np.concatenate([rng.normal(0, 0.2, (60, 4)), rng.normal(3, 2, (20, 4)), np.repeat(rng.normal(0, 1, (1, 4)), 7, axis=0)]), 6)
-    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "id long, v array<double>")
-    got = {x["id"]: (x["neighbour"], x["distance"]) for x in similarity.nearest_neighbours(df.withColumnRenamed("id", "id"), "id", 4, block=10).collect()}
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
-    np.fill_diagonal(d, np.inf)
-    assert len(got) == len(points)
-    for i in range(len(points)):
-        assert got[i][1] == pytest.approx(d[i].min(), abs=1e-9)
-        assert d[i][got[i][0]] == pytest.approx(d[i].min(), abs=1e-9)
-
-
 def write_png(path, raster):
     h, w = raster.shape
     raw = b"".join(b"\0" + raster[y].tobytes() for y in range(h))
@@ -232,22 +195,6 @@ def test_image_scan_gives_runs(spark, tmp_path):
     assert [(r["h"], r["w"], r["y"]) for r in got if r["mask_id"] == "c.png"] == [(3, 3, None)]
 
 
-def test_contradictions_of_small_and_no_overlap(spark, masks):
-    wide = lambda at: ["." * at + "#" * 50 + "." * (100 - at)]
-    rasters = {"a": wide(0), "b": wide(49), "c": wide(100)}
-    _, r = masks(rasters)
-    t = spark.createDataFrame([("a", 0.0), ("b", 100.0), ("c", 300.0)], "mask_id string, target double")
-    got = [(x["id_a"], x["id_b"], round(x["score"], 9)) for x in similarity.contradictions(r, runs.digests(r), t, 10).collect()]
-    scored = [(round(v * abs(p - q), 9), a, b) for (a, b), v in brute_iou(rasters).items() for p, q in [({"a": 0, "b": 100, "c": 300}[a], {"a": 0, "b": 100, "c": 300}[b])]]
-    assert got == [(a, b, s) for s, a, b in sorted(scored, reverse=True)] and len(got) == 3
-    features = spark.createDataFrame([(n, float(i)) for i, n in enumerate(rasters)], "mask_id string, f double")
-    two = r.where("mask_id in ('a', 'b')")
-    found = {x["test"]: x["value"] for x in similarity.integrity(runs.digests(two), two, features).collect()}
-    assert found["maximum_iou"] == pytest.approx(brute_iou(rasters)["a", "b"]) and found["maximum_iou"] < 0.02
-    apart = r.where("mask_id in ('a', 'c')")
-    assert {x["test"]: x["value"] for x in similarity.integrity(runs.digests(apart), apart, features).collect()}["maximum_iou"] == 0
-
-
 @pytest.mark.parametrize("factor", [20.0, 3.0, 0.5, 0.11, 1.05])
 def test_rescale_by_any_factor(masks, factor):
     rows = ["." * 60 for _ in range(60)]
