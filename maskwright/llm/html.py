@@ -2,8 +2,11 @@
 
 The text blocks of a page are summed by their tag path: characters, characters in links, punctuation, blocks. A
 container's ratio is smoothed with those of the containers around and inside it, and blocks above a share of the
-best are kept, with the rest of their article, the headings before them and the text between them. Parts that are by their tag or role no article (menus, notices, forms ...) do not take part. Class and id do so outside
-an article; inside, they lessen the ratio of containers only.
+best are kept, with the short parts of their article, the headings before them and the text between them. Paths that hold
+links alone, and parts that are by their tag or role no article (menus, notices, forms ...), do not take part, nor does
+what lies outside the articles (or the main part) that hold most of the text. Class and id drop elements outside an
+article; inside, they lessen the ratio of containers and, where they say nothing else, of paragraphs. Work and memory
+grow with the page's length, however deep it is nested.
 """
 
 from __future__ import annotations
@@ -67,6 +70,10 @@ TITLE_REACH = 1000
 PAGE = frozenset("html body".split())
 #: Share of the best smoothed ratio that a path needs, and what a container takes from the one around or inside it.
 LEAST_SHARE = 0.1
+#: Characters of a line in a column beside the article.
+SHORT_LINE = 40
+#: Share of links from which on a path, or a block of several links, is a menu.
+LINKS_ALONE = 0.9
 FROM_AROUND = 0.5
 #: What is left of the ratio of a container whose name speaks against it: all of the name, or a word of it.
 SURE_PENALTY = 0.05
@@ -76,12 +83,12 @@ HEADING_REACH = 3
 
 
 class Block:
-    """A run of text between block elements: its path, its container, its penalised element and its characters."""
+    """A run of text between block elements: the number of its path, its container, its penalised element, characters and links."""
 
-    __slots__ = ("chars", "container", "inside", "linked", "path", "penalised", "text")
+    __slots__ = ("chars", "container", "inside", "linked", "links", "path", "penalised", "tag", "text")
 
-    def __init__(self, path: tuple, container: int, text: str, linked: int, penalised: int, inside: bool):
-        self.path, self.container, self.text, self.chars, self.linked = path, container, text, len(text), linked
+    def __init__(self, path: int, tag: str, container: int, text: str, linked: int, links: int, penalised: int, inside: bool):
+        self.path, self.tag, self.container, self.text, self.chars, self.linked, self.links = path, tag, container, text, len(text), linked, links
         self.penalised, self.inside = penalised, inside
 
 
@@ -101,7 +108,7 @@ def _weight(tag: str, attr: str, inside_article: bool, after: str) -> float:
     if found.get("role") in DROPPED_ROLES:
         return 0.0
     textual = tag in HEADINGS or tag == "p" or tag not in BLOCKS
-    if tag in ("html", "body", "main", "article") or tag in HEADINGS or textual and inside_article:
+    if tag in ("html", "body", "main", "article") or tag in HEADINGS or textual and inside_article and tag != "p":
         return 1.0
     weight = 1.0
     for name in [*found.get("class", "").split(), found.get("id", "")]:
@@ -119,34 +126,40 @@ def _weight(tag: str, attr: str, inside_article: bool, after: str) -> float:
         sure = all(w in DROPPED_WORDS or w in FRAME_WORDS or w.isdigit() for w in words)
         if sure and not inside_article:
             return 0.0
-        if not textual:
+        if not textual or sure:
             weight = min(weight, SURE_PENALTY if sure else PENALTY)
     return weight
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[int], list[str], list[float]]:
     """Text blocks of a page in order, for every container the one around it (-1 for none) and its tag, and the penalties of penalised elements."""
-    stack: list[tuple[str, bool, int, bool, int]] = []  # tag, dropped, container, inside an article, penalised element
+    # tag, dropped, container, inside an article, penalised element, number of the path of block elements, its last tag
+    nothing = ("", False, -1, False, -1, 0, "")
+    stack: list[tuple[str, bool, int, bool, int, int, str]] = []
+    paths: dict[tuple[int, str], int] = {}
+    depth_of: dict[str, int] = {}  # open elements of every tag
     penalties: list[float] = []
     around: list[int] = []
     tags: list[str] = []
     blocks: list[Block] = []
     pieces: list[str] = []
-    linked = 0
+    linked = links = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, links
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                _, _, container, inside, penalised = stack[-1] if stack else ("", False, -1, False, -1)
-                blocks.append(Block(tuple(s[0] for s in stack if s[0] in BLOCKS), container, text, min(linked, len(text)), penalised, inside))
+                _, _, container, inside, penalised, path, last = stack[-1] if stack else nothing
+                blocks.append(Block(path, last, container, text, min(linked, len(text)), links, penalised, inside))
             pieces.clear()
-        linked = 0
+        linked = links = 0
 
     def pop_to(depth: int) -> None:
         if any(s[0] in BLOCKS for s in stack[depth:]):
             flush()
+        for s in stack[depth:]:
+            depth_of[s[0]] -= 1
         del stack[depth:]
 
     at = 0
@@ -155,7 +168,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[str], list[float]
         text_end = found.start() if found else len(page)
         if text_end > at and not (stack and stack[-1][1]):
             pieces.append(page[at:text_end])
-            if any(s[0] == "a" for s in stack):
+            if depth_of.get("a", 0):
                 linked += text_end - at
         if not found:
             break
@@ -164,9 +177,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[str], list[float]
         if not tag:
             continue
         if found["end"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if depth >= 0:
-                pop_to(depth)
+            if depth_of.get(tag, 0):
+                pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             elif tag in BLOCKS:
                 flush()
             continue
@@ -174,10 +186,11 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[str], list[float]
             pieces.append(" ")
             continue
         if tag in BLOCKS:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in CONTAINERS), -1)
-            if depth >= 0 and stack[depth][0] == "p":
-                pop_to(depth)
-            if tag in IMPLIED:
+            if depth_of.get("p", 0):
+                depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in CONTAINERS)
+                if stack[depth][0] == "p":
+                    pop_to(depth)
+            if tag in IMPLIED and any(depth_of.get(t, 0) for t in IMPLIED[tag][0]):
                 ends, until = IMPLIED[tag]
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in until:
@@ -187,7 +200,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[str], list[float]
             flush()
         if tag in VOID:
             continue
-        _, dropped, container, inside, penalised = stack[-1] if stack else ("", False, -1, False, -1)
+        _, dropped, container, inside, penalised, path, last = stack[-1] if stack else nothing
+        links += tag == "a"
         weight = 0.0 if dropped else _weight(tag, found["attr"], inside, page[at : at + TITLE_REACH] if tag == "section" else "")
         dropped = weight == 0
         if 0 < weight < (penalties[penalised] if penalised >= 0 else 1):
@@ -201,7 +215,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[str], list[float]
             around.append(container)
             tags.append(tag)
             container = len(around) - 1
-        stack.append((tag, dropped, container, inside or tag in ("article", "main"), penalised))
+        if tag in BLOCKS:
+            path, last = paths.setdefault((path, tag), len(paths) + 1), tag
+        depth_of[tag] = depth_of.get(tag, 0) + 1
+        stack.append((tag, dropped, container, inside or tag in ("article", "main"), penalised, path, last))
     pop_to(0)
     flush()
     return blocks, around, tags, penalties
@@ -219,7 +236,7 @@ def _unpenalised(blocks: list[Block], penalties: list[float]) -> list[Block]:
     Where there is an article, names like theirs outside of it drop them.
     """
     def per_block(part: list[Block]) -> float:
-        part = [b for b in part if not b.path or b.path[-1] not in HEADINGS] or part
+        part = [b for b in part if b.tag not in HEADINGS] or part
         return _ratio(*(sum(x) for x in zip(*((b.chars, b.linked, len(PUNCTUATION.findall(b.text)), 1) for b in part)))) / len(part) if part else 0.0
 
     free = [b for b in blocks if b.penalised < 0]
@@ -240,14 +257,27 @@ def _nearest(around: list[int], tags: list[str], tag: str) -> list[int]:
     return out
 
 
+def _without_menus(blocks: list[Block]) -> list[Block]:
+    """Without blocks of several links and nothing else, and without paths of several blocks that are links alone."""
+    sums: dict[int, list[int]] = {}
+    letters = [sum(map(str.isalnum, b.text)) if b.linked else b.chars for b in blocks]  # bars and dots between links are none of either
+    for b, n in zip(blocks, letters):
+        s = sums.setdefault(b.path, [0, 0, 0])
+        s[0], s[1], s[2] = s[0] + n, s[1] + b.linked, s[2] + 1
+    menu = {p for p, (chars, linked, count) in sums.items() if count > 1 and linked >= LINKS_ALONE * chars}
+    alone = [b.links > 1 and b.linked >= LINKS_ALONE * n or b.path in menu and b.tag not in HEADINGS and b.tag != "p" for b, n in zip(blocks, letters)]
+    return [b for b, menu_ in zip(blocks, alone) if not menu_]
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the paths that hold the article, and what lies among them, in page order, one to a line."""
     blocks, around, tags, penalties = blocks_of(page or "")
     if penalties:
         blocks = _unpenalised(blocks, penalties)
+    blocks = _without_menus(blocks)
     if not blocks:
         return ""
-    sums: dict[tuple, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in blocks:
         s = sums.setdefault(b.path, [0, 0, 0, 0])
         s[0] += b.chars
@@ -273,24 +303,49 @@ def main_text(page: str | None) -> str:
     plain = [2 * b.linked <= b.chars for b in blocks]
     kept = [score >= least or plain[k] and inner[blocks[k].container] >= least for k, score in enumerate(from_text)]
 
-    # all of the articles in which kept blocks lie, or else of the main part
+    # where most of the kept text lies in articles, or else in the main part, what lies outside is something else
     article, main = _nearest(around, tags, "article"), _nearest(around, tags, "main")
+    chars = sum(b.chars for b, k in zip(blocks, kept) if k)
+    region = [True] * len(blocks)
+    for nearest in (article, main):
+        if 2 * sum(b.chars for b, k in zip(blocks, kept) if k and nearest[b.container] >= 0) > chars:
+            region = [nearest[b.container] >= 0 for b in blocks]
+            break
+    kept = [k and r for k, r in zip(kept, region)]
     articles = {article[b.container] for b, k in zip(blocks, kept) if k} - {-1}
-    mains = set() if articles else {main[b.container] for b, k in zip(blocks, kept) if k} - {-1}
-    kept = [k or article[b.container] in articles or plain[n] and main[b.container] in mains for n, (b, k) in enumerate(zip(blocks, kept))]
+    # of an article also the short parts: text that is not outweighed by its links
+    kept = [k or plain[n] and article[b.container] in articles for n, (b, k) in enumerate(zip(blocks, kept))]
 
     # sentences right beside kept blocks in a container of the same parent, below the page itself
     parent = [around[b.container] if b.container >= 0 else -1 for b in blocks]
     for steps in (range(1, len(blocks)), range(len(blocks) - 2, -1, -1)):
         for k in steps:
             beside = k - 1 if steps.step > 0 else k + 1
-            if kept[beside] and not kept[k] and plain[k] and parent[k] == parent[beside] >= 0 and tags[parent[k]] not in PAGE and PUNCTUATION.search(blocks[k].text):
+            close = parent[k] == parent[beside] >= 0 and tags[parent[k]] not in PAGE and tags[parent[k]] != "main"
+            if kept[beside] and not kept[k] and plain[k] and region[k] and close and PUNCTUATION.search(blocks[k].text):
                 kept[k] = True
 
+    # containers of several short lines at either end, away from the one with most text, are columns beside it
+    lines: dict[int, list[int]] = {}
+    for b in blocks:
+        lines.setdefault(b.container, []).append(b.chars)
+    most = max({b.container for b, k in zip(blocks, kept) if k}, key=lambda c: (sum(lines[c]), -c))
+    usual = sum(lines[most]) / len(lines[most])
+
+    columns = {
+        c for c, own in lines.items()
+        if c != most and article[c] < 0 and len(own) > 1 and max(own) < 2 * SHORT_LINE and sum(own) < len(own) * min(SHORT_LINE, usual / 3)
+    }
+    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+        for k in order:
+            if kept[k] and blocks[k].container not in columns:
+                break
+            kept[k] = False
+
     # the headings before the first kept block, and text between kept ones
     first = kept.index(True)
     for k in range(first - 1, max(-1, first - 1 - HEADING_REACH), -1):
-        if blocks[k].path and blocks[k].path[-1] in HEADINGS and plain[k]:
+        if blocks[k].tag in HEADINGS and plain[k]:
             kept[k], first = True, k
     last = len(kept) - 1 - kept[::-1].index(True)
     return "\n".join(b.text for k, b in enumerate(blocks) if kept[k] or first < k < last and plain[k])

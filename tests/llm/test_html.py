@@ -1,6 +1,7 @@
 """Main text of pages of several layouts, broken markup and odd rows."""
 
 import random
+import time
 
 import pytest
 
@@ -96,3 +97,42 @@ def test_rows(spark):
     rows = sorted((str(r.page_id), r.text, r.n_chars) for r in html.extract(pages).collect())
     assert rows == [("1", "a b", 3), ("1", "a b", 3), ("2", "", 0), ("None", "", 0)]
     assert html.extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>"])
+@pytest.mark.parametrize("chars", [200, 6000])
+@pytest.mark.parametrize("noise", [
+    "<div>Imprint, contact.</div>", "<div><p>Great read, thanks! I saw it twice, and again.</p><p>Me too, it was good.</p></div>",
+    "<div><p>Weather: 20 degrees.</p><p>Stocks: up, a bit.</p></div>", "<div>All rights kept by us, 2024.</div>",
+])
+def test_plain_blocks_outside_the_article_go(around, chars, noise):
+    body = (TEXT * 200)[:chars].strip()
+    page = f"<html><body>{noise}<h1>Title</h1>{around.format(f'<p>{body}</p><p>{body}</p>')}{noise}</body></html>"
+    assert html.main_text(page) == f"Title\n{body}\n{body}"
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "{}"])
+@pytest.mark.parametrize("menu", ["<div><a href=/>Home</a> <a href=/n>News</a> | <a href=/s>Sport</a></div>", "<ul><li><a href=/>Home</a></li><li><a href=/n>News of the day</a></li></ul>"])
+def test_menus_of_links_alone_go_wherever_they_are(around, menu):
+    body = f"<p>{TEXT * 6}</p>{menu}<p>See <a href=x>this page</a>, too. {TEXT}</p>{menu}<p>{TEXT * 3}</p>"
+    want = "\n".join([(TEXT * 6).strip(), f"See this page, too. {TEXT.strip()}", (TEXT * 3).strip()])
+    assert html.main_text(f"<html><body>{menu}{around.format(body)}{menu}</body></html>") == want
+
+
+def test_side_column_of_the_main_part_and_paragraphs_named_as_adverts_go():
+    side = "<div><p>Weather: 20 degrees.</p><p>Stocks: up.</p></div>"
+    page = f"<main><div><h1>Title</h1><p>{TEXT * 6}</p><p class=ad>Buy now, cheap.</p><p class='notice'>We moved.</p><p>{TEXT * 6}</p></div>{side}</main>"
+    assert html.main_text(page) == "\n".join(["Title", (TEXT * 6).strip(), (TEXT * 6).strip()])
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "a", "li", "section", "p"])
+def test_work_grows_with_length_however_deep(tag):
+    """50,000 levels, with text and stray ends on each, in about twice the time of 25,000."""
+    deep = lambda n: f"<{tag}>x.</i></h9>" * n + f"<article><p>{TEXT * 400}</p></article>"
+    def seconds(n):
+        page, began = deep(n), time.process_time()
+        assert "Some sentence" in html.main_text(page) or tag == "a"
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(50_000) < 4 * seconds(25_000) + 1
