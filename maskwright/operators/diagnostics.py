@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import pearson
 from maskwright.operators.metrics import attach_percentiles
 from maskwright.operators.ranks import group_percentiles
+from maskwright.operators.split import hash_order, position_in_group, prefix_digits
+from maskwright.session import materialize
 
 DIMENSIONS = ("category", "grp", "resolution")
 
@@ -181,6 +183,49 @@ def learning_rows(subsets: DataFrame, split: DataFrame, feature: str, heavy_quan
     return held.join(F.broadcast(train), ["outer_fold", "fraction"])
 
 
+def repeated_learning_rows(
+    splits: DataFrame, feature: str, n: int, fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0), heavy_quantile: float = 0.8, target: str = "target", key: str = "sample_id", strata: int = 50,
+) -> DataFrame:
+    """(split_seed, outer_fold, fraction, n_train, train_mae, validation_mae, heavy_mae) of a line on `feature`, for every seed, fold and fraction.
+
+    `splits` has `split_seed`, `fold` and `category` (of `repeated_splits`). A row's place in the hash order of its (seed, fold, category)
+    says which fractions it belongs to, so the subsets are nested and one set of flags serves all outer folds: sums of
+    each (seed, fraction, fold) come from one pass, a training set is their total less the held-out fold, and all errors of
+    all lines (seeds * fractions * folds of them, broadcast) come from a second. A cell gives floor(size * fraction + 0.5) rows.
+    """
+    cell = ["split_seed", "fold", "category"]
+    order = hash_order(F.col("split_seed") * 101, key)
+    sizes = splits.groupBy(*cell).agg(F.count("*").alias("_size"))
+    placed = position_in_group(splits.select(*cell, key, target, feature).withColumn("_h", order), cell, "_h", key, prefix_digits(n / strata), "_p")
+    flag = lambda q: F.when(F.col("_p") < F.floor(F.col("_size") * q + 0.5), F.lit(q))
+    rows, _ = materialize(
+        placed.join(F.broadcast(sizes), cell).select(
+            "split_seed", "fold", F.col(target).cast("double").alias("y"), F.col(feature).cast("double").alias("x"), F.array_compact(F.array(*[flag(q) for q in fractions])).alias("member")
+        )
+    )
+    stats = rows.select("split_seed", "fold", "x", "y", F.explode("member").alias("fraction")).groupBy("split_seed", "fraction", "fold").agg(
+        F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.covar_pop("x", "y").alias("cxy")
+    )
+    # a table of seeds * fractions * folds rows; sums around a common centre can be subtracted
+    every, whole = Window.partitionBy(F.lit(0)), Window.partitionBy("split_seed", "fraction")
+    centred = stats.withColumn("cx", F.avg("mx").over(every)).withColumn("cy", F.avg("my").over(every))
+    dx, dy, count = F.col("mx") - F.col("cx"), F.col("my") - F.col("cy"), F.col("n")
+    sums = centred.select("split_seed", "fraction", "fold", "n", "cx", "cy", (count * dx).alias("sx"), (count * dy).alias("sy"), (count * (F.col("vx") + dx * dx)).alias("sxx"), (count * (F.col("cxy") + dx * dy)).alias("sxy"))
+    left = sums.select("split_seed", "fraction", "fold", "cx", "cy", *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
+    slope = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / count, F.col("sxx") - F.col("sx") * F.col("sx") / count)
+    fits = left.select(
+        "split_seed", F.struct("fraction", F.col("fold").alias("outer_fold"), count.alias("n_train"), slope.alias("slope"), (F.col("cy") + F.col("sy") / count - slope * (F.col("cx") + F.col("sx") / count)).alias("intercept")).alias("line")
+    ).groupBy("split_seed").agg(F.collect_list("line").alias("lines"))
+    limit = group_percentiles(splits.where(F.col("split_seed") == F.lit(splits.agg(F.min("split_seed")).first()[0])), [], target, {"heavy": heavy_quantile}).first()
+    heavy = F.lit(None if limit is None else limit["heavy"]).cast("double")
+    scored = rows.join(F.broadcast(fits), "split_seed").select("split_seed", "fold", "y", "member", "x", F.explode("lines").alias("l")).select("split_seed", "fold", "y", "member", "x", "l.*")
+    error, held = F.abs(F.col("slope") * F.col("x") + F.col("intercept") - F.col("y")), F.col("fold") == F.col("outer_fold")
+    return scored.groupBy("split_seed", "outer_fold", "fraction", "n_train").agg(
+        F.avg(F.when(~held & F.array_contains("member", F.col("fraction")), error)).alias("train_mae"), F.avg(F.when(held, error)).alias("validation_mae"),
+        F.avg(F.when(held & (F.col("y") >= heavy), error)).alias("heavy_mae"),
+    )
+
+
 def repeated_curve(rows: DataFrame) -> DataFrame:
     """Mean and population deviation by fraction over all splits and folds."""
     values = ["n_train", "train_mae", "validation_mae", "heavy_mae"]

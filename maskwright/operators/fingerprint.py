@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
-from maskwright.session import materialize
+from maskwright.session import materialize, shared_dir
 
 
 def canonical_row(df: DataFrame, columns: list[str], decimals: int = 6) -> Column:
@@ -72,6 +75,60 @@ def freshness(stored: DataFrame, current: DataFrame) -> DataFrame:
     return joined.select("table", status.alias("status"), F.when(F.col("_s").isNull(), "").otherwise(F.array_join(differing, ",")).alias("differing"))
 
 
+@dataclass(frozen=True)
+class Remembered:
+    """What was stored of a table before a run: sums for each hash bucket, and a hash of every row beside its key, by bucket."""
+
+    table: str
+    key: str
+    columns: tuple[str, ...]
+    buckets: int
+    path: str
+
+
+def _row_hashes(df: DataFrame, key: str, columns: tuple[str, ...], buckets: int) -> DataFrame:
+    text = canonical_row(df, list(columns))
+    return df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), F.col(key).cast("string").alias("key"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+
+
+def _bucket_sums(rows: DataFrame) -> DataFrame:
+    """(bucket, n, h, g): counts and sums of both hashes, cut to 32 bits before they are added."""
+    part = lambda c: F.sum(F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"), part("h").alias("h"), part("g").alias("g"))
+
+
+def remember(df: DataFrame, table: str, key: str, columns: list[str] | None = None, buckets: int = 256) -> Remembered:
+    """Store fingerprints of the projection of `df` to `columns` (all by default), to be compared after a run."""
+    columns_ = tuple(columns or df.columns)
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/maskwright/remembered-{uuid.uuid4().hex}"
+    _row_hashes(df, key, columns_, buckets).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/rows")
+    stored = df.sparkSession.read.schema("key string, h long, g long, bucket int").parquet(f"{path}/rows")
+    _bucket_sums(stored).write.parquet(f"{path}/sums")
+    return Remembered(table, key, columns_, buckets, path)
+
+
+def changed_rows(before: Remembered, df: DataFrame) -> DataFrame:
+    """(table, key, change): keys whose rows were `added`, `removed` or `changed` since `before`; equal rows count as often as they stand.
+
+    The table is read once for its bucket sums. Only buckets that differ are compared row by row, and only their stored
+    rows are read. No change gives no rows.
+    """
+    spark = df.sparkSession
+    rows = _row_hashes(df, before.key, before.columns, before.buckets)
+    old, _ = materialize(spark.read.schema("bucket int, n long, h long, g long").parquet(f"{before.path}/sums"))
+    new, _ = materialize(_bucket_sums(rows))
+    same = ["bucket", "n", "h", "g"]
+    differing = sorted(r["bucket"] for r in old.select(*same).exceptAll(new.select(*same)).unionByName(new.select(*same).exceptAll(old.select(*same))).select("bucket").distinct().collect())  # at most `buckets`
+    if not differing:
+        return spark.createDataFrame([], "table string, key string, change string")
+    stored = spark.read.schema("key string, h long, g long, bucket int").parquet(f"{before.path}/rows").where(F.col("bucket").isin(differing))
+    count = lambda d, n: d.groupBy("key", "h", "g").agg(F.count("*").alias(n))
+    both = count(stored, "was").join(count(rows.where(F.col("bucket").isin(differing)), "now"), ["key", "h", "g"], "full_outer").fillna(0, ["was", "now"])
+    moved = both.where("was != now").groupBy("key").agg(F.sum("was").alias("was"), F.sum("now").alias("now"))
+    change = F.when(F.col("was") == 0, "added").when(F.col("now") == 0, "removed").otherwise("changed")
+    return moved.select(F.lit(before.table).alias("table"), "key", change.alias("change"))
+
+
 def descendants(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Transitive closure (ancestor, descendant) of a small edge table, each stage included."""
     nodes = edges.select(F.explode(F.array("parent", "child")).alias("ancestor")).distinct()

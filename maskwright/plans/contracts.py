@@ -17,7 +17,7 @@ from maskwright.plans.common import candidates, orders_split, predictions, sampl
 from maskwright.plans.evaluation import CANDIDATES, RES
 from maskwright.plans.oracle import fragment, q, r6 as sql_r6
 from maskwright.plans.registry import query
-from maskwright.session import shared_dir, spread
+from maskwright.session import materialize, shared_dir, spread
 from maskwright.sources import files, tables
 
 
@@ -445,8 +445,25 @@ def table_freshness(spark, sf):
 
 @query("unchanged_inputs", q("SELECT * FROM (SELECT unnest(['customer', 'part', 'supplier']) AS \"table\", 'reusable' AS status, '' AS differing) WHERE (SELECT count(*) FROM part) > 0"))
 def unchanged_inputs(spark, sf):
-    before, after = _fingerprints(spark, sf, False), _fingerprints(spark, sf, False)
-    return fingerprint.freshness(before[0].unionByName(before[1]).unionByName(before[2]), after[0].unionByName(after[1]).unionByName(after[2]))
+    """Fingerprints stored before are compared with those of the tables as they are read afterwards."""
+    before = _fingerprints(spark, sf, False)
+    stored, _ = materialize(before[0].unionByName(before[1]).unionByName(before[2]))
+    after = _fingerprints(spark, sf, False)
+    return fingerprint.freshness(stored, after[0].unionByName(after[1]).unionByName(after[2]))
+
+
+@query("changed_rows", q("""
+SELECT 'orders' AS "table", CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 211 = 0 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 211 = 0 OR o_orderkey % 97 = 0
+UNION ALL SELECT 'orders', CAST(o_orderkey + 1000000000 AS VARCHAR), 'added' FROM orders WHERE o_orderkey % 301 = 0"""))
+def changed_rows(spark, sf):
+    """A table that changed during a run: prices, rows that went and rows that came are named, a change outside the projection is not."""
+    orders = tables.table(spark, sf, "orders")
+    before = fingerprint.remember(orders, "orders", "o_orderkey", ["o_orderkey", "o_totalprice", "o_orderstatus"])
+    key = F.col("o_orderkey")
+    price = F.when(key % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    came = orders.where(key % 301 == 0).withColumn("o_orderkey", key + 1_000_000_000)
+    now, _ = materialize(orders.where(key % 211 != 0).withColumn("o_totalprice", price).unionByName(came).withColumn("o_clerk", F.lit("none")))
+    return fingerprint.changed_rows(before, now)
 
 
 @query("output_records", q(f"SELECT 'nation' AS \"table\", n AS rows, {DIGEST} AS digest, 'n_name,n_nationkey' AS columns FROM (SELECT count(*) AS n, {quarter_sums('sha256(j)')} FROM (SELECT '{{\"n_name\":\"' || n_name || '\",\"n_nationkey\":\"' || n_nationkey || '\"}}' AS j FROM nation))"))

@@ -338,9 +338,34 @@ def learning_rows(spark, sf):
     return rounded(longs(rows, "outer_fold"), *LROW)
 
 
-@query("repeated_curve", q("SELECT fraction, " + ", ".join(sql_r6(f"avg({c})", f"mean_{c}", D) + ", " + sql_r6(f"stddev_pop({c})", f"sd_{c}", D) for c in ["n_train", *LROW]) + " FROM s_lrows GROUP BY fraction"))
+SEEDS = (0, 1, 2, 3, 4)
+fragment("rc_split", f"""
+SELECT *, (row_number() OVER (PARTITION BY seed ORDER BY cno, sha256(seed || ':' || sample_id), sample_id) - 1) % 5 + 1 AS fold FROM s_cat, (SELECT unnest({list(SEEDS)}) AS seed)""")
+fragment("rc_place", """
+SELECT *, row_number() OVER (PARTITION BY seed, fold, cno ORDER BY sha256(seed * 101 || ':' || sample_id), sample_id) - 1 AS p, count(*) OVER (PARTITION BY seed, fold, cno) AS size FROM rc_split""")
+fragment("rc_member", "SELECT r.*, fraction FROM rc_place r, (SELECT unnest([0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS fraction) WHERE p < floor(size * fraction + 0.5)")
+fragment("rc_fit", "SELECT seed, fraction, outer_fold, count(*) AS n_train, regr_slope(target, words) AS a, regr_intercept(target, words) AS b FROM rc_member JOIN folds5 ON fold <> outer_fold GROUP BY ALL")
+fragment("rc_train", "SELECT f.seed, f.fraction, f.outer_fold, avg(abs(a * words + b - target)) AS train_mae FROM rc_fit f JOIN rc_member m ON m.seed = f.seed AND m.fraction = f.fraction AND m.fold <> f.outer_fold GROUP BY ALL")
+fragment("rc_rows", """
+SELECT f.seed, f.fraction, f.outer_fold, n_train, any_value(train_mae) AS train_mae, avg(abs(a * words + b - target)) AS validation_mae,
+  avg(abs(a * words + b - target)) FILTER (target >= (SELECT quantile_cont(target, 0.8) FROM s_base)) AS heavy_mae
+FROM rc_fit f JOIN rc_train USING (seed, fraction, outer_fold) JOIN rc_place r ON r.seed = f.seed AND r.fold = f.outer_fold GROUP BY f.seed, f.fraction, f.outer_fold, n_train""")
+
+
+def _repeated_rows(spark, sf):
+    rows, n = materialize(tables.samples(spark, sf, ("words",)).withColumn("_row", F.lit(True)), "_row")
+    return diagnostics.repeated_learning_rows(split.repeated_splits(rows, SEEDS), "words", n)
+
+
+@query("repeated_learning_rows", q("SELECT CAST(seed AS BIGINT) AS split_seed, CAST(outer_fold AS BIGINT) AS outer_fold, fraction, n_train, " + ", ".join(sql_r6(c, c, D) for c in LROW) + " FROM rc_rows"))
+def repeated_learning_rows(spark, sf):
+    return rounded(longs(_repeated_rows(spark, sf), "split_seed", "outer_fold"), *LROW)
+
+
+@query("repeated_curve", q("SELECT fraction, " + ", ".join(sql_r6(f"avg({c})", f"mean_{c}", D) + ", " + sql_r6(f"stddev_pop({c})", f"sd_{c}", D) for c in ["n_train", *LROW]) + " FROM rc_rows GROUP BY fraction"))
 def repeated_curve(spark, sf):
-    rows = diagnostics.repeated_curve(diagnostics.learning_rows(*_subsets(spark, sf), "words"))
+    """Means and deviations over five seeds and their folds."""
+    rows = diagnostics.repeated_curve(_repeated_rows(spark, sf))
     return rounded(rows, *[c for c in rows.columns if c != "fraction"])
 
 
