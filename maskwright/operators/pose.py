@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,34 +115,101 @@ def pixel_vectors(runs: DataFrame, side: int, keys: list[str], name: str) -> Dat
 
 
 def edge_runs(runs: DataFrame) -> DataFrame:
-    """Cells of the mask that a one-step contraction removes."""
-    from maskwright.operators.runs import runs_to_cells
-
-    inner = runs_to_cells(morphology.contract(runs, morphology.diamond_rows(1)))
-    cells = runs_to_cells(runs.select(*KEYS, "y", "x0", "x1"))
-    return cells_to_runs(cells.join(inner, [*KEYS, "y", "x"], "left_anti"))
-
-
-def distance_channel(runs: DataFrame, dims: DataFrame) -> DataFrame:
-    """Distance of every foreground cell to the nearest background cell, divided by the mask's largest.
-
-    First the nearest background in the same column, by windows; then the best combination along
-    the row. The frame is not background. Masks are expected at a small common size.
+    """Cells of the mask that a one-step contraction removes, run by run: what of a run lies outside the inner ones."""
+    inner = morphology.contract(runs, morphology.diamond_rows(1)).select(*KEYS, "y", F.struct("x0", "x1").alias("hole"))
+    holes = inner.groupBy(*KEYS, "y").agg(F.sort_array(F.collect_list("hole")).alias("holes"))
+    rows = runs.select(*KEYS, "y", "x0", "x1").join(holes, [*KEYS, "y"], "left")
+    inside = F.filter(F.coalesce("holes", F.array().cast("array<struct<x0:int,x1:int>>")), lambda h: (h["x0"] >= F.col("x0")) & (h["x1"] <= F.col("x1")))
+    # the gaps before the first hole, between holes, and behind the last one
+    starts = F.concat(F.array("x0"), F.transform("inside", lambda h: (h["x1"] + 1).cast("int")))
+    ends = F.concat(F.transform("inside", lambda h: (h["x0"] - 1).cast("int")), F.array("x1"))
+    gaps = F.zip_with("starts", "ends", lambda a, b: F.struct(a.alias("x0"), b.alias("x1")))
+    cut = rows.withColumn("inside", inside).withColumn("starts", starts).withColumn("ends", ends)
+    return cut.select(*KEYS, "y", F.inline(F.filter(gaps, lambda g: g["x0"] <= g["x1"])))
+
+
+def squared_distances(mask: np.ndarray) -> np.ndarray:
+    """Squared distance of every cell to the nearest background cell inside the frame; infinite where there is none.
+
+    First the nearest background in the same column, both ways; then along each row the lower envelope of the parabolas
+    that stand on the columns, built and read from left to right for all rows together. Every parabola enters and leaves
+    a row's envelope once.
     """
-    from maskwright.operators.runs import runs_to_cells
-
-    on = runs_to_cells(runs.select(*KEYS, "y", "x0", "x1")).withColumn("on", F.lit(True))
-    frame = dims.select(*KEYS, F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y")).select(
-        *KEYS, "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x")
-    )
-    cells = frame.join(on, [*KEYS, "y", "x"], "left").fillna(False, ["on"])
-    column = Window.partitionBy(*KEYS, "x").orderBy("y")
-    off = F.when(~F.col("on"), F.col("y"))
-    above = F.last(off, True).over(column.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(off, True).over(column.rowsBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col("y") - F.col("_above"), F.col("_below") - F.col("y"))
-    gapped = cells.withColumn("_above", above).withColumn("_below", below).select(*KEYS, "y", "x", "on", gap.alias("g"))
-    row = gapped.where(F.col("g").isNotNull()).groupBy(*KEYS, "y").agg(F.collect_list(F.struct("x", "g")).alias("gaps"))
-    square = F.array_min(F.transform("gaps", lambda s: (s["x"] - F.col("x")) * (s["x"] - F.col("x")) + s["g"] * s["g"]))
-    distances = gapped.where("on").join(row, [*KEYS, "y"]).select(*KEYS, "y", "x", F.sqrt(square.cast("double")).alias("d"))
-    return distances.withColumn("distance", F.col("d") / F.max("d").over(Window.partitionBy(*KEYS))).drop("d")
+    h, w = mask.shape
+    gap = np.where(mask, np.inf, 0.0)
+    for y in range(1, h):
+        gap[y] = np.minimum(gap[y], gap[y - 1] + 1)
+    for y in range(h - 2, -1, -1):
+        gap[y] = np.minimum(gap[y], gap[y + 1] + 1)
+    height = gap**2
+    place = np.zeros((h, w), int)  # columns whose parabolas are on the envelope
+    begin = np.full((h, w + 1), np.inf)  # where each of them begins to be the lowest
+    size = np.zeros(h, int)
+    rows = np.arange(h)
+    for x in range(w):
+        live = np.isfinite(height[:, x])
+        while live.any():
+            r = rows[live & (size > 0)]
+            if not len(r):
+                break
+            top = place[r, size[r] - 1]
+            meet = ((height[r, x] + x * x) - (height[r, top] + top * top)) / (2.0 * (x - top))
+            gone = meet <= begin[r, size[r] - 1]
+            size[r[gone]] -= 1
+            if not gone.any():
+                break
+            live = live & np.isin(rows, r[gone])
+        r = rows[np.isfinite(height[:, x])]
+        some = r[size[r] > 0]
+        top = place[some, size[some] - 1]
+        begin[r, size[r]] = -np.inf
+        begin[some, size[some]] = ((height[some, x] + x * x) - (height[some, top] + top * top)) / (2.0 * (x - top))
+        place[r, size[r]] = x
+        size[r] += 1
+    out = np.full((h, w), np.inf)
+    at = np.zeros(h, int)
+    known = rows[size > 0]
+    for x in range(w):
+        r = known
+        while len(r):
+            r = r[(at[r] + 1 < size[r])]
+            r = r[begin[r, at[r] + 1] < x]
+            at[r] += 1
+        at_ = place[known, at[known]]
+        out[known, x] = (x - at_) ** 2 + height[known, at_]
+    return out
+
+
+def distance_runs(runs: DataFrame) -> DataFrame:
+    """(keys, y, x0, x1, distances): the normalised distance to the background of every cell of a run, in order.
+
+    Distances are divided by the mask's largest; the frame is not background, and a mask without any has no distances
+    (NULL). A mask is one row of its runs in the kernel, and leaves it as runs.
+    """
+    whole = runs.select(*KEYS, "y", "x0", "x1").groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("y", "x0", "x1"))).alias("runs"))
+    types = dict(runs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                h, w = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                own = batch.column(3)[k].values
+                y, x0, x1 = (own.field(i).to_numpy() for i in range(3))
+                edge = np.zeros((h, w + 1), np.int32)
+                np.add.at(edge, (y, x0), 1)
+                np.add.at(edge, (y, x1 + 1), -1)
+                mask = np.cumsum(edge, axis=1)[:, :w] > 0
+                d = np.sqrt(squared_distances(mask))
+                top = d[mask].max()
+                found = [(d[r, a : b + 1] / top).tolist() if np.isfinite(top) else None for r, a, b in zip(y, x0, x1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(pa.array(np.full(len(y), k))) for c in range(3)], *[own.field(i) for i in range(3)], pa.array(found, pa.list_(pa.float64()))],
+                    names=[*KEYS, "y", "x0", "x1", "distances"],
+                )
+
+    return whole.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in (*KEYS, "y", "x0", "x1")) + ", distances array<double>")
+
+
+def distance_channel(runs: DataFrame) -> DataFrame:
+    """(keys, y, x, distance) of every foreground cell that has a distance."""
+    return distance_runs(runs).select(*KEYS, "y", "x0", F.posexplode("distances").alias("k", "distance")).select(*KEYS, "y", (F.col("x0") + F.col("k")).alias("x"), "distance")

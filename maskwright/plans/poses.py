@@ -93,5 +93,5 @@ fragment("g_dist", "SELECT c.mask_id, c.y, c.x, min(sqrt(pow(b.y - c.y, 2) + pow
 
 @query("mask_distance_channel", q("SELECT mask_id, y, x, " + sql_r6("d / max(d) OVER (PARTITION BY mask_id)", "distance") + " FROM g_dist"))
 def mask_distance_channel(spark, sf):
-    rows = pose.distance_channel(grid_runs(spark, sf), forms.grid_dims(spark, sf))
+    rows = pose.distance_channel(grid_runs(spark, sf))
     return rows.select("mask_id", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), r6(F.col("distance")).alias("distance"))

@@ -115,3 +115,35 @@ def test_integrity_with_many_copies_and_without_masks(spark, table, monkeypatch)
     none = aligned.integrity(runs.digests(masks).where("false"), bits.where("false"), features.where("false"))
     assert {r.value for r in none.collect()} == {0.0}
     assert aligned.contradictions(bits.where("false"), features.select("mask_id", F.col("v").cast("double").alias("target")), 3).count() == 0
+
+
+def test_distances_by_all_cells():
+    """The envelope against the nearest of all background cells, on masks with and without background."""
+    from maskwright.operators import pose
+
+    rng = np.random.default_rng(6)
+    for h, w, share in [(1, 1, 1.0), (1, 9, 0.6), (9, 1, 0.6), (12, 17, 0.5), (20, 13, 0.95), (30, 30, 0.99), (8, 8, 1.0), (25, 40, 0.8)]:
+        for _ in range(5):
+            mask = rng.random((h, w)) < share
+            got = pose.squared_distances(mask)
+            off = np.argwhere(~mask)
+            for y, x in np.ndindex(h, w):
+                want = ((off - [y, x]) ** 2).sum(1).min() if len(off) else np.inf
+                assert got[y, x] == want
+
+
+def test_edges_and_distances_of_run_tables(spark):
+    from maskwright.operators import pose
+
+    rasters = [*blobs(12, seed=9), np.ones((4, 4), bool)]
+    table = run_table(spark, rasters)
+    edges = {(r.mask_id, r.y, x) for r in pose.edge_runs(table).collect() for x in range(r.x0, r.x1 + 1)}
+    pad = [np.pad(r, 1) for r in rasters]
+    assert edges == {(k, y, x) for k, r in enumerate(rasters) for y, x in zip(*np.nonzero(r)) if not all(pad[k][y + 1 + dy, x + 1 + dx] for dy, dx in ((0, 1), (1, 0), (0, -1), (-1, 0)))}
+    got = {(r.mask_id, r.y, r.x): r.distance for r in pose.distance_channel(table).collect()}
+    want = {}
+    for k, r in enumerate(rasters[:-1]):
+        d = np.sqrt(pose.squared_distances(r))
+        if not r.all():
+            want |= {(k, y, x): d[y, x] / d[r].max() for y, x in zip(*np.nonzero(r))}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(v) for c, v in want.items())
