@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -31,6 +31,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = ".,;:!?\"'()[]{}<>|*&%$#"
+SPACE = "\x20\t\n\x0b\x0c\r"
 #: Different texts a pair needs, and how many by the mean number of different least hashes (of SKETCHES); least
 #: share of the word's texts that hold the value, and least information gained (bits).
 LEAST_TEXTS = 3
@@ -157,11 +158,57 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text_id", "text").mapInArrow(run, schema)
 
 
-def _exploded(texts: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+class Finder:
+    """Finds words of a list in texts: one automaton runs over a text, and only what stands alone as a word counts."""
+
+    def __init__(self, words: frozenset[str]) -> None:
+        self.words = words
+        self.automaton = ahocorasick.Automaton()
+        for w in words:
+            self.automaton.add_word(w, w)
+        self.automaton.make_automaton()
+
+    def present(self, text: str) -> set[str]:
+        """The different words of the list among the words of a text."""
+        if not self.words:
+            return set()
+        if "\u03a3" in text:  # the small form of a capital sigma depends on its neighbours
+            return {w for w, _, _ in _words(text, [])} & self.words
+        low, out = text.lower(), set()
+        for end, word in self.automaton.iter(low):
+            if word not in out:
+                left, right = end - len(word), end + 1
+                while left >= 0 and low[left] in EDGE:
+                    left -= 1
+                while right < len(low) and low[right] in EDGE:
+                    right += 1
+                if (left < 0 or low[left] in SPACE) and (right == len(low) or low[right] in SPACE):
+                    out.add(word)
+        return out
+
+    def spans(self, text: str, own: list[str] | None = None) -> list[tuple[int, int, int]]:
+        """(start, number of the kind, end) of the values of a text and of words that touch no value: those of the list, or `own`."""
+        spans = base_spans(text)
+        wanted = set(own) if own else self.present(text)
+        return sorted([*spans, *((s, len(KINDS), e) for w, s, e in _words(text, spans) if w in wanted)]) if wanted else spans
+
+
+def _standing(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(text_id, term): every row of `texts` (text_id, text) once for each of `terms` in it."""
-    terms = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    words = F.transform(F.split(F.lower("text"), "[ \\t-\\r]+"), lambda w: F.trim(w, F.lit(EDGE)))
-    return texts.select("text_id", F.explode(F.array_distinct(words)).alias("term")).join(terms, "term", "left_semi")
+    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        words = F.transform(F.split(F.lower("text"), "[ \\t-\\r]+"), lambda w: F.trim(w, F.lit(EDGE)))
+        return texts.select("text_id", F.explode(F.array_distinct(words)).alias("term")).join(terms, "term", "left_semi")
+    wanted = frozenset(r["term"] for r in terms.collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(wanted)
+        for part in _pieces(batches, 1):
+            found = [sorted(finder.present(text.as_py())) for text in part.column(1)]
+            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array([w for f in found for w in f], pa.string())], names=["text_id", "term"])
+
+    return texts.select("text_id", "text").mapInArrow(run, "text_id string, term string")
 
 
 def telling_words(texts: DataFrame, scanned: DataFrame, least_share: float = LEAST_SHARE, least_bits: float = LEAST_BITS) -> tuple[DataFrame, int]:
@@ -213,7 +260,7 @@ def telling_words(texts: DataFrame, scanned: DataFrame, least_share: float = LEA
     if n_pairs == 0:
         return nothing
     again, n_again = materialize(copies.where("copies > 1").select("text_id", "copies").withColumn("one", F.lit(True)), "one")
-    standing = _exploded(texts, weighed.select("term").distinct(), n_pairs).join(F.broadcast(again) if n_again <= BROADCAST_TERMS else again, "text_id", "left")
+    standing = _standing(texts, materialize(weighed.select("term").distinct())[0]).join(F.broadcast(again) if n_again <= BROADCAST_TERMS else again, "text_id", "left")
     counts = standing.groupBy("term").agg(F.round(F.sum(1 / F.coalesce("copies", F.lit(1)))).alias("texts_with"))
     share = F.col("together") / F.col("texts_with")
     telling = weighed.join(counts, "term").where((share >= least_share) & (F.log2(share * n_texts / F.col("holding")) >= least_bits)).select("term").distinct()
@@ -230,32 +277,10 @@ def _with_words(texts: DataFrame, text_col: str, telling: DataFrame, n_telling:
     named = texts.toDF(*[f"c{k}" for k in range(len(texts.columns))])
     text = F.coalesce(F.col(f"c{texts.columns.index(text_col)}"), F.lit(""))
     keyed = named.withColumn("text_id", F.sha2(F.encode(text, "UTF-8"), 256))
-    own = _exploded(keyed.select("text_id", text.alias("text")), telling, n_telling).groupBy("text_id").agg(F.collect_set("term").alias("found"))
+    own = _standing(keyed.select("text_id", text.alias("text")), telling).groupBy("text_id").agg(F.collect_set("term").alias("found"))
     return keyed.join(own, "text_id", "left").select(*named.columns, "found"), frozenset()
 
 
-def finder(words: frozenset[str]) -> Callable[[str, list[str] | None], list[tuple[int, int, int]]]:
-    """Gives (start, number of the kind, end) of the values of a text and of the telling words in it, which touch no value.
-
-    The words are `words`, or those that come with the text. Texts in which none of them occurs even as a part are
-    told by one automaton.
-    """
-    automaton = ahocorasick.Automaton()
-    for w in words:
-        automaton.add_word(w, True)
-    automaton.make_automaton()
-
-    def spans_of(text: str, own: list[str] | None = None) -> list[tuple[int, int, int]]:
-        spans, wanted = base_spans(text), words
-        if own:
-            wanted = frozenset(own)
-        elif not words or ("\u03a3" not in text and next(automaton.iter(text.lower()), None) is None):
-            return spans  # the small form of a capital sigma depends on its neighbours, so such texts are walked
-        return sorted([*spans, *((s, len(KINDS), e) for w, s, e in _words(text, spans) if w in wanted)])
-
-    return spans_of
-
-
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("text_id"), text.alias("text"))
@@ -280,12 +305,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows, words = _with_words(texts, "text", telling, n_telling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_of = finder(words)
+        finder = Finder(words)
         for part in _pieces(batches, 2):
             counts, shas, shown = ([], [], [], []), [], []
             own = part.column(3).to_pylist() if part.num_columns > 3 else [None] * part.num_rows
             for text, found in zip(part.column(2), own):
-                spans = spans_of(text.as_py(), found)
+                spans = finder.spans(text.as_py(), found)
                 for k in range(4):
                     counts[k].append(sum(s[1] == k for s in spans))
                 named = [(s, (*KINDS, TERM)[k], e) for s, k, e in spans]
@@ -321,13 +346,13 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_of = finder(words)
+        finder = Finder(words)
         for part in _pieces(batches, at):
             own = part.column(len(names)).to_pylist() if part.num_columns > len(names) else [None] * part.num_rows
             made = []
             for text, found in zip(part.column(at), own):
                 text = text.as_py()
-                made.append(None if text is None else generalised(text, spans_of(text, found)))
+                made.append(None if text is None else generalised(text, finder.spans(text, found)))
             columns = [part.column(k) for k in range(len(names))]
             columns[at] = pa.array(made, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
