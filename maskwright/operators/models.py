@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import PCA, StringIndexer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from maskwright.functions import best_epoch
 from maskwright.operators.metrics import attach_percentiles, metric_columns
+from maskwright.session import materialize, shared_dir
 
 # The forest recipe and its registered variations (Spark's names for the settings).
 FOREST = {"numTrees": 500, "minInstancesPerNode": 3, "featureSubsetStrategy": "0.7", "maxDepth": 30, "seed": 44}
@@ -23,6 +27,8 @@ VARIATIONS = {
     "rf_tuning_features": {"numTrees": 40, "minInstancesPerNode": 3, "featureSubsetStrategy": "sqrt", "maxDepth": 30, "seed": 44},
 }
 VARIATION_BUDGET = 3
+#: Folds that are fitted side by side.
+FITS_AT_ONCE = 5
 
 
 def forest(recipe: dict | None = None, label: str = "target") -> RandomForestRegressor:
@@ -45,8 +51,10 @@ def oof_model(rows: DataFrame, estimator: Estimator, both_roles: bool = False, r
     transform of the held-out rows (of all rows with a `role` column when `both_roles`).
     """
     out = None
-    for fold in fold_list(rows):
-        model = estimator.fit(rows.where(F.col("fold") != fold))
+    folds = fold_list(rows)
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        fitted = pool.map(inheritable_thread_target(rows.sparkSession)(lambda fold: estimator.copy().fit(rows.where(F.col("fold") != fold))), folds, chunksize=1)
+    for fold, model in zip(folds, fitted):
         scored = model.transform(rows if both_roles else rows.where(F.col("fold") == fold))
         if restore is not None:
             scored = scored.withColumn("predicted", restore(F.col("predicted")))
@@ -150,14 +158,46 @@ def balanced_accuracy(predictions: DataFrame, by: list[str]) -> DataFrame:
 
 def classification_test(rows: DataFrame, features: list[str], label: str, trees: int = 300, depth: int = 10) -> DataFrame:
     """Mean and population deviation of balanced accuracy over the folds of `rows`."""
-    indexed = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows).transform(rows)
+    names = sorted(r[0] for r in rows.select(label).distinct().collect() if r[0] is not None)  # a handful of classes
+    number = F.array_position(F.array(*[F.lit(x) for x in names]), F.col(label)) - 1
+    indexed = rows.where(F.col(label).isNotNull()).drop("label").withColumn("label", number.cast("double"))
     model = RandomForestClassifier(featuresCol="features", labelCol="label", predictionCol="predicted_label", numTrees=trees, minInstancesPerNode=2, maxDepth=depth, seed=42)
-    scored = oof_model(assemble(indexed, features), model)
+    # the scores of a fold are stored before the next: what is sent to tasks is one model
+    ready = assemble(indexed, features)
+    scored = None
+    for fold in fold_list(ready):
+        # as stored, without the training summary, which holds the session and cannot go to tasks
+        path = f"{shared_dir(ready.sparkSession).rstrip('/')}/maskwright/model-{uuid.uuid4().hex}"
+        model.fit(ready.where(F.col("fold") != fold)).write().save(path)
+        fitted = RandomForestClassificationModel.load(path)
+        part, _ = materialize(fitted.transform(ready.where(F.col("fold") == fold)).select("fold", "label", "predicted_label"))
+        scored = part if scored is None else scored.unionByName(part)
     return balanced_accuracy(scored, ["fold"]).agg(
         F.avg("balanced_accuracy").alias("balanced_accuracy_mean"), F.stddev_pop("balanced_accuracy").alias("balanced_accuracy_std")
     )
 
 
+def domain_tests(rows: DataFrame, features: list[str], shape: list[str], low: float, high: float, trees: int = 300) -> DataFrame:
+    """(test, n, classes, balanced_accuracy_mean, balanced_accuracy_std): can group or resolution be told from the features?
+
+    The group from all features, from the target alone, and from `shape` among the rows whose target lies in [low, high]; the
+    most frequent resolution against the others from all features.
+    """
+    usual = rows.groupBy("resolution").count().orderBy(F.desc("count"), "resolution").limit(1).select(F.col("resolution").alias("_r"))
+    labelled = rows.crossJoin(F.broadcast(usual)).withColumn("high", F.when(F.col("resolution") == F.col("_r"), "high").otherwise("low")).drop("_r")
+    common = labelled.where(F.col("target").between(low, high))
+    out = None
+    for name, part, columns, label in (
+        ("group_all_features", labelled, features, "grp"), ("group_target_only", labelled, ["target"], "grp"),
+        ("resolution_all_features", labelled, features, "high"), ("group_common_support_shape", common, shape, "grp"),
+    ):
+        sizes = part.agg(F.count("*").alias("n"), F.count_distinct(label).alias("classes"))
+        tested, _ = materialize(classification_test(part, columns, label, trees))
+        row = tested.crossJoin(sizes).select(F.lit(name).alias("test"), "n", "classes", "balanced_accuracy_mean", "balanced_accuracy_std")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def robustness(rows: DataFrame, estimator: Estimator, key: str = "mask_id", restore: Callable[[Column], Column] | None = None) -> DataFrame:
     """Metrics per scenario of models fitted on original masks, with the change of the prediction.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.functions import r6
-from maskwright.operators import geometry, models, morphology, pose, predict, split
+from maskwright.operators import aligned, geometry, models, morphology, pose, predict, represented, split
 from maskwright.plans import forms
 from maskwright.plans.common import masks_split, samples_split
 from maskwright.plans.evaluation import FULL, rounded
@@ -20,9 +20,8 @@ from maskwright.session import materialize
 from maskwright.sources import tables
 
 FEATURES = ["words", "lines", "digits"]
-MIDDLE = {"numTrees": 50}
-SHAPE = ["aspect_ratio", "extent", "circularity", "roundness", "hu_moment_1", "hu_moment_2"]
-SIZE = ["area", "perimeter"]
+LEARNING, ABLATION, ROBUST = {"numTrees": 200, "minInstancesPerNode": 2}, {"numTrees": 500, "minInstancesPerNode": 2}, {"numTrees": 300, "minInstancesPerNode": 2}
+SHAPE = ["solidity", "circularity", "aspect_ratio", "extent", "convexity", "hu_moment_1", "hu_moment_2", "center_to_end_occupancy_ratio", "centroid_x_offset", "centroid_y_ratio"]
 
 
 def stored_split(spark, sf):
@@ -70,13 +69,18 @@ def boosted_selected_length(spark, sf):
     return beats_the_mean(scored, rows).join(lengths, "fold").withColumn("holds", F.col("holds") & F.col("one_length")).drop("one_length")
 
 
-@query("domain_classification", q("SELECT TRUE AS holds"))
+@query("domain_classification", q("""
+SELECT u.test, CASE WHEN u.test = 'group_common_support_shape' THEN (SELECT count(*) FROM s_base WHERE target BETWEEN 92 AND 2650) ELSE (SELECT count(*) FROM s_base) END AS n,
+  CASE WHEN u.test LIKE 'group%' THEN (SELECT count(DISTINCT grp) FROM s_base WHERE u.test <> 'group_common_support_shape' OR target BETWEEN 92 AND 2650) ELSE 2 END AS classes, u.told AS told, TRUE AS even
+FROM (SELECT unnest(['group_all_features', 'group_target_only', 'resolution_all_features', 'group_common_support_shape']) AS test, unnest(['yes', 'any', 'any', 'any']) AS told) AS u"""))
 def domain_classification(spark, sf):
-    rows = stored_split(spark, sf)
-    out = models.classification_test(rows, FEATURES, "grp")
-    classes = rows.agg(F.count_distinct("grp").alias("k"))
-    # better than guessing among the groups, with a spread that folds can have
-    return out.crossJoin(classes).select(((F.col("balanced_accuracy_mean") > 1 / F.col("k")) & (F.col("balanced_accuracy_mean") <= 1) & (F.col("balanced_accuracy_std") < 0.5)).alias("holds"))
+    """Four tests. All features tell the language better than guessing; `even`: the spread over folds is one that folds can have."""
+    rows, _ = materialize(samples_split(spark, sf, (*FEATURES, "commas", "capitals", "distinct_words")))
+    shaped = rows.withColumn("words_per_line", F.col("words") / F.col("lines")).withColumn("digit_share", F.col("digits") / F.col("words"))
+    out = models.domain_tests(shaped, [*FEATURES, "commas", "capitals", "distinct_words"], ["words_per_line", "digit_share"], 92.0, 2650.0)
+    mean = F.col("balanced_accuracy_mean")
+    told = F.when(F.col("test") != "group_all_features", "any").when(mean > 1.1 / F.col("classes"), "yes").otherwise("no")
+    return out.select("test", "n", "classes", told.alias("told"), (mean.between(0, 1) & (F.col("balanced_accuracy_std") < 0.3)).alias("even"))
 
 
 fragment("k_rows", """
@@ -90,56 +94,69 @@ def balanced_accuracy(spark, sf):
     return models.balanced_accuracy(scored, ["fold"]).select("fold", r6(F.col("balanced_accuracy"), 5).alias("balanced_accuracy"))
 
 
-@query("capacity_gap", q("SELECT CAST(f AS BIGINT) AS outer_fold, CAST(leaf AS BIGINT) AS leaf, TRUE AS holds FROM (SELECT unnest(range(1, 6)) AS f), (SELECT unnest([1, 2]) AS leaf)"))
+@query("capacity_gap", q("SELECT CAST(f AS BIGINT) AS outer_fold, CAST(leaf AS BIGINT) AS leaf, TRUE AS overfits, TRUE AS useful FROM (SELECT unnest(range(1, 6)) AS f), (SELECT unnest([1, 2]) AS leaf)"))
 def capacity_gap(spark, sf):
-    out = models.capacity_gap(stored_split(spark, sf), FEATURES, recipe=MIDDLE)
-    return out.select(F.col("outer_fold").cast("long").alias("outer_fold"), F.col("leaf").cast("long").alias("leaf"), (F.col("train_mae") < F.col("validation_mae")).alias("holds"))
+    """`overfits`: the error on training rows is smaller; `useful`: that on held-out rows is below half of the fold mean's."""
+    rows = stored_split(spark, sf)
+    out = models.capacity_gap(rows, FEATURES, recipe=LEARNING)
+    means = predict.training_mean(rows).groupBy(F.col("fold").alias("outer_fold")).agg(F.avg(F.abs(F.col("predicted") - F.col("target"))).alias("mean_mae"))
+    return out.join(F.broadcast(means), "outer_fold").select(
+        F.col("outer_fold").cast("long").alias("outer_fold"), F.col("leaf").cast("long").alias("leaf"), (F.col("train_mae") < F.col("validation_mae")).alias("overfits"), (F.col("validation_mae") < 0.5 * F.col("mean_mae")).alias("useful")
+    )
 
 
-@query("scale_ablation", q("SELECT unnest(['all_features', 'shape_only', 'area_only']) AS configuration, (SELECT count(*) FROM embeddings) AS n, TRUE AS holds"))
+def within_band(mae, reference):
+    """An error that a model of unrelated masks can have: around that of the mean of the other folds."""
+    return mae.between(0.5 * reference, 1.5 * reference)
+
+
+@query("scale_ablation", q("SELECT unnest(['all_features', 'shape_only', 'area_only']) AS configuration, (SELECT count(*) FROM embeddings) AS n, TRUE AS banded"))
 def scale_ablation(spark, sf):
-    measured = geometry.measure(grid_runs(spark, sf), with_hull=False).select("mask_id", *SHAPE, *SIZE)
+    measured = geometry.measure(grid_runs(spark, sf)).select("mask_id", *geometry.FEATURES).fillna(0.0)
     rows, _ = materialize(masks_split(spark, sf).join(measured, "mask_id").withColumnRenamed("mask_id", "sample_id"))
-    out = models.ablation(rows, {"all_features": [*SHAPE, *SIZE], "shape_only": SHAPE, "area_only": ["area"]}, MIDDLE)
-    return out.select("configuration", "n", ((F.col("rmse") >= F.col("mae")) & (F.abs("bias") <= F.col("mae"))).alias("holds"))
+    mean = predict.training_mean(rows).agg(F.avg(F.abs(F.col("predicted") - F.col("target"))).alias("m"))
+    out = models.ablation(rows, {"all_features": list(geometry.FEATURES), "shape_only": SHAPE, "area_only": ["area"]}, ABLATION)
+    return out.crossJoin(F.broadcast(mean)).select("configuration", "n", within_band(F.col("mae"), F.col("m")).alias("banded"))
 
 
-def represented(spark, sf, runs, keys):
-    """Geometry and two pixel vectors of each mask (and scenario)."""
-    measured = geometry.measure(runs, keys, with_hull=False).select(*[k for k in keys if k not in ("h", "w")], *SHAPE, *SIZE)
-    others = [k for k in keys if k not in ("h", "w")]
-    raw = pose.pixel_vectors(pose.resize(runs, 8, "stretch", keys), 8, others, "raw")
-    return measured.fillna(0.0).join(raw, others)
+def views(measured, stretched, side=represented.SIDE):
+    """The tables of the representation from masks on their stretched frames, stored."""
+    raw, _ = materialize(aligned.packed(stretched, side))
+    canonical, _ = materialize(aligned.canonical_bits(stretched, side, max(side, aligned.WORKING)))
+    stored, _ = materialize(measured.select("mask_id", *geometry.FEATURES).fillna(0.0))
+    return represented.Views(stored, raw, canonical, geometry.FEATURES)
 
 
-@query("pixel_representation", q("SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n, count(*) AS samples, TRUE AS holds FROM m_split GROUP BY fold"))
+@query("pixel_representation", q("SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n, count(*) AS samples, TRUE AS banded FROM m_split GROUP BY fold"))
 def pixel_representation(spark, sf):
+    """26 measurements, 24 components of stretched and 16 of aligned 96 x 96 rasters, log target, 200 trees, all inside each training set."""
     shapes = forms.shapes(spark, sf)
-    base = represented(spark, sf, shapes, ["mask_id", "h", "w"])
-    canonical = pose.pixel_vectors(pose.canonical_pose(shapes, 8), 8, ["mask_id"], "canonical")
-    stored, _ = materialize(masks_split(spark, sf).join(base, "mask_id").join(canonical, "mask_id"))
-    pipeline = models.representation([*SHAPE, *SIZE], "raw", "canonical", 6, 4, MIDDLE)
-    scored = models.oof_model(models.with_vectors(stored, "raw", "canonical"), pipeline, restore=F.exp)
-    # the mean of leaves, taken on a log scale, lies between the smallest and the largest target
-    ends = stored.agg(F.min("target").alias("low"), F.max("target").alias("high")).first()
-    inside = F.min("predicted").between(ends["low"] * (1 - 1e-9), ends["high"]) & F.max("predicted").between(ends["low"], ends["high"] * (1 + 1e-9))
-    return fold_checks(scored.withColumnRenamed("mask_id", "sample_id"), inside)
-
-
-@query("mask_robustness", q("SELECT unnest(['original', 'erosion_1', 'erosion_2', 'dilation_1', 'dilation_2', 'shift_4', 'rotation_5']) AS scenario, TRUE AS holds"))
+    own = views(geometry.measure(shapes), pose.resize(shapes, represented.SIDE, "stretch"))
+    split_rows, _ = materialize(masks_split(spark, sf))
+    scored = represented.represented_predictions(own, own, split_rows, LEARNING).join(split_rows.select("mask_id", "target"), "mask_id")
+    means = predict.training_mean(split_rows.withColumnRenamed("mask_id", "sample_id")).select(F.col("sample_id").alias("mask_id"), F.abs(F.col("predicted") - F.col("target")).alias("m"))
+    banded = within_band(F.avg(F.abs(F.col("predicted") - F.col("target"))), F.avg("m"))
+    return scored.join(means, "mask_id").groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.count_distinct("mask_id").alias("samples"), banded.alias("banded"))
+
+
+SCENARIOS = ["original", "erosion_1", "erosion_2", "dilation_1", "dilation_2", "shift_4", "rotation_5"]
+
+
+@query("mask_robustness", q(f"SELECT unnest({SCENARIOS}) AS scenario, (SELECT count(*) FROM embeddings) AS n, TRUE AS banded, unnest([TRUE, FALSE, FALSE, FALSE, FALSE, FALSE, FALSE]) AS unmoved"))
 def mask_robustness(spark, sf):
-    shapes = forms.shapes(spark, sf)
-    keys = ["mask_id", "h", "w", "scenario"]
-    every = morphology.scenarios(shapes).unionByName(pose.rotate(shapes, 5.0).withColumn("scenario", F.lit("rotation_5")))
-    measured = geometry.measure(every, keys, with_hull=False).select("mask_id", "scenario", *SHAPE, *SIZE).fillna(0.0)
-    rows, _ = materialize(measured.join(masks_split(spark, sf), "mask_id"))
-    ready = models.assemble(rows, [*SHAPE, *SIZE]).withColumn("log_target", F.log("target"))
-    out = models.robustness(ready, models.forest(MIDDLE, "log_target"), restore=F.exp)
-    unmoved = F.col("mean_prediction_change") == 0
-    # the shape of a shifted mask is the same, but for what the frame cuts
-    moved = F.when(F.col("scenario") == "original", unmoved).when(F.col("scenario") == "shift_4", F.lit(True)).otherwise(~unmoved)
-    holds = moved & (F.col("rmse") >= F.col("mae"))
-    return out.select("scenario", holds.alias("holds"))
+    """Every scenario of the 96 x 96 masks by the models fitted on the originals, components included; `unmoved`: no prediction changed."""
+    stretched, _ = materialize(pose.resize(forms.shapes(spark, sf), represented.SIDE, "stretch"))
+    every = morphology.scenarios(stretched).unionByName(pose.rotate(stretched, 5.0).withColumn("scenario", F.lit("rotation_5")))
+    number = F.array_position(F.array(*[F.lit(x) for x in SCENARIOS]), F.col("scenario")) - 1
+    # one number for mask and scenario; a scenario that erases a mask leaves it without cells
+    coded, _ = materialize(every.withColumn("mask_id", F.col("mask_id") * 8 + number).select("mask_id", "h", "w", "y", "x0", "x1"))
+    split_rows, _ = materialize(masks_split(spark, sf))
+    train = views(geometry.measure(stretched), stretched)
+    scored = represented.represented_predictions(train, views(geometry.measure(coded), coded), split_rows, ROBUST, owner=lambda c: F.expr("mask_id div 8"))
+    named = scored.select(F.col("mask").alias("mask_id"), F.element_at(F.array(*[F.lit(x) for x in SCENARIOS]), (F.pmod("mask_id", F.lit(8)) + 1).cast("int")).alias("scenario"), "predicted")
+    summary = models.robustness_summary(named.join(split_rows.select("mask_id", F.col("target").alias("observed")), "mask_id"))
+    mean = predict.training_mean(split_rows.withColumnRenamed("mask_id", "sample_id")).agg(F.avg(F.abs(F.col("predicted") - F.col("target"))).alias("m"))
+    return summary.crossJoin(F.broadcast(mean)).select("scenario", "n", within_band(F.col("mae"), F.col("m")).alias("banded"), (F.col("mean_prediction_change") == 0).alias("unmoved"))
 
 
 fragment("rb_rows", """
