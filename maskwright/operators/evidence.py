@@ -158,7 +158,8 @@ def permuted_values(split: DataFrame, features: list[str], repetitions: int, spl
         .withColumn("_h", hash_order(F.col("seed"), key))
     )
     placed = position_in_group(donors, ["fold", "feature", "repetition"], "_h", key, digits, "place")
-    return receivers.join(placed.select("fold", "place", "feature", "repetition", "seed", "given"), ["fold", "place"])
+    # sizes estimated from stored files are far below those of the rows, so neither side may be broadcast
+    return receivers.hint("merge").join(placed.select("fold", "place", "feature", "repetition", "seed", "given"), ["fold", "place"])
 
 
 def permutation_sums(split: DataFrame, features: list[str], models: list[LinearModel], repetitions: int, split_seed: int, n: int, target: str = "target", key: str = "sample_id") -> DataFrame:

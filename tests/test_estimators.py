@@ -125,3 +125,13 @@ def test_changed_rows_are_named(spark):
     got = {(r.table, r.key, r.change) for r in fingerprint.changed_rows(kept, spark.createDataFrame(rows, before.schema)).collect()}
     assert got == {("t", "5", "changed"), ("t", "9", "removed"), ("t", "100", "added"), ("t", "7", "changed")}
     assert fingerprint.changed_rows(kept, before.where("false")).count() == 60
+
+
+def test_places_are_joined_without_broadcast(spark):
+    from maskwright.operators import evidence
+
+    split = spark.createDataFrame([(i, i % 2 + 1, float(i)) for i in range(40)], "sample_id long, fold int, a double")
+    rows = evidence.permuted_values(split, ["a"], 2, 42, 40, 2)
+    assert rows.count() == 80
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
