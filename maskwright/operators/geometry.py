@@ -187,7 +187,8 @@ def _derive(t: DataFrame, keys: list[str], with_hull: bool) -> DataFrame:
     base = t.select(
         *keys, "a", "r", "left", "right", "top", "bottom", "extremes", "t0", "t1", "t2", "c0", "c1", "c2",
         mx.alias("mx"), my.alias("my"),
-        (F.col("sxx") / a - mx * mx).alias("vxx"), (F.col("syy") / a - my * my).alias("vyy"), (F.col("sxy") / a - mx * my).alias("vxy"),
+        # products of whole numbers are exact, so that the moments of a symmetric mask cancel to zero
+        *[((a * F.col(f"s{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}")) / (a * a)).alias(f"v{i}{j}") for i, j in ("xx", "yy", "xy")],
         crofton(a, F.col("r"), F.col("n0"), F.col("n1"), F.col("n_1")).alias("perimeter"),
     )
     half_trace = (F.col("vxx") + F.col("vyy")) / 2

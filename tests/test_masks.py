@@ -53,6 +53,13 @@ def test_principal_angle_and_pose(masks):
     assert d["bbox_width"] > d["bbox_height"]
 
 
+def test_angle_of_symmetric_masks_is_exact(masks):
+    # tall and symmetric: the angle is the lower end of [-90, 90), not a rounding error away from the upper end
+    _, r = masks({"bone": ["." * 23] * 3 + ["." * 19 + x + "." for x in ("###", ".#.", "###", "###", ".#.", ".#.")]})
+    m = geometry.measure(r, with_hull=False)
+    assert m.select("moment_xy", geometry.principal_angle(m).alias("a")).first() == (0.0, -90.0)
+
+
 def flood(raster):
     cells = {(y, x) for y, line in enumerate(raster) for x, c in enumerate(line) if c == "#"}
     labels = {}
