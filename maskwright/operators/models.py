@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline
@@ -32,7 +33,8 @@ FITS_AT_ONCE = 5
 
 
 def forest(recipe: dict | None = None, label: str = "target") -> RandomForestRegressor:
-    settings = {**FOREST, **(recipe or {})}
+    # rows remember their nodes, so that no level sends the trees to the tasks or walks them from the root; the trees are the same
+    settings = {"cacheNodeIds": True, **FOREST, **(recipe or {})}
     return RandomForestRegressor(featuresCol="features", labelCol=label, predictionCol="predicted", **settings)
 
 
@@ -47,21 +49,23 @@ def fold_list(split: DataFrame) -> list[int]:
 def oof_model(rows: DataFrame, estimator: Estimator, both_roles: bool = False, restore: Callable[[Column], Column] | None = None) -> DataFrame:
     """Every row predicted by a model that was fitted without its fold.
 
-    `rows` has `fold`, `target` and what the estimator reads. One fit per fold; scoring is a lazy
-    transform of the held-out rows (of all rows with a `role` column when `both_roles`).
+    `rows` has `fold`, `target` and what the estimator reads. One fit per fold; the scores of the held-out rows
+    (of all rows with a `role` column when `both_roles`), without their `features`, are stored as soon as the fold is
+    fitted, so that no model outlives its fold on the driver.
     """
-    out = None
-    folds = fold_list(rows)
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        fitted = pool.map(inheritable_thread_target(rows.sparkSession)(lambda fold: estimator.copy().fit(rows.where(F.col("fold") != fold))), folds, chunksize=1)
-    for fold, model in zip(folds, fitted):
-        scored = model.transform(rows if both_roles else rows.where(F.col("fold") == fold))
+
+    def one(fold: int) -> DataFrame:
+        model = estimator.copy().fit(rows.where(F.col("fold") != fold))
+        scored = model.transform(rows if both_roles else rows.where(F.col("fold") == fold)).drop("features")
         if restore is not None:
             scored = scored.withColumn("predicted", restore(F.col("predicted")))
         if both_roles:
             scored = scored.withColumn("role", F.when(F.col("fold") == fold, "validation").otherwise("train")).withColumn("outer_fold", F.lit(fold))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+        return materialize(scored)[0]
+
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(one), fold_list(rows), chunksize=1)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def oof_forest(split: DataFrame, features: list[str], recipe: dict | None = None, configuration: str = "random_forest", key: str = "sample_id") -> DataFrame:

@@ -135,3 +135,15 @@ def test_places_are_joined_without_broadcast(spark):
     assert rows.count() == 80
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_fold_models_end_with_their_fold(spark):
+    from maskwright.operators import models
+
+    rows = models.assemble(spark.createDataFrame([(i, i % 2 + 1, float(i), float(i)) for i in range(40)], "sample_id long, fold int, a double, target double"), ["a"])
+    estimator = models.forest({"numTrees": 3})
+    assert estimator.getCacheNodeIds()
+    scored = models.oof_model(rows, estimator, both_roles=True)
+    assert scored.count() == 80 and scored.where("role = 'validation'").select("sample_id").distinct().count() == 40
+    # stored scores are read back: no tree is part of the plan, and running it again fits and scores nothing
+    assert all("maskwright" in f for f in scored.inputFiles()) and scored.inputFiles()
