@@ -130,7 +130,8 @@ def test_changed_rows_are_named(spark):
 def test_places_are_joined_without_broadcast(spark):
     from maskwright.operators import evidence
 
-    split = spark.createDataFrame([(i, i % 2 + 1, float(i)) for i in range(40)], "sample_id long, fold int, a double")
+    # a source of known, small size, which the planner would broadcast
+    split = spark.range(40).selectExpr("id AS sample_id", "CAST(id % 2 + 1 AS INT) AS fold", "CAST(id AS DOUBLE) AS a")
     rows = evidence.permuted_values(split, ["a"], 2, 42, 40, 2)
     assert rows.count() == 80
     plan = rows._jdf.queryExecution().executedPlan().toString()
