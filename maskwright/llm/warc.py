@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ ARCHIVE_BYTES = 32 << 20
 GAP, READ_BYTES = 64 << 10, 4 << 20
 #: Bytes of records that a reading task is meant for.
 TASK_BYTES = 32 << 20
+#: Records that are inflated at once.
+INFLATED_ROWS = 256
 
 
 RECORD_SCHEMA = (
@@ -102,17 +105,36 @@ def write_archives(
     index, _ = materialize(
         _placed(described, firsts, archives).drop("html", "header").withColumn("offset", _offset())
     )
-    # a revisit has no body, so its html ends here, before any shuffle
+    # a revisit has no body, so its html ends here, before any shuffle; what is shuffled is deflated
     record = F.concat("header", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(""))
+    keys = "archive int, page_id long, url string, payload_digest string, length long"
     (
-        _placed(described, firsts, archives).select("archive", "page_id", "url", "payload_digest", "length", record.alias("record"))
+        _placed(described, firsts, archives)
+        .select("archive", "page_id", "url", "payload_digest", F.col("length").cast("long").alias("length"), record.cast("binary").alias("record"))
+        .mapInArrow(_deflated, f"{keys}, record binary")
         .select("archive", _offset().alias("offset"), "record")
+        .mapInArrow(_inflated, "archive int, offset long, record string")
         .sortWithinPartitions("archive", "offset").select("archive", "record")
         .write.partitionBy("archive").option("lineSep", SEPARATOR).text(directory)
     )
     return index
 
 
+def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        small = pa.array([zlib.compress(r) for r in batch.column("record").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], small], names=batch.schema.names)
+
+
+def _inflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records again, a few at a time: a batch of small columns may hold large records."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, INFLATED_ROWS):
+            own = batch.slice(at, INFLATED_ROWS)
+            records = pa.array([zlib.decompress(r) for r in own.column("record").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*own.columns[:-1], records], names=batch.schema.names)
+
+
 def _ranges(path: np.ndarray, offset: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of entries, sorted by file and offset, that are read at once."""
     i = 0

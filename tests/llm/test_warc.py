@@ -50,3 +50,23 @@ def test_ranges_join_neighbours():
     assert list(warc._ranges(["a", "a"], [0, warc.GAP + 20], [6, 5])) == [(0, 1), (1, 2)]
     assert list(warc._ranges(["a", "a"], [0, warc.READ_BYTES - 3], [warc.READ_BYTES - 5, 5])) == [(0, 1), (1, 2)]
     assert list(warc._ranges([], [], [])) == []
+
+
+def test_bodies_are_shuffled_deflated(spark, tmp_path, monkeypatch):
+    """What the archives' shuffle carries is far smaller than the records; the archives hold them whole."""
+    carried = tmp_path / "carried"
+    carried.mkdir()
+    inner = warc._deflated
+
+    def noted(batches):
+        for batch in inner(batches):
+            (carried / f"{batch.column('page_id')[0].as_py()}").write_text(str(sum(map(len, batch.column("record").to_pylist()))))
+            yield batch
+
+    monkeypatch.setattr(warc, "_deflated", noted)
+    rows = [(k, "u", f"{k} " + "<li>one of many</li>" * 400) for k in range(20)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"))
+    whole = sum(len(r[2]) for r in rows)
+    assert 0 < sum(int(f.read_text()) for f in carried.iterdir()) < whole / 4
+    got = {r.page_id: r.payload.decode() for r in warc.read_records(index, str(tmp_path / "a")).collect()}
+    assert got == {r[0]: r[2] for r in rows}
