@@ -24,8 +24,8 @@ from maskwright.session import materialize, work_partitions
 SIDE = 64
 #: Frames larger than this are letterboxed to it before they are turned.
 WORKING = 256
-#: Masks of a block; a tile holds two blocks unpacked to bytes.
-BLOCK = 1024
+#: Masks of a block; a tile holds two blocks unpacked to bytes. Most blocks on a side of the square of tiles that one group holds, packed.
+BLOCK, SQUARE = 1024, 8
 
 
 def upright(raster: np.ndarray) -> np.ndarray:
@@ -133,16 +133,40 @@ def _block_pairs(table: DataFrame) -> DataFrame:
     return pairs.where(F.col("b.block") >= F.col("a.block")).select(F.col("a.block").alias("i"), F.col("b.block").alias("j"), "a", "b")
 
 
-def _tiled(placed: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Every mask once for each tile (i, j) that its block is part of."""
-    sides = tiles.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    return placed.join(F.broadcast(sides), "block").repartition(work_partitions(placed.sparkSession), "i", "j")
+def _square(blocks: int, cores: int) -> int:
+    """Blocks on a side of a square of tiles: as many as leave four squares for each core, up to SQUARE."""
+    return max(1, min(SQUARE, int(blocks / np.sqrt(8 * cores))))
 
 
-def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _squares(placed: DataFrame, tiles: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Masks and tiles by squares of neighbouring tiles (`p`, `q`): a mask goes once to each square that its block is part of.
+
+    There are several partitions for each square, so what a task holds does not grow with the masks.
+    """
+    spark = placed.sparkSession
+    side = _square(blocks, spark.sparkContext.defaultParallelism)
+    tiles, _ = materialize(tiles.select(F.expr(f"i div {side}").alias("p"), F.expr(f"j div {side}").alias("q"), "i", "j"))
+    parts = max(work_partitions(spark), 3 * tiles.select("p", "q").distinct().count())
+    sides = tiles.select("p", "q", F.explode(F.array("i", "j")).alias("block")).distinct()
+    return placed.join(F.broadcast(sides), "block").repartition(parts, "p", "q"), tiles.select(F.col("p").alias("tp"), F.col("q").alias("tq"), "i", "j").repartition(parts, "tp", "tq")
+
+
+def _measured(placed: DataFrame, tiles: DataFrame, blocks: int, measure: Callable[[pa.Table, int, int], pa.Table], schema: str) -> DataFrame:
+    """What `measure` makes of each tile (i, j), given the masks of its two blocks."""
+
+    def run(masks: pa.Table, wanted: pa.Table) -> pa.Table:
+        block, made = masks["block"].to_numpy(), []
+        for i, j in zip(wanted["i"].to_pylist(), wanted["j"].to_pylist()):
+            made.append(measure(masks.take(pa.array(np.flatnonzero((block == i) | (block == j)))), i, j))
+        return pa.concat_tables(made)
+
+    masks, wanted = _squares(placed, tiles, blocks)
+    return masks.groupBy("p", "q").cogroup(wanted.groupBy("tp", "tq")).applyInArrow(run, schema)
+
+
+def _shared(table: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rows of block i, rows of block j, common cells, IoU) of a tile; pairs of a block with itself count once, above the diagonal."""
     block, area = table["block"].to_numpy(), table["area"].to_numpy().astype(float)
-    i, j = table["i"][0].as_py(), table["j"][0].as_py()
     cells = np.unpackbits(np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint8).reshape(len(table), -1), axis=1).astype(np.float32)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     common = cells[left] @ cells[right].T
@@ -166,24 +190,26 @@ def similar(contents: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
     """
     placed, table = _blocks(contents.select("mask_id", "bits", "area"), ["area", "mask_id"])
     pairs, _ = materialize(_block_pairs(table).select("i", "j", _ratio().alias("most")))
+    blocks = table.count()
 
-    def measure(table: pa.Table) -> pa.Table:
-        left, right, _, iou = _shared(table)
+    def measure(table: pa.Table, i: int, j: int) -> pa.Table:
+        left, right, _, iou = _shared(table, i, j)
         ids = table["mask_id"].to_numpy()
         x, y = np.nonzero(iou >= threshold)
         best = float(iou.max(initial=-1.0))
         a, b = ids[left[x]], ids[right[y]]
+        last = np.arange(len(a) + 1) == len(a)  # the tile's best has no pair beside it
         return pa.table({
-            "a": pa.array([*np.minimum(a, b).tolist(), None], pa.int64()), "b": pa.array([*np.maximum(a, b).tolist(), None], pa.int64()), "iou": pa.array([*iou[x, y].astype(float).tolist(), best], pa.float64()),
+            "a": pa.array(np.append(np.minimum(a, b), 0), mask=last), "b": pa.array(np.append(np.maximum(a, b), 0), mask=last), "iou": pa.array(np.append(iou[x, y].astype(float), best)),
         })
 
     tiles = pairs.where(F.col("most") >= threshold)
-    found, _ = materialize(_tiled(placed, tiles).groupBy("i", "j").applyInArrow(measure, "a long, b long, iou double"))
+    found, _ = materialize(_measured(placed, tiles, blocks, measure, "a long, b long, iou double"))
     best = found.agg(F.max("iou").alias("iou")).first()["iou"]
     best = -1.0 if best is None else best
     largest = found.agg(F.max("iou").alias("iou"))
     if best < threshold:
-        rest = _tiled(placed, pairs.where((F.col("most") < threshold) & (F.col("most") > best))).groupBy("i", "j").applyInArrow(measure, "a long, b long, iou double")
+        rest = _measured(placed, pairs.where((F.col("most") < threshold) & (F.col("most") > best)), blocks, measure, "a long, b long, iou double")
         largest = found.unionByName(rest).agg(F.max("iou").alias("iou"))
     return found.where("a IS NOT NULL"), largest.select(F.greatest(F.coalesce("iou", F.lit(0.0)), F.lit(0.0)).alias("iou"))
 
@@ -225,9 +251,10 @@ def contradictions(aligned: DataFrame, targets: DataFrame, top: int = 20, key: s
     placed, table = _blocks(rows.join(ranked, key).select(F.col(key).alias("mask_id"), "bits", "area", "target", "class"), ["class", "area", "mask_id"])
     difference = F.greatest(F.col("a.high_target") - F.col("b.low_target"), F.col("b.high_target") - F.col("a.low_target"))
     pairs, _ = materialize(_block_pairs(table).select("i", "j", (difference * _ratio()).alias("most")))
+    blocks = table.count()
 
-    def measure(table: pa.Table) -> pa.Table:
-        left, right, _, iou = _shared(table)
+    def measure(table: pa.Table, i: int, j: int) -> pa.Table:
+        left, right, _, iou = _shared(table, i, j)
         ids, target = table["mask_id"].to_numpy(), table["target"].to_numpy()
         apart = np.abs(target[left][:, None] - target[right][None, :])
         score = np.where(iou >= 0, apart * iou, -1.0)
@@ -247,8 +274,8 @@ def contradictions(aligned: DataFrame, targets: DataFrame, top: int = 20, key: s
     ordered = [F.desc("score"), F.desc("id_a"), F.desc("id_b")]
     first = pairs.orderBy(F.desc("most"), "i", "j").limit(spark.sparkContext.defaultParallelism)
     first, _ = materialize(first)
-    begun, _ = materialize(_tiled(placed, first).groupBy("i", "j").applyInArrow(measure, schema))
+    begun, _ = materialize(_measured(placed, first, blocks, measure, schema))
     best = begun.orderBy(*ordered).limit(top).collect()
     floor = best[-1]["score"] if len(best) == top else -1.0
     rest = pairs.join(F.broadcast(first.select("i", "j")), ["i", "j"], "left_anti").where(F.col("most") >= floor * (1 - 1e-9))
-    return begun.unionByName(_tiled(placed, rest).groupBy("i", "j").applyInArrow(measure, schema)).orderBy(*ordered).limit(top)
+    return begun.unionByName(_measured(placed, rest, blocks, measure, schema)).orderBy(*ordered).limit(top)

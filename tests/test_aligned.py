@@ -84,6 +84,20 @@ def test_similar_pairs_and_largest(spark, table, monkeypatch, block, threshold):
     assert largest.first().iou == pytest.approx(max(want.values()))
 
 
+def test_masks_go_once_to_a_square_of_tiles(spark, table, monkeypatch):
+    """Rows on their way to tiles: far fewer than one for each mask and tile, and no partition holds more than a few squares."""
+    monkeypatch.setattr(aligned, "BLOCK", 1)
+    _, bits = table
+    placed, ranges = aligned._blocks(bits.select("mask_id", "bits", "area"), ["area", "mask_id"])
+    n = bits.count()
+    assert [aligned._square(*x) for x in ((3, 8), (20, 8), (60, 8), (5000, 12))] == [1, 2, 7, 8]
+    monkeypatch.setattr(aligned, "_square", lambda blocks, cores: 8)
+    masks, tiles = aligned._squares(placed, aligned._block_pairs(ranges).select("i", "j"), n)
+    sides = -(-n // 8)
+    assert tiles.count() == n * (n + 1) // 2 and masks.count() == n * sides
+    assert masks.rdd.getNumPartitions() >= sides * (sides + 1) // 2
+
+
 @pytest.mark.parametrize("block", [1024, 6])
 @pytest.mark.parametrize("top", [1, 12, 5000])
 def test_contradictions_by_all_pairs(spark, table, monkeypatch, block, top):
