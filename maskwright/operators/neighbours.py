@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from maskwright.session import materialize, work_partitions
 
-#: Points of a block; a cell with more is cut into several. Probes that meet a block at once. Most pivots (each a vector).
-BLOCK, PROBES, MOST_PIVOTS = 1024, 4096, 2048
+#: Points of a block; a cell with more is cut into several. Probes that meet a region at once. Most pivots (each a vector). Most blocks of a region.
+BLOCK, PROBES, MOST_PIVOTS, REGION = 1024, 16384, 2048, 32
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -48,14 +48,20 @@ def _nearest(v: np.ndarray, u: np.ndarray, others: np.ndarray, own: np.ndarray |
     return best, who
 
 
+def _region_size(blocks: int, cores: int) -> int:
+    """Blocks of a region: as many as leave four pairs of regions for each core, up to REGION."""
+    return max(1, min(REGION, int(blocks / (2 * np.sqrt(cores)))))
+
+
 def nearest_neighbours(vectors: DataFrame, key: str) -> DataFrame:
     """(key, neighbour, distance): the exact nearest other row of every row of `vectors` (key, v), ties to the smallest key.
 
     Equal vectors collapse first; a repeated one is its own copy's neighbour at distance 0. Every point belongs to the nearest
     of a bounded number of pivots. A search inside a block of its own cell bounds its distance; then it visits only the blocks
     that may hold something closer: not those behind the plane between two pivots, nor outside the ring that a
-    block's points fill around their pivot. Blocks and the probes that meet them are bounded, so a crowded cell is many
-    small tasks. A single row has no neighbour and is not in the result.
+    block's points fill around their pivot. A point goes once to each region of neighbouring blocks that holds such a
+    block, where the bound is tried again block by block. Regions and the probes that meet them are bounded, so a crowded
+    cell is many small tasks. A single row has no neighbour and is not in the result.
     """
     spark = vectors.sparkSession
     groups, _ = materialize(vectors.groupBy("v").agg(F.min(key).alias("id"), F.count("*").alias("copies")))
@@ -81,52 +87,71 @@ def nearest_neighbours(vectors: DataFrame, key: str) -> DataFrame:
     points, _ = materialize(groups.select("id", "v", "copies").mapInArrow(placed, "id long, v array<double>, copies long, cell long, ring double"))
     sizes = points.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     points, _ = materialize(points.join(F.broadcast(sizes), "cell").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).drop("blocks"))
-    rings = points.groupBy("cell", "block").agg(F.min("ring").alias("inner"), F.max("ring").alias("outer")).collect()  # one row for each block of BLOCK points
-    table = spark.sparkContext.broadcast(tuple(np.array([r[c] for r in rings]) for c in ("cell", "block", "inner", "outer")))
+    # one row for each block of BLOCK points
+    rings = sorted(points.groupBy("cell", "block").agg(F.min("ring").alias("inner"), F.max("ring").alias("outer")).collect())
+    table = spark.sparkContext.broadcast(tuple(np.array([r[c] for r in rings]) for c in ("cell", "inner", "outer")))
+    size = _region_size(len(rings), spark.sparkContext.defaultParallelism)
+    numbered = spark.createDataFrame([(r["cell"], r["block"], k, k // size) for k, r in enumerate(rings)], "cell long, block int, at int, region int")
+    points = points.join(F.broadcast(numbered), ["cell", "block"])
 
     def inside(rows: pa.Table) -> pa.Table:
         v, ids = _matrix(rows["v"]), rows["id"].to_numpy()
         best, who = _nearest(v, v, ids, ids)
-        return pa.table({"id": rows["id"], "v": rows["v"], "copies": rows["copies"], "cell": rows["cell"], "block": rows["block"], "ub": pa.array(best), "other": pa.array(who)})
+        return pa.table({"id": rows["id"], "v": rows["v"], "copies": rows["copies"], "at": rows["at"], "ub": pa.array(best), "other": pa.array(who)})
 
     parts = work_partitions(spark)
-    first, _ = materialize(points.repartition(parts, "cell", "block").groupBy("cell", "block").applyInArrow(inside, "id long, v array<double>, copies long, cell long, block int, ub double, other long"))
+    first, _ = materialize(points.repartition(parts, "cell", "block").groupBy("cell", "block").applyInArrow(inside, "id long, v array<double>, copies long, at int, ub double, other long"))
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def may_hold(v: np.ndarray, ub: np.ndarray, at: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Whether a block (column) may hold something closer than `ub` to a row of `v`, whose own block is `at`."""
         pivots, apart = sent.value
-        cells, blocks, inner, outer = table.value
+        cells, inner, outer = (x[blocks] for x in table.value)
+        home, ub = table.value[0][at], ub[:, None] * (1 + 1e-9) + 1e-9
+        used, back = np.unique(cells, return_inverse=True)
+        d, gap = _distances(v, pivots[used])[:, back], apart[home][:, cells]
+        mine = np.sqrt(((v - pivots[home]) ** 2).sum(1))[:, None]
+        plane = np.where(gap > 1e-6, (d**2 - mine**2) / np.where(gap > 1e-6, 2 * gap, 1), 0.0)
+        slack = 1e-6 * (1 + d + np.sqrt((v * v).sum(1))[:, None])  # products round; a visit too many does no harm
+        return (plane <= ub + slack) & (d - outer <= ub + slack) & (inner - d <= ub + slack) & (blocks[None, :] != at[:, None])
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(len(table.value[0]))
+        starts = every[::size]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                own = batch.slice(at, 256)
-                v, ub = _matrix(own.column(1)), own.column(4).to_numpy() * (1 + 1e-9) + 1e-9
-                home, block = own.column(2).to_numpy(), own.column(3).to_numpy()
-                to_pivot = _distances(v, pivots)
-                d, mine, gap = to_pivot[:, cells], to_pivot[np.arange(len(v)), home], apart[home][:, cells]
-                plane = np.where(gap > 1e-6, (d**2 - mine[:, None] ** 2) / np.where(gap > 1e-6, 2 * gap, 1), 0.0)
-                slack = 1e-6 * (1 + d + np.sqrt((v * v).sum(1))[:, None])  # products round; a visit too many does no harm
-                open_ = (plane <= ub[:, None] + slack) & (d - outer[None, :] <= ub[:, None] + slack) & (inner[None, :] - d <= ub[:, None] + slack)
-                open_ &= (cells[None, :] != home[:, None]) | (blocks[None, :] != block[:, None])
-                row, to = np.nonzero(open_)
+            for from_ in range(0, batch.num_rows, 256):
+                own = batch.slice(from_, 256)
+                open_ = may_hold(_matrix(own.column(1)), own.column(3).to_numpy(), own.column(2).to_numpy(), every)
+                row, region = np.nonzero(np.logical_or.reduceat(open_, starts, axis=1))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0).take(pa.array(row)), own.column(1).take(pa.array(row)), pa.array(cells[to]), pa.array(blocks[to].astype(np.int32))], names=["id", "v", "cell", "block"]
+                    [*[own.column(k).take(pa.array(row)) for k in range(4)], pa.array(region.astype(np.int32))], names=["id", "v", "at", "ub", "region"]
                 )
 
     single = first.where("copies = 1")
-    probes, _ = materialize(single.select("id", "v", "cell", "block", "ub").mapInArrow(visits, "id long, v array<double>, cell long, block int"))
-    shares = probes.groupBy("cell", "block").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("shares"))
-    cut = probes.join(F.broadcast(shares), ["cell", "block"]).withColumn("share", F.expr("cast(pmod(xxhash64(id), shares) as int)"))
-    met = points.join(F.broadcast(shares), ["cell", "block"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    probes, _ = materialize(single.select("id", "v", "at", "ub").mapInArrow(visits, "id long, v array<double>, at int, ub double, region int"))
+    shares = probes.groupBy("region").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("shares"))
+    cut = probes.join(F.broadcast(shares), "region").withColumn("share", F.expr("cast(pmod(xxhash64(id), shares) as int)"))
+    met = points.join(F.broadcast(shares), "region").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        best, who = _nearest(_matrix(left["v"]), _matrix(right["v"]), right["id"].to_numpy())
-        return pa.table({"id": left["id"], "other": pa.array(who), "d": pa.array(best)})
-
-    tile = ["cell", "block", "share"]
+        v, ub, at = _matrix(left["v"]), left["ub"].to_numpy().copy(), left["at"].to_numpy()
+        u, ids, block = _matrix(right["v"]), right["id"].to_numpy(), right["at"].to_numpy()
+        best, who = np.full(len(v), np.inf), np.full(len(v), np.iinfo(np.int64).max)
+        for b in np.unique(block):
+            rows = np.flatnonzero(may_hold(v, ub, at, np.array([b]))[:, 0])
+            d, other = _nearest(v[rows], u[block == b], ids[block == b])
+            r, old = np.round(d, 9), np.round(best[rows], 9)
+            nearer = (r < old) | ((r == old) & (other < who[rows]))
+            rows, d, other = rows[nearer], d[nearer], other[nearer]
+            best[rows], who[rows], ub[rows] = d, other, np.minimum(ub[rows], d)
+        found = np.isfinite(best)
+        return pa.table({"id": left["id"].filter(pa.array(found)), "other": pa.array(who[found]), "d": pa.array(best[found])})
+
+    tile = ["region", "share"]
     across = (
-        cut.select(*tile, "id", "v").repartition(parts, *tile).groupBy(*tile)
-        .cogroup(met.select(*tile, "id", "v").repartition(parts, *tile).groupBy(*tile)).applyInArrow(compare, "id long, other long, d double")
+        cut.select(*tile, "id", "v", "at", "ub").repartition(parts, *tile).groupBy(*tile)
+        .cogroup(met.select(*tile, "id", "v", "at").repartition(parts, *tile).groupBy(*tile)).applyInArrow(compare, "id long, other long, d double")
     )
     found = single.where("ub < double('inf')").select("id", "other", F.col("ub").alias("d")).unionByName(across)
     best = found.groupBy("id").agg(F.min(F.struct(F.round("d", 9).alias("r"), "other", "d")).alias("b"))

@@ -32,6 +32,19 @@ def test_matches_all_pairs(spark, monkeypatch, block, probes, kind):
     assert got == plain(points)
 
 
+def test_points_go_once_to_a_region(spark, monkeypatch):
+    """In many even dimensions every block is visited; a point is sent to each region of blocks, not to each block."""
+    monkeypatch.setattr(neighbours, "BLOCK", 4)
+    stored = []
+    inner = neighbours.materialize
+    monkeypatch.setattr(neighbours, "materialize", lambda df: stored.append(inner(df)) or stored[-1])
+    v = np.random.default_rng(7).normal(size=(200, 30))
+    frame = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "mask_id long, v array<double>").repartition(3)
+    got = {r.mask_id: (r.neighbour, round(r.distance, 9)) for r in neighbours.nearest_neighbours(frame, "mask_id").collect()}
+    assert got == plain(dict(enumerate(v)))
+    assert stored[-1][0].count() <= 200 * 200 / 4 / 4
+
+
 def test_few_rows(spark):
     frame = lambda rows: spark.createDataFrame(rows, "mask_id long, v array<double>")
     assert neighbours.nearest_neighbours(frame([]), "mask_id").count() == 0
