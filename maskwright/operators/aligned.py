@@ -141,12 +141,12 @@ def _square(blocks: int, cores: int) -> int:
 def _squares(placed: DataFrame, tiles: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
     """Masks and tiles by squares of neighbouring tiles (`p`, `q`): a mask goes once to each square that its block is part of.
 
-    There are several partitions for each square, so what a task holds does not grow with the masks.
+    There are about as many partitions as squares, so what a task holds does not grow with the masks.
     """
     spark = placed.sparkSession
     side = _square(blocks, spark.sparkContext.defaultParallelism)
     tiles, _ = materialize(tiles.select(F.expr(f"i div {side}").alias("p"), F.expr(f"j div {side}").alias("q"), "i", "j"))
-    parts = max(work_partitions(spark), 3 * tiles.select("p", "q").distinct().count())
+    parts = max(work_partitions(spark), tiles.select("p", "q").distinct().count())
     sides = tiles.select("p", "q", F.explode(F.array("i", "j")).alias("block")).distinct()
     return placed.join(F.broadcast(sides), "block").repartition(parts, "p", "q"), tiles.select(F.col("p").alias("tp"), F.col("q").alias("tq"), "i", "j").repartition(parts, "tp", "tq")
 
