@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.session import materialize
+
 REFERENCE = "mean_reference"
+#: Models (folds x groups) that are broadcast at most; more are joined by sorting.
+BROADCAST_MODELS = 100_000
 
 
 def _moments(features: list[str], target: str) -> list[Column]:
@@ -110,8 +114,10 @@ def oof_predictions(split: DataFrame, features: list[str], target: str = "target
     A group that a training set lacks falls back to the training mean.
     """
     models = fold_group_models(split, features, target).withColumn("_g", F.struct("grp")).drop("grp")
-    # a struct is equal to another when both hold NULL; the planner sizes the table of groups
-    wide = split.withColumn("_g", F.struct("grp")).join(models, ["_g", "fold"])
+    models, n_models = materialize(models.withColumn("_row", F.lit(True)), "_row")
+    # a struct is equal to another when both hold NULL; left to the planner, a small stored table of samples would be
+    # the broadcast side, and every row after the join would come out of the one task of the models
+    wide = split.withColumn("_g", F.struct("grp")).join(F.broadcast(models) if n_models <= BROADCAST_MODELS else models.hint("merge"), ["_g", "fold"])
 
     def entry(name: str, approach: str, role: str, value: Column) -> Column:
         return F.struct(

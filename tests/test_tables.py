@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import best_epoch, effect_class, half_even, half_up, permutation_seed, significant
 from maskwright.operators import checks, diagnostics, evidence, fingerprint, metrics, predict, ranks, redundancy, split
+from maskwright.session import materialize
 from maskwright.sources import files
 
 
@@ -197,3 +198,19 @@ def test_lines_far_from_zero(spark):
     assert len(got) == 200 and all(r["predicted"] == pytest.approx(r["observed"], abs=1e-3) for r in got)
     scaled = predict.standardize(df, ["x"]).collect()
     assert {round(r["sd_x"], 6) for r in scaled} and all(abs(r["sd_x"] - 57.73) < 1.5 for r in scaled)
+
+
+def test_samples_are_never_the_broadcast_side_of_their_models(spark, monkeypatch):
+    rows = spark.range(200).selectExpr(
+        "id AS sample_id", "IF(id % 3 = 0, NULL, concat('g', id % 3)) AS grp", "'r' AS resolution", "'B1' AS category", "cast(id % 5 + 1 AS int) AS fold",
+        "cast(id * 2 AS double) AS target", "cast(id * id % 17 AS double) AS x",
+    )
+    stored, _ = materialize(rows)
+    plan = predict.oof_predictions(stored, ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan  # else the side that looks smaller at run time is, and that can be the samples
+    key = lambda r: (r["sample_id"], r["configuration"])
+    want = sorted(predict.oof_predictions(stored, ["x"]).collect(), key=key)
+    monkeypatch.setattr(predict, "BROADCAST_MODELS", 0)
+    got = predict.oof_predictions(stored, ["x"])
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(got.collect(), key=key) == want and len(want) == 600
