@@ -170,17 +170,20 @@ def hole_cells(runs: DataFrame, dims: DataFrame) -> DataFrame:
     return parts.where("enclosed = 1").groupBy("mask_id").agg(F.sum("size").alias("holes"))
 
 
-def topology(labelled: DataFrame, original: str, keys: list[str] | None = None, variant: str = "variant") -> DataFrame:
+def topology(labelled: DataFrame, original: str, keys: list[str] | None = None, variant: str = "variant", parts: int | None = None) -> DataFrame:
     """Does every original component map to exactly one own component of each other variant?
 
     `labelled` holds the original and the perturbed masks under `variant`. One row per mask and
-    perturbed variant; a mask that the variant erased has zero components there.
+    perturbed variant; a mask that the variant erased has zero components there. With `parts`, the overlap of runs is found
+    in that many tasks, however small the runs are on disk.
     """
     keys = keys or ["mask_id"]
     first = labelled.where(F.col(variant) == original).drop(variant)
     others = labelled.where(F.col(variant) != original)
     counts = labelled.groupBy(*keys, variant).agg(F.count_distinct("component").alias("n"))
     right = others.select(*keys, "y", variant, F.col("x0").alias("c"), F.col("x1").alias("e"), F.col("component").alias("target"))
+    if parts is not None:
+        first, right = first.repartition(parts, *keys, "y"), right.repartition(parts, *keys, "y")
     pairs = (
         first.join(right, [*keys, "y"])
         .where((F.col("x0") <= F.col("e")) & (F.col("c") <= F.col("x1")))

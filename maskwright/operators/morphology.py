@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import half_even, half_up
 from maskwright.operators.components import label_components, topology
-from maskwright.operators.runs import KEYS, merge_runs
-from maskwright.session import materialize
+from maskwright.operators.runs import KEYS, by_mask, merge_runs
 
 LONG_SIDE = 1024
 DISK_RADIUS = 5
@@ -162,11 +161,11 @@ def morphology_variants(runs: DataFrame, long_side: int = LONG_SIDE) -> DataFram
     )
 
 
-def topology_of(variants: DataFrame) -> DataFrame:
+def topology_of(variants: DataFrame, parts: int | None = None) -> DataFrame:
     """Topology verdict of both morphological variants of each mask (one column each)."""
     labelled = label_components(variants, ["mask_id", "variant"])
     # both verdicts must exist even if contraction erased the mask completely
-    found = topology(labelled, "original")
+    found = topology(labelled, "original", parts=parts)
     return found.groupBy("mask_id").agg(
         F.coalesce(F.bool_and(F.when(F.col("variant") == "expansion", F.col("valid"))), F.lit(False)).alias("expansion_valid"),
         F.coalesce(F.bool_and(F.when(F.col("variant") == "contraction", F.col("valid"))), F.lit(False)).alias("contraction_valid"),
@@ -178,13 +177,13 @@ def eligibility(runs: DataFrame, dims: DataFrame, long_side: int = LONG_SIDE) ->
 
     A mask without foreground has no border contact and no components, so it is eligible.
     """
-    return eligibility_of(materialize(morphology_variants(runs, long_side))[0], dims)
+    return eligibility_of(*by_mask(morphology_variants(by_mask(runs)[0], long_side)), dims)
 
 
-def eligibility_of(variants: DataFrame, dims: DataFrame) -> DataFrame:
-    """Eligibility from already computed morphological variants."""
+def eligibility_of(variants: DataFrame, parts: int, dims: DataFrame) -> DataFrame:
+    """Eligibility from morphological variants that `by_mask` has dealt out in `parts`."""
     reaches = touches_border(variants.where("variant = 'expansion'")).select("mask_id", F.col("touches").alias("at_border"))
-    verdict = topology_of(variants)
+    verdict = topology_of(variants, parts)
     joined = dims.select("mask_id").join(reaches, "mask_id", "left").join(verdict, "mask_id", "left")
     reason = (
         F.when(F.col("at_border"), "insufficient_expansion_margin")
@@ -213,6 +212,7 @@ def perturbed(runs: DataFrame, variants: DataFrame) -> DataFrame:
 
 def scenarios(runs: DataFrame) -> DataFrame:
     """Older scenario set: original, one or two steps of erosion and dilation, shift by four."""
+    runs, _ = by_mask(runs.select(*KEYS, "y", "x0", "x1"))
     parts = {
         "original": runs.select(*KEYS, "y", "x0", "x1"),
         "erosion_1": contract(runs, diamond_rows(1)), "erosion_2": contract(runs, diamond_rows(2)),

@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.session import materialize
+
 KEYS = ["mask_id", "h", "w"]
+#: Runs that one task gets when whole masks are dealt out.
+RUNS_PER_TASK = 50_000
+
+
+def by_mask(runs: DataFrame) -> tuple[DataFrame, int]:
+    """Runs stored once and dealt out by mask, with the number of parts, which grows with the runs.
+
+    Windows and groups of a mask, or of its rows, then need no other shuffle. Left to itself, the planner joins parts of
+    such shuffles up to a size on disk, and runs take many times that in memory once they are widened and sorted.
+    """
+    stored, n = materialize(runs.withColumn("_row", F.lit(True)), "_row")
+    parts = max(runs.sparkSession.sparkContext.defaultParallelism, -(-n // RUNS_PER_TASK))
+    return stored.repartition(parts, "mask_id"), parts
 
 
 def cells_to_runs(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.operators import morphology
 from maskwright.operators.evidence import fold_models
 from maskwright.operators.geometry import FEATURES, HULL_FEATURES, measure, scale
-from maskwright.operators.runs import KEYS
+from maskwright.operators.runs import KEYS, by_mask
 from maskwright.session import materialize
 
 PERTURBATIONS = ("scale_shrink", "scale_grow", *morphology.SHIFTS, "contraction", "expansion")
@@ -35,15 +35,15 @@ def sensitivity(runs: DataFrame, dims: DataFrame, split: DataFrame, features: li
     unknown = [f for f in features if f not in FEATURES]
     if unknown:
         raise ValueError(f"features were {unknown!r}; expected names from the measurement contract")
-    runs, _ = materialize(runs.select(*KEYS, "y", "x0", "x1"))
+    runs, _ = by_mask(runs.select(*KEYS, "y", "x0", "x1"))
     # the disk variants decide on eligibility and are measured as perturbations too
-    variants, _ = materialize(morphology.morphology_variants(runs, long_side))
+    variants, parts = by_mask(morphology.morphology_variants(runs, long_side))
     samples, _ = materialize(split.join(scaled_features(runs, KEYS, features, long_side), "mask_id"))
     model = F.broadcast(fold_models(samples, features, shrink))
     scored = samples.join(model, "fold").select("mask_id", "weights", "intercept", predicted(features).alias("original"))
     changed = scaled_features(morphology.perturbed(runs, variants), [*KEYS, "perturbation"], features, long_side).drop("h", "w").withColumn("measured", F.lit(True))
     cuts = morphology.shift_cuts(runs).select("mask_id", "perturbation", "cuts")
-    verdict = morphology.eligibility_of(variants, dims).select("mask_id", F.col("reason").alias("morphology_reason"))
+    verdict = morphology.eligibility_of(variants, parts, dims).select("mask_id", F.col("reason").alias("morphology_reason"))
     grid = scored.withColumn("perturbation", F.explode(F.array(*[F.lit(p) for p in PERTURBATIONS])))
     reason = (
         F.when(F.coalesce("cuts", F.lit(False)), "shift_cuts_foreground")

@@ -204,7 +204,7 @@ topo_fragment("topo_c", "vc")
 @query("mask_topology", q("""
 SELECT mask_id, 'expansion' AS variant, n_original, n_perturbed, pairs, valid FROM topo_e UNION ALL SELECT mask_id, 'contraction', n_original, n_perturbed, pairs, valid FROM topo_c WHERE n_perturbed > 0"""))
 def mask_topology(spark, sf):
-    labelled = components.label_components(morphology.morphology_variants(shapes(spark, sf)), ["mask_id", "variant"])
+    labelled = components.label_components(morphology.morphology_variants(runs.by_mask(shapes(spark, sf))[0]), ["mask_id", "variant"])
     return components.topology(labelled, "original").where("variant IS NOT NULL").select("mask_id", "variant", "n_original", "n_perturbed", "pairs", "valid")
 
 

@@ -214,3 +214,19 @@ def test_rescale_by_any_factor(masks, factor):
     out = morphology.rescale(r, factor)
     got = {(x["y"], c) for x in out.collect() for c in range(x["x0"], x["x1"] + 1)}
     assert got == want
+
+
+def test_whole_masks_are_dealt_out_once(masks, monkeypatch):
+    _, r = masks({f"m{k}": block(8, 9, [(1, 3 + k % 4, 2, 5 + k % 3)]) for k in range(12)})
+    cores = r.sparkSession.sparkContext.defaultParallelism
+    order = ["mask_id", "scenario", "y", "x0"]
+    want = [tuple(row) for row in morphology.scenarios(r).orderBy(*order).collect()]
+    monkeypatch.setattr(runs, "RUNS_PER_TASK", 1)
+    dealt, parts = runs.by_mask(r)
+    assert parts == r.count() > cores  # parts follow the runs
+    got = morphology.scenarios(r)
+    # widening, shrinking and shifting all follow that one shuffle
+    assert "ENSURE_REQUIREMENTS" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(row) for row in got.orderBy(*order).collect()] == want
+    variants = morphology.morphology_variants(dealt)
+    assert "ENSURE_REQUIREMENTS" not in variants._jdf.queryExecution().executedPlan().toString()
