@@ -88,15 +88,18 @@ def hull_of_rows(ys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[bool,
     return False, feret, vertices, rows
 
 
+#: Hulls that a Python worker holds before it hands them on.
+HULLS_AT_ONCE = 500
+
+
 @F.pandas_udf(HULL_SCHEMA)
-def hull_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Hull of each mask from its sorted array of (y, lo, hi); Arrow batches of masks."""
-    for extremes in batches:
-        out = []
-        for rows in extremes:
-            table = np.array([(r["y"], r["lo"], r["hi"]) for r in rows], dtype=np.int64)
-            out.append(hull_of_rows(table[:, 0], table[:, 1], table[:, 2]))
-        yield pd.DataFrame(out, columns=["flat", "feret_squared", "vertices", "rows"])
+def hull_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Hull of each mask from its rows and their extremes, as arrays sorted by row; Arrow batches of masks, handed on in pieces."""
+    for ys, lows, highs in batches:
+        for at in range(0, len(ys), HULLS_AT_ONCE):
+            piece = slice(at, at + HULLS_AT_ONCE)
+            out = [hull_of_rows(*(np.asarray(c, np.int64) for c in mask)) for mask in zip(ys[piece], lows[piece], highs[piece])]
+            yield pd.DataFrame(out, columns=["flat", "feret_squared", "vertices", "rows"])
 
 
 def overlap(upper: Column, lower: Column, d: int) -> Column:
@@ -225,7 +228,7 @@ def _derive(t: DataFrame, keys: list[str], with_hull: bool) -> DataFrame:
     extra = [F.col(c) for c in ("left", "right", "top", "bottom")] + [v.alias(k) for k, v in moments.items()]
     if not with_hull:
         return base.select(*keys, *[columns[f].alias(f) for f in FEATURES if f in columns], *extra)
-    hulled = base.withColumn("hull", hull_udf(F.col("extremes")))
+    hulled = base.withColumn("hull", hull_udf(*[F.col("extremes")[c] for c in ("y", "lo", "hi")]))
     rows = F.col("hull.rows")
     segments = F.transform(rows, lambda s: F.struct(s["x0"].alias("x0"), s["x1"].alias("x1")))
     hulled = hulled.withColumn("_segs", segments)

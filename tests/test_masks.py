@@ -230,3 +230,12 @@ def test_whole_masks_are_dealt_out_once(masks, monkeypatch):
     assert [tuple(row) for row in got.orderBy(*order).collect()] == want
     variants = morphology.morphology_variants(dealt)
     assert "ENSURE_REQUIREMENTS" not in variants._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hulls_leave_a_worker_in_pieces():
+    import pandas as pd
+
+    squares = [pd.Series([np.array(c, np.int32)] * 1200) for c in ([0, 1, 2], [0, 0, 0], [2, 2, 2])]
+    pieces = list(geometry.hull_udf.func(iter([tuple(squares)])))
+    assert [len(p) for p in pieces] == [500, 500, 200]
+    assert all([tuple(row) for row in rows] == [(0, 0, 2), (1, 0, 2), (2, 0, 2)] for p in pieces for rows in p["rows"])
