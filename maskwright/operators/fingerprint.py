@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
-from maskwright.session import materialize, shared_dir
+from maskwright.functions.digest import Sha256, resumable
+from maskwright.session import materialize, shared_dir, work_partitions
+
+#: Files of up to this many bytes are hashed by one expression; larger ones split by split.
+WHOLE_FILE = 64 * 2**20
+#: Names that make Spark's text reader decompress.
+COMPRESSED = r"\.(gz|bz2|deflate|snappy|lz4|zst|passthrough)$"
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
 
 def canonical_row(df: DataFrame, columns: list[str], decimals: int = 6) -> Column:
@@ -41,9 +51,111 @@ def table_fingerprint(df: DataFrame, name: str, columns: list[str] | None = None
     )
 
 
-def file_digests(df: DataFrame) -> DataFrame:
-    """Digest of each file of a binaryFile scan, by base name."""
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"))
+def _bounds(column: pa.Array) -> tuple[np.ndarray, pa.Buffer | None]:
+    """Where the values of a binary column begin and end, and the buffer that they lie in."""
+    _, offsets, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    return np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1], data
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, at, line) joined to pieces (file, at, seq, n, content); a split's lines follow one another."""
+    seq = 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        files, at = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+        codes = files.indices.to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])]))
+        ends, data = _bounds(batch.column(2))
+        cuts = [int(ends[k]) for k in [*first, len(at)]]
+        content = [data.slice(x, y - x).to_pybytes() for x, y in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [files.take(pa.array(first)).cast(pa.string()), pa.array(at[first]), pa.array(range(seq, seq + len(first)), pa.int64()), pa.array([len(c) for c in content], pa.int64()), pa.array(content, pa.binary())],
+            names=["file", "at", "seq", "n", "content"],
+        )
+        seq += len(first)
+
+
+def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests taken on: (file, size, total, state) from rows (file, size, total, state, content), where a file's state comes before its pieces."""
+    file = sha = size = total = None
+    row = lambda: pa.RecordBatch.from_pydict({"file": [file], "size": [size], "total": [total], "state": [sha.state]})
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        ends, data = _bounds(batch.column(4))
+        ends = ends.tolist()
+        for k, name in enumerate(batch.column(0).to_pylist()):
+            if name != file:
+                if file is not None:
+                    yield row()
+                file, size, total, state = name, *(batch.column(c)[k].as_py() for c in (1, 2, 3))
+                sha = Sha256(state)
+                if state is None and size - total >= 2:
+                    sha.update(_address(BYTE_ORDER_MARK), len(BYTE_ORDER_MARK))
+            elif ends[k + 1] > ends[k]:
+                sha.update(data.address + ends[k], min(ends[k + 1] - ends[k], size - sha.length))
+    if file is not None:
+        yield row()
+
+
+def _address(raw: bytes) -> int:
+    return pa.py_buffer(raw).address
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = {"file": [], "digest": []}
+        for r in batch.to_pylist():
+            sha = Sha256(r["state"])
+            if sha.length != r["size"] or r["size"] - r["total"] not in (-1, 0, 2, 3):
+                raise ValueError(f"{r['total']} bytes of {r['file']} were read; expected {r['size']}")
+            out["file"].append(r["file"])
+            out["digest"].append(sha.hexdigest())
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("file", pa.string()), ("digest", pa.string())]))
+
+
+def _large_digests(large: DataFrame, n: int, lines: DataFrame, whole: int) -> DataFrame:
+    """(file, digest) of the `n` files above `whole` bytes, split by split: a task goes through one split of a file and hands on the digest's state."""
+    spark = lines.sparkSession
+    stored = f"{shared_dir(spark).rstrip('/')}/maskwright/pieces-{uuid.uuid4().hex}"
+    wanted = lines.where(F.col("size") > whole).join(F.broadcast(large.select("file")), "file", "left_semi")
+    wanted.select("file", "at", "line").mapInArrow(_pieces, "file string, at long, seq long, n long, content binary").write.partitionBy("at").parquet(stored)
+    pieces = spark.read.schema("file string, seq long, n long, content binary, at long").parquet(stored)
+    totals = pieces.groupBy("file").agg(F.sum("n").alias("total"))
+    state = "file string, size long, total long, state binary"
+    # a file of which nothing was read is an error at the end, not a missing row
+    states, _ = materialize(large.join(totals, "file", "left").select("file", "size", F.coalesce("total", F.lit(0)).alias("total"), F.lit(None).cast("binary").alias("state")))
+    tasks = min(work_partitions(spark), 4 * n)
+    for r in pieces.select("at").distinct().orderBy("at").collect():  # splits of the largest file
+        split = pieces.where(F.col("at") == r["at"]).select("file", "seq", "content")
+        rows = states.select("*", F.lit(-1).cast("long").alias("seq"), F.lit(bytearray()).alias("content")).unionByName(split, allowMissingColumns=True)
+        ordered = rows.repartition(tasks, "file").sortWithinPartitions("file", "seq").select("file", "size", "total", "state", "content")
+        states, _ = materialize(ordered.mapInArrow(_advance, state))
+    return states.mapInArrow(_finished, "file string, digest string")
+
+
+def file_digests(files: DataFrame, lines: DataFrame, whole: int = WHOLE_FILE) -> DataFrame:
+    """(name, digest, bytes): SHA-256 of each file of a binaryFile scan, by base name.
+
+    Files of up to `whole` bytes are hashed as they are. Larger ones, of any size, come from `lines` (of `file_lines`): their splits
+    are hashed one after another, each in a task of its own that takes up where the last one ended. Files whose names Spark's
+    reader would decompress by, and all files where OpenSSL cannot be reached, are hashed whole, up to Spark's 2 GB a value, which
+    is also the longest stretch without a line feed that `lines` can hold.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    hashed = lambda rows: rows.select(name.alias("name"), F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"))
+    if not resumable():
+        return hashed(files)
+    # asked for in this form, sizes and names keep Spark from opening the other files
+    small, above = files.where(F.col("length") <= whole), files.where(F.col("length") > whole)
+    packed = F.lower(F.col("_metadata.file_name")).rlike(COMPRESSED)
+    large, n = materialize(above.where(~packed).select(F.col("_metadata.file_path").alias("file"), name.alias("name"), F.col("length").alias("size"), F.lit(True).alias("_row")), "_row")
+    digests = hashed(small).unionByName(hashed(above.where(packed)))
+    if n == 0:
+        return digests
+    return digests.unionByName(_large_digests(large, n, lines, whole).join(large, "file").select("name", "digest", F.col("size").alias("bytes")))
 
 
 def files_of_split(files: DataFrame, split: DataFrame, key: str = "name") -> DataFrame:

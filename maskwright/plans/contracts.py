@@ -412,7 +412,7 @@ def membership_fingerprint(spark, sf):
 
 @query("file_digests", None)
 def file_digests(spark, sf):
-    return fingerprint.file_digests(files.list_files(spark, sf))
+    return fingerprint.file_digests(files.list_files(spark, sf), files.file_lines(spark, sf))
 
 
 @query("split_file_digest", q(f"""

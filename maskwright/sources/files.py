@@ -106,6 +106,17 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The bytes of the files below a folder as (file, size, at, line), in order inside each split of a file, which begins at `at`.
+
+    Only line feeds end a line, and every line has one, so that a file's lines joined are its bytes; what Spark's reader does not
+    tell is a line feed too many at the end of a file without one, and a byte order mark at its start, which is left out.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path)
+    line = F.concat(F.col("value").cast("binary"), F.lit(bytearray(b"\n")))
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("at"), line.alias("line"))
+
+
 def normalise_predictions(df: DataFrame, names: dict[str, str], configuration: str, approach: str, role: str) -> DataFrame:
     """One source's prediction table under the common column names (`names`: common -> source)."""
     return df.select(

@@ -1,3 +1,7 @@
+import gzip
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +218,24 @@ def test_samples_are_never_the_broadcast_side_of_their_models(spark, monkeypatch
     got = predict.oof_predictions(stored, ["x"])
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(got.collect(), key=key) == want and len(want) == 600
+
+
+def test_digests_of_files_above_one_task(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    contents = {
+        "a b%20.bin": fingerprint.BYTE_ORDER_MARK + rng.randbytes(300_000), "b.bin": fingerprint.BYTE_ORDER_MARK + rng.randbytes(200_000) + b"\n", "c.bin": rng.randbytes(300_001) + b"\n",
+        "crlf.txt": b"ab\r\n\r\r\n" * 30_000, "feeds": b"\n" * 150_000, "zeros": bytes(200_000), "d.gz": gzip.compress(rng.randbytes(100_000)), "small.bin": b"\xff\n", "edge": rng.randbytes(50_000),
+    }
+    (tmp_path / "below").mkdir()
+    for k, (name, raw) in enumerate(contents.items()):
+        (tmp_path / ("below" if k % 2 else ".") / name).write_bytes(raw)
+    split_bytes = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    read = []
+    monkeypatch.setattr(fingerprint, "_large_digests", lambda large, n, *rest, f=fingerprint._large_digests: read.append(n) or f(large, n, *rest))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = fingerprint.file_digests(files.list_files(spark, str(tmp_path)), files.file_lines(spark, str(tmp_path)), 50_000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    assert sorted(map(tuple, got)) == sorted((n, hashlib.sha256(raw).hexdigest(), len(raw)) for n, raw in contents.items())
+    assert read == [6]
