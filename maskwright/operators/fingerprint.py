@@ -17,6 +17,8 @@ from maskwright.session import materialize, shared_dir, work_partitions
 
 #: Files of up to this many bytes are hashed by one expression; larger ones split by split.
 WHOLE_FILE = 64 * 2**20
+#: Bytes of a stored piece of a file, and of a row group, which a writer holds in memory.
+PIECE, ROW_GROUP = 2**18, 16 * 2**20
 #: Names that make Spark's text reader decompress.
 COMPRESSED = r"\.(gz|bz2|deflate|snappy|lz4|zst|passthrough)$"
 BYTE_ORDER_MARK = b"\xef\xbb\xbf"
@@ -69,12 +71,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])]))
         ends, data = _bounds(batch.column(2))
         cuts = [int(ends[k]) for k in [*first, len(at)]]
-        content = [data.slice(x, y - x).to_pybytes() for x, y in zip(cuts, cuts[1:])]
+        cut = [(k, z, min(PIECE, y - z)) for k, x, y in zip(first.tolist(), cuts, cuts[1:]) for z in range(x, y, PIECE)]
+        rows, content = np.array([k for k, _, _ in cut]), [data.slice(z, m).to_pybytes() for _, z, m in cut]
         yield pa.RecordBatch.from_arrays(
-            [files.take(pa.array(first)).cast(pa.string()), pa.array(at[first]), pa.array(range(seq, seq + len(first)), pa.int64()), pa.array([len(c) for c in content], pa.int64()), pa.array(content, pa.binary())],
+            [files.take(pa.array(rows)).cast(pa.string()), pa.array(at[rows]), pa.array(range(seq, seq + len(rows)), pa.int64()), pa.array([len(c) for c in content], pa.int64()), pa.array(content, pa.binary())],
             names=["file", "at", "seq", "n", "content"],
         )
-        seq += len(first)
+        seq += len(rows)
 
 
 def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +124,8 @@ def _large_digests(large: DataFrame, n: int, lines: DataFrame, whole: int) -> Da
     spark = lines.sparkSession
     stored = f"{shared_dir(spark).rstrip('/')}/maskwright/pieces-{uuid.uuid4().hex}"
     wanted = lines.where(F.col("size") > whole).join(F.broadcast(large.select("file")), "file", "left_semi")
-    wanted.select("file", "at", "line").mapInArrow(_pieces, "file string, at long, seq long, n long, content binary").write.partitionBy("at").parquet(stored)
+    cut = wanted.select("file", "at", "line").mapInArrow(_pieces, "file string, at long, seq long, n long, content binary")
+    cut.write.partitionBy("at").option("parquet.block.size", ROW_GROUP).option("parquet.enable.dictionary", False).parquet(stored)
     pieces = spark.read.schema("file string, seq long, n long, content binary, at long").parquet(stored)
     totals = pieces.groupBy("file").agg(F.sum("n").alias("total"))
     state = "file string, size long, total long, state binary"
