@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from maskwright.functions import best_epoch
+from maskwright.operators import grove
 from maskwright.operators.metrics import attach_percentiles, metric_columns
 from maskwright.session import materialize, shared_dir
 
@@ -127,12 +129,26 @@ def with_vectors(df: DataFrame, *arrays: str) -> DataFrame:
     return out
 
 
-def capacity_gap(rows: DataFrame, features: list[str], leaves: tuple[int, ...] = (1, 2), recipe: dict | None = None) -> DataFrame:
-    """Train and validation error per fold for several minimum leaf sizes."""
+def capacity_gap(rows: DataFrame, features: list[str], leaves: tuple[int, ...] = (1, 2), recipe: dict | None = None, key: str = "sample_id") -> DataFrame:
+    """Train and validation error per fold for several minimum leaf sizes.
+
+    Features have as many bins as there can be: a forest that cannot tell values apart cannot learn its rows by heart, which is
+    what the training error is to show.
+    """
     out = None
-    ready = assemble(rows, features)
+    own = rows.select(F.col("fold").cast("int").alias("fold"), F.col(key).alias("key"), F.col("target").alias("y"), grove.numbers(features).alias("x"))
+    planted = grove.planted(own, len(features), {**FOREST, **(recipe or {})}, bins=grove.FINE_BINS)
+    if planted is not None:
+        asked, _ = materialize(planted.vectors(own.drop("key"), all_folds=True))
+        cells, _ = materialize(asked.groupBy("held", "vec").agg(F.lit(True).alias("own")))
     for leaf in leaves:
-        scored = oof_model(ready, forest({**(recipe or {}), "minInstancesPerNode": leaf}), both_roles=True)
+        if planted is None:
+            scored = oof_model(assemble(rows, features), forest({"maxBins": grove.FINE_BINS, **(recipe or {}), "minInstancesPerNode": leaf}), both_roles=True)
+        else:
+            said = replace(planted, settings={**planted.settings, "minInstancesPerNode": leaf}).said(cells)
+            scored = asked.join(said, ["held", "vec"]).select(
+                F.col("held").alias("outer_fold"), F.when(F.col("held") == F.col("fold"), "validation").otherwise("train").alias("role"), F.col("p0").alias("predicted"), F.col("y").alias("target")
+            )
         error = F.abs(F.col("predicted") - F.col("target"))
         part = scored.groupBy("outer_fold").agg(
             F.avg(F.when(F.col("role") == "train", error)).alias("train_mae"), F.avg(F.when(F.col("role") == "validation", error)).alias("validation_mae")
