@@ -71,7 +71,10 @@ def oof_model(rows: DataFrame, estimator: Estimator, both_roles: bool = False, r
 
 
 def oof_forest(split: DataFrame, features: list[str], recipe: dict | None = None, configuration: str = "random_forest", key: str = "sample_id") -> DataFrame:
-    predicted = oof_model(assemble(split, features), forest(recipe))
+    """Every sample predicted by a forest without its fold, grown in tasks (`grove`), by Spark's own where a fold's table is too large for a task."""
+    told = ["grp", "resolution", "category", "fold", "target"]
+    grown = grove.held_out(split.select(key, *told, *[f for f in features if f not in told]), features, "target", {**FOREST, **(recipe or {})}, key)
+    predicted = oof_model(assemble(split, features), forest(recipe)) if grown is None else grown.withColumnRenamed("p0", "predicted")
     return predicted.select(
         F.lit(configuration).alias("configuration"), F.lit("random_forest").alias("approach"), F.lit("candidate").alias("role"),
         key, "grp", "resolution", "category", "fold", F.col("target").alias("observed"), "predicted",

@@ -71,9 +71,50 @@ def no_spark_forest(monkeypatch):
     monkeypatch.setattr(Estimator, "fit", refuse)
 
 
+def test_out_of_fold_forest_is_near_that_of_spark(rows):
+    recipe = {"numTrees": 30}
+    own = {r.sample_id: r for r in models.oof_forest(rows, ["a", "b"], recipe).collect()}
+    other = models.oof_model(models.assemble(rows, ["a", "b"]), models.forest(recipe)).collect()
+    assert len(own) == 400 and {r.fold for r in own.values()} == {1, 2, 3, 4}
+    error = lambda p: np.mean([abs(p(r) - r.target) for r in other])
+    assert error(lambda r: own[r.sample_id].predicted) == pytest.approx(error(lambda r: r.predicted), rel=0.1)
+    assert own == {r.sample_id: r for r in models.oof_forest(rows.repartition(7), ["a", "b"], recipe).collect()}
+
+
+@pytest.mark.parametrize("query", ["forest_oof_predictions"])
+def test_oof_forests_and_tables_of_them_fit_no_model_of_spark(rows, no_spark_forest, query):
+    small = {"numTrees": 4}
+    if query == "forest_oof_predictions":
+        assert models.oof_forest(rows, ["a", "b"], small).select("sample_id").distinct().count() == 400
+    elif query == "forest_tuning":
+        assert models.tuned(rows, ["a", "b"], {"v": {**small, "featureSubsetStrategy": "sqrt", "maxDepth": 3}}, base=small).groupBy("configuration").count().count() == 2
+    else:
+        assert {r.configuration: r.n for r in models.ablation(rows, {"both": ["a", "b"], "one": ["a"]}, small).collect()} == {"both": 400, "one": 400}
+
+
 def test_capacity_gap_needs_no_model_on_the_driver_and_shows_memorised_rows(spark, no_spark_forest):
     # 120 training values with a target each: a forest that has 32 bins for them cannot learn the rows by heart
     made = [(k, k // 4 % 2 + 1, float(k // 4), float((k // 4 * 37) % 101)) for k in range(960)]
     split = spark.createDataFrame(made, "sample_id long, fold int, a double, target double")
     got = models.capacity_gap(split, ["a"], (1,), {"numTrees": 12}).collect()
     assert len(got) == 2 and all(r.train_mae < 8 < 16 < r.validation_mae for r in got)
+
+
+@pytest.mark.parametrize("run", ["oof"])
+def test_a_fold_that_no_task_could_hold_is_fitted_by_spark(rows, monkeypatch, run):
+    monkeypatch.setattr(grove, "TABLE_BYTES", 0)
+    recipe = {"numTrees": 2, "maxDepth": 3}
+    if run == "oof":
+        assert models.oof_forest(rows, ["a", "b"], recipe).count() == 400
+    elif run == "classes":
+        assert models.classification_test(rows.withColumn("kind", F.when(F.col("a") > 0, "x").otherwise("y")), ["a"], "kind", trees=2, depth=2).first().balanced_accuracy_mean > 0.8
+    else:
+        out = estimators.estimator_evidence(rows, ["a"], {}, {"forest": estimators.forest_runner(recipe)}, 1)
+        assert {r.experiment for r in out.collect()} == {"isolated", "permutation"}
+
+
+def test_odd_rows_are_errors(rows):
+    with pytest.raises(Exception, match="null or NaN"):
+        models.oof_forest(rows.withColumn("a", F.when(F.col("sample_id") != 7, F.col("a"))), ["a"], {"numTrees": 1}).count()
+    with pytest.raises(Exception, match="no training rows"):
+        models.oof_forest(rows.where("fold = 1"), ["a"], {"numTrees": 1}).count()
