@@ -81,7 +81,7 @@ def test_out_of_fold_forest_is_near_that_of_spark(rows):
     assert own == {r.sample_id: r for r in models.oof_forest(rows.repartition(7), ["a", "b"], recipe).collect()}
 
 
-@pytest.mark.parametrize("query", ["forest_oof_predictions", "forest_tuning"])
+@pytest.mark.parametrize("query", ["forest_oof_predictions", "forest_tuning", "scale_ablation"])
 def test_oof_forests_and_tables_of_them_fit_no_model_of_spark(rows, no_spark_forest, query):
     small = {"numTrees": 4}
     if query == "forest_oof_predictions":
