@@ -179,12 +179,19 @@ def balanced_accuracy(predictions: DataFrame, by: list[str]) -> DataFrame:
     return recall_by_class(predictions, by).groupBy(*by).agg(F.avg("recall").alias("balanced_accuracy"))
 
 
-def classification_test(rows: DataFrame, features: list[str], label: str, trees: int = 300, depth: int = 10) -> DataFrame:
+def classification_test(rows: DataFrame, features: list[str], label: str, trees: int = 300, depth: int = 10, key: str = "sample_id") -> DataFrame:
     """Mean and population deviation of balanced accuracy over the folds of `rows`."""
     names = sorted(r[0] for r in rows.select(label).distinct().collect() if r[0] is not None)  # a handful of classes
     number = F.array_position(F.array(*[F.lit(x) for x in names]), F.col(label)) - 1
     indexed = rows.where(F.col(label).isNotNull()).drop("label").withColumn("label", number.cast("double"))
-    model = RandomForestClassifier(featuresCol="features", labelCol="label", predictionCol="predicted_label", numTrees=trees, minInstancesPerNode=2, maxDepth=depth, seed=42)
+    settings = {"numTrees": trees, "minInstancesPerNode": 2, "maxDepth": depth, "seed": 42}
+    told = indexed.select(F.col(key).alias("key"), "fold", "label", *[c for c in features if c not in ("key", "fold", "label")])
+    grown = grove.held_out(told, features, "label", settings, "key", classes=max(1, len(names)))
+    if grown is not None:
+        shares = F.array(*[F.col(f"p{k}") for k in range(max(1, len(names)))])
+        said = grown.select("fold", "label", (F.array_position(shares, F.array_max(shares)) - 1).cast("double").alias("predicted_label"))
+        return _over_folds(said)
+    model = RandomForestClassifier(featuresCol="features", labelCol="label", predictionCol="predicted_label", **settings)
     # the scores of a fold are stored before the next: what is sent to tasks is one model
     ready = assemble(indexed, features)
     scored = None
@@ -195,6 +202,10 @@ def classification_test(rows: DataFrame, features: list[str], label: str, trees:
         fitted = RandomForestClassificationModel.load(path)
         part, _ = materialize(fitted.transform(ready.where(F.col("fold") == fold)).select("fold", "label", "predicted_label"))
         scored = part if scored is None else scored.unionByName(part)
+    return _over_folds(scored)
+
+
+def _over_folds(scored: DataFrame) -> DataFrame:
     return balanced_accuracy(scored, ["fold"]).agg(
         F.avg("balanced_accuracy").alias("balanced_accuracy_mean"), F.stddev_pop("balanced_accuracy").alias("balanced_accuracy_std")
     )

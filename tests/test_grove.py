@@ -100,7 +100,15 @@ def test_capacity_gap_needs_no_model_on_the_driver_and_shows_memorised_rows(spar
     assert len(got) == 2 and all(r.train_mae < 8 < 16 < r.validation_mae for r in got)
 
 
-@pytest.mark.parametrize("run", ["oof"])
+def test_classes_are_told_by_the_share_of_trees(rows, no_spark_forest):
+    told = rows.withColumn("kind", F.when(F.col("a") + F.col("b") / 50 > 0.5, "high").when(F.col("a") < -0.5, "low").otherwise("middle"))
+    got = models.classification_test(told, ["a", "b"], "kind", trees=20, depth=6).first()
+    assert got.balanced_accuracy_mean > 0.85 and got.balanced_accuracy_std < 0.1
+    alone = models.classification_test(told.withColumn("kind", F.lit("one")), ["a"], "kind", trees=2).first()
+    assert alone.balanced_accuracy_mean == 1.0
+
+
+@pytest.mark.parametrize("run", ["oof", "classes"])
 def test_a_fold_that_no_task_could_hold_is_fitted_by_spark(rows, monkeypatch, run):
     monkeypatch.setattr(grove, "TABLE_BYTES", 0)
     recipe = {"numTrees": 2, "maxDepth": 3}
