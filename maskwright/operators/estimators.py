@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Protocol
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from maskwright.operators import evidence, models
+from maskwright.operators import evidence, grove, models
 from maskwright.session import materialize, shared_dir
 
 #: Bytes of models that tasks are sent at once; above, rows are scored by the estimator's own transform.
@@ -139,8 +140,40 @@ def linear_runner() -> MlRunner:
     return MlRunner(lambda target: LinearRegression(featuresCol="features", labelCol=target, predictionCol="predicted", solver="normal"))
 
 
-def forest_runner(recipe: dict | None = None) -> MlRunner:
-    return MlRunner(lambda target: models.forest(recipe, target))
+@dataclass(frozen=True)
+class ForestRunner(MlRunner):
+    """Forests of a recipe. For evidence they are grown in tasks, all sets of features of a fold side by side on the same draws."""
+
+    settings: dict
+
+
+def forest_runner(recipe: dict | None = None) -> ForestRunner:
+    return ForestRunner(lambda target: models.forest(recipe, target), {**models.FOREST, **(recipe or {})})
+
+
+def _forest_sums(split: DataFrame, moved: DataFrame | None, features: list[str], wanted: list[tuple[str, str, list[str]]], name: str, runner: ForestRunner, target: str, key: str) -> tuple[DataFrame, DataFrame | None] | None:
+    """The error sums of all models of a forest on the held-out rows and on the permuted ones; None where no task could hold a fold."""
+    spark, fold = split.sparkSession, F.col("fold").cast("int").alias("fold")
+    own = split.select(fold, F.col(target).alias("y"), grove.numbers(features).alias("x"), F.col(key).alias("key"))
+    planted = grove.planted(own, len(features), runner.settings)
+    if planted is None:
+        return None
+    base, _ = materialize(planted.vectors(own.drop("key")))
+    asked = base.select("held", "vec", F.lit(True).alias("own"))
+    if moved is not None:
+        given = F.array(*[F.when(F.col("feature") == f, F.col("given")).otherwise(F.col(f)).cast("double") for f in features])
+        placed, _ = materialize(planted.vectors(moved.select(fold, F.col(target).alias("y"), "feature", "repetition", given.alias("x"))))
+        asked = asked.unionByName(placed.select("held", "vec", F.lit(False).alias("own")))
+    said = planted.said(asked, [grove.Subset(tuple(features.index(f) for f in kept), experiment == "full") for experiment, _, kept in wanted])
+    sums = (F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("p0") - F.col("y"))).alias("error"))
+    names = spark.createDataFrame([(k, experiment, label) for k, (experiment, label, _) in enumerate(wanted)], "subset int, experiment string, label string")
+    fixed = base.join(said, ["held", "vec"]).groupBy("subset", F.col("held").alias("fold")).agg(*sums).join(F.broadcast(names), "subset")
+    fixed = fixed.select("n", "error", "experiment", F.lit(name).alias("baseline"), "label", "fold")
+    if moved is None:
+        return fixed, None
+    full = said.where(F.col("subset") == next(k for k, w in enumerate(wanted) if w[0] == "full"))
+    out = placed.join(full, ["held", "vec"]).groupBy("repetition", F.col("feature").alias("target"), F.col("held").alias("fold")).agg(*sums)
+    return fixed, out.select("repetition", "target", "n", "error", F.lit(name).alias("baseline"), "fold")
 
 
 @dataclass(frozen=True)
@@ -234,20 +267,31 @@ def estimator_evidence(
     if n == 0 or not features:
         return evidence.evidence_rows(none, split_seed)
     wanted = [v for v in evidence.variants(features, groups) if v[0] == "full" or v[0] in experiments]
-    trained = fit_all(split, features, wanted, runners, target)
-    names = spark.createDataFrame(
-        [(k, t.experiment, t.baseline, t.target, t.fold) for k, t in enumerate(trained)], "model int, experiment string, baseline string, label string, fold int"
-    )
-    fixed, _ = materialize(_error_sums(split, features, trained, target, False).drop("target", "repetition").join(F.broadcast(names), "model").drop("model"))
+    rows = None
+    if "permutation" in experiments:
+        rows = evidence.permuted_values(split.select(key, "fold", target, *features), features, repetitions, split_seed, n, max(1, len(models.fold_list(split))), key)
+    sums = {name: _forest_sums(split, rows, features, wanted, name, r, target, key) for name, r in runners.items() if isinstance(r, ForestRunner)}
+    parts = [v for v in sums.values() if v is not None]
+    others = {name: r for name, r in runners.items() if sums.get(name) is None}
+    trained = fit_all(split, features, wanted, others, target) if others else []
+    if trained:
+        names = spark.createDataFrame(
+            [(k, t.experiment, t.baseline, t.target, t.fold) for k, t in enumerate(trained)], "model int, experiment string, baseline string, label string, fold int"
+        )
+        fitted = _error_sums(split, features, trained, target, False).drop("target", "repetition").join(F.broadcast(names), "model").drop("model")
+        parts.append((fitted, None))
+    fixed, _ = materialize(reduce(DataFrame.unionByName, [p for p, _ in parts]))
     reference = fixed.where("experiment = 'full'").select("baseline", "fold", F.col("error").alias("reference"))
     out = fixed.where("experiment != 'full'").join(F.broadcast(reference), ["baseline", "fold"]).select(
         "experiment", "baseline", F.col("label").alias("target"), "fold", F.lit(None).cast("int").alias("repetition"), "n", "error",
         F.when(F.col("experiment") != "isolated", F.col("reference")).alias("reference"),
     )
     if "permutation" in experiments:
+        errors = [m for _, m in parts if m is not None]
         full = [t for t in trained if t.experiment == "full"]
-        rows = evidence.permuted_values(split.select(key, "fold", target, *features), features, repetitions, split_seed, n, max(1, len({t.fold for t in full})), key)
-        own = spark.createDataFrame([(k, t.baseline, t.fold) for k, t in enumerate(full)], "model int, baseline string, fold int")
-        moved = _error_sums(rows, features, full, target, True).join(F.broadcast(own), "model").join(F.broadcast(reference), ["baseline", "fold"])
+        if full:
+            own = spark.createDataFrame([(k, t.baseline, t.fold) for k, t in enumerate(full)], "model int, baseline string, fold int")
+            errors.append(_error_sums(rows, features, full, target, True).join(F.broadcast(own), "model").drop("model"))
+        moved = reduce(DataFrame.unionByName, errors).join(F.broadcast(reference), ["baseline", "fold"])
         out = out.unionByName(moved.select(F.lit("permutation").alias("experiment"), "baseline", "target", "fold", "repetition", "n", "error", "reference"))
     return evidence.evidence_rows(out, split_seed)

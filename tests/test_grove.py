@@ -108,7 +108,22 @@ def test_classes_are_told_by_the_share_of_trees(rows, no_spark_forest):
     assert alone.balanced_accuracy_mean == 1.0
 
 
-@pytest.mark.parametrize("run", ["oof", "classes"])
+def test_forest_evidence_fits_no_model_of_spark(rows, no_spark_forest):
+    recipe = {"numTrees": 6, "featureSubsetStrategy": "all"}
+    out = estimators.estimator_evidence(rows, ["a", "b"], {"first": ("a",)}, {"forest": estimators.forest_runner(recipe)}, 2).collect()
+    got = {(r.experiment, r.target, r.fold, r.repetition): r for r in out}
+    error = F.avg(F.abs(F.col("predicted") - F.col("observed")))
+    alone = {r.fold: r.e for r in models.oof_forest(rows, ["a", "b"], recipe).groupBy("fold").agg(error.alias("e")).collect()}
+    single = {r.fold: r.e for r in models.oof_forest(rows, ["b"], recipe).groupBy("fold").agg(error.alias("e")).collect()}
+    for fold in range(1, 5):
+        assert got["removal", "a", fold, None].reference == pytest.approx(alone[fold])
+        # without a, and without its group, b is left: the forest of b alone
+        assert [got["removal", t, fold, None].result for t in ("a", "first")] == pytest.approx([single[fold]] * 2)
+        assert got["permutation", "a", fold, 0].result > got["permutation", "a", fold, 0].reference
+    assert len([r for r in out if r.experiment == "permutation" and r.scope == "fold"]) == 2 * 2 * 4
+
+
+@pytest.mark.parametrize("run", ["oof", "classes", "evidence"])
 def test_a_fold_that_no_task_could_hold_is_fitted_by_spark(rows, monkeypatch, run):
     monkeypatch.setattr(grove, "TABLE_BYTES", 0)
     recipe = {"numTrees": 2, "maxDepth": 3}
