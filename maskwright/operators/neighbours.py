@@ -168,66 +168,102 @@ class Components:
     total: float
 
 
+#: Rasters that are unpacked at once; cells whose sums travel together.
+RASTERS, CELLS = 256, 512
+
+
 def _cells(column: pa.Array) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1), axis=1).astype(float)
 
 
-def _products(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """Sum over all rasters x of x (x . basis)', a row for each cell; tasks add up their rows and hand on one matrix."""
-    cells, width = basis.shape
-    sent = rows.sparkSession.sparkContext.broadcast(basis)
+def _products(rows: DataFrame, bases: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """For every fold, the sum over the rasters x outside it of x (x . basis)', a row for each cell; tasks add up their rows and hand on one matrix a fold."""
+    folds = list(bases)
+    cells, width = bases[folds[0]].shape
+    sent = rows.sparkSession.sparkContext.broadcast(np.concatenate([bases[f] for f in folds], 1))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((cells, width))
+        total = np.zeros((cells, width * len(folds)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                x = _cells(batch.column(0).slice(at, 512))
-                total += x.T @ (x @ sent.value)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells), pa.int32()), *[pa.array(total[:, k]) for k in range(width)]], names=["cell", *[f"c{k}" for k in range(width)]])
+            for at in range(0, batch.num_rows, RASTERS):
+                own = batch.slice(at, RASTERS)
+                x, fold = _cells(own.column(0)), own.column(1).to_numpy()
+                y = x @ sent.value
+                for k, f in enumerate(folds):
+                    y[fold == f, k * width : (k + 1) * width] = 0.0
+                total += x.T @ y
+        places = [(f, at, total[at : at + CELLS, k * width : (k + 1) * width].tobytes()) for k, f in enumerate(folds) for at in range(0, cells, CELLS)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*places), (pa.int32(), pa.int32(), pa.binary()))], names=["fold", "at", "part"])
+
+    def added(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(p) for p in parts["part"].to_pylist())
+        return pa.table({"fold": parts["fold"][:1], "at": parts["at"][:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "fold int, at int, part binary"
+    summed = rows.select("bits", F.col("fold").cast("int").alias("fold")).mapInArrow(partial, schema).groupBy("fold", "at").applyInArrow(added, schema)
+    out = {f: np.zeros((cells, width)) for f in folds}
+    for r in summed.toArrow().to_pylist():
+        out[r["fold"]][r["at"] : r["at"] + CELLS] = np.frombuffer(r["part"]).reshape(-1, width)
+    return out
+
+
+def fold_components(rows: DataFrame, folds: list[int], k: int, cells: int, oversample: int = 10, passes: int = 6, seed: int = 42) -> dict[int, Components]:
+    """For every fold, the first `k` components of the packed rasters (`bits`, `fold`) outside it, by a randomised range finder with power passes.
+
+    The covariance (cells * cells numbers) never exists: a pass over all rasters adds up its product with k + oversample directions
+    for all folds at once, so what comes to the driver has cells * (k + oversample) numbers a fold, whatever the number of
+    rasters. The sign of a direction makes its largest entry positive. Fewer than two rasters have no variance.
+    """
+    width = min(cells, k + oversample)
+    counts, sums = _sums(rows, cells)
+    nothing = Components(np.zeros(cells), np.eye(cells)[:, :k], np.zeros(k), 0.0)
+    n = {f: sum(c for g, c in counts.items() if g != f) for f in folds}
+    some = [f for f in folds if n[f]]
+    if not some:
+        return {f: nothing for f in folds}
+    mean = {f: sum(v for g, v in sums.items() if g != f) / n[f] for f in some}
+    basis = {f: np.random.default_rng(seed).standard_normal((cells, width)) for f in some}
+
+    def spread(q: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        made = _products(rows, q)
+        return {f: made[f] / n[f] - np.outer(mean[f], mean[f] @ q[f]) for f in some}
 
-    schema = "cell int, " + ", ".join(f"c{k} double" for k in range(width))
-    summed = rows.select("bits").mapInArrow(partial, schema).groupBy("cell").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(width)])
-    table = summed.orderBy("cell").toArrow()
-    return np.stack([table[f"c{k}"].to_numpy() for k in range(width)], 1) if len(table) else np.zeros((cells, width))
+    for _ in range(passes):
+        basis = {f: np.linalg.qr(m)[0] for f, m in spread(basis).items()}
+    out = {f: nothing for f in folds}
+    for f, made in spread(basis).items():
+        values, rotation = np.linalg.eigh((basis[f].T @ made + made.T @ basis[f]) / 2)
+        order = np.argsort(-values)[:k]
+        directions = basis[f] @ rotation[:, order]
+        top = np.abs(directions).argmax(0)
+        directions = directions * np.where(directions[top, np.arange(directions.shape[1])] < 0, -1.0, 1.0)
+        out[f] = Components(mean[f], directions, np.maximum(values[order], 0.0), float((mean[f] * (1 - mean[f])).sum()))
+    return out
 
 
 def principal_components(rows: DataFrame, k: int, cells: int, oversample: int = 10, passes: int = 6, seed: int = 42) -> Components:
-    """The first `k` components of packed rasters (`bits`) by a randomised range finder with power passes.
+    """The same of all rasters (`bits`)."""
+    return fold_components(rows.select("bits", F.lit(0).alias("fold")), [1], k, cells, oversample, passes, seed)[1]
 
-    The covariance (cells * cells numbers) never exists: a pass adds up its product with k + oversample directions, so what
-    comes to the driver has cells * (k + oversample) numbers, whatever the number of rasters. The sign of a direction makes
-    its largest entry positive. Fewer than two rasters have no variance.
-    """
-    n = rows.count()
-    width = min(cells, k + oversample)
-    if n == 0:
-        return Components(np.zeros(cells), np.eye(cells)[:, :k], np.zeros(k), 0.0)
-    mean = _sums(rows, cells) / n
-    basis = np.random.default_rng(seed).standard_normal((cells, width))
-    spread = lambda q: _products(rows, q) / n - np.outer(mean, mean @ q)
-    for _ in range(passes):
-        basis, _ = np.linalg.qr(spread(basis))
-    made = spread(basis)
-    values, rotation = np.linalg.eigh((basis.T @ made + made.T @ basis) / 2)
-    order = np.argsort(-values)[:k]
-    directions = basis @ rotation[:, order]
-    top = np.abs(directions).argmax(0)
-    directions = directions * np.where(directions[top, np.arange(directions.shape[1])] < 0, -1.0, 1.0)
-    return Components(mean, directions, np.maximum(values[order], 0.0), float((mean * (1 - mean)).sum()))
 
-
-def _sums(rows: DataFrame, cells: int) -> np.ndarray:
-    """How many rasters have each cell."""
+def _sums(rows: DataFrame, cells: int) -> tuple[dict[int, int], dict[int, np.ndarray]]:
+    """For every fold, the number of rasters, and how many of them have each cell."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                total += _cells(batch.column(0).slice(at, 512)).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells), pa.int32()), pa.array(total)], names=["cell", "n"])
-
-    table = rows.select("bits").mapInArrow(partial, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
-    return table["n"].to_numpy()
+            for at in range(0, batch.num_rows, RASTERS):
+                own = batch.slice(at, RASTERS)
+                x, fold = _cells(own.column(0)), own.column(1).to_numpy()
+                for f in np.unique(fold):
+                    # the number of rasters after the cells
+                    total[int(f)] = total.get(int(f), 0.0) + np.append(x[fold == f].sum(0), (fold == f).sum())
+        for f, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(cells + 1, f), pa.int32()), pa.array(np.arange(cells + 1), pa.int32()), pa.array(t)], names=["fold", "cell", "n"])
+
+    table = rows.select("bits", F.col("fold").cast("int").alias("fold")).mapInArrow(partial, "fold int, cell int, n double").groupBy("fold", "cell").agg(F.sum("n").alias("n")).orderBy("fold", "cell").toArrow()
+    fold, n = table["fold"].to_numpy(), table["n"].to_numpy()
+    return {int(f): int(n[fold == f][-1]) for f in np.unique(fold)}, {int(f): n[fold == f][:-1] for f in np.unique(fold)}
 
 
 def projected(rows: DataFrame, components: Components, key: str, name: str) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from maskwright.operators import models
-from maskwright.operators.neighbours import Components, principal_components, projected
-from maskwright.session import materialize
+from maskwright.operators import grove, models
+from maskwright.operators.neighbours import Components, fold_components, projected
+from maskwright.session import materialize, spread
 
 RAW_PARTS, CANONICAL_PARTS, SIDE = 24, 16, 96
 
@@ -39,14 +39,31 @@ class Representation:
     raw: Components
     canonical: Components
 
-    def features(self, views: Views) -> DataFrame:
+    @property
+    def width(self) -> int:
+        return self.raw.directions.shape[1] + self.canonical.directions.shape[1]
+
+    def coordinates(self, views: Views) -> DataFrame:
+        """(key, x) of every mask."""
         own = views.measured.select(views.key, F.array(*[F.col(c).cast("double") for c in views.columns]).alias("own"))
         joined = own.join(projected(views.raw, self.raw, views.key, "r"), views.key).join(projected(views.canonical, self.canonical, views.key, "c"), views.key)
-        return joined.select(views.key, array_to_vector(F.concat("own", "r", "c")).alias("features"))
+        return joined.select(views.key, F.concat("own", "r", "c").alias("x"))
+
+    def features(self, views: Views) -> DataFrame:
+        return self.coordinates(views).select(views.key, array_to_vector("x").alias("features"))
 
 
-def learn(views: Views, raw_parts: int = RAW_PARTS, canonical_parts: int = CANONICAL_PARTS, side: int = SIDE) -> Representation:
-    return Representation(principal_components(views.raw, raw_parts, side * side), principal_components(views.canonical, canonical_parts, side * side))
+def learn(views: Views, split: DataFrame, folds: list[int], raw_parts: int = RAW_PARTS, canonical_parts: int = CANONICAL_PARTS, side: int = SIDE) -> dict[int, Representation]:
+    """The representation of every fold, learned from the masks outside it; all folds come out of the same passes."""
+
+    def one(job) -> dict[int, Components]:
+        bits, parts = job
+        rows, _ = materialize(bits.join(split.select(views.key, F.col("fold").cast("int").alias("fold")), views.key).select("bits", "fold"))
+        return fold_components(spread(rows), folds, parts, side * side)
+
+    with ThreadPool(2) as pool:
+        raw, canonical = pool.map(inheritable_thread_target(split.sparkSession)(one), [(views.raw, raw_parts), (views.canonical, canonical_parts)], chunksize=1)
+    return {f: Representation(raw[f], canonical[f]) for f in folds}
 
 
 def represented_predictions(train: Views, test: Views, split: DataFrame, recipe: dict, raw_parts: int = RAW_PARTS, canonical_parts: int = CANONICAL_PARTS, side: int = SIDE, owner=None) -> DataFrame:
@@ -62,18 +79,29 @@ def represented_predictions(train: Views, test: Views, split: DataFrame, recipe:
     owned = test.measured.select(key, owner(F.col(key)).alias("mask"))
     member = owned.join(folds.select(F.col(key).alias("mask"), "fold"), "mask")
 
+    names = models.fold_list(folds)
+    shapes = learn(train, folds, names, raw_parts, canonical_parts, side)
+
     def one(fold: int) -> DataFrame:
+        shape = shapes[fold]
         outside = folds.where(F.col("fold") != fold)
         own = train.of(outside)
-        shape = learn(own, raw_parts, canonical_parts, side)
-        ready, _ = materialize(shape.features(own).join(outside, key))
-        model = models.forest(recipe, "log_target").fit(ready)
+        ready, _ = materialize(shape.coordinates(own).join(outside, key))
         held = member.where(F.col("fold") == fold)
-        scored = model.transform(shape.features(test.of(held)))
+        asked = shape.coordinates(test.of(held))
+        rows = ready.select("fold", F.col(key).alias("key"), F.col("log_target").alias("y"), "x")
+        planted = grove.planted(rows, len(train.columns) + shape.width, {**models.FOREST, **recipe}, folds=[fold])
+        if planted is None:
+            model = models.forest(recipe, "log_target").fit(ready.withColumn("features", array_to_vector("x")))
+            scored = model.transform(asked.withColumn("features", array_to_vector("x")))
+        else:
+            binned, _ = materialize(planted.vectors(asked.withColumn("fold", F.lit(fold))).drop("fold"))
+            said = planted.said(binned.select("held", "vec", F.lit(True).alias("own")))
+            scored = binned.join(said, ["held", "vec"]).withColumnRenamed("p0", "predicted")
         return materialize(scored.select(key, F.exp("predicted").alias("predicted")).join(held, key).select(key, "mask", "fold", "predicted"))[0]
 
-    with ThreadPool(4) as pool:
-        parts = pool.map(inheritable_thread_target(split.sparkSession)(one), models.fold_list(split), chunksize=1)
+    with ThreadPool(models.FITS_AT_ONCE) as pool:
+        parts = pool.map(inheritable_thread_target(split.sparkSession)(one), names, chunksize=1)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import Estimator
 from pyspark.sql import functions as F
 
-from maskwright.operators import estimators, grove, models
+from maskwright.operators import estimators, grove, models, neighbours, represented
 
 FULL = {"numTrees": 1, "minInstancesPerNode": 2, "featureSubsetStrategy": "all", "maxDepth": 30, "seed": 1}
 
@@ -141,3 +141,32 @@ def test_odd_rows_are_errors(rows):
         models.oof_forest(rows.withColumn("a", F.when(F.col("sample_id") != 7, F.col("a"))), ["a"], {"numTrees": 1}).count()
     with pytest.raises(Exception, match="no training rows"):
         models.oof_forest(rows.where("fold = 1"), ["a"], {"numTrees": 1}).count()
+
+
+def _rasters(spark, n):
+    rng = np.random.default_rng(2)
+    return spark.createDataFrame([(k, k % 3 + 1, bytearray(np.packbits(rng.random(64) < 0.2 + 0.6 * (k % 5) / 5).tobytes())) for k in range(n)], "mask_id long, fold int, bits binary")
+
+
+def test_components_of_all_folds_are_those_of_each(spark):
+    rows = _rasters(spark, 60).repartition(3)
+    every = neighbours.fold_components(rows, [1, 2, 3], 3, 64)
+    for fold, got in every.items():
+        want = neighbours.principal_components(rows.where(F.col("fold") != fold).select("bits"), 3, 64)
+        assert got.variances == pytest.approx(want.variances) and np.abs(got.directions - want.directions).max() < 1e-6 and got.mean == pytest.approx(want.mean)
+
+
+@pytest.mark.parametrize("moved", [False, True])
+def test_represented_predictions_fit_no_model_of_spark(spark, no_spark_forest, moved):
+    bits = _rasters(spark, 60)
+    split = bits.select("mask_id", "fold", (F.col("mask_id") % 5 + 1.0).alias("target"))
+    plain = represented.Views(bits.select("mask_id", F.col("mask_id").cast("double").alias("m")), bits.select("mask_id", "bits"), bits.select("mask_id", "bits"), ("m",))
+    test, owner = plain, None
+    if moved:
+        twice = lambda d: d.withColumn("mask_id", F.explode(F.array(F.col("mask_id") * 8, F.col("mask_id") * 8 + 1)))
+        test, owner = represented.Views(twice(plain.measured), twice(plain.raw), twice(plain.canonical), ("m",)), lambda c: F.expr("mask_id div 8")
+    out = represented.represented_predictions(plain, test, split, {"numTrees": 10, "minInstancesPerNode": 2}, 3, 2, 8, owner).collect()
+    assert len(out) == (120 if moved else 60) and all(r.fold == r["mask"] % 3 + 1 and 1 <= r.predicted <= 5 for r in out)
+    if moved:  # equal views of a mask have equal predictions, to the last bit
+        said = {r.mask_id: r.predicted for r in out}
+        assert all(said[8 * k] == said[8 * k + 1] for k in range(60))
