@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright.functions import half_even
 from maskwright.operators import morphology
@@ -90,20 +91,45 @@ def canonical_pose(runs: DataFrame, side: int, mode: str = "letterbox") -> DataF
 
 
 def rotate(runs: DataFrame, degrees: float, keys: list[str] | None = None) -> DataFrame:
-    """Turn every mask about the centre of its frame, frame kept; cells look up their nearest source."""
+    """Turn every mask about the centre of its frame, frame kept; cells look up their nearest source.
+
+    A mask is turned as one raster in its task: its cells never are rows, and no side of a join holds them.
+    """
     keys = keys or KEYS
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    frame = runs.select(*keys).distinct()
-    cells = frame.select(*keys, F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("v")).select(
-        *keys, "v", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("u")
-    )
-    cy, cx = (F.col("h") - 1) / 2.0, (F.col("w") - 1) / 2.0
-    dv, du = F.col("v") - cy, F.col("u") - cx
-    looked = cells.select(
-        *keys, "u", "v", F.floor(cx + du * c - dv * s + 0.5).cast("int").alias("sx"), F.floor(cy + du * s + dv * c + 0.5).cast("int").alias("y")
-    )
-    hit = looked.join(runs.select(*keys, "y", "x0", "x1"), [*keys, "y"]).where((F.col("sx") >= F.col("x0")) & (F.col("sx") <= F.col("x1")))
-    return cells_to_runs(hit.select(*keys, F.col("v").alias("y"), F.col("u").alias("x")), keys)
+    whole = runs.groupBy(*keys).agg(F.collect_list(F.struct(F.col("y").cast("int"), F.col("x0").cast("int"), F.col("x1").cast("int"))).alias("runs"))
+    height, width = keys.index("h"), keys.index("w")
+
+    def sources(h: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cy, cx = (h - 1) / 2.0, (w - 1) / 2.0
+        dv, du = np.arange(h)[:, None] - cy, np.arange(w)[None, :] - cx
+        x, y = np.floor(cx + du * c - dv * s + 0.5).astype(int), np.floor(cy + du * s + dv * c + 0.5).astype(int)
+        inside = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+        return np.where(inside, y, 0), np.where(inside, x, 0), inside
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            at, found = [], []
+            for k, (h, w, own) in enumerate(zip(batch.column(height).to_pylist(), batch.column(width).to_pylist(), batch.column(len(keys)))):
+                if (h, w) not in known:
+                    known = {(h, w): sources(h, w)} if len(known) >= 64 else {**known, (h, w): sources(h, w)}
+                y, x, inside = known[h, w]
+                edge = np.zeros((h, w + 1), np.int32)
+                row, x0, x1 = (own.values.field(i).to_numpy() for i in range(3))
+                np.add.at(edge, (row, x0), 1)
+                np.add.at(edge, (row, x1 + 1), -1)
+                turned = (np.cumsum(edge, axis=1) > 0)[y, x] & inside
+                edge = np.diff(np.pad(turned, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+                row, x0 = np.nonzero(edge == 1)
+                at.append(np.full(len(row), k))
+                found.append(np.stack([row, x0, np.nonzero(edge == -1)[1] - 1]))
+            if at:
+                of, parts = pa.array(np.concatenate(at)), np.concatenate(found, 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(of) for i in range(len(keys))], *[pa.array(p) for p in parts]], names=[*keys, "y", "x0", "x1"])
+
+    fields = [runs.schema[k] for k in keys] + [T.StructField(n, T.IntegerType()) for n in ("y", "x0", "x1")]
+    return whole.mapInArrow(run, T.StructType(fields))
 
 
 def pixel_vectors(runs: DataFrame, side: int, keys: list[str], name: str) -> DataFrame:

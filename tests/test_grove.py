@@ -170,3 +170,28 @@ def test_represented_predictions_fit_no_model_of_spark(spark, no_spark_forest, m
     if moved:  # equal views of a mask have equal predictions, to the last bit
         said = {r.mask_id: r.predicted for r in out}
         assert all(said[8 * k] == said[8 * k + 1] for k in range(60))
+
+
+def test_a_mask_is_turned_without_a_join_of_its_cells(spark):
+    import math
+
+    from maskwright.operators import pose
+
+    rng = np.random.default_rng(8)
+    frames = {k: rng.random((9 + k, 12)) < 0.6 for k in range(4)}
+    runs = []
+    for k, raster in frames.items():
+        edge = np.diff(np.pad(raster, ((0, 0), (1, 1))).astype(int), axis=1)
+        runs += [(k, 9 + k, 12, int(y), int(x0), int(x1) - 1) for (y, x0), x1 in zip(np.argwhere(edge == 1), np.nonzero(edge == -1)[1])]
+    turned = pose.rotate(spark.createDataFrame(runs, "mask_id long, h int, w int, y int, x0 int, x1 int"), 25.0)
+    assert "Join" not in turned._jdf.queryExecution().executedPlan().toString()
+    got = {k: np.zeros(f.shape, bool) for k, f in frames.items()}
+    for r in turned.collect():
+        assert not got[r.mask_id][r.y, r.x0 : r.x1 + 1].any() and (r.h, r.w) == got[r.mask_id].shape
+        got[r.mask_id][r.y, r.x0 : r.x1 + 1] = True
+    c, s = math.cos(math.radians(25)), math.sin(math.radians(25))
+    for k, f in frames.items():
+        cy, cx = (f.shape[0] - 1) / 2, (f.shape[1] - 1) / 2
+        for v, u in np.ndindex(f.shape):
+            x, y = math.floor(cx + (u - cx) * c - (v - cy) * s + 0.5), math.floor(cy + (u - cx) * s + (v - cy) * c + 0.5)
+            assert got[k][v, u] == (0 <= y < f.shape[0] and 0 <= x < f.shape[1] and f[y, x])
